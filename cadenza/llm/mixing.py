@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import md5_int, n_words, stage
+from cadenza.llm.common import md5_int, n_words, stage, words
 
 
 def capped_targets(sources: DataFrame, most_times: int = 3) -> DataFrame:
@@ -66,13 +66,16 @@ def sainte_lague(parties: DataFrame, by: Sequence[str], key: str, votes: Column,
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_times: int = 3, block: int = 256, least_blocks: int = 4096, shard_size: int = 1 << 20,
-    seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    seed: int = 7, with_spans: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     weights go to the sources in code point order, null last, and repeat. A block has `block` words,
-    or fewer in a corpus of under least_blocks such blocks."""
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    or fewer in a corpus of under least_blocks such blocks. with_spans adds text_key (xxhash64 of the
+    text), passes (how often the whole text is taken) and spans: (first word, words) of what one more
+    pass takes."""
+    key = F.xxhash64(F.col(text_col)) if with_spans else F.lit(0).cast("long")
+    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("text_key")))
     no = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_no", no).withColumn("weight", weight)
@@ -84,7 +87,7 @@ def mix(
     )
 
     known = sources.select(F.col("source").alias("_source"), "source_no", "_n_shards")
-    placed = sized.join(known, sized["source"].eqNullSafe(known["_source"])).select("doc_id", "source", "size", "source_no", md5_int(F.lit(seed), F.col("doc_id")).alias("_order"), "_n_shards")
+    placed = sized.join(known, sized["source"].eqNullSafe(known["_source"])).select("doc_id", "source", "size", "text_key", "source_no", md5_int(F.lit(seed), F.col("doc_id")).alias("_order"), "_n_shards")
     placed = placed.withColumn("shard", F.col("_order") % F.col("_n_shards")).drop("_n_shards")
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
     quotas = sainte_lague(shards.join(sources.drop("source"), "source_no"), ["source_no"], "shard", F.col("shard_size"), F.col("_source_quota"))
@@ -94,7 +97,7 @@ def mix(
         F.when(F.col("shard_size") > 0, F.col("_need") % F.col("shard_size")).otherwise(0).cast("long").alias("_rest"),
     )
 
-    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size")
+    stream = Window.partitionBy("source_no", "shard").orderBy("_order", "doc_id", "size", "text_key")
     laid = placed.join(cells, ["source_no", "shard"]).withColumns({"_end": F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)), "_nth": F.row_number().over(stream)})
     start = F.col("_end") - F.col("size")
     cut = laid.withColumn("_start", start).select("*", F.explode(F.expr("sequence(_start div block, greatest(_start div block, (_end - 1) div block))")).alias("_block"))
@@ -102,8 +105,25 @@ def mix(
     drawn = Window.partitionBy("source_no", "shard").orderBy(md5_int(F.lit(seed), F.col("source_no"), F.col("shard"), F.col("_block")), "_block", "_nth").rowsBetween(Window.unboundedPreceding, 0)
     taken = cut.withColumn("_over", over).withColumn("_before", F.sum("_over").over(drawn) - F.col("_over"))
     part = F.greatest(F.lit(0), F.least(F.col("_over"), F.col("_rest") - F.col("_before")))
-    return (
-        taken.groupBy("source_no", "shard", "_nth", "doc_id", "source", "size", "source_size", "target", "_passes")
-        .agg(F.sum(part).alias("_part"))
-        .select("doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("_passes") * F.col("size") + F.col("_part")).cast("long").alias("taken"))
-    )
+    taken = taken.withColumn("_part", part)
+    first = F.greatest(F.lit(0), F.col("_block") * F.col("block") - F.col("_start"))
+    spans = [F.sort_array(F.collect_list(F.when(F.col("_part") > 0, F.struct(first.alias("first"), F.col("_part").alias("n"))))).alias("spans")] if with_spans else []
+    summed = taken.groupBy("source_no", "shard", "_nth", "doc_id", "source", "size", "text_key", "source_size", "target", "_passes").agg(F.sum("_part").alias("_part"), *spans)
+    out = ["doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("_passes") * F.col("size") + F.col("_part")).cast("long").alias("taken")]
+    return summed.select(*out, *(["text_key", F.col("_passes").alias("passes"), "spans"] if with_spans else []))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows that mix() takes, with the columns of docs: a document once for each whole pass, and
+    once more with the words of its spans where a pass takes a part. n_chars, where docs has it, is the
+    new text's length. Rows that repeat both id and text are one document here."""
+    plan = mix(docs, with_spans=True, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"])
+    met = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key")))
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("_passes").cast("int")), F.when(F.size("_spans") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    each = met.select("*", words(F.col(text_col)).alias("_words"), F.explode(copies).alias("_cut"))
+    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    whole = F.size("_words") == F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    text = F.when(F.col("_cut") & ~whole, cut).otherwise(F.col(text_col))
+    each = each.withColumn("_new", text)
+    return each.select(*(F.col("_new").alias(c) if c == text_col else F.char_length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

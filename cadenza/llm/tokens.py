@@ -2,7 +2,7 @@
 
 Splitting into pre-tokens looks at neighbours only across white space, so a text is cut where that
 can't matter, each distinct piece is encoded once per Python worker, and a text's ids are the pieces'
-ids in order. The memory of pieces is bounded: two generations of at most `most` pieces each.
+ids in order. The memory of pieces is bounded: at `most` pieces it starts anew.
 """
 
 from __future__ import annotations
@@ -13,59 +13,78 @@ import numpy as np
 
 #: A space with other characters than white space on both sides; byte-level patterns split there.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85  ]")
+
+
+def _regular(text: str) -> bool:
+    """Whether all white space in the text is single spaces and line breaks between words."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x00" in text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return len(text.split()) == 1 + text.count(" ") + text.count("\n")
 
 
 class Encoder:
-    """Ids of texts as unsigned 32-bit arrays. `word_level`: white space separates and is dropped, as
-    in word_bpe files; otherwise it is part of pieces, as in byte-level files."""
+    """Ids of texts. `word_level`: white space separates and is dropped, as in word_bpe files;
+    otherwise it is part of pieces, as in byte-level files. The strings of special tokens in a text
+    are ordinary text."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.word_level = self.tokenizer.model.end_of_word_suffix is not None
-        self.special = tuple(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.word_level = bool(self.tokenizer.model.end_of_word_suffix)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        #: what stands between pieces that are encoded together, and its one id
+        self.between = " 0 " if self.word_level else "\n"
+        self.between_id = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
+        self.mark = self.between.strip(" ")
         self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]
+    def pieces(self, text: str) -> tuple[bool, list[str]]:
+        """Whether none of the pieces has white space but a leading space, and the pieces."""
+        if not text:
+            return True, []
         if self.word_level:
-            return text.replace("\n", " ").split(" ")
-        if _UNSAFE.search(text):
-            return _SAFE.split(text) if text else []
-        if "\n" not in text:
-            head, *rest = text.split(" ")
-            return [head, *map(" ".__add__, rest)] if text else []
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            head, *rest = line.split(" ")
-            if k:
-                out.append("\n")
-            out.append(head)
-            out += map(" ".__add__, rest)
-        return out
+            plain = text.replace("\n", " ")
+            return len(plain.split()) == len(words := [w for w in plain.split(" ") if w]), words
+        if not _regular(text):
+            return False, _SAFE.split(text)
+        return True, text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+
+    def _alone(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else [], strict=True):
+            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def _together(self, pieces: list[str]) -> None:
+        """Many short pieces in one call, with a separator of one known id between them."""
+        for k in range(0, len(pieces), 500):
+            some = pieces[k : k + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.between_id)
+            if len(cuts) != len(some) - 1:
+                self._alone(some)
+                continue
+            data, width = ids.tobytes(), self.dtype.itemsize
+            begin, end = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+            self.known.update(zip(some, map(data.__getitem__, map(slice, begin, end)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        missing = wanted.difference(self.young)
-        for p in [p for p in missing if p in self.old]:
-            self.young[p] = self.old[p]
-            missing.discard(p)
-        if missing:
-            missing = list(missing)
-            for k in range(0, len(missing), 20_000):
-                some = missing[k : k + 20_000]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.young[p] = np.array(e.ids, np.uint32).tobytes()
-        out = [np.frombuffer(b"".join(map(self.young.__getitem__, c)), np.uint32) for c in cut]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        plain, odd = set(), set()
+        for regular, c in cut:
+            (plain if regular else odd).update(c)
+        for wanted, learn in ((plain, self._together), (odd, self._alone)):
+            missing = wanted.difference(self.known)
+            if learn == self._together:
+                # what holds the separator, or nothing at all, can't stand between separators
+                apart = [p for p in missing if not p or self.mark in p]
+                self._alone(apart)
+                missing.difference_update(apart)
+            learn(list(missing))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.dtype) for _, c in cut]
+        if len(self.known) > self.most:
+            self.known = {}
         return out
 
 
