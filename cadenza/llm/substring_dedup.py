@@ -147,7 +147,7 @@ def _segments(words: np.ndarray, at: np.ndarray, width: int, gram: int, longest:
     return m[begin].view(np.int64), t[begin], offset[begin], np.diff(np.append(begin, len(place)))
 
 
-def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segments: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segments: int = 80_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), spans: the windows to remove, as (first word, windows in
     a row), of the documents that have any."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -177,9 +177,8 @@ def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segment
 
     given = rows.join(shared, "doc_id").select("doc_id", "text", "starts", F.xxhash64("text").alias("text_key"))
     filled = stage(given.mapInArrow(fill, "minimizer long, k1 long, k2 long, doc_id long, start int, words binary, text_key long"))
-    firsts = filled.groupBy("minimizer", "k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    distinct = stage(filled.join(firsts.drop("n").withColumnRenamed("first_doc", "doc_id"), ["minimizer", "k1", "k2", "doc_id"]).groupBy("minimizer", "k1", "k2", "doc_id").agg(F.first("words").alias("words")))
-    n_shards = max(1, -(-distinct.count() // shard_segments))
+    distinct = filled.groupBy("minimizer", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+    n_shards = max(1, -(-filled.count() // shard_segments))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         least = first_documents([np.frombuffer(w, np.uint64) for w in group["words"]], group["doc_id"].to_numpy(np.int64), width)
