@@ -38,6 +38,11 @@ class Encoder:
         self.between = " 0 " if self.word_level else "\n"
         self.between_id = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.mark = self.between.strip(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        #: word level: whether an id ends a word; byte level: how many bytes it stands for
+        self.trait = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.trait[k] = token.endswith(self.tokenizer.model.end_of_word_suffix) if self.word_level else len(token)
         self.most = most
         self.known: dict[str, bytes] = {}
 
@@ -69,19 +74,40 @@ class Encoder:
             begin, end = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
             self.known.update(zip(some, map(data.__getitem__, map(slice, begin, end)), strict=True))
 
+    def _in_a_row(self, pieces: list[str]) -> None:
+        """Pieces that part without help: at word level letters alone, one word each; at byte level
+        words with a leading space, whose bytes tell where one ends."""
+        for k in range(0, len(pieces), 1000):
+            some = pieces[k : k + 1000]
+            text = (" " if self.word_level else "").join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            if self.word_level:
+                end = np.flatnonzero(self.trait[ids]) + 1
+            else:
+                place = np.cumsum(self.trait[ids])
+                want = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
+                end = np.searchsorted(place, want) + 1
+                if place[-1] != want[-1] or (place[end - 1] != want).any():
+                    end = end[:0]
+            if len(end) != len(some):
+                self._together(some)
+                continue
+            data, stop = ids.tobytes(), (end * self.dtype.itemsize).tolist()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *stop], stop)), strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
         plain, odd = set(), set()
         for regular, c in cut:
             (plain if regular else odd).update(c)
-        for wanted, learn in ((plain, self._together), (odd, self._alone)):
-            missing = wanted.difference(self.known)
-            if learn == self._together:
-                # what holds the separator, or nothing at all, can't stand between separators
-                apart = [p for p in missing if not p or self.mark in p]
-                self._alone(apart)
-                missing.difference_update(apart)
-            learn(list(missing))
+        missing = plain.difference(self.known)
+        # what holds the separator, or nothing at all, can't stand between separators
+        apart = [p for p in missing if not p or self.mark in p]
+        missing.difference_update(apart)
+        row = [p for p in missing if p.isalpha()] if self.word_level else [p for p in missing if p[0] == " "]
+        self._in_a_row(row)
+        self._together(list(missing.difference(row)))
+        self._alone([*apart, *odd.difference(self.known)])
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.dtype) for _, c in cut]
         if len(self.known) > self.most:
             self.known = {}
