@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from cadenza.plans import assets, streams
+
+QUERIES = {**streams.Q, **assets.Q}
+ORACLE = {**streams.S, **assets.S}

@@ -1,0 +1,12 @@
+"""A session with the settings the library is tested with; on a cluster, submit's own settings win."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "cadenza", **settings: str) -> SparkSession:
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    for k, v in settings.items():
+        builder = builder.config(k.replace("__", "."), v)
+    return builder.getOrCreate()
