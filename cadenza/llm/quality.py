@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
     """Weights by bucket and bias of the L1-loss linear support vector machine on x = r at rows, each
     scaled to length 1, with a constant feature for the bias."""
     w, b, alpha = np.zeros(len(r), np.float64), 0.0, np.zeros(len(rows))
-    x = [r[f] for f in rows]
+    x = [r[f].astype(np.float32) for f in rows]
     norm = [1 / max(1e-12, float(np.sqrt((v * v).sum()))) for v in x]
     rng = np.random.default_rng(seed)
     for _ in range(passes):
@@ -107,7 +108,7 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(t[0]), float(t[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6000, smooth: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000, smooth: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """docs: the rows that may be learnt from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_top")).where("_y = _top AND _y IN (0, 1)")
 
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6000,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f in features_of(batch.column(2), bits)], pa.binary())], ["y", "nth", "features"])
 
     rows = docs.join(known, docs[id_col] == known["_id"]).select(F.col("_y").cast("int").alias("y"), F.xxhash64(F.lit(11), docs[id_col]).alias("nth"), F.col(text_col))
-    rows = stage(rows.mapInArrow(to_features, "y int, nth long, features binary"))
+    rows = stage(rows.mapInArrow(to_features, "y int, nth long, features binary").withColumn("row", F.monotonically_increasing_id()))
     n = {x["y"]: x["n"] for x in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = 1 << bits
     if len(n) < 2:
@@ -139,15 +140,32 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6000,
     counts[1, table["bucket"]] += table["n1"]
     r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
-    drawn = [x for y in (0, 1) for x in rows.where(F.col("y") == y).orderBy("nth", "features").limit(sample // 2).collect()]
-    f, y = [np.frombuffer(x["features"], np.uint32) for x in drawn], np.array([1.0 if x["y"] else -1.0 for x in drawn])
-    held = np.arange(len(drawn)) % 4 == 3
+    place = F.struct("nth", "row")
+    drawn = F.lit(False)
+    for y in (0, 1):
+        last = rows.where(F.col("y") == y).select(place.alias("_p")).orderBy("_p").limit(sample // 2).agg(F.max("_p").alias("_p")).first()["_p"]
+        drawn |= (F.col("y") == y) & (place <= F.struct(F.lit(last["nth"]), F.lit(last["row"])))
+    ratios = docs.sparkSession.sparkContext.broadcast(r)
+
+    def learn(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["y", "nth", "row"])
+        w, b, slope, level = _fitted([np.frombuffer(v, np.uint32) for v in g["features"]], np.where(g["y"] == 1, 1.0, -1.0), ratios.value, n)
+        return pd.DataFrame({"w": [w.astype(np.float64).tobytes()], "b": [b], "slope": [slope], "level": [level]})
+
+    # the sample is bounded, so one task fits it
+    fitted = rows.where(drawn).groupBy(F.lit(0)).applyInPandas(learn, "w binary, b double, slope double, level double").first()
+    return Model(bits, np.frombuffer(fitted["w"], np.float64) * r, r * r, fitted["b"], fitted["slope"], fitted["level"])
+
+
+def _fitted(f: list[np.ndarray], y: np.ndarray, r: np.ndarray, n: dict[int, int]) -> tuple[np.ndarray, float, float, float]:
+    """Weights and bias from three rows of four, slope and level from the fourth."""
+    held = np.arange(len(f)) % 4 == 3
     w, b = dual_coordinate_descent([v for v, h in zip(f, held, strict=True) if not h], y[~held], r)
     margin = np.array([float(w[v] @ r[v]) / max(1e-12, float(np.sqrt((r[v] ** 2).sum()))) + b for v in f])
     seen = held if len({*y[held]}) == 2 else ~held
     share = np.where(y > 0, n[1] / max(1, (y[seen] > 0).sum()), n[0] / max(1, (y[seen] < 0).sum())) / sum(n.values()) * seen.sum()
     slope, level = _logistic(margin[seen], (y[seen] > 0).astype(float), share[seen])
-    return Model(bits, w * r, r * r, b, slope, level)
+    return w, b, slope, level
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
