@@ -25,7 +25,7 @@ def file_time(name: Column) -> Column:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, ts, bytes, sha256, recording_index of all files, in order of time."""
+    """path, name, ts, bytes, sha256, recording_index of all files that are not empty, in order of time."""
     files = spark.read.format("binaryFile").load(path)
     rows = files.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     from pyspark.sql import Window

@@ -101,7 +101,7 @@ def test_recordings_and_archives(spark, tmp_path):
     assert rows["2004.02.12.10.42.39"]["status"] == "columns"
     each = recordings.channels(recordings.matrices(spark, f"file://{tmp_path}")).orderBy("channel").collect()
     assert len(each) == 8 and each[3]["asset"] == 2 and each[3]["view"] == "y" and each[3]["signal"] == [3, 4, 5, 6]
-    assert recordings.manifest(spark, f"file://{tmp_path}").count() == 3
+    assert recordings.manifest(spark, f"file://{tmp_path}").count() == 2  # an empty file has no row
     listing = spark.createDataFrame([(f"-rw-r--r-- 0 u g 5 Feb 1 2004 {p}",) for p in ("a/1", "A/1", "../x", "b", "b", "ok")], "value string")
     assert sorted(r["verdict"] for r in recordings.archive_members(listing).collect()) == ["case-collision", "case-collision", "duplicate", "duplicate", "ok", "unsafe"]
 
