@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
         return pd.DataFrame({"w": [w.astype(np.float64).tobytes()], "b": [b], "slope": [slope], "level": [level]})
 
     # the sample is bounded, so one task fits it
-    fitted = rows.where(drawn).groupBy(F.lit(0)).applyInPandas(learn, "w binary, b double, slope double, level double").first()
+    fitted = rows.where(drawn).groupBy().applyInPandas(learn, "w binary, b double, slope double, level double").first()
     return Model(bits, np.frombuffer(fitted["w"], np.float64) * r, r * r, fitted["b"], fitted["slope"], fitted["level"])
 
 
