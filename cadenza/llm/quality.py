@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
     drawn = F.lit(False)
     for y in (0, 1):
         last = rows.where(F.col("y") == y).select(place.alias("_p")).orderBy("_p").limit(sample // 2).agg(F.max("_p").alias("_p")).first()["_p"]
-        drawn |= (F.col("y") == y) & (place <= F.struct(F.lit(last["nth"]), F.lit(last["row"])))
+        drawn |= (F.col("y") == y) & (place <= F.struct(F.lit(last["nth"]).cast("long"), F.lit(last["row"]).cast("long")))
     ratios = docs.sparkSession.sparkContext.broadcast(r)
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
