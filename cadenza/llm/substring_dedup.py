@@ -15,8 +15,8 @@ document is reported, and its words are removed.
 
 Words are compared by 64-bit hashes. Edge cases: null texts have no words; rows with a null id are
 neither judged nor count as earlier documents; rows that repeat an id are one document to each other,
-so they never remove each other's words, and each is judged by its own text; an empty table gives an empty table; other columns are
-ignored.
+so they never remove each other's words, and each is judged by its own text; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,20 +173,22 @@ def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segment
             pieces = [words[b : b + k] for b, k in zip(begin.tolist(), (n + width - 1).tolist(), strict=True)]
             keys = [np.frombuffer(hashlib.blake2b(p.tobytes(), digest_size=16).digest(), np.int64) for p in pieces]
             keys = np.array(keys, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0).take(pa.array(t)), pa.array(start.astype(np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary()), batch.column(3).take(pa.array(t))], ["minimizer", "k1", "k2", "doc_id", "start", "words", "text_key"])
+            # what decides the shard: equal segments have equal minimizers, and so equal leading bits of them
+            slot = (m.view(np.uint64) >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0).take(pa.array(t)), pa.array(start.astype(np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary()), batch.column(3).take(pa.array(t))], ["slot", "k1", "k2", "doc_id", "start", "words", "text_key"])
 
     given = rows.join(shared, "doc_id").select("doc_id", "text", "starts", F.xxhash64("text").alias("text_key"))
-    filled = stage(given.mapInArrow(fill, "minimizer long, k1 long, k2 long, doc_id long, start int, words binary, text_key long"))
-    distinct = filled.groupBy("minimizer", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+    filled = stage(given.mapInArrow(fill, "slot int, k1 long, k2 long, doc_id long, start int, words binary, text_key long"))
+    distinct = filled.groupBy("slot", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
     n_shards = max(1, -(-filled.count() // shard_segments))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         least = first_documents([np.frombuffer(w, np.uint64) for w in group["words"]], group["doc_id"].to_numpy(np.int64), width)
-        return pd.DataFrame({"minimizer": group["minimizer"], "k1": group["k1"], "k2": group["k2"], "least": [x.tobytes() for x in least]})
+        return pd.DataFrame({"k1": group["k1"], "k2": group["k2"], "least": [x.tobytes() for x in least]})
 
-    shards = distinct.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(n_shards)))
-    found = stage(shards.groupBy("shard").applyInPandas(search, "minimizer long, k1 long, k2 long, least binary"))
-    hits = filled.drop("words").join(found, ["minimizer", "k1", "k2"])
+    shards = distinct.withColumn("shard", F.pmod(F.xxhash64("slot"), F.lit(n_shards)))
+    found = stage(shards.select("shard", "k1", "k2", "doc_id", "words").groupBy("shard").applyInPandas(search, "k1 long, k2 long, least binary"))
+    hits = filled.drop("words", "slot").join(found, ["k1", "k2"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(4096, batches):
