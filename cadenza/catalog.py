@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans import assets, streams
+from cadenza.plans import assets, evidence, streams
 
-QUERIES = {**streams.Q, **assets.Q}
-ORACLE = {**streams.S, **assets.S}
+QUERIES = {**streams.Q, **assets.Q, **evidence.Q}
+ORACLE = {**streams.S, **assets.S, **evidence.S}

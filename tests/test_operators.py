@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.functions import signal
-from cadenza.operators import identity, labels, metrics, models, monitor, selection, temporal
+from cadenza.functions import registry, signal
+from cadenza.operators import evidence, identity, labels, metrics, models, monitor, selection, temporal
 from cadenza.sources import recordings
 
 
@@ -122,3 +122,19 @@ def test_sample_and_digest_do_not_depend_on_order(spark):
     assert a == b and len(a) == 6 and 1 in a
     names = df.select(F.col("k").cast("string").alias("n"))
     assert identity.members_digest(names, "n").first() == identity.members_digest(names.repartition(3), "n").first()
+
+
+def test_registry_features_of_plain_windows(spark):
+    x = [[3.0] * 16, [0.0] * 16, [1.0, -1.0] * 8, np.sin(2 * np.pi * 4 * np.arange(16) / 16).tolist(), None, [1.0] * 15 + [float("nan")]]
+    r = registry.registry_features(spark.createDataFrame(list(enumerate(x)), "k int, x array<double>"), "x", 64.0, (8.0, 20.0)).orderBy("k").collect()
+    assert (r[0]["raw_mean"], r[0]["shape_crest_factor"], r[0]["shape_skewness"], r[0]["spectral_entropy_normalized"]) == (3, 1, None, None)
+    assert r[1]["raw_rms"] == 0 and r[1]["shape_crest_factor"] is None and r[1]["raw_total_ac_power"] == 0
+    # a Hann window spreads a tone at a bin over its neighbours, a sixth of the power each
+    assert r[2]["spectral_relative_power_5000_10000"] > 0.99 and abs(r[3]["spectral_relative_power_1000_5000"] - 5 / 6) < 1e-9
+    assert abs(r[3]["spectral_centroid_nyquist_fraction"] - 0.5) < 1e-9
+    assert r[4]["raw_mean"] is None and r[5]["raw_mean"] is None
+
+
+def test_fills_come_from_train_rows(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 3.0), (0, None), (1, None), (1, float("inf")), (1, float("nan")), (1, 100.0)], "test int, v double")
+    assert sorted(r["v"] for r in evidence.median_filled(df, F.col("test") == 0, ["v"]).collect()) == [1, 2, 2, 2, 2, 3, 100]
