@@ -14,7 +14,7 @@ is weighted to the class shares of all labelled rows. Model and ratios are 2 **
 Edge cases: null texts are empty and have the begin-end feature alone; rows without label, with a null
 label or with labels that contradict each other don't train; with one class only or no labels at all,
 every score is the share of label 1 (0.5 without any); null ids are never labelled; repeated rows count
-as often as they stand there; an empty table gives an empty table; other columns are ignored.
+as often as they stand there, and a repeated id gives the sample its least text once; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,13 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
     """docs: the rows that may be learnt from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_top")).where("_y = _top AND _y IN (0, 1)")
 
-    def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(512, batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f in features_of(batch.column(2), bits)], pa.binary())], ["y", "nth", "features"])
-
-    rows = docs.join(known, docs[id_col] == known["_id"]).select(F.col("_y").cast("int").alias("y"), F.xxhash64(F.lit(11), docs[id_col]).alias("nth"), F.col(text_col))
-    rows = stage(rows.mapInArrow(to_features, "y int, nth long, features binary").withColumn("row", F.monotonically_increasing_id()))
-    n = {x["y"]: x["n"] for x in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    labelled = own.join(known, "_id").select(F.col("_y").cast("int").alias("y"), "_text")
+    # one narrow row for each labelled document, in the order that the sample is drawn in
+    places = stage(own.select("_id").join(known, "_id").groupBy("_id").agg(F.first("_y").cast("int").alias("y"), F.count(F.lit(1)).alias("times")).withColumn("nth", F.xxhash64(F.lit(11), "_id")))
+    n = {x["y"]: x["n"] for x in places.groupBy("y").agg(F.sum("times").alias("n")).collect()}
     size = 1 << bits
     if len(n) < 2:
         share = n.get(1, 0) / sum(n.values()) if n else 0.5
@@ -126,34 +124,34 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, size), np.int64)
-        for batch in batches:
-            for y, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count[y, np.frombuffer(f, np.uint32)] += 1
+        for batch in batches_of(512, batches):
+            for y, f in zip(batch.column(0).to_pylist(), features_of(batch.column(1), bits), strict=True):
+                count[y, f] += 1
         at = np.flatnonzero(count.any(0))
         for k in range(0, len(at), 50_000):
             some = at[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[0, some]), pa.array(count[1, some])], ["bucket", "n0", "n1"])
 
-    table = rows.select("y", "features").mapInArrow(counted, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    table = labelled.mapInArrow(counted, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     counts = np.full((2, size), smooth)
     counts[0, table["bucket"]] += table["n0"]
     counts[1, table["bucket"]] += table["n1"]
     r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
-    place = F.struct("nth", "row")
-    drawn = F.lit(False)
-    for y in (0, 1):
-        last = rows.where(F.col("y") == y).select(place.alias("_p")).orderBy("_p").limit(sample // 2).agg(F.max("_p").alias("_p")).first()["_p"]
-        drawn |= (F.col("y") == y) & (place <= F.struct(F.lit(last["nth"]).cast("long"), F.lit(last["row"]).cast("long")))
+    # at most `sample` ids, which is the bound of this broadcast
+    drawn = [places.where(F.col("y") == y).orderBy("nth", "_id").limit(sample // 2) for y in (0, 1)]
+    drawn = F.broadcast(stage(drawn[0].unionByName(drawn[1]).select("_id", "y", "nth")))
+    rows = own.join(drawn, "_id").groupBy("y", "nth", "_id").agg(F.min("_text").alias("_text"))
     ratios = docs.sparkSession.sparkContext.broadcast(r)
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["y", "nth", "row"])
-        w, b, slope, level = _fitted([np.frombuffer(v, np.uint32) for v in g["features"]], np.where(g["y"] == 1, 1.0, -1.0), ratios.value, n)
+        g = g.sort_values(["y", "nth", "_id"])
+        f = [x for k in range(0, len(g), 512) for x in features_of(pa.array(g["_text"][k : k + 512], pa.string()), bits)]
+        w, b, slope, level = _fitted(f, np.where(g["y"] == 1, 1.0, -1.0), ratios.value, n)
         return pd.DataFrame({"w": [w.astype(np.float64).tobytes()], "b": [b], "slope": [slope], "level": [level]})
 
     # the sample is bounded, so one task fits it
-    fitted = rows.where(drawn).groupBy().applyInPandas(learn, "w binary, b double, slope double, level double").first()
+    fitted = rows.groupBy().applyInPandas(learn, "w binary, b double, slope double, level double").first()
     return Model(bits, np.frombuffer(fitted["w"], np.float64) * r, r * r, fitted["b"], fitted["slope"], fitted["level"])
 
 
