@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_top")).where("_y = _top AND _y IN (0, 1)")
 
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    labelled = own.join(known, "_id").select(F.col("_y").cast("int").alias("y"), "_text")
+    # by a shuffle at every size: the labels have no bound
+    labelled = own.join(known.hint("merge"), "_id").select(F.col("_y").cast("int").alias("y"), "_text")
     # one narrow row for each labelled document, in the order that the sample is drawn in
     places = stage(own.select("_id").join(known, "_id").groupBy("_id").agg(F.first("_y").cast("int").alias("y"), F.count(F.lit(1)).alias("times")).withColumn("nth", F.xxhash64(F.lit(11), "_id")))
     n = {x["y"]: x["n"] for x in places.groupBy("y").agg(F.sum("times").alias("n")).collect()}
