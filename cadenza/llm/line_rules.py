@@ -2,7 +2,7 @@
 
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed. For every host, the number
 of distinct documents that hold a line is counted; copies of one text count as one document, so that
-a much-copied page doesn't condemn its own lines. A line in more than
+a much-copied page doesn't condemn its own lines (`count_copies` counts each of them). A line in more than
 max(limit_docs, limit_share * distinct documents of the host) documents is removed, and a document
 that keeps under least_share of its words or under least_words words after that is rejected.
 
@@ -64,33 +64,69 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def frequent_line_words(docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """host, text_md5, removed_words: for each distinct text of a host, the words in removed lines."""
+def _md5_of(text_col: str) -> Column:
+    return F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+
+
+def _normal(line: Column) -> Column:
+    return F.regexp_replace(F.btrim(lower_ascii(line), F.lit(SPACE_CHARS)), SPACES, " ")
+
+
+def _copies(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """_h, _m, _copies: how many documents of a host hold each text."""
+    return docs.select(F.col(host_col).alias("_h"), _md5_of(text_col).alias("_m")).groupBy("_h", "_m").agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def _lines_of_texts(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """host, line, text_md5, _all_n: the words in a line of a distinct text, over all copies of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(host_col).alias("host"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"), F.explode(F.split(text, "\n")).alias("_line"))
-    normal = F.regexp_replace(F.btrim(lower_ascii(F.col("_line")), F.lit(SPACE_CHARS)), SPACES, " ")
-    lines = lines.select("host", "text_md5", normal.alias("_line")).where("_line != ''")
+    lines = docs.select(F.col(host_col).alias("host"), _md5_of(text_col).alias("text_md5"), F.explode(F.split(text, "\n")).alias("_line"))
+    lines = lines.select("host", "text_md5", _normal(F.col("_line")).alias("_line")).where("_line != ''")
     hashed = lines.select("host", "text_md5", F.xxhash64("_line").alias("line"), F.size(F.split("_line", " ")).alias("_n"))
     # one row for each line of each distinct text; copies of a text give the same rows with larger sums
     # (written once, for it is read twice)
-    per_text = stage(hashed.groupBy("host", "line", "text_md5").agg(F.sum("_n").alias("_all_n")))
-    sizes = docs.select(F.col(host_col).alias("host"), F.md5(F.encode(text, "UTF-8")).alias("_md5")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = per_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > limit_docs)
-    sizes = sizes.withColumnRenamed("host", "_host")
-    above = frequent.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("_docs") > limit_share * F.col("host_docs")).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    hit = per_text.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")), "left_semi")
-    return hit.groupBy("host", "text_md5").agg(F.sum("_all_n").alias("_removed"))
+    return stage(hashed.groupBy("host", "line", "text_md5").agg(F.sum("_n").alias("_all_n")))
+
+
+def _frequent(per_text: DataFrame, docs: DataFrame, limit_docs: int, limit_share: float, text_col: str, host_col: str, count_copies: bool) -> DataFrame:
+    if count_copies:
+        copies = _copies(docs, text_col, host_col)
+        per_text = per_text.join(copies, F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_md5") == F.col("_m")))
+        sizes, each = copies.groupBy(F.col("_h").alias("_host")).agg(F.sum("_copies").alias("host_docs")), F.sum("_copies")
+    else:
+        texts = docs.select(F.col(host_col).alias("_host"), _md5_of(text_col).alias("_md5")).distinct()
+        sizes, each = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs")), F.count(F.lit(1))
+    frequent = per_text.groupBy("host", "line").agg(each.alias("n_docs")).where(F.col("n_docs") > limit_docs)
+    above = frequent.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > limit_share * F.col("host_docs"))
+    return above.select("host", "line", "n_docs")
+
+
+def _hits(docs: DataFrame, limit_docs: int, limit_share: float, text_col: str, host_col: str, count_copies: bool) -> DataFrame:
+    """The rows of _lines_of_texts whose line is frequent."""
+    per_text = _lines_of_texts(docs, text_col, host_col)
+    above = _frequent(per_text, docs, limit_docs, limit_share, text_col, host_col, count_copies).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    return per_text.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")), "left_semi")
+
+
+def frequent_lines(docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, text_col: str = "text", host_col: str = "source", count_copies: bool = False) -> DataFrame:
+    """host, line (hash of the normalised line), n_docs: the lines to remove."""
+    return _frequent(_lines_of_texts(docs, text_col, host_col), docs, limit_docs, limit_share, text_col, host_col, count_copies)
+
+
+def frequent_line_words(docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, text_col: str = "text", host_col: str = "source", count_copies: bool = False) -> DataFrame:
+    """host, text_md5, _removed: for each distinct text of a host, the words in removed lines, over all
+    copies of the text."""
+    return _hits(docs, limit_docs, limit_share, text_col, host_col, count_copies).groupBy("host", "text_md5").agg(F.sum("_all_n").alias("_removed"))
 
 
 def line_frequency_rules(
     docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, least_share: float = 0.5, least_words: int = 50,
-    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", count_copies: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, the base counts, removed_words, base_failed, kept."""
     base = base_counts(docs, id_col, text_col, host_col)
-    copies = docs.select(F.col(host_col).alias("host"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("text_md5")).groupBy("host", "text_md5").agg(F.count(F.lit(1)).alias("_copies"))
-    removed = frequent_line_words(docs, limit_docs, limit_share, text_col, host_col)
-    removed = removed.join(copies.select(F.col("host").alias("_h"), F.col("text_md5").alias("_m"), "_copies"), F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_md5") == F.col("_m")))
+    removed = frequent_line_words(docs, limit_docs, limit_share, text_col, host_col, count_copies)
+    removed = removed.join(_copies(docs, text_col, host_col), F.col("host").eqNullSafe(F.col("_h")) & (F.col("text_md5") == F.col("_m")))
     removed = removed.select(F.col("host").alias("_host"), F.col("text_md5").alias("_md5"), (F.col("_removed") / F.col("_copies")).cast("long").alias("_removed"))
     joined = base.join(removed, F.col("host").eqNullSafe(F.col("_host")) & (F.col("text_md5") == F.col("_md5")), "left").withColumn("removed_words", F.coalesce("_removed", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
