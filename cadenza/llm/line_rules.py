@@ -119,6 +119,16 @@ def frequent_line_words(docs: DataFrame, limit_docs: int = 32, limit_share: floa
     return _hits(docs, limit_docs, limit_share, text_col, host_col, count_copies).groupBy("host", "text_md5").agg(F.sum("_all_n").alias("_removed"))
 
 
+def without_frequent_lines(docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, text_col: str = "text", host_col: str = "source", count_copies: bool = False) -> DataFrame:
+    """docs with each text rebuilt from its lines in order, without the frequent ones; a text that has
+    none is left as it is, and no row is dropped."""
+    gone = _hits(docs, limit_docs, limit_share, text_col, host_col, count_copies).groupBy(F.col("host").alias("_cut_host"), F.col("text_md5").alias("_cut_md5")).agg(F.collect_list("line").alias("_cut_lines"))
+    joined = docs.join(gone, F.col(host_col).eqNullSafe(F.col("_cut_host")) & (_md5_of(text_col) == F.col("_cut_md5")), "left")
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_cut_lines", F.xxhash64(_normal(x))))
+    text = F.when(F.col("_cut_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
 def line_frequency_rules(
     docs: DataFrame, limit_docs: int = 32, limit_share: float = 0.05, least_share: float = 0.5, least_words: int = 50,
     id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", count_copies: bool = False,

@@ -12,3 +12,12 @@ def test_copies_count_as_documents_if_asked(spark):
     assert all(got[k] == (63, False) for k in range(30)) and all(got[100 + k] == (0, True) for k in range(20))
     assert set(removed().values()) == {(0, True)}
     assert {r["n_docs"] for r in line_rules.frequent_lines(df, 10, 0.1, count_copies=True).collect()} == {30}
+
+
+def test_texts_without_frequent_lines(spark):
+    data = [(k, f"first w{k}\n\nBuy  NOW\nlast w{k}", "h", k) for k in range(12)] + [(20, "buy now", "h", 1), (21, "Buy now\nhere", None, 2), (22, None, "h", 3), (22, "a\n\nb ", "h", 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, line int").repartition(3)
+    out = line_rules.without_frequent_lines(df, limit_docs=10, limit_share=0.1)
+    want = [(k, f"first w{k}\n\nlast w{k}", "h", k) for k in range(12)] + [(20, "", "h", 1), (21, "Buy now\nhere", None, 2), (22, None, "h", 3), (22, "a\n\nb ", "h", 4)]
+    assert out.columns == df.columns and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert line_rules.without_frequent_lines(df.limit(0)).count() == 0
