@@ -5,7 +5,11 @@ equal windows have equal minimizers, so the shard of a minimizer sees all of a w
 and neighbouring windows mostly share one and travel together as a segment. A first grouping keeps
 the minimizers that two documents have; only segments under those are indexed. Equal segments are
 merged before they meet, with the least document of each, so a passage that a third of all documents
-hold is one segment of its shard.
+hold is one segment of its shard. The windows that straddle its edge are not equal, though, and share
+the minimizer; minimizers are therefore counted by 2 ** 16 ranges of their hash. Neighbouring ranges
+make up a shard as long as they hold `shard_segments` segments together; a range that holds more by
+itself is not indexed, but its windows are compared one by one, by 128-bit keys, in groupings with
+partial minima. No task holds more than `shard_segments` segments.
 
 A shard's segments are indexed by a compressed FM-index: the Burrows-Wheeler transform over word
 numbers in a wavelet matrix of packed bits with block counts. All windows of the segments are streamed
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import batches_of, hashed_words, mixed, stage, windows
@@ -147,6 +151,51 @@ def _segments(words: np.ndarray, at: np.ndarray, width: int, gram: int, longest:
     return m[begin].view(np.int64), t[begin], offset[begin], np.diff(np.append(begin, len(place)))
 
 
+#: Hash ranges of minimizers, which are counted to deal them to shards.
+_RANGES = 1 << 16
+
+
+def _range_of(slot: str) -> Column:
+    return F.pmod(F.xxhash64(slot), F.lit(_RANGES)).cast("int")
+
+
+def _shards(ranges: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The shard of every range: neighbours share one up to `most` segments; -1 for a range with more."""
+    size = np.zeros(_RANGES, np.int64)
+    size[ranges] = counts
+    out, shard, held = np.full(_RANGES, -1, np.int32), 0, 0
+    for k, n in enumerate(size.tolist()):
+        if n <= most:
+            if held + n > most:
+                shard, held = shard + 1, 0
+            out[k], held = shard, held + n
+    return out
+
+
+def _first_documents_by_window(segments: DataFrame, width: int) -> DataFrame:
+    """What first_documents finds, for segments of which any number share a minimizer: k1, k2, least."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(2048, batches):
+            texts = batch.column(3).to_pylist()
+            n = np.array([len(w) // 8 - width + 1 for w in texts])
+            keys = [hashlib.blake2b(w[8 * i : 8 * (i + width)], digest_size=16).digest() for w, k in zip(texts, n.tolist(), strict=True) for i in range(k)]
+            w = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *(batch.column(k).take(row) for k in range(3)), pa.array(place.astype(np.int32))], ["w1", "w2", "k1", "k2", "doc_id", "place"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], ["k1", "k2", "least"])
+
+    # written once, for it is read twice
+    each = stage(segments.select("k1", "k2", "doc_id", "words").mapInArrow(cut, "w1 long, w2 long, k1 long, k2 long, doc_id long, place int"))
+    firsts = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
+    lists = each.drop("doc_id").join(firsts, ["w1", "w2"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("_l"))
+    return lists.select("k1", "k2", F.col("_l.least").alias("least")).mapInArrow(joined, "k1 long, k2 long, least binary")
+
+
 def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segments: int = 80_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), spans: the windows to remove, as (first word, windows in
     a row), of the documents that have any."""
@@ -180,14 +229,20 @@ def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segment
     given = rows.join(shared, "doc_id").select("doc_id", "text", "starts", F.xxhash64("text").alias("text_key"))
     filled = stage(given.mapInArrow(fill, "slot int, k1 long, k2 long, doc_id long, start int, words binary, text_key long"))
     distinct = filled.groupBy("slot", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    n_shards = max(1, -(-filled.count() // shard_segments))
+    ranges = filled.groupBy(_range_of("slot").alias("range")).count().toPandas()
+    shard_of = _shards(ranges["range"].to_numpy(np.int64), ranges["count"].to_numpy(np.int64), shard_segments)
+    # _RANGES rows at most
+    table = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"range": np.arange(_RANGES, dtype=np.int32), "shard": shard_of}), "range int, shard int"))
+    dealt = distinct.join(table, _range_of("slot") == F.col("range")).select("shard", "k1", "k2", "doc_id", "words")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         least = first_documents([np.frombuffer(w, np.uint64) for w in group["words"]], group["doc_id"].to_numpy(np.int64), width)
         return pd.DataFrame({"k1": group["k1"], "k2": group["k2"], "least": [x.tobytes() for x in least]})
 
-    shards = distinct.withColumn("shard", F.pmod(F.xxhash64("slot"), F.lit(n_shards)))
-    found = stage(shards.select("shard", "k1", "k2", "doc_id", "words").groupBy("shard").applyInPandas(search, "k1 long, k2 long, least binary"))
+    found = dealt.where("shard >= 0").groupBy("shard").applyInPandas(search, "k1 long, k2 long, least binary")
+    if (shard_of < 0).any():
+        found = found.unionByName(_first_documents_by_window(dealt.where("shard < 0"), width))
+    found = stage(found)
     hits = filled.drop("words", "slot").join(found, ["k1", "k2"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +264,10 @@ def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segment
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, width: int = 13, gram: int = 4, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 13, gram: int = 4, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", shard_segments: int = 80_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by
     single spaces, and that text as kept_text if asked for."""
-    spans = removed_words(docs, width, gram, id_col=id_col, text_col=text_col)
+    spans = removed_words(docs, width, gram, shard_segments, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = spans.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
     joined = rows.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left").select("doc_id", "text", F.col("spans.first").alias("_first"), F.col("spans.n").alias("_n"))

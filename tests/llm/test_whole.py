@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
-from cadenza.llm import line_rules
+import numpy as np
+
+from cadenza.llm import line_rules, substring_dedup
 
 
 def test_copies_count_as_documents_if_asked(spark):
@@ -21,3 +23,34 @@ def test_texts_without_frequent_lines(spark):
     want = [(k, f"first w{k}\n\nlast w{k}", "h", k) for k in range(12)] + [(20, "", "h", 1), (21, "Buy now\nhere", None, 2), (22, None, "h", 3), (22, "a\n\nb ", "h", 4)]
     assert out.columns == df.columns and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
     assert line_rules.without_frequent_lines(df.limit(0)).count() == 0
+
+
+def test_no_shard_holds_a_hot_minimizer(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefg"), 5))
+    line = [word() for _ in range(14)]
+    texts = [[*(word() for _ in range(9)), *line, *(word() for _ in range(9))] for _ in range(60)]
+    texts += [[*t[:20], word(), *t[20:]] for t in texts[:10]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen: dict = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 12):
+            seen.setdefault(tuple(t[i : i + 13]), d)
+    index = substring_dedup.first_documents
+
+    def bounded(sequences, documents, width):
+        if len(sequences) > 20:
+            raise ValueError(f"{len(sequences)} segments in a shard")
+        return index(sequences, documents, width)
+
+    monkeypatch.setattr(substring_dedup, "first_documents", bounded)
+    got = {r["doc_id"]: r["kept_text"] for r in substring_dedup.without_repeats(df, shard_segments=20).collect()}
+    for d, t in enumerate(texts):
+        gone = {i + k for i in range(len(t) - 12) if seen[tuple(t[i : i + 13])] < d for k in range(13)}
+        assert got[d] == " ".join(x for i, x in enumerate(t) if i not in gone)
+
+
+def test_ranges_are_dealt_within_the_bound():
+    size = np.random.default_rng(1).integers(0, 130, substring_dedup._RANGES)
+    shard = substring_dedup._shards(np.arange(len(size)), size, 100)
+    assert ((shard < 0) == (size > 100)).all() and np.bincount(shard[shard >= 0], size[shard >= 0]).max() <= 100
