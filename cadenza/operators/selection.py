@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,35 +71,175 @@ def two_sample_drift(values: DataFrame, side: Column) -> DataFrame:
     return cdf.groupBy("feature").agg(mean_a.alias("mean_a"), mean_b.alias("mean_b"), F.try_divide(mean_a - mean_b, spread).alias("smd"), F.max("_gap").alias("ks"), F.sum(F.col("_gap") * F.col("_width")).alias("wasserstein"))
 
 
-def mutual_information(values: DataFrame, sample: int = 2000, k: int = 5) -> DataFrame:
-    """Nearest-neighbour estimate of the information between value and y, by feature, on the first
-    `sample` rows in hash order (the documented bound of an estimator that is quadratic)."""
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.xxhash64("value", "y"), "value", "y"))
-    some = values.where("value IS NOT NULL AND y IS NOT NULL").withColumn("_r", rank).where(F.col("_r") <= sample)
-
-    def digamma(x: np.ndarray) -> np.ndarray:
-        x = np.asarray(x, float)
-        out = np.zeros_like(x)
-        while (x < 6).any():
-            low = x < 6
-            out[low] -= 1 / x[low]
-            x = np.where(low, x + 1, x)
-        return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
-
-    def estimate(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x, y = (g[c].to_numpy(float) for c in ("value", "y"))
-        if len(x) <= k:
-            return pd.DataFrame({"feature": [key[0]], "mi": [0.0]})
-        x, y = x / (x.std() or 1), y / (y.std() or 1)
-        dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
-        d = np.maximum(dx, dy)
-        np.fill_diagonal(d, np.inf)
-        r = np.partition(d, k - 1, 1)[:, k - 1]
-        nx, ny = (dx < r[:, None]).sum(1), (dy < r[:, None]).sum(1)
-        mi = digamma(np.array([len(x)])) + digamma(np.array([k])) - digamma(np.maximum(nx, 1)).mean() - digamma(np.maximum(ny, 1)).mean()
-        return pd.DataFrame({"feature": [key[0]], "mi": [max(0.0, float(mi[0]))]})
-
-    return some.groupBy("feature").applyInPandas(estimate, "feature string, mi double")
+def _digamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    while (x < 6).any():
+        low = x < 6
+        out[low] -= 1 / x[low]
+        x = np.where(low, x + 1, x)
+    return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, w: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, the distances (largest coordinate) of the k + 1 nearest points and their weights;
+    the point that is the place itself counts one less."""
+    n, step = min(k + 1, len(x)), max(1, (1 << 20) // len(x))
+    dist, count = np.zeros((len(at_x), n)), np.zeros((len(at_x), n), np.int64)
+    for a in range(0, len(at_x), step):
+        d = np.maximum(np.abs(at_x[a : a + step, None] - x), np.abs(at_y[a : a + step, None] - y))
+        near = np.argpartition(d, n - 1, 1)[:, :n]
+        d = np.take_along_axis(d, near, 1)
+        order = np.argsort(d, 1)
+        dist[a : a + step], count[a : a + step] = np.take_along_axis(d, order, 1), w[np.take_along_axis(near, order, 1)]
+    return dist, count - (dist == 0)
+
+
+def _last(good, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The last double from low on that is good: all are up to a place, low is and high isn't."""
+    flip = lambda b: np.where(b < 0, np.int64(-(2**63)) - b, b)
+    low, high = flip((low + 0.0).view(np.int64)), flip((high + 0.0).view(np.int64))
+    for _ in range(64):
+        middle = (low >> 1) + (high >> 1) + (low & high & 1)
+        ok = good(flip(middle).view(np.float64))
+        low, high = np.where(ok, middle, low), np.where(ok, high, middle)
+    return flip(low).view(np.float64)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the folder of spark.checkpoint.dir, which driver and executors share, read again;
+    where it is unset (one machine) in a temporary folder."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/selection-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFrame:
+    """Nearest-neighbour estimate of the information between value and y, by feature, over all rows.
+
+    Each feature's plane is cut into strips by value and those into tiles of about `tile` points by y.
+    A point's k-th distance in its own tile bounds the search; it visits the other tiles that its square
+    meets, and the least of all their distances are its neighbours. How many values are closer than
+    that on each axis is a difference of two ranks, taken from sorted blocks and the sums before them.
+    Equal pairs are one point with a weight. Nulls and NaN are left out; a feature of at most k rows
+    has 0."""
+    spark = values.sparkSession
+    rows = values.where("value IS NOT NULL AND y IS NOT NULL AND NOT isnan(value) AND NOT isnan(y)").select("feature", F.col("value").cast("double").alias("value"), F.col("y").cast("double").alias("y"))
+    stats = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("sx"), F.stddev_pop("y").alias("sy")).collect()  # a row a feature
+    table = spark.createDataFrame([(f, r["feature"], r["n"], r["sx"] or 1.0, r["sy"] or 1.0) for f, r in enumerate(stats)], f"f int, feature {dict(rows.dtypes)['feature']}, n long, sx double, sy double")
+    t = table.withColumnRenamed("feature", "_feature")
+    scaled = rows.join(F.broadcast(t.where(F.col("n") > k)), F.col("feature").eqNullSafe(F.col("_feature"))).select("f", (F.col("value") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
+    points = _written(scaled.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+
+    strips = {f: max(1, round((r["n"] / tile) ** 0.5)) for f, r in enumerate(stats)}
+    most = max([2, *strips.values()])
+    share = [float(q) for q in np.arange(1, most) / most]
+
+    def chosen(f: int, cuts: list[float]) -> np.ndarray:
+        return np.array(cuts)[np.round(np.arange(1, strips[f]) * most / strips[f]).astype(int) - 1]
+
+    by = {r["f"]: (chosen(r["f"], r["x"]), chosen(r["f"], r["y"])) for r in points.groupBy("f").agg(F.percentile_approx("x", share).alias("x"), F.percentile_approx("y", share).alias("y")).collect()}
+    place = lambda cuts, v: np.searchsorted(cuts, v, side="right")
+
+    def with_strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for f, part in g.groupby("f"):
+                yield part.assign(strip=place(by[f][0], part["x"].to_numpy()).astype(np.int32))
+
+    stripped = points.mapInPandas(with_strip, "f int, x double, y double, w long, strip int")
+    inner = {(r["f"], r["strip"]): chosen(r["f"], r["y"]) for r in stripped.groupBy("f", "strip").agg(F.percentile_approx("y", share).alias("y")).collect()}
+
+    def with_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for (f, s), part in g.groupby(["f", "strip"]):
+                yield part.assign(tile=place(inner[f, s], part["y"].to_numpy()).astype(np.int32))
+
+    tiles = _written(stripped.mapInPandas(with_tile, "f int, x double, y double, w long, strip int, tile int"))
+    found = "f int, strip int, tile int, x double, y double, w long, d array<double>, c array<long>"
+
+    def own(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        """A row a point with its neighbours here (strip -1), and one for each tile it visits."""
+        f, strip, home = key
+        x, y, w = (g[c].to_numpy() for c in ("x", "y", "w"))
+        d, c = _nearest(x, y, w, x, y, k)
+        enough = np.cumsum(c, 1) >= k
+        r = np.where(enough.any(1), d[np.arange(len(d)), enough.argmax(1)], np.inf)
+        out = [pd.DataFrame({"f": f, "strip": -1, "tile": -1, "x": x, "y": y, "w": w, "d": list(d), "c": list(c)})]
+        r = r * (1 + 1e-9) + 1e-12 * (np.abs(x) + np.abs(y))
+        low, high = place(by[f][0], x - r), place(by[f][0], x + r)
+        for s in range(int(low.min()), int(high.max()) + 1):
+            if (f, s) not in inner:
+                continue
+            p = np.flatnonzero((low <= s) & (s <= high))
+            a, b = place(inner[f, s], y[p] - r[p]), place(inner[f, s], y[p] + r[p])
+            p, n, a = np.repeat(p, b - a + 1), b - a + 1, np.repeat(a, b - a + 1)
+            to = a + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+            p, to = (p[to != home], to[to != home]) if s == strip else (p, to)
+            out.append(pd.DataFrame({"f": f, "strip": s, "tile": to, "x": x[p], "y": y[p], "w": w[p], "d": [[]] * len(p), "c": [[]] * len(p)}))
+        return pd.concat(out)
+
+    first = _written(tiles.groupBy("f", "strip", "tile").applyInPandas(own, found))
+
+    def visit(here: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        if not len(here) or not len(guests):
+            return guests[:0]
+        d, c = _nearest(*(here[c].to_numpy() for c in ("x", "y", "w")), guests["x"].to_numpy(), guests["y"].to_numpy(), k)
+        return guests.assign(d=list(d), c=list(c))
+
+    keys = ["f", "strip", "tile"]
+    visited = tiles.groupBy(*keys).cogroup(first.where("strip >= 0").groupBy(*keys)).applyInPandas(visit, found)
+    near = first.where("strip < 0").unionByName(visited).groupBy("f", "x", "y").agg(F.max("w").alias("w"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "c")))).alias("near"))
+    # the first distance at which the weights reach k
+    radius = F.aggregate("near", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("r")), lambda a, e: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + e["c"]).alias("n"), e["d"].alias("r"))), lambda a: a["r"])
+    marks = "f int, axis int, block int, v double, w long, sign int, x double, y double"
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for f, part in g.groupby("f"):
+                x, y, w, r = (part[c].to_numpy() for c in ("x", "y", "w", "r"))
+                for axis, z in enumerate((x, y)):
+                    up = _last(lambda c: c - z < r, z, np.nextafter(z + 2 * r, np.inf))  # noqa: B023
+                    down = _last(lambda c: z - c >= r, np.nextafter(z - 2 * r, -np.inf), z)  # noqa: B023
+                    for sign, v in ((1, up), (-1, down)):
+                        # nothing is closer than 0
+                        yield pd.DataFrame({"f": f, "axis": axis, "block": place(by[f][axis], v), "v": v, "w": w, "sign": np.where(r > 0, sign, 0), "x": x, "y": y})
+
+    def with_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for (f, axis), part in g.groupby(["f", "axis"]):
+                yield part.assign(block=place(by[f][axis], part["v"].to_numpy()).astype(np.int32))
+
+    line = points.select("f", F.lit(0).alias("axis"), F.col("x").alias("v"), "w").unionByName(points.select("f", F.lit(1).alias("axis"), F.col("y").alias("v"), "w"))
+    line = _written(line.groupBy("f", "axis", "v").agg(F.sum("w").alias("w")).mapInPandas(with_block, "f int, axis int, v double, w long, block int"))
+    before: dict[tuple, int] = {}
+    run: dict[tuple, int] = {}
+    for r in sorted(line.groupBy("f", "axis", "block").agg(F.sum("w").alias("w")).collect()):
+        before[r["f"], r["axis"], r["block"]] = run.get((r["f"], r["axis"]), 0)
+        run[r["f"], r["axis"]] = run.get((r["f"], r["axis"]), 0) + r["w"]
+    ends = {(f, axis): sorted((b, n) for (g, a, b), n in before.items() if (g, a) == (f, axis)) for f, axis in run}
+
+    def ranked(key: tuple, here: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        f, axis, block = key
+        # blocks without values have those before the next block that has any
+        start = next((n for b, n in ends[f, axis] if b >= block), run[f, axis])
+        here = here.sort_values("v")
+        sums = np.append(0, np.cumsum(here["w"].to_numpy()))
+        n = queries["sign"].to_numpy() * (start + sums[np.searchsorted(here["v"].to_numpy(), queries["v"].to_numpy(), side="right")])
+        return pd.DataFrame({"f": queries["f"], "x": queries["x"], "y": queries["y"], "w": queries["w"], "nx": n * (axis == 0), "ny": n * (axis == 1)})
+
+    queries = near.select("f", "x", "y", "w", radius.alias("r")).mapInPandas(asked, marks)
+    blocks = ["f", "axis", "block"]
+    ranks = line.groupBy(*blocks).cogroup(queries.groupBy(*blocks)).applyInPandas(ranked, "f int, x double, y double, w long, nx long, ny long")
+    digamma = F.pandas_udf(lambda v: pd.Series(_digamma(np.maximum(v.to_numpy(), 1))), "double")
+    each = ranks.groupBy("f", "x", "y").agg(F.max("w").alias("w"), F.sum("nx").alias("nx"), F.sum("ny").alias("ny")).select("f", "w", digamma("nx").alias("dx"), digamma("ny").alias("dy"))
+    sums = each.groupBy("f").agg(F.sum(F.col("w") * (F.col("dx") + F.col("dy"))).alias("s"), F.sum("w").alias("m"))
+    mi = digamma("n") + float(_digamma(np.array([k]))[0]) - F.col("s") / F.col("m")
+    return table.join(sums, "f", "left").select("feature", F.when(F.col("n") > k, F.greatest(F.lit(0.0), mi)).otherwise(0.0).alias("mi"))
 
 
 def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
