@@ -24,20 +24,23 @@ def _regular(text: str) -> bool:
 
 class Encoder:
     """Ids of texts. `word_level`: white space separates and is dropped, as in word_bpe files;
-    otherwise it is part of pieces, as in byte-level files. The strings of special tokens in a text
-    are ordinary text."""
+    otherwise it is part of pieces, as in byte-level files. The strings of added tokens in a text are
+    these tokens, as the library has it; a text that holds one is encoded whole."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.word_level = bool(self.tokenizer.model.end_of_word_suffix)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         #: what stands between pieces that are encoded together, and its one id
         self.between = " 0 " if self.word_level else "\n"
         self.between_id = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.mark = self.between.strip(" ")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # those found in normalised text may be written in other cases
+        case = re.IGNORECASE if any(t.normalized for t in added) else 0
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), case) if added else None
         vocabulary = self.tokenizer.get_vocab()
         #: word level: whether an id ends a word; byte level: how many bytes it stands for
         self.trait = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -50,6 +53,8 @@ class Encoder:
         """Whether none of the pieces has white space but a leading space, and the pieces."""
         if not text:
             return True, []
+        if self.added and self.added.search(text):
+            return False, [text]
         if self.word_level:
             plain = text.replace("\n", " ")
             return len(plain.split()) == len(words := [w for w in plain.split(" ") if w]), words

@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
+
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from cadenza.llm import line_rules, substring_dedup
+from cadenza.llm import line_rules, packing, repair, substring_dedup
 
 
 def test_copies_count_as_documents_if_asked(spark):
@@ -54,3 +58,15 @@ def test_ranges_are_dealt_within_the_bound():
     size = np.random.default_rng(1).integers(0, 130, substring_dedup._RANGES)
     shard = substring_dedup._shards(np.arange(len(size)), size, 100)
     assert ((shard < 0) == (size > 100)).all() and np.bincount(shard[shard >= 0], size[shard >= 0]).max() <= 100
+
+
+def test_added_tokens_are_encoded_as_loaded(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|>a b<|endoftext|>", "x<|ENDOFTEXT|> y  <|endoftext|>\n\nz", "<|endoftext|", "plain a b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    ids_of = lambda name: [np.array([*Tokenizer.from_file(public_tokenizers.path(name)).encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    want = ids_of("word_bpe_49k.json")
+    starts = np.cumsum([0, *map(len, want)])[:-1].tolist()
+    got = repair.read_shards(repair.write_shards(df, public_tokenizers.path("word_bpe_49k.json"))).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(k, a, len(x), zlib.crc32(x.tobytes())) for k, (a, x) in enumerate(zip(starts, want, strict=True))]
+    got = packing.packed_documents(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == [(k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids_of("byte_bpe_50k.json"))]
