@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +18,34 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset
-    (tests, one machine) a new temporary folder, which is then set for the session."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a
+    session on one machine gets a new temporary folder, which is then set for the session; on a
+    cluster that is an error, for executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again. The lineage ends there: a lost
-    executor costs a re-read, never the work before. The files share the folder's life time."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs a re-read, never the work before. So the shuffle files of the work before are
+    removed once it is written. The files share the folder's life time."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def trimmed(text: Column) -> Column:
@@ -104,12 +118,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all words of a text column in order, and each row's first place in them
-    (rows + 1 entries)."""
-    data, at = text_bytes(column)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where every word of the texts begins and ends in their bytes."""
     in_word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
@@ -117,12 +127,38 @@ def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.
     first[1:] &= ~in_word[:-1] | edge[1:-1]
     last = in_word.copy()
     last[:-1] &= ~in_word[1:] | edge[1:-1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     table = _BYTE[_LOWERED] if lower else _BYTE
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * _power("up", _STEP, len(data)), out=run[1:])
     value = (run[end] - run[begin]) * _power("down", _STEP_INVERSE, len(data))[begin]
-    return mixed(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, at)
+    return mixed(value + (end - begin).astype(np.uint64))
+
+
+def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of a text column in order, and each row's first place in them
+    (rows + 1 entries)."""
+    data, at = text_bytes(column)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    begin, end = word_edges(data, at)
+    return _word_hashes(data, begin, end, lower), np.searchsorted(begin, at)
+
+
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[begin:end] for every pair of places."""
+    run = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", _STEP, len(values)), out=run[1:])
+    value = (run[end] - run[begin]) * _power("down", _STEP_INVERSE, len(values) + 1)[begin]
+    return mixed(value + (end - begin).astype(np.uint64))
+
+
+def stretches(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every stretch of n places, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -142,3 +178,14 @@ def batches_of(rows: int, batches):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def slices_of(column: int, batches, most: int = 4 << 20):
+    """Arrow batches cut to slices whose texts in `column` have about so many bytes, one row at least."""
+    for batch in batches:
+        size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop

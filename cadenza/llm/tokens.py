@@ -2,7 +2,15 @@
 
 Splitting into pre-tokens looks at neighbours only across white space, so a text is cut where that
 can't matter, each distinct piece is encoded once per Python worker, and a text's ids are the pieces'
-ids in order. The memory of pieces is bounded: at `most` pieces it starts anew.
+ids in order. Cutting, finding the distinct pieces of a slice and putting the ids together work on
+whole Arrow columns; only pieces that are new to the worker reach the library.
+
+Where texts are cut. Byte-level files keep white space, and a run of it belongs to the word after it by
+its last character alone, if that is a space; so a cut stands before a run, before its last character,
+and after that where it is no space. Files with word ends drop white space, so every run of it parts
+two pieces. Only the six ASCII white space characters count for this; a text with any other character
+that some notion takes for white space is cut before single spaces between visible ASCII characters
+alone. A text that holds the string of an added token is one piece.
 """
 
 from __future__ import annotations
@@ -10,24 +18,26 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space with other characters than white space on both sides; byte-level patterns split there.
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+from cadenza.llm.common import text_bytes
 
-
-def _regular(text: str) -> bool:
-    """Whether all white space in the text is single spaces and line breaks between words."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x00" in text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return len(text.split()) == 1 + text.count(" ") + text.count("\n")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+#: Characters beyond those six that Unicode or Python count as white space.
+_OTHER_SPACES = "[\x1c-\x1f\u0085  ᠎ -​    　﻿]"
 
 
 class Encoder:
     """Ids of texts. `word_level`: white space separates and is dropped, as in word_bpe files;
     otherwise it is part of pieces, as in byte-level files. The strings of added tokens in a text are
-    these tokens, as the library has it; a text that holds one is encoded whole."""
+    these tokens, as the library has it. Pieces are remembered in two generations of at most `most`:
+    a full one becomes the old one, from which pieces that are met again come back."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,86 +47,181 @@ class Encoder:
         self.between = " 0 " if self.word_level else "\n"
         self.between_id = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.mark = self.between.strip(" ")
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         # those found in normalised text may be written in other cases
-        case = re.IGNORECASE if any(t.normalized for t in added) else 0
-        self.added = re.compile("|".join(re.escape(t.content) for t in added), case) if added else None
+        self.any_case = any(t.normalized for t in added)
+        self.added_strings = [t.content for t in added]
+        self.added = re.compile("|".join(map(re.escape, self.added_strings)) or "(?!)", re.IGNORECASE if self.any_case else 0)
         vocabulary = self.tokenizer.get_vocab()
-        #: word level: whether an id ends a word; byte level: how many bytes it stands for
-        self.trait = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        #: whether an id ends a word, and how many bytes it stands for
+        self.ends_word, self.n_bytes = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
-            self.trait[k] = token.endswith(self.tokenizer.model.end_of_word_suffix) if self.word_level else len(token)
+            self.ends_word[k] = bool(suffix) and token.endswith(suffix)
+            self.n_bytes[k] = len(token) - len(suffix) * int(self.ends_word[k])
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    # ---- cutting ----
 
-    def pieces(self, text: str) -> tuple[bool, list[str]]:
-        """Whether none of the pieces has white space but a leading space, and the pieces."""
-        if not text:
-            return True, []
-        if self.added and self.added.search(text):
-            return False, [text]
+    def _whole(self, column: pa.Array) -> np.ndarray:
+        """Which texts hold the string of an added token."""
+        out = np.zeros(len(column), bool)
+        for s in self.added_strings:
+            out |= pc.match_substring(column, s, ignore_case=self.any_case).to_numpy(zero_copy_only=False)
+        return out
+
+    def pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in order, and each text's first place in them (rows + 1 entries).
+        The column has no nulls."""
+        data, at = text_bytes(column)
+        n = len(data)
+        if not n:
+            return pa.array([], pa.large_string()), np.zeros(len(at), np.int64)
+        whole = self._whole(column)
+        other = pc.match_substring_regex(column, _OTHER_SPACES).to_numpy(zero_copy_only=False) & ~whole
+        space = _SPACE[data]
+        cut = np.zeros(n + 1, bool)
         if self.word_level:
-            plain = text.replace("\n", " ")
-            return len(plain.split()) == len(words := [w for w in plain.split(" ") if w]), words
-        if not _regular(text):
-            return False, _SAFE.split(text)
-        return True, text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+            if whole.any():
+                space &= ~np.repeat(whole, np.diff(at))
+            word = ~space
+            cut[1:-1] = space[:-1] & word[1:]
+            cut[at] = True
+            begin = np.flatnonzero(cut[:-1] & word)
+            # a text that starts with white space has its first word after it
+            kept = np.cumsum(word) - word
+            offsets = np.append(kept[begin], int(word.sum()))
+            data, row_at = data[word], np.searchsorted(begin, at)
+        else:
+            word = ~space
+            last = np.zeros(n, bool)  # the last character of a run that a word follows
+            last[:-1] = space[:-1] & word[1:]
+            last[at[1:][np.diff(at) > 0] - 1] = False
+            first = space.copy()
+            first[1:] &= word[:-1]
+            cut[:-1] = first | last
+            cut[1:] |= last & (data != 0x20)
+            odd = other | whole
+            if odd.any():
+                inside = np.repeat(odd, np.diff(at))
+                single = np.zeros(n, bool)
+                visible = _VISIBLE[data]
+                single[1:-1] = (data[1:-1] == 0x20) & visible[:-2] & visible[2:]
+                single[at[:-1][np.diff(at) > 0]] = False
+                single[at[1:][np.diff(at) > 0] - 1] = False
+                cut[:-1] = np.where(inside, single & np.repeat(other, np.diff(at)), cut[:-1])
+            cut[at] = True
+            offsets = np.flatnonzero(cut)
+            row_at = np.searchsorted(offsets, at)
+        data = np.ascontiguousarray(data)
+        return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]), row_at
+
+    # ---- pieces that are new ----
 
     def _alone(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else [], strict=True):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+        for k in range(0, len(pieces), 1000):
+            some = pieces[k : k + 1000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def _store(self, pieces: list[str], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        data, width = ids.tobytes(), self.dtype.itemsize
+        self.known.update(zip(pieces, map(data.__getitem__, map(slice, (begin * width).tolist(), (end * width).tolist())), strict=True))
+
+    def _joined(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _together(self, pieces: list[str]) -> None:
-        """Many short pieces in one call, with a separator of one known id between them."""
+        """Words in one call, with a separator of one known id between them."""
         for k in range(0, len(pieces), 500):
             some = pieces[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = self._joined(self.between.join(some))
             cuts = np.flatnonzero(ids == self.between_id)
             if len(cuts) != len(some) - 1:
                 self._alone(some)
-                continue
-            data, width = ids.tobytes(), self.dtype.itemsize
-            begin, end = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
-            self.known.update(zip(some, map(data.__getitem__, map(slice, begin, end)), strict=True))
-
-    def _in_a_row(self, pieces: list[str]) -> None:
-        """Pieces that part without help: at word level letters alone, one word each; at byte level
-        words with a leading space, whose bytes tell where one ends."""
+            else:
+                self._store(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def _in_a_row(self, pieces: list[str], by_bytes: bool) -> None:
+        """Words that part without help: the bytes of the tokens, or their word ends, tell where one
+        stops."""
         for k in range(0, len(pieces), 1000):
             some = pieces[k : k + 1000]
-            text = (" " if self.word_level else "").join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            if self.word_level:
-                end = np.flatnonzero(self.trait[ids]) + 1
-            else:
-                place = np.cumsum(self.trait[ids])
-                want = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
+            ids = self._joined((" " if self.word_level else "").join(some))
+            if by_bytes:
+                place = np.cumsum(self.n_bytes[ids])
+                want = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
                 end = np.searchsorted(place, want) + 1
-                if place[-1] != want[-1] or (place[end - 1] != want).any():
-                    end = end[:0]
-            if len(end) != len(some):
+                fits = len(ids) and place[-1] == want[-1] and (place[np.minimum(end, len(ids)) - 1] == want).all()
+            else:
+                end = np.flatnonzero(self.ends_word[ids]) + 1
+                fits = len(end) == len(some)
+            if fits:
+                self._store(some, ids, np.append(0, end[:-1]), end)
+            else:
                 self._together(some)
-                continue
-            data, stop = ids.tobytes(), (end * self.dtype.itemsize).tolist()
-            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *stop], stop)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        plain, odd = set(), set()
-        for regular, c in cut:
-            (plain if regular else odd).update(c)
-        missing = plain.difference(self.known)
-        # what holds the separator, or nothing at all, can't stand between separators
-        apart = [p for p in missing if not p or self.mark in p]
-        missing.difference_update(apart)
-        row = [p for p in missing if p.isalpha()] if self.word_level else [p for p in missing if p[0] == " "]
-        self._in_a_row(row)
-        self._together(list(missing.difference(row)))
-        self._alone([*apart, *odd.difference(self.known)])
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.dtype) for _, c in cut]
+
+    def _learn(self, pieces: list[str]) -> None:
+        row, ends, together, alone = [], [], [], []
+        for p in pieces:
+            w = p.split()
+            if len(w) != 1 or self.added.search(p):
+                alone.append(p)
+            elif self.word_level:
+                if len(w[0]) != len(p):
+                    alone.append(p)
+                elif p.isascii():
+                    row.append(p)
+                elif p.isalpha():
+                    ends.append(p)
+                else:
+                    (alone if self.mark in p else together).append(p)
+            elif len(w[0]) == len(p):
+                together.append(p)
+            elif len(w[0]) == len(p) - 1 and p[0] == " ":
+                row.append(p)
+            else:
+                alone.append(p)
+        self._in_a_row(row, True)
+        self._in_a_row(ends, False)
+        self._together(together)
+        self._alone(alone)
+
+    # ---- whole texts ----
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and each text's first place in them (rows + 1 entries); a
+        null text is empty. The column should come in slices of some MB."""
+        column = column.cast(pa.large_string()).fill_null("")
+        pieces, row_at = self.pieces(column)
+        if not len(pieces):
+            return np.zeros(0, self.dtype), row_at
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, distinct))
+        gaps = [k for k, f in enumerate(found) if f is None]
+        new = []
+        for k in gaps:
+            p = distinct[k]
+            if (f := self.old.get(p)) is not None:
+                self.known[p] = f
+            else:
+                new.append(p)
+        self._learn(new)
+        for k in gaps:
+            found[k] = self.known[distinct[k]]
         if len(self.known) > self.most:
-            self.known = {}
-        return out
+            self.old, self.known = self.known, {}
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        which = coded.indices.to_numpy()
+        n = length[which]
+        ends = np.append(0, np.cumsum(n))
+        place = np.repeat((np.cumsum(length) - length)[which] - ends[:-1], n)
+        place += np.arange(int(ends[-1]))
+        return flat[place], ends[row_at]
 
 
 _encoders: dict[str, Encoder] = {}
