@@ -2,8 +2,9 @@
 
 Documents stand in ascending order of their ids; each range partition writes shards of about
 `shard_tokens` ids. A shard's frequent pairs of neighbouring symbols are replaced by nonterminals,
-round after round, many pairs a round: pairs are counted in one pass, the most frequent are replaced
-from left to right without overlap. The file holds the rules, the length of each rule's expansion
+the most frequent first: a round counts all pairs and replaces those above a bar from left to right
+without overlap, the bar falls by halves, until no pair is left that stands there often enough to pay
+for its rule. The file holds the rules, the length of each rule's expansion
 and the final string, so that any range of ids is decoded without the rest.
 
 File of a shard, little-endian: the magic bytes RPR1; nine unsigned 64-bit numbers: first
@@ -27,51 +28,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, stage
+from cadenza.llm.common import batches_of, slices_of, stage, stretches
 from cadenza.llm.tokens import encoder
 
 MAGIC = b"RPR1"
-_BINS = 1 << 20
-
-
-def grammar(ids: np.ndarray, first_rule: int, pairs_a_round: int = 512, rounds: int = 8, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The final string, and rules as rows (left, right); nonterminal first_rule + k is rule k."""
-    s, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        place = ((s[:-1] * 0x9E3779B1 + s[1:] * 0x85EBCA77) >> 7) & (_BINS - 1)
-        count = np.bincount(place, minlength=_BINS)
-        best = np.flatnonzero(count >= least)
-        if not len(best):
-            break
-        best = best[np.argsort(-count[best], kind="stable")[:pairs_a_round]]
-        table = np.full(_BINS, -1, np.int64)
-        table[best] = np.arange(len(best))
-        which = table[place]
-        hits = np.flatnonzero(which >= 0)
-        # a bin's pair is the first that falls into it
-        _, first = np.unique(which[hits], return_index=True)
-        pair = np.zeros((len(best), 2), np.int64)
-        pair[which[hits[first]], 0], pair[which[hits[first]], 1] = s[hits[first]], s[hits[first] + 1]
-        hits = hits[(s[hits] == pair[which[hits], 0]) & (s[hits + 1] == pair[which[hits], 1])]
+#: Bits of the bins that pairs are counted in.
+_BITS = 19
+
+
+def grammar(ids: np.ndarray, first_rule: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The final string, and rules as rows (left, right); nonterminal first_rule + k is rule k.
+
+    A round replaces every pair that stands there as often as the bar asks, at first half as often as
+    the most frequent pair. What is left of such a pair is nothing, so only pairs with a new nonterminal
+    can reach the bar in the next round; when none does, the bar falls by half, and all pairs are counted
+    again. The end is reached when no pair stands there `least` times."""
+    s, rules, top = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], first_rule
+    bar, fresh = len(s), None
+    while len(s) > 1:
+        if fresh is None:
+            code = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+            place = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int32)
+            count = np.bincount(place, minlength=1 << _BITS)
+            bar = max(least, min(bar, int(count.max()) // 2))
+            # a bin below the bar holds no pair above it
+            near = np.flatnonzero((count >= bar)[place])
+            code = code[near]
+        else:
+            new = s >= fresh
+            near = np.flatnonzero(new[:-1] | new[1:])
+            code = s[near].astype(np.uint64) << np.uint64(32) | s[near + 1]
+        ordered = np.sort(code)
+        edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        pair = ordered[edges[np.diff(np.append(edges, len(ordered))) >= bar]]
+        if not len(pair):
+            if bar == least:
+                break
+            bar, fresh = max(least, bar // 2), None
+            continue
+        which = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
+        hit = pair[which] == code
+        hits, which = near[hit], which[hit]
         # of hits side by side, every second from the left
         begins = np.flatnonzero(np.diff(hits, prepend=-9) != 1)
         run = np.repeat(begins, np.diff(np.append(begins, len(hits))))
-        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        used, number = np.unique(which[hits], return_inverse=True)
-        s = s.copy()
-        s[hits] = first_rule + len(rules) + number
-        s = np.delete(s, hits + 1)
-        rules = np.concatenate([rules, pair[used]])
-    return s, rules
+        hits, which = (x[(np.arange(len(x)) - run) % 2 == 0] for x in (hits, which))
+        used = np.bincount(which, minlength=len(pair)) > 0
+        s[hits] = top + (np.cumsum(used) - 1)[which]
+        stays = np.ones(len(s), bool)
+        stays[hits + 1] = False
+        s, fresh, pair = s[stays], top, pair[used]
+        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
+        top += len(pair)
+    return s.astype(np.int64), np.concatenate(rules)
+
+
+def _by_depth(rules: np.ndarray, first_rule: int) -> list[np.ndarray]:
+    """The rules' numbers, those first whose two sides are ids, then those that need only them, and so on."""
+    depth = [0] * len(rules)
+    for k, (a, b) in enumerate(rules.tolist()):
+        depth[k] = 1 + max(depth[a - first_rule] if a >= first_rule else 0, depth[b - first_rule] if b >= first_rule else 0)
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(np.array(depth)[order])) + 1) if len(rules) else []
 
 
 def lengths_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first_rule] if a >= first_rule else 1) + (out[b - first_rule] if b >= first_rule else 1)
-    return out
+    out = np.ones(first_rule + len(rules), np.int64)
+    for some in _by_depth(rules, first_rule):
+        out[first_rule + some] = out[rules[some]].sum(1)
+    return out[first_rule:]
 
 
 def shard_bytes(doc_ids: list, counts: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
@@ -111,10 +136,10 @@ class Shard:
         self.flat_at = np.concatenate([np.arange(self.vocabulary), self.vocabulary + np.cumsum(self.rule_lengths) - self.rule_lengths]).astype(np.int64)
         self.length = np.concatenate([np.ones(self.vocabulary, np.int64), self.rule_lengths])
         self.flat = np.arange(self.vocabulary + int(self.rule_lengths.sum()), dtype=np.int64)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            to, la, lb = self.flat_at[self.vocabulary + k], self.length[a], self.length[b]
-            self.flat[to : to + la] = self.flat[self.flat_at[a] : self.flat_at[a] + la]
-            self.flat[to + la : to + la + lb] = self.flat[self.flat_at[b] : self.flat_at[b] + lb]
+        for some in _by_depth(self.rules, self.vocabulary):
+            sides, to = self.rules[some].ravel(), np.repeat(self.flat_at[self.vocabulary + some], 2)
+            to[1::2] += self.length[sides[::2]]
+            self.flat[stretches(to, self.length[sides])] = self.flat[stretches(self.flat_at[sides], self.length[sides])]
         self.ends = np.cumsum(self.length[self.symbols])
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -125,8 +150,7 @@ class Shard:
         a, b = np.searchsorted(self.ends, [start, stop - 1], side="right")
         some = self.symbols[a : b + 1]
         n = self.length[some]
-        before = np.cumsum(n) - n
-        out = self.flat[np.repeat(self.flat_at[some] - before, n) + np.arange(int(n.sum()))]
+        out = self.flat[stretches(self.flat_at[some], n)]
         skip = start - (int(self.ends[a]) - int(n[0]))
         return out[skip : skip + stop - start].astype("<u4")
 
@@ -139,22 +163,33 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         part, shard = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer_path)
         vocabulary = coder.tokenizer.get_vocab_size()
-        names, counts, parts = [], [], []
+        names: list = []
+        counts: list[int] = []
+        parts: list[np.ndarray] = []
+        held = 0
 
-        def full() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
+        def full(names: list, counts: list[int], ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "data": pa.array([shard_bytes(names, counts, ids, vocabulary)], pa.binary())})
 
-        for batch in batches_of(128, batches):
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                names.append(doc)
-                counts.append(len(ids) + 1)
-                parts += [ids, np.array([end_id], coder.dtype)]
-            if sum(counts) >= shard_tokens:
-                yield full()
-                shard, names, counts, parts = shard + 1, [], [], []
+        for batch in slices_of(1, batches, min(4 << 20, 2 * shard_tokens)):
+            found, at = coder.encode(batch.column(1))
+            size = np.diff(at) + 1
+            ids = np.full(int(size.sum()), end_id, found.dtype)
+            inside = np.ones(len(ids), bool)
+            inside[np.cumsum(size) - 1] = False
+            ids[inside] = found
+            names += batch.column(0).to_pylist()
+            counts += size.tolist()
+            parts.append(ids)
+            held += len(ids)
+            # whole documents, up to shard_tokens and one document
+            while held >= shard_tokens:
+                n = int(np.searchsorted(np.cumsum(counts), shard_tokens)) + 1
+                ids, size = np.concatenate(parts), sum(counts[:n])
+                yield full(names[:n], counts[:n], ids[:size])
+                shard, names, counts, parts, held = shard + 1, names[n:], counts[n:], [ids[size:]], held - size
         if names:
-            yield full()
+            yield full(names, counts, np.concatenate(parts))
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_tie"))
     ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")

@@ -10,7 +10,9 @@ its last character alone, if that is a space; so a cut stands before a run, befo
 and after that where it is no space. Files with word ends drop white space, so every run of it parts
 two pieces. Only the six ASCII white space characters count for this; a text with any other character
 that some notion takes for white space is cut before single spaces between visible ASCII characters
-alone. A text that holds the string of an added token is one piece.
+alone. All files part letters from other characters, unless an apostrophe stands there; so a cut stands
+between an ASCII letter and another visible ASCII character. A text that holds the string of an added
+token is one piece.
 """
 
 from __future__ import annotations
@@ -27,6 +29,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Visible ASCII characters but letters and the apostrophe.
+_MARK = _VISIBLE & ~_LETTER
+_MARK[0x27] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Characters beyond those six that Unicode or Python count as white space.
 _OTHER_SPACES = "[\x1c-\x1f\u0085  ᠎ -​    　﻿]"
 
@@ -39,6 +48,7 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word_level = bool(self.tokenizer.model.end_of_word_suffix)
@@ -47,6 +57,9 @@ class Encoder:
         self.between = " 0 " if self.word_level else "\n"
         self.between_id = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.mark = self.between.strip(" ")
+        #: the model alone, for words of ASCII letters; a leading space is the letter that stands for it
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         # those found in normalised text may be written in other cases
         self.any_case = any(t.normalized for t in added)
@@ -83,11 +96,19 @@ class Encoder:
         other = pc.match_substring_regex(column, _OTHER_SPACES).to_numpy(zero_copy_only=False) & ~whole
         space = _SPACE[data]
         cut = np.zeros(n + 1, bool)
+        letter, mark = _LETTER[data], _MARK[data]
+        cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+        odd = other | whole
         if self.word_level:
             if whole.any():
-                space &= ~np.repeat(whole, np.diff(at))
+                inside = np.repeat(whole, np.diff(at))
+                space &= ~inside
+                cut[:-1] &= ~inside
+                data = np.where(inside, data, _LOWER[data])
+            else:
+                data = _LOWER[data]
             word = ~space
-            cut[1:-1] = space[:-1] & word[1:]
+            cut[1:-1] |= space[:-1]
             cut[at] = True
             begin = np.flatnonzero(cut[:-1] & word)
             # a text that starts with white space has its first word after it
@@ -101,9 +122,8 @@ class Encoder:
             last[at[1:][np.diff(at) > 0] - 1] = False
             first = space.copy()
             first[1:] &= word[:-1]
-            cut[:-1] = first | last
+            cut[:-1] |= first | last
             cut[1:] |= last & (data != 0x20)
-            odd = other | whole
             if odd.any():
                 inside = np.repeat(odd, np.diff(at))
                 single = np.zeros(n, bool)
@@ -130,8 +150,8 @@ class Encoder:
         data, width = ids.tobytes(), self.dtype.itemsize
         self.known.update(zip(pieces, map(data.__getitem__, map(slice, (begin * width).tolist(), (end * width).tolist())), strict=True))
 
-    def _joined(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def _joined(self, text: str, plain: bool = False) -> np.ndarray:
+        return np.array((self.plain if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _together(self, pieces: list[str]) -> None:
         """Words in one call, with a separator of one known id between them."""
@@ -144,12 +164,15 @@ class Encoder:
             else:
                 self._store(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
 
-    def _in_a_row(self, pieces: list[str], by_bytes: bool) -> None:
+    def _in_a_row(self, pieces: list[str], by_bytes: bool, plain: bool = False) -> None:
         """Words that part without help: the bytes of the tokens, or their word ends, tell where one
-        stops."""
+        stops. plain: of ASCII letters, lower case at word level, after a space at byte level."""
         for k in range(0, len(pieces), 1000):
             some = pieces[k : k + 1000]
-            ids = self._joined((" " if self.word_level else "").join(some))
+            if plain and not self.word_level:
+                ids = self._joined("".join(some).replace(" ", " \u0120")[1:], True)
+            else:
+                ids = self._joined((" " if self.word_level else "").join(some), plain)
             if by_bytes:
                 place = np.cumsum(self.n_bytes[ids])
                 want = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
@@ -164,13 +187,17 @@ class Encoder:
                 self._together(some)
 
     def _learn(self, pieces: list[str]) -> None:
-        row, ends, together, alone = [], [], [], []
+        plain, row, ends, together, alone = [], [], [], [], []
         for p in pieces:
-            w = p.split()
-            if len(w) != 1 or self.added.search(p):
+            w = p if self.word_level else p[1:] if p[:1] == " " else ""
+            if w.isascii() and w.isalpha() and (not self.word_level or w.islower()):
+                plain.append(p)
+                continue
+            words = p.split()
+            if len(words) != 1 or self.added.search(p):
                 alone.append(p)
             elif self.word_level:
-                if len(w[0]) != len(p):
+                if len(words[0]) != len(p):
                     alone.append(p)
                 elif p.isascii():
                     row.append(p)
@@ -178,12 +205,13 @@ class Encoder:
                     ends.append(p)
                 else:
                     (alone if self.mark in p else together).append(p)
-            elif len(w[0]) == len(p):
+            elif len(words[0]) == len(p):
                 together.append(p)
-            elif len(w[0]) == len(p) - 1 and p[0] == " ":
+            elif len(words[0]) == len(p) - 1 and p[0] == " ":
                 row.append(p)
             else:
                 alone.append(p)
+        self._in_a_row(plain, True, plain=True)
         self._in_a_row(row, True)
         self._in_a_row(ends, False)
         self._together(together)
