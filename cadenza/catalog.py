@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import assets, evidence, streams
+from cadenza.plans import assets, evidence, folds, gates, streams
 
-QUERIES = {**streams.Q, **assets.Q, **evidence.Q}
-ORACLE = {**streams.S, **assets.S, **evidence.S}
+_MODULES = (streams, assets, evidence, folds, gates)
+QUERIES = {name: query for m in _MODULES for name, query in m.Q.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.S.items()}

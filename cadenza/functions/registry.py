@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from cadenza.functions.signal import quantised
 
 #: The registry in its order: fixed values.
 NAMES = (
@@ -68,3 +71,49 @@ def registry_features(df: DataFrame, samples: str, fs: float = 20_000.0, edges:
 
     added = df.mapInPandas(run, StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in NAMES)]))
     return added.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in NAMES})
+
+
+def registry_summary(df: DataFrame, signal: str, width: int = 2048, step: int = 1024, windows: int | None = 19, fs: float = 20_000.0, edges: tuple[float, float] = EDGES) -> DataFrame:
+    """Adds what all windows of a signal give together: feature_values (mean and population deviation of
+    each feature over the windows that define it, quantised, null where none does),
+    valid_window_counts (how many do) and window_count. A signal that is null, has a value that isn't
+    finite, or doesn't give `windows` windows, has nulls. A signal's windows never leave its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts, n_windows = [], [], []
+            column = batch.column(place)
+            flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+            for end, n, null in zip(ends.tolist(), column.value_lengths().fill_null(0).to_pylist(), column.is_null().to_pylist(), strict=True):
+                x = flat[end - n : end]
+                cut = np.lib.stride_tricks.sliding_window_view(x, width)[::step] if n >= width else np.zeros((0, width))
+                if null or not len(cut) or (windows is not None and len(cut) != windows) or not np.isfinite(x).all():
+                    values.append(None)
+                    counts.append(None)
+                    n_windows.append(None)
+                    continue
+                f = registry(np.ascontiguousarray(cut), fs, edges)
+                known = ~np.isnan(f)
+                valid = known.sum(0)
+                mean = np.divide(np.where(known, f, 0.0).sum(0), valid, out=np.full(len(NAMES), np.nan), where=valid > 0)
+                deviation = np.sqrt(np.divide(np.where(known, (f - mean) ** 2, 0.0).sum(0), valid, out=np.full(len(NAMES), np.nan), where=valid > 0))
+                both = np.stack([mean, deviation], 1).ravel()
+                values.append([None if np.isnan(v) else v for v in both.tolist()])
+                counts.append(valid.tolist())
+                n_windows.append(len(cut))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int32())), pa.array(n_windows, pa.int32())], [*batch.schema.names, "feature_values", "valid_window_counts", "window_count"])
+
+    place = df.columns.index(signal)
+    added = df.mapInArrow(run, StructType([*df.schema.fields, StructField("feature_values", ArrayType(DoubleType())), StructField("valid_window_counts", ArrayType(IntegerType())), StructField("window_count", IntegerType())]))
+    return added.withColumn("feature_values", F.transform("feature_values", quantised))
+
+
+def feature_rows(channels: DataFrame, key: str = "name", channel: str = "channel", signal: str = "signal", contract: str = "", **options) -> DataFrame:
+    """A row for each channel of a recording: feature_row_id, a hash of the contract's name, the key and
+    the channel, and the summary of its signal, which goes. contract: what the features are made by, for
+    example a digest of the settings."""
+    from cadenza.operators.identity import sorted_id
+
+    rows = registry_summary(channels, signal, **options).drop(signal)
+    return rows.select(sorted_id("feature_row", contract=F.lit(contract), recording=F.col(key).cast("string"), channel=F.col(channel).cast("int")).alias("feature_row_id"), *rows.columns)

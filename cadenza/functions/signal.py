@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +91,37 @@ def quantised(x: Column) -> Column:
     """12 significant digits, no negative zero; null stays null, NaN and infinity are errors."""
     finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(x.isNull() | finite, F.format_string("%.11e", x).cast("double") + 0.0).otherwise(F.raise_error(F.lit("value is not finite")).cast("double"))
+
+
+def resampled(df: DataFrame, samples: str, source_fs: float, target_fs: float) -> DataFrame:
+    """The samples at another rate, int(n * target / source) of them, by cutting or padding the spectrum;
+    unchanged at the same rate. Null stays null; an empty signal, and one that would have no samples, is
+    empty."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    if source_fs == target_fs:
+        return df
+    place = df.columns.index(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None if x is None else _resample(np.array(x, float), int(len(x) * target_fs / source_fs)).tolist() for x in batch.column(place).to_pylist()]
+            columns = list(batch.columns)
+            columns[place] = pa.array(out, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    fields = [StructField(f.name, ArrayType(DoubleType())) if f.name == samples else f for f in df.schema.fields]
+    return df.mapInArrow(run, StructType(fields))
+
+
+def _resample(x: np.ndarray, n: int) -> np.ndarray:
+    if not n or not len(x):
+        return np.zeros(0)
+    spectrum = np.fft.rfft(x)
+    least = min(n, len(x))
+    out = np.zeros(n // 2 + 1, complex)
+    out[: least // 2 + 1] = spectrum[: least // 2 + 1]
+    if least % 2 == 0 and n != len(x):
+        # the bin at half the lower rate stands for two of the longer signal
+        out[least // 2] *= 2 if n < len(x) else 0.5
+    return np.fft.irfft(out, n) * (n / len(x))

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def content_id(tag: str, *parts: Column) -> Column:
-    """'sha256:' and the hash of a JSON object of the tag and the named parts in order of names."""
+    """'sha256:' and the hash of a JSON object of the tag and the named parts, in the order given; a
+    caller that wants one id for one set of parts gives them in order of names, as sorted_id does."""
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*parts, F.lit(tag).alias("tag")), {"ignoreNullFields": "false"}), 256))
 
 
+def sorted_id(tag: str, **parts: Column) -> Column:
+    """content_id with the parts, and the tag among them, in order of names."""
+    named = sorted({**parts, "tag": F.lit(tag)}.items())
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in named)), {"ignoreNullFields": "false"}), 256))
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("_k")).distinct(), F.col(child_key) == F.col("_k"), "left_anti")
 
@@ -41,10 +48,10 @@ def hash_ranked_sample(df: DataFrame, key: str, k: int, fixed: Sequence = (), se
     return df.where(chosen).unionByName(ranked)
 
 
-def members_digest(df: DataFrame, name: str, parts: int = 4096) -> DataFrame:
-    """n and one digest of a set of names: names are hashed into parts, each part's digest covers its
-    names in order, and the whole covers the parts', so no task sorts or joins all names."""
-    by = df.select(F.sha2(F.col(name), 256).alias("h")).groupBy(F.conv(F.substring("h", 1, 3), 16, 10).cast("int").alias("part"))
+def members_digest(df: DataFrame, name: str, digits: int = 3) -> DataFrame:
+    """n and one digest of a set of names: names are hashed into 16 ** digits parts, each part's digest
+    covers its names in order, and the whole covers the parts', so no task sorts or joins all names."""
+    by = df.select(F.sha2(F.col(name), 256).alias("h")).groupBy(F.substring("h", 1, digits).alias("part"))
     part = by.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("d"))
     return part.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda s: s["d"])), 256).alias("digest"))
 
@@ -55,10 +62,12 @@ def aligned(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequenc
     return number(a, order_a).join(number(b, order_b), [*by, "_at"], "full").withColumnRenamed("_at", "place")
 
 
-def updated(df: DataFrame, staging: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Values of staging where it has the key and a value, else df's."""
-    new = staging.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns))
-    return df.join(new, list(keys), "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns))
+def updated(df: DataFrame, staging: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Column | None = None) -> DataFrame:
+    """Values of staging where it has the key and a value, else df's. A key that staging repeats counts
+    once: by its last row in `order`, or by its greatest values; `repeated_keys` tells which they are."""
+    row = F.struct(*columns)
+    last = staging.groupBy(*keys).agg((F.max(row) if order is None else F.max_by(row, F.struct(order, row))).alias("_new"))
+    return df.join(last, list(keys), "left").select(*(F.coalesce(F.col("_new")[c], F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def evolved(df: DataFrame, other: DataFrame) -> DataFrame:

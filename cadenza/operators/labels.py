@@ -35,12 +35,28 @@ def split_at(df: DataFrame, ts: str, cut: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col(ts) < F.lit(cut).cast("timestamp_ntz"), "train").otherwise("test"))
 
 
-def split_global(df: DataFrame, order: Sequence[str], share: float) -> DataFrame:
-    """Train are the rows before the time of row int(share * n) in time order."""
+def split_global(df: DataFrame, order: Sequence[str], share: float, parts: int = 4096, direct: int = 100_000) -> DataFrame:
+    """Train are the rows before the time of row int(share * n) in time order.
+
+    Rows are counted by `parts` stretches of equal time; only the stretch with the deciding row is
+    looked at again, in the same way, until it has `direct` rows at most or one time. So no task orders
+    more than those."""
     ts = order[0]
-    n = df.count()
-    cut = df.select(F.col(ts).alias("_cut")).orderBy("_cut").offset(int(share * n)).limit(1)
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(ts) < F.col("_cut"), "train").otherwise("test")).drop("_cut")  # one row
+    micros = df.where(F.col(ts).isNotNull()).select(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)).alias("_t"))
+    low, high, n = micros.agg(F.min("_t"), F.max("_t"), F.count(F.lit(1))).first()
+    left = int(share * (n or 0))
+    while n and n > direct and low < high:
+        width = (high - low) // parts + 1
+        inside = micros.where(F.col("_t").between(low, high))
+        counts = inside.groupBy(F.expr(f"(_t - {low}L) div {width}L").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        placed = counts.select("_part", "_n", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # parts rows at most
+        part, n, before = placed.where((F.col("_before") <= left) & (F.col("_before") + F.col("_n") > left)).first()
+        left, low, high = left - before, low + part * width, min(high, low + part * width + width - 1)
+    deciding = micros.where(F.col("_t").between(low, high)).orderBy("_t").offset(left).limit(1).first() if n else None
+    if deciding is None:
+        return df.withColumn("split", F.lit("test"))
+    cut = F.timestamp_add("MICROSECOND", F.lit(deciding[0]), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return df.withColumn("split", F.when(F.col(ts) < cut, "train").otherwise("test"))
 
 
 def split_by_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float) -> DataFrame:
@@ -70,12 +86,23 @@ def left_closed_bin(x: Column, edges: Sequence[float] = RANGE_BINS) -> Column:
     return out
 
 
-def split_stratified(df: DataFrame, stratum: Column, key: str, share: float, seed: int = 42) -> DataFrame:
+def split_stratified(df: DataFrame, stratum: Column, key: str, share: float, seed: int = 42, digits: int = 3) -> DataFrame:
     """Of each stratum the first int(share * n) rows in order of a seeded hash train; rows without
-    stratum train too."""
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(F.sha2(F.concat_ws("-", F.lit(seed), F.col(key)), 256), key))
-    n = F.count(F.lit(1)).over(Window.partitionBy("_stratum"))
-    return df.withColumn("_stratum", stratum).withColumn("split", F.when(F.col("_stratum").isNull() | (rank <= F.floor(n * share)), "train").otherwise("test")).drop("_stratum")
+    stratum train too.
+
+    Rows are counted by stratum and leading hex digits of the hash; all of a stratum's prefixes but one
+    lie on one side of the cut, and only the rows of that one are ranked."""
+    hashed = df.withColumns({"_stratum": stratum, "_hash": F.sha2(F.concat_ws("-", F.lit(seed), F.col(key)), 256)}).withColumn("_prefix", F.substring("_hash", 1, digits))
+    counts = hashed.where("_stratum IS NOT NULL").groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    of_stratum = Window.partitionBy("_stratum")
+    # 16 ** digits rows a stratum at most
+    before = counts.select(F.col("_stratum").alias("_s"), F.col("_prefix").alias("_p"), "_n", (F.sum("_n").over(of_stratum.orderBy("_prefix")) - F.col("_n")).alias("_before"), F.floor(F.sum("_n").over(of_stratum) * share).alias("_take"))
+    met = hashed.join(before, (F.col("_stratum") == F.col("_s")) & (F.col("_prefix") == F.col("_p")), "left")
+    sure = F.when(F.col("_stratum").isNull() | (F.col("_before") + F.col("_n") <= F.col("_take")), "train").when(F.col("_before") >= F.col("_take"), "test")
+    marked = met.withColumn("split", sure)
+    rank = F.row_number().over(Window.partitionBy("_stratum", "_prefix").orderBy("_hash", key))
+    ranked = marked.where("split IS NULL").withColumn("split", F.when(F.col("_before") + rank <= F.col("_take"), "train").otherwise("test"))
+    return marked.where("split IS NOT NULL").select(*df.columns, "split").unionByName(ranked.select(*df.columns, "split"))
 
 
 def split_report(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -122,12 +149,32 @@ def fold_overlap(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fitted_zscore(folds: DataFrame, feature: str, keys: Sequence[str]) -> DataFrame:
-    """z-scores of test rows by the train rows of their fold: group statistics where the group has
-    them, else the fold's."""
+    """z-scores of the train and test rows of a fold, fitted on its train rows. The mean is that of the
+    row's group, of the whole fold for a group without train values; the deviation likewise, and also
+    the fold's for a group of one value or without spread; 1e-8 is added to it, and stands in for a
+    fold without spread."""
     train = folds.where("role = 'train'")
     stats = lambda *by: train.groupBy(*by).agg(F.avg(feature).alias("_m"), F.stddev_samp(feature).alias("_s"))
     whole = stats("fold").withColumnsRenamed({"_m": "_gm", "_s": "_gs"})
-    test = folds.where("role = 'test'").join(stats("fold", *keys), ["fold", *keys], "left").join(whole, "fold", "left")
-    good = F.col("_s") > 0
-    mean, dev = F.when(good, F.col("_m")).otherwise(F.col("_gm")), F.when(good, F.col("_s")).when(F.col("_gs") > 0, F.col("_gs")).otherwise(1e-8)
-    return test.select(*folds.columns, ((F.col(feature) - mean) / dev).alias(f"{feature}_z"))
+    rows = folds.where("role != 'purged'").join(stats("fold", *keys), ["fold", *keys], "left").join(whole, "fold", "left")
+    dev = F.when(F.col("_s") > 0, F.col("_s")).when(F.col("_gs") > 0, F.col("_gs")).otherwise(1e-8)
+    return rows.select(*folds.columns, ((F.col(feature) - F.coalesce("_m", "_gm")) / (dev + 1e-8)).alias(f"{feature}_z"))
+
+
+def leave_one_out_rows(df: DataFrame, asset: str) -> DataFrame:
+    """A row for each row and fold, with its role; fold k tests asset k, all others train. The folds are
+    as many as the assets, so the rows multiply by them: meant for one fold's rows at a time, by a filter
+    on fold, which is pushed below the join."""
+    assets = df.select(F.col(asset).alias("fold")).distinct()
+    return df.join(assets, F.lit(True)).withColumn("role", F.when(F.col("fold") == F.col(asset), "test").otherwise("train"))
+
+
+def validated_labels(features: DataFrame, labels: DataFrame, keys: Sequence[str], columns: Sequence[str], required: str) -> tuple[DataFrame, DataFrame]:
+    """Label columns joined to feature rows one to one, and the violations that forbid it: keys that a
+    side repeats (repeated features, repeated labels) and feature keys that get no value of `required`
+    (missing label), each with its rows."""
+    label = labels.select(*keys, *columns)
+    joined = features.join(label, list(keys), "left")
+    repeated = lambda d, problem: d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit(problem).alias("problem"), "n")
+    missing = joined.where(F.col(required).isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.lit("missing label").alias("problem"), "n")
+    return joined, repeated(features, "repeated features").unionByName(repeated(labels, "repeated labels")).unionByName(missing)

@@ -41,11 +41,13 @@ def threshold_metrics(df: DataFrame, thresholds: Sequence[float] = (50, 100), by
     return out.select("*", rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"), rate("fp", "tn").alias("fpr"), rate("fn", "tp").alias("miss_rate"))
 
 
+def _all_bins(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([(f"{a}-{b}",) for a, b in zip(RUL_BINS, RUL_BINS[1:], strict=False)], "bin string")
+
+
 def bin_counts(df: DataFrame) -> DataFrame:
     """Rows by right-closed bin of y, empty bins with 0."""
-    bins = [f"{a}-{b}" for a, b in zip(RUL_BINS, RUL_BINS[1:], strict=False)]
-    dim = df.sparkSession.createDataFrame([(b,) for b in bins], "bin string")
-    return dim.join(df.select(right_closed_bin(Y()).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return _all_bins(df).join(df.select(right_closed_bin(Y()).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def range_errors(df: DataFrame) -> DataFrame:
@@ -54,8 +56,10 @@ def range_errors(df: DataFrame) -> DataFrame:
 
 
 def residual_bins(df: DataFrame) -> DataFrame:
-    return df.withColumn("bin", right_closed_bin(Y())).where("bin IS NOT NULL").groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(E())).alias("mae"), F.median(F.abs(E())).alias("median_ae"), F.avg(E()).alias("bias"), F.min(E()).alias("least"), F.max(E()).alias("most"))
+    """Errors by right-closed bin of y; empty bins have 0 rows and null errors."""
+    by = df.withColumn("bin", right_closed_bin(Y())).where("bin IS NOT NULL").groupBy("bin").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(F.abs(E())).alias("mae"), F.median(F.abs(E())).alias("median_ae"), F.avg(E()).alias("bias"), F.min(E()).alias("least"), F.max(E()).alias("most"))
+    return _all_bins(df).join(by, "bin", "left").select("bin", F.coalesce("_n", F.lit(0)).alias("n"), "mae", "median_ae", "bias", "least", "most")
 
 
 def calibration(df: DataFrame, parts: int = 10) -> DataFrame:

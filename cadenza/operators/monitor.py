@@ -7,11 +7,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: The four states: fixed values.
 CONSISTENT, DEVIATION, SEVERE, INSUFFICIENT = "baseline-consistent", "deviation-observed", "persistent-severe-deviation", "insufficient-evidence"
@@ -27,9 +26,11 @@ class Params:
     release: int = 6
 
 
-def sensitivity_variants(p: Params) -> list[tuple[str, Params]]:
-    """One parameter at a time; fixed values."""
-    steps = {"baseline": (144, 576), "neighbours": (5, 20), "entry": (0.975, 0.995), "persistence": (3, 12)}
+#: Values of the sensitivity variants, one parameter at a time: fixed values.
+STEPS = {"baseline": (144, 576), "neighbours": (5, 20), "entry": (0.975, 0.995), "persistence": (3, 12)}
+
+
+def sensitivity_variants(p: Params, steps: dict[str, tuple] = STEPS) -> list[tuple[str, Params]]:
     return [(f"{k}={v}", replace(p, **{k: v})) for k, values in steps.items() for v in values]
 
 
@@ -53,51 +54,93 @@ def scaled_vectors(df: DataFrame, stream: str, scaler: DataFrame, feature_array:
     return df.join(per, stream).withColumn("scaled", F.when(good, v)).drop("_sc")
 
 
-def knn_scores(df: DataFrame, stream: str, order: Sequence[str], key: str, baseline: int, k: int) -> DataFrame:
+def knn_scores(df: DataFrame, stream: str, order: Sequence[str], key: str, baseline: int, k: int, block: int = 65_536) -> DataFrame:
     """score: median distance of each row's scaled vector to its k nearest among the stream's first
-    `baseline` rows, itself left out, ties by key. The baseline side is bounded by `baseline` rows a
-    stream and joined by stream; the scan is vectorised over batches of any stream length."""
-    numbered = df.withColumn("_at", F.row_number().over(Window.partitionBy(stream).orderBy(*order)))
-    base = numbered.where((F.col("_at") <= baseline) & F.col("scaled").isNotNull()).groupBy(stream).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), F.col("scaled").alias("v")))).alias("_base"))
-    joined = numbered.join(base, stream, "left")
-    cols = [*df.columns, "_at"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            score = np.full(len(b), np.nan)
-            for rows in b.groupby(stream, sort=False).indices.values():
-                base = b["_base"].iloc[rows[0]]
-                if base is None or len(base) == 0:
+    `baseline` rows, itself left out. A stream whose baseline isn't complete, with a vector for each of
+    its rows, has no scores.
+
+    A stream is dealt into blocks of rows, and each block gets a copy of the baseline, which stands
+    before its rows; so a long stream is many tasks, and a scan holds a baseline and a batch."""
+    place = F.row_number().over(Window.partitionBy(stream).orderBy(*order))
+    numbered = df.withColumn("place", place).withColumns({"_block": F.floor((F.col("place") - 1) / block), "_base": F.lit(False)})
+    last = numbered.groupBy(F.col(stream).alias("_stream")).agg(F.max("_block").alias("_last"))
+    base = numbered.where(F.col("place") <= baseline).join(last, F.col(stream).eqNullSafe(F.col("_stream"))).withColumns({"_block": F.explode(F.sequence(F.lit(0).cast("long"), "_last")), "_base": F.lit(True)})
+    both = numbered.unionByName(base.select(*numbered.columns))
+    rows = both.repartition(stream, "_block").sortWithinPartitions(stream, "_block", F.col("_base").desc(), "place")
+    names = rows.columns
+    at = {c: names.index(c) for c in (stream, "_block", "_base", key, "scaled")}
+    keep = [c for c in names if not c.startswith("_")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, whole = object(), [], [], None
+        for batch in batches:
+            of = list(zip(batch.column(at[stream]).to_pylist(), batch.column(at["_block"]).to_pylist(), batch.column(at["_base"]).to_pylist(), strict=True))
+            score = np.full(len(of), np.nan)
+            begin = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+            for a, b in zip(begin, begin[1:], strict=False):
+                if b == a:
                     continue
-                ids, m = np.array([x["id"] for x in base]), np.array([list(x["v"]) for x in base], float)
-                for r in rows:
-                    v = b["scaled"].iloc[r]
-                    if v is None:
-                        continue
-                    others = ids != b[key].iloc[r]
-                    d = np.sqrt(((m[others] - np.asarray(v, float)) ** 2).sum(1))
-                    if len(d) >= k:
-                        score[r] = np.median(np.sort(d)[:k])
-            out = b[cols].copy()
-            out["score"] = score
-            yield out
-
-    fields = [f for f in joined.schema.fields if f.name in cols]
-    from pyspark.sql.types import DoubleType
-
-    out = joined.select(*cols, "_base").mapInPandas(run, StructType([*fields, StructField("score", DoubleType())]))
-    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumnRenamed("_at", "place")
+                if of[a][:2] != now:
+                    now, ids, vectors, whole = of[a][:2], [], [], None
+                some, own = batch.column(at["scaled"]).slice(a, b - a), batch.column(at[key]).slice(a, b - a).to_pylist()
+                if of[a][2]:
+                    ids += own
+                    vectors += some.to_pylist()
+                    continue
+                if whole is None:
+                    whole = np.array(vectors, float) if len(vectors) == baseline and None not in vectors else np.zeros((0, 0))
+                    number = {x: i for i, x in enumerate(ids)}
+                if len(whole):
+                    score[a:b] = _nearest(whole, some.to_pylist(), [number.get(x) for x in own], k)
+            rows_kept = np.array([not o[2] for o in of])
+            out = batch.select(keep).append_column("score", pa.array(score, pa.float64(), mask=np.isnan(score)))
+            yield out.filter(pa.array(rows_kept))
+
+    fields = [f for f in rows.schema.fields if f.name in keep]
+    return rows.mapInArrow(scan, StructType([*fields, StructField("score", DoubleType())]))
+
+
+def _nearest(base: np.ndarray, vectors: list, own: list, k: int, step: int = 64) -> np.ndarray:
+    """The median of the k least distances from each vector to the base, without the base row `own`."""
+    out = np.full(len(vectors), np.nan)
+    known = [i for i, v in enumerate(vectors) if v is not None]
+    for a in range(0, len(known), step):
+        some = known[a : a + step]
+        d = np.sqrt(((np.array([vectors[i] for i in some], float)[:, None] - base[None]) ** 2).sum(2))
+        for row, i in enumerate(some):
+            if own[i] is not None:
+                d[row, own[i]] = np.inf
+        if k <= d.shape[1]:
+            near = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+            good = np.isfinite(near[:, -1])
+            out[np.array(some)[good]] = np.median(near[good], axis=1)
+    return out
 
 
 def thresholds(df: DataFrame, stream: str, baseline: int, entry: float = 0.99, reset: float = 0.95) -> DataFrame:
-    """Linear quantiles of the baseline's scores."""
-    first = df.where(F.col("place") <= baseline)
-    return first.groupBy(stream).agg(F.percentile("score", F.lit(entry)).alias("threshold"), F.percentile("score", F.lit(reset)).alias("reset"))
+    """Linear quantiles of the baseline's scores; null unless all `baseline` of them are there."""
+    if reset > entry:
+        raise ValueError("the reset level would lie above the threshold")
+    quantile = lambda q: F.when(F.count("score") == baseline, F.percentile("score", F.lit(q)))
+    return df.where(F.col("place") <= baseline).groupBy(stream).agg(quantile(entry).alias("threshold"), quantile(reset).alias("reset"))
+
+
+def two_view_score(df: DataFrame, keys: Sequence[str], channel: str, views: int = 2) -> DataFrame:
+    """Fixed equal weights over the views of a key; null unless each of so many different channels
+    gives one score, and nothing else is there."""
+    complete = (F.count("score") == views) & (F.count(F.lit(1)) == views) & (F.count_distinct(channel) == views)
+    return df.groupBy(*keys).agg(F.when(complete, F.sum(F.col("score") / views)).alias("score"))
 
 
-def two_view_score(df: DataFrame, keys: Sequence[str], views: int = 2) -> DataFrame:
-    """Fixed equal weights; null unless every view has a score."""
-    return df.groupBy(*keys).agg(F.when(F.count("score") == views, F.sum(F.col("score") / views)).alias("score"))
+def view_violations(df: DataFrame, keys: Sequence[str], channel: str, expected: Sequence) -> DataFrame:
+    """Keys whose channels repeat, or are others than the expected pair that holds the least of them:
+    keys, channels. expected: pairs of channels."""
+    pair = F.lit(None).cast("array<int>")
+    for p in expected:
+        pair = F.when(F.array_contains(F.array(*map(F.lit, p)), F.array_min("channels")), F.array(*map(F.lit, p))).otherwise(pair)
+    by = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(channel).cast("int"))).alias("channels"))
+    bad = (F.size(F.array_distinct("channels")) != F.size("channels")) | pair.isNull() | (F.size(F.array_except("channels", pair)) > 0)
+    return by.where(F.coalesce(bad, F.lit(True))).select(*keys, "channels")
 
 
 def monitor_states(df: DataFrame, stream: str, order: Sequence[str], persistence: int = 6, release: int = 6) -> DataFrame:
@@ -132,7 +175,7 @@ def monitor_states(df: DataFrame, stream: str, order: Sequence[str], persistence
                 states.append(state)
                 ups.append(above)
                 downs.append(below)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states), pa.array(ups, pa.int64()), pa.array(downs, pa.int64())], [*names, "state", "consecutive", "released"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string()), pa.array(ups, pa.int64()), pa.array(downs, pa.int64())], [*names, "state", "consecutive", "released"])
 
     return rows.mapInArrow(scan, StructType([*rows.schema.fields, StructField("state", StringType()), StructField("consecutive", LongType()), StructField("released", LongType())]))
 
@@ -155,3 +198,27 @@ def burden_order(df: DataFrame, stream: str, alert: str) -> DataFrame:
     """Share of alert rows by stream, and the rank by falling share."""
     by = df.groupBy(stream).agg(F.avg(F.col(alert).cast("double")).alias("burden"))
     return by.select("*", F.row_number().over(Window.orderBy(F.col("burden").desc(), stream)).alias("rank"))
+
+
+def monitored(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """The whole monitor: each (asset, channel) is a stream of feature arrays with its own scaler and
+    baseline; the scores of an asset's two channels at a time are averaged, thresholded on the asset's
+    first `p.baseline` times, and run through the state machine. Returns asset, ts, place, score,
+    threshold, reset, state, consecutive, released."""
+    streams = df.select(F.struct(asset, channel).alias("_stream"), F.col(asset).alias("asset"), F.col(channel).alias("channel"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(features).alias("v"))
+    streams = streams.withColumnRenamed("_stream", "stream")
+    scaled = scaled_vectors(streams, "stream", robust_scaler(streams, "stream", ["ts", "key"], "v", p.baseline), "v")
+    scores = knn_scores(scaled.select("stream", "asset", "channel", "ts", "key", "scaled"), "stream", ["ts", "key"], "key", p.baseline, p.neighbours)
+    both = two_view_score(scores, ["asset", "ts"], "channel").withColumn("place", F.row_number().over(Window.partitionBy("asset").orderBy("ts")))
+    levels = thresholds(both, "asset", p.baseline, p.entry, p.reset)
+    rows = both.join(levels, "asset").withColumn("in_baseline", F.col("place") <= p.baseline)
+    return monitor_states(rows, "asset", ["place"], p.persistence, p.release).drop("in_baseline")
+
+
+def sensitivity(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, p: Params = Params(), steps: dict[str, tuple] = STEPS) -> DataFrame:  # noqa: B008
+    """State counts by variant and asset: the parameters themselves and each one-at-a-time variant."""
+    out = None
+    for name, variant in [("primary", p), *sensitivity_variants(p, steps)]:
+        one = state_counts(monitored(df, asset, channel, ts, key, features, variant), "asset").select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

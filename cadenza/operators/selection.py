@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +25,58 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the average rank of a column within each feature. The distinct values are dealt into ranges
+    by (feature, value); a range counts its own, and what stands before it is a sum over ranges. So a
+    feature is as many tasks as it has ranges, and no task orders a whole feature."""
+    distinct = values.groupBy("feature", column).agg(F.count(F.lit(1)).alias("_n"))
+    # written, for ranges must stay as they are while they are read twice
+    dealt = _written(distinct.repartitionByRange("feature", column).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(F.col("feature").alias("_f"), F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"))
+    parts = parts.withColumn("_before", F.sum("_in").over(Window.partitionBy("_f").orderBy("_p")) - F.col("_in"))
+    inside = F.sum("_n").over(Window.partitionBy("feature", "_part").orderBy(column)) - F.col("_n")
+    met = dealt.join(parts, (F.col("feature") == F.col("_f")) & (F.col("_part") == F.col("_p")))
+    ranks = met.select(F.col("feature").alias("_f"), F.col(column).alias("_v"), (F.col("_before") + inside + (F.col("_n") + 1) / 2).alias(name))
+    return values.join(ranks, (F.col("feature") == F.col("_f")) & (F.col(column) == F.col("_v"))).drop("_f", "_v")
+
+
 def relevance(values: DataFrame, least: int = 10) -> DataFrame:
     """values: feature, value, y. Pearson, Spearman, and the larger magnitude as score."""
-    ranked = values.where("value IS NOT NULL AND y IS NOT NULL").withColumns({"_rv": average_rank("value", "feature"), "_ry": average_rank("y", "feature")})
-    out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), safe_corr("value", "y").alias("pearson"), safe_corr("_rv", "_ry").alias("spearman")).where(F.col("n") >= least)
+    rows = ranked(ranked(values.where("value IS NOT NULL AND y IS NOT NULL"), "value", "_rv"), "y", "_ry")
+    out = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), safe_corr("value", "y").alias("pearson"), safe_corr("_rv", "_ry").alias("spearman")).where(F.col("n") >= least)
     return out.select("*", F.greatest(F.abs("pearson"), F.abs("spearman")).alias("score"))
 
 
 def pairwise_correlation(values: DataFrame, key: str) -> DataFrame:
-    """feature_i < feature_j: their correlation over equal keys, for any number of rows a partial
-    aggregate. Rows are first gathered by key; a key has a row a feature, so pairs grow with the square
-    of features, not of rows."""
-    row = values.where("value IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("v"))
-    a = row.select("v", F.posexplode("v").alias("i", "a")).select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))
-    pairs = a.select(F.col("a.feature").alias("feature_i"), F.col("b.feature").alias("feature_j"), F.col("a.value").alias("_a"), F.col("b.value").alias("_b"))
-    return pairs.groupBy("feature_i", "feature_j").agg(safe_corr("_a", "_b").alias("corr"))
+    """feature_i < feature_j: their correlation over the keys that have both. A key's values are one row;
+    a task adds up products of whole batches and gives one row a pair. So what moves is the rows once,
+    and pairs by tasks, never pairs by rows. The number of features is a driver's list."""
+    centre = values.where("value IS NOT NULL").groupBy("feature").agg(F.avg("value").alias("m"))
+    names = sorted((r["feature"], r["m"]) for r in centre.collect())
+    number, mean = {n: k for k, (n, _) in enumerate(names)}, np.array([m for _, m in names], float)
+    f = len(names)
+    rows = values.where("value IS NOT NULL").groupBy(key).agg(F.collect_list("feature").alias("_f"), F.collect_list("value").alias("_v")).select("_f", "_v")
+    if not f:
+        return values.sparkSession.createDataFrame([], "feature_i string, feature_j string, corr double")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, f, f))
+        for batch in batches:
+            lists = batch.column(0)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            column = np.fromiter(map(number.__getitem__, lists.flatten().to_pylist()), np.int64, len(row))
+            x, m = np.zeros((batch.num_rows, f)), np.zeros((batch.num_rows, f))
+            x[row, column], m[row, column] = batch.column(1).flatten().to_numpy() - mean[column], 1
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(f, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(v) for v in (total[0][i, j], total[1][i, j], total[1][j, i], total[2][i, j], total[2][j, i], total[3][i, j]))], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    sums = rows.mapInArrow(add, "i int, j int, n double, a double, b double, aa double, bb double, ab double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab"))).where("n > 0")
+    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    tiny = 1e-13
+    corr = F.when((F.col("n") > 1) & (va > tiny * F.col("aa")) & (vb > tiny * F.col("bb")), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb))
+    label = F.array(*(F.lit(n) for n, _ in names))
+    return sums.select(F.get(label, F.col("i")).alias("feature_i"), F.get(label, F.col("j")).alias("feature_j"), corr.alias("corr"))
 
 
 def redundant(values: DataFrame, scores: DataFrame, key: str, limit: float = 0.95) -> DataFrame:
@@ -56,10 +94,34 @@ def select_top(scores: DataFrame, gone: DataFrame, n: int) -> DataFrame:
     return left.orderBy(F.col("score").desc(), "feature").limit(n).select(rank.alias("rank"), "feature", "score")
 
 
+def combined_scores(correlation: DataFrame, information: DataFrame) -> DataFrame:
+    """feature, score: the mean of a feature's two scores (feature, score), 0 for one that it lacks."""
+    a, b = correlation.select("feature", F.col("score").alias("_a")), information.select("feature", F.col("score").alias("_b"))
+    return a.join(b, "feature", "full").select("feature", ((F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / 2).alias("score"))
+
+
+def select_filled(scores: DataFrame, gone: DataFrame, spare: DataFrame, n: int) -> DataFrame:
+    """rank, feature, score: of the n best by score those that aren't redundant (gone), then, up to n,
+    others by the spare scores that aren't either. One row a feature, so ranks are one task's."""
+    best = scores.orderBy(F.col("score").desc(), "feature").limit(n)
+    kept = best.join(gone, "feature", "left_anti").select("feature", "score", F.lit(0).alias("_later"))
+    more = spare.select("feature", "score").join(gone, "feature", "left_anti").join(kept.select("feature"), "feature", "left_anti").select("feature", "score", F.lit(1).alias("_later"))
+    rank = F.row_number().over(Window.orderBy("_later", F.col("score").desc(), "feature"))
+    return kept.unionByName(more).select(rank.alias("rank"), "feature", "score").where(F.col("rank") <= n)
+
+
+def ks_p_value(ks: Column, n: Column, m: Column, terms: int = 100) -> Column:
+    """The chance of a distance as large in equal distributions, by the limit law of Kolmogorov, which is
+    near from some dozens of values a sample on."""
+    root = ks * F.sqrt(n * m / (n + m))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * root * root))
+    return F.when(root < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+
+
 def two_sample_drift(values: DataFrame, side: Column) -> DataFrame:
-    """values: feature, value; side true for the first sample. Means, standardised difference, largest
-    distance of the distributions (KS) and area between them (Wasserstein-1), from distinct values with
-    running counts."""
+    """values: feature, value; side true for the first sample. Means, the difference of the second's to
+    the first's in standard deviations of both together, largest distance of the distributions (KS) with
+    its p-value, and area between them (Wasserstein-1), from distinct values with running counts."""
     by = Window.partitionBy("feature")
     each = values.where("value IS NOT NULL").withColumn("_a", side).groupBy("feature", "value").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
     run = by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +130,11 @@ def two_sample_drift(values: DataFrame, side: Column) -> DataFrame:
     n, total, square = F.sum(F.col("a") + F.col("b")), F.sum((F.col("a") + F.col("b")) * F.col("value")), F.sum((F.col("a") + F.col("b")) * F.col("value") * F.col("value"))
     mean_a, mean_b = F.try_divide(F.sum(F.col("a") * F.col("value")), F.sum("a")), F.try_divide(F.sum(F.col("b") * F.col("value")), F.sum("b"))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(square - total * total / n, n - 1)))
-    return cdf.groupBy("feature").agg(mean_a.alias("mean_a"), mean_b.alias("mean_b"), F.try_divide(mean_a - mean_b, spread).alias("smd"), F.max("_gap").alias("ks"), F.sum(F.col("_gap") * F.col("_width")).alias("wasserstein"))
+    out = cdf.groupBy("feature").agg(
+        mean_a.alias("mean_a"), mean_b.alias("mean_b"), F.try_divide(mean_b - mean_a, spread).alias("smd"), F.max("_gap").alias("ks"), F.sum("a").alias("_n"), F.sum("b").alias("_m"),
+        F.sum(F.col("_gap") * F.col("_width")).alias("wasserstein"),
+    )
+    return out.select("feature", "mean_a", "mean_b", "smd", "ks", ks_p_value(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_p"), "wasserstein")
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -108,10 +174,12 @@ def _last(good, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _written(df: DataFrame) -> DataFrame:
     """df as Parquet in the folder of spark.checkpoint.dir, which driver and executors share, read again;
-    where it is unset (one machine) in a temporary folder."""
+    where it is unset, on one machine alone, in a temporary folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/selection-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ plan has one exchange and one sort for them."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,15 @@ def zscore(feature: str, keys: Sequence[str]) -> dict[str, Column]:
     return {f"{feature}_z": (F.col(feature) - F.avg(feature).over(whole)) / (F.stddev_samp(feature).over(whole) + 1e-8)}
 
 
+def zscored(df: DataFrame, feature: str, keys: Sequence[str]) -> DataFrame:
+    """The same by a grouping with partial sums and a join, which holds no group."""
+    stats = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.avg(feature).alias("_m"), F.stddev_samp(feature).alias("_s"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(stats, same).select(*df.columns, ((F.col(feature) - F.col("_m")) / (F.col("_s") + 1e-8)).alias(f"{feature}_z"))
+
+
 def cross_views(feature: str, keys: Sequence[str]) -> dict[str, Column]:
     """Over all rows of the same keys (an asset and a time): max, min, mean, range."""
     same = Window.partitionBy(*keys)
@@ -68,6 +78,16 @@ def rolling_slopes(df: DataFrame, feature: str, keys: Sequence[str], order: Sequ
     return placed.select(*df.columns, *(c.alias(n) for n, c in slopes(feature, keys, order, widths).items()))
 
 
+def _run_ends(columns: list[pa.Array]) -> list[int]:
+    """Where the rows of equal values in all columns end."""
+    new = np.zeros(len(columns[0]), bool)
+    new[-1] = True
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[:-1] |= code[1:] != code[:-1]
+    return (np.flatnonzero(new) + 1).tolist()
+
+
 def ema(df: DataFrame, feature: str, keys: Sequence[str], order: Sequence[str], alphas: Sequence[float] = (0.1, 0.3, 0.5)) -> DataFrame:
     """y0 = x0, yt = a xt + (1 - a) yt-1 for each stream: a recurrence, which no window frame gives.
     Streams arrive in order and run through one scan that carries the last value; a stream is never
@@ -80,14 +100,30 @@ def ema(df: DataFrame, feature: str, keys: Sequence[str], order: Sequence[str],
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, state = object(), [None] * len(alphas)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(p) for p in places]
+            ends = _run_ends(columns)
+            values = batch.column(at).cast(pa.float64())
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            x = values.to_numpy(zero_copy_only=False)
             out = np.full((len(alphas), batch.num_rows), np.nan)
-            for k, (key, x) in enumerate(zip(zip(*(batch.column(p).to_pylist() for p in places), strict=True), batch.column(at).to_pylist(), strict=True)):
+            begin = 0
+            for end in ends:
+                key = tuple(c[begin].as_py() for c in columns)
                 if key != last_key:
                     last_key, state = key, [None] * len(alphas)
-                if x is not None:
-                    state = [x if s is None else a * x + (1 - a) * s for a, s in zip(alphas, state, strict=True)]
-                if state[0] is not None:
-                    out[:, k] = state
+                here = begin + np.flatnonzero(known[begin:end])
+                for k, a in enumerate(alphas):
+                    b, s = 1 - a, state[k]
+                    given = x[here].tolist()
+                    seen = list(accumulate(given if s is None else [s, *given], lambda s, v, a=a, b=b: a * v + b * s))[s is not None :]
+                    # a null leaves the average as it was
+                    nth = np.cumsum(known[begin:end]) - 1
+                    filled = np.array([np.nan if s is None else s, *seen], float)
+                    out[k, begin:end] = filled[nth + 1]
+                    state[k] = seen[-1] if seen else s
+                begin = end
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, pa.float64(), mask=np.isnan(o)) for o in out)], [*batch.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, StructField, StructType

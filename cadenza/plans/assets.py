@@ -150,9 +150,9 @@ def _(s, d):
     return signal.spectral_features(_signals(s, d).select("vec_id", "x"), "x", 64.0, 32, {"low": (0, 8), "high": (8, 24)}).drop("x")
 
 
-@_add("quantised_values", "SELECT event_id, value AS q FROM events", exact=True)
+@_add("quantised_values", "SELECT event_id, printf('%.11e', value / 7)::DOUBLE AS q, printf('%.11e', value * -1e-9 / 3)::DOUBLE AS small FROM events", exact=True)
 def _(s, d):
-    return events(s, d).select("event_id", signal.quantised(F.col("value")).alias("q"))
+    return events(s, d).select("event_id", signal.quantised(F.col("value") / 7).alias("q"), signal.quantised(F.col("value") * -1e-9 / 3).alias("small"))
 
 
 # ---- selection: components 0-4 of the vector are features, component 20 the target ----
@@ -177,21 +177,45 @@ def _(s, d):
     return selection.pairwise_correlation(_long(s, d), "vec_id")
 
 
-_RED = f"(WITH l AS ({_LONG}), p AS (SELECT a.feature AS i, b.feature AS j, corr(a.value, b.value) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL) SELECT DISTINCT CASE WHEN x.score < y.score THEN i ELSE j END AS feature FROM p JOIN {_REL} x ON i = x.feature JOIN {_REL} y ON j = y.feature WHERE abs(c) > 0.05)"
+_RED = f"(WITH l AS ({_LONG}), p AS (SELECT a.feature AS i, b.feature AS j, corr(a.value, b.value) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL) SELECT DISTINCT CASE WHEN x.score < y.score THEN i ELSE j END AS feature FROM p JOIN {_REL} x ON i = x.feature JOIN {_REL} y ON j = y.feature WHERE abs(c) > 0.02)"
 
 
 @_add("redundant_features", f"SELECT feature FROM {_RED}")
 def _(s, d):
-    return selection.redundant(_long(s, d), selection.relevance(_long(s, d)), "vec_id", 0.05)
+    return selection.redundant(_long(s, d), selection.relevance(_long(s, d)), "vec_id", 0.02)
 
 
 @_add("select_top", f"SELECT row_number() OVER (ORDER BY score DESC, feature)::INT AS rank, feature, round(score, 6) AS score FROM {_REL} ANTI JOIN {_RED} USING (feature) ORDER BY score DESC, feature LIMIT 3")
 def _(s, d):
     scores = selection.relevance(_long(s, d)).select("feature", "score")
-    return selection.select_top(scores, selection.redundant(_long(s, d), scores, "vec_id", 0.05), 3)
+    return selection.select_top(scores, selection.redundant(_long(s, d), scores, "vec_id", 0.02), 3)
 
 
-@_add("ks_wasserstein", f"WITH v AS (SELECT feature, value, count_if(vec_id % 2 = 0) AS a, count_if(vec_id % 2 = 1) AS b FROM ({_LONG}) GROUP BY ALL), c AS (SELECT *, abs(sum(a) OVER r / sum(a) OVER f - sum(b) OVER r / sum(b) OVER f) AS gap, lead(value) OVER (PARTITION BY feature ORDER BY value) - value AS width FROM v WINDOW r AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)), m AS (SELECT feature, avg(CASE WHEN vec_id % 2 = 0 THEN value END) AS mean_a, avg(CASE WHEN vec_id % 2 = 1 THEN value END) AS mean_b, stddev_samp(value) AS sd FROM ({_LONG}) GROUP BY 1) SELECT feature, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_a - mean_b) / sd, 6) AS smd, round(max(gap), 6) AS ks, round(sum(gap * width), 6) AS wasserstein FROM c JOIN m USING (feature) GROUP BY feature, mean_a, mean_b, sd")
+#: A second score for each feature: the magnitude of its mean; f4 has none.
+_SECOND = f"(SELECT feature, abs(avg(value)) AS score FROM ({_LONG}) WHERE feature <> 'f4' GROUP BY feature)"
+
+
+def _second(s, d):
+    return _long(s, d).where("feature <> 'f4'").groupBy("feature").agg(F.abs(F.avg("value")).alias("score"))
+
+
+@_add("combined_scores", f"SELECT feature, round((coalesce(a.score, 0) + coalesce(b.score, 0)) / 2, 6) AS score FROM {_REL} a FULL JOIN {_SECOND} b USING (feature)")
+def _(s, d):
+    return selection.combined_scores(selection.relevance(_long(s, d)), _second(s, d))
+
+
+@_add("select_filled", f"""
+WITH c AS (SELECT feature, (coalesce(a.score, 0) + coalesce(b.score, 0)) / 2 AS score FROM {_REL} a FULL JOIN {_SECOND} b USING (feature)), g AS (SELECT * FROM {_RED}),
+k AS (SELECT * FROM (SELECT * FROM c ORDER BY score DESC, feature LIMIT 3) ANTI JOIN g USING (feature)),
+m AS (SELECT feature, score FROM {_REL} ANTI JOIN g USING (feature) WHERE feature NOT IN (SELECT feature FROM k)),
+u AS (SELECT *, 0 AS later FROM k UNION ALL SELECT *, 1 FROM m)
+SELECT (row_number() OVER (ORDER BY later, score DESC, feature))::INT AS rank, feature, round(score, 6) AS score FROM u QUALIFY row_number() OVER (ORDER BY later, score DESC, feature) <= 3""")
+def _(s, d):
+    relevance = selection.relevance(_long(s, d))
+    return selection.select_filled(selection.combined_scores(relevance, _second(s, d)), selection.redundant(_long(s, d), relevance, "vec_id", 0.02), relevance, 3)
+
+
+@_add("ks_wasserstein", f"WITH v AS (SELECT feature, value, count_if(vec_id % 2 = 0) AS a, count_if(vec_id % 2 = 1) AS b FROM ({_LONG}) GROUP BY ALL), c AS (SELECT *, abs(sum(a) OVER r / sum(a) OVER f - sum(b) OVER r / sum(b) OVER f) AS gap, lead(value) OVER (PARTITION BY feature ORDER BY value) - value AS width FROM v WINDOW r AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)), m AS (SELECT feature, avg(CASE WHEN vec_id % 2 = 0 THEN value END) AS mean_a, avg(CASE WHEN vec_id % 2 = 1 THEN value END) AS mean_b, count_if(vec_id % 2 = 0)::DOUBLE AS na, count_if(vec_id % 2 = 1)::DOUBLE AS nb, stddev_samp(value) AS sd FROM ({_LONG}) GROUP BY 1) SELECT feature, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_b - mean_a) / sd, 6) AS smd, round(max(gap), 6) AS ks, round(list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0::DOUBLE * k * k * max(gap) ** 2 * (max(na) * max(nb) / (max(na) + max(nb)))))), 6) AS ks_p, round(sum(gap * width), 6) AS wasserstein FROM c JOIN m USING (feature) GROUP BY feature, mean_a, mean_b, sd")
 def _(s, d):
     return selection.two_sample_drift(_long(s, d), F.col("vec_id") % 2 == 0)
 
@@ -231,15 +255,22 @@ def _(s, d):
     return _scored(s, d)
 
 
-@_add("monitor_thresholds", f"SELECT label, round(quantile_cont(score, 0.99), 6) AS threshold, round(quantile_cont(score, 0.95), 6) AS reset FROM {_KNN} WHERE place <= {_B} GROUP BY label")
+@_add("monitor_thresholds", f"SELECT label, CASE WHEN count(score) = {_B} THEN round(quantile_cont(score, 0.99), 6) END AS threshold, CASE WHEN count(score) = {_B} THEN round(quantile_cont(score, 0.95), 6) END AS reset FROM {_KNN} WHERE place <= {_B} GROUP BY label")
 def _(s, d):
     return monitor.thresholds(_scored(s, d), "label", _B)
 
 
-@_add("view_aggregate", "SELECT user_id, ts_h, CASE WHEN count(score) = 2 THEN round(sum(score / 2), 6) END AS score FROM (SELECT user_id, date_trunc('day', ts) AS ts_h, event_type, max(value) AS score FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL) GROUP BY ALL")
+@_add("view_aggregate", "SELECT user_id, ts_h, CASE WHEN count(score) = 2 AND count(*) = 2 AND count(DISTINCT event_type) = 2 THEN round(sum(score / 2), 6) END AS score FROM (SELECT user_id, date_trunc('day', ts) AS ts_h, event_type, CASE WHEN event_id % 9 <> 0 THEN value END AS score FROM events WHERE event_type IN ('click', 'view')) GROUP BY ALL")
+def _(s, d):
+    # a day may have one view twice, or a view without a score
+    rows = events(s, d).where("event_type IN ('click', 'view')").select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_h"), "event_type", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("score"))
+    return monitor.two_view_score(rows, ["user_id", "ts_h"], "event_type")
+
+
+@_add("view_violations", "SELECT user_id, ts_h, list_sort(list(c)) AS channels FROM (SELECT user_id, date_trunc('day', ts) AS ts_h, (event_id % 5)::INT AS c FROM events) GROUP BY ALL HAVING count(*) <> count(DISTINCT c) OR min(c) > 3 OR max(c // 2) <> min(c // 2)")
 def _(s, d):
-    day = events(s, d).where("event_type IN ('click', 'view')").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_h"), "event_type").agg(F.max("value").alias("score"))
-    return monitor.two_view_score(day, ["user_id", "ts_h"])
+    rows = events(s, d).select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_h"), (F.col("event_id") % 5).cast("int").alias("c"))
+    return monitor.view_violations(rows, ["user_id", "ts_h"], "c", [(0, 1), (2, 3)])
 
 
 def _states(s, d, persistence: int = 3, release: int = 3) -> DataFrame:
@@ -251,7 +282,7 @@ def _states(s, d, persistence: int = 3, release: int = 3) -> DataFrame:
 
 _STATE = """
 WITH RECURSIVE e AS (SELECT event_id, user_id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
-t AS (SELECT user_id, quantile_cont(score, 0.6) AS hi, quantile_cont(score, 0.5) AS lo FROM e WHERE place <= 10 GROUP BY 1),
+t AS (SELECT user_id, CASE WHEN count(score) = 10 THEN quantile_cont(score, 0.6) END AS hi, CASE WHEN count(score) = 10 THEN quantile_cont(score, 0.5) END AS lo FROM e WHERE place <= 10 GROUP BY 1),
 r AS (SELECT e.event_id, e.user_id, place, score, false AS severe, 0 AS up, 0 AS down, 'insufficient-evidence' AS state FROM e WHERE place = 1
  UNION ALL
  SELECT event_id, user_id, place, score, CASE WHEN place <= 10 THEN false WHEN severe THEN NOT (score <= lo AND down + 1 >= 3) ELSE score > hi AND up + 1 >= 3 END,
@@ -271,13 +302,50 @@ def _(s, d):
     return monitor.state_counts(_states(s, d), "user_id")
 
 
-@_add("sensitivity")
+# ---- the whole monitor: an asset has two channels, components 1-4 and 5-8 of its vectors ----
+
+_P = monitor.Params(baseline=12, neighbours=3, entry=0.9, reset=0.6, persistence=2, release=2)
+_STEPS = {"baseline": (10, 14), "neighbours": (2, 4), "entry": (0.8, 0.95), "persistence": (1, 3)}
+
+
+def _two_channels(s, d) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.slice("x", 1 + 4 * c, 4).alias("v")) for c in (0, 1))))
+    return _signals(s, d).select("vec_id", "label", each.alias("_c")).select("vec_id", "label", "_c.channel", "_c.v")
+
+
+def _monitor_sql(p: monitor.Params) -> str:
+    """The monitor's states, from the scaler to the last row of every asset."""
+    b = p.baseline
+    return f"""
+c AS (SELECT vec_id, label, ch, embedding[1 + 4 * ch:4 + 4 * ch]::DOUBLE[] AS v, row_number() OVER (PARTITION BY label, ch ORDER BY vec_id) AS pl FROM embeddings, (SELECT unnest(range(2)) AS ch)),
+f AS (SELECT label, ch, k, v[k] AS x FROM c, (SELECT unnest(range(1, 5)) AS k) WHERE pl <= {b}),
+q AS (SELECT label, ch, k, median(x) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM f GROUP BY ALL),
+z AS (SELECT vec_id, label, ch, pl, list((v[k] - med) / iqr ORDER BY k) AS v FROM c JOIN q USING (label, ch) GROUP BY vec_id, label, ch, pl),
+t AS (SELECT a.vec_id, a.label, a.ch, list_distance(a.v, o.v) AS dist, row_number() OVER (PARTITION BY a.vec_id, a.ch ORDER BY list_distance(a.v, o.v), o.vec_id) AS r FROM z a JOIN z o ON a.label = o.label AND a.ch = o.ch AND o.pl <= {b} AND a.vec_id <> o.vec_id),
+sc AS (SELECT vec_id, label, ch, median(dist) AS score FROM t WHERE r <= {p.neighbours} GROUP BY ALL),
+e AS (SELECT vec_id, label, sum(score / 2) AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM sc GROUP BY vec_id, label),
+h AS (SELECT label, quantile_cont(score, {p.entry}) AS hi, quantile_cont(score, {p.reset}) AS lo FROM e WHERE place <= {b} GROUP BY 1),
+r AS (SELECT label, place, vec_id, false AS severe, 0 AS up, 0 AS down, 'insufficient-evidence' AS state FROM e WHERE place = 1
+ UNION ALL
+ SELECT label, place, vec_id, CASE WHEN place <= {b} THEN false WHEN severe THEN NOT (score <= lo AND down + 1 >= {p.release}) ELSE score > hi AND up + 1 >= {p.persistence} END,
+  CASE WHEN place <= {b} THEN 0 WHEN severe THEN CASE WHEN score <= lo AND down + 1 >= {p.release} THEN 0 ELSE up END WHEN score > hi THEN up + 1 ELSE 0 END,
+  CASE WHEN place <= {b} THEN 0 WHEN severe THEN CASE WHEN score <= lo AND down + 1 < {p.release} THEN down + 1 ELSE 0 END WHEN score > hi THEN 0 ELSE down END,
+  CASE WHEN place <= {b} THEN 'insufficient-evidence' WHEN severe THEN CASE WHEN score <= lo AND down + 1 >= {p.release} THEN 'baseline-consistent' ELSE 'persistent-severe-deviation' END WHEN score > hi THEN CASE WHEN up + 1 >= {p.persistence} THEN 'persistent-severe-deviation' ELSE 'deviation-observed' END ELSE 'baseline-consistent' END
+ FROM (SELECT e.label, e.place, e.vec_id, e.score, severe, up, down, hi, lo FROM r JOIN e ON e.label = r.label AND e.place = r.place + 1 JOIN h ON h.label = e.label))"""
+
+
+@_add("whole_monitor", f"WITH RECURSIVE {_monitor_sql(_P)} SELECT label AS asset, vec_id AS ts, place::INT AS place, state, up::BIGINT AS consecutive, down::BIGINT AS released FROM r")
+def _(s, d):
+    return monitor.monitored(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P).select("asset", "ts", "place", "state", "consecutive", "released")
+
+
+def _variant_sql(name: str, p: monitor.Params) -> str:
+    return f"SELECT '{name}' AS variant, * FROM (WITH RECURSIVE {_monitor_sql(p)} SELECT label AS asset, count_if(state = 'baseline-consistent') AS consistent, count_if(state = 'deviation-observed') AS deviation, count_if(state = 'persistent-severe-deviation') AS severe, count_if(state = 'insufficient-evidence') AS insufficient FROM r GROUP BY 1)"
+
+
+@_add("sensitivity", " UNION ALL ".join(_variant_sql(n, p) for n, p in [("primary", _P), *monitor.sensitivity_variants(_P, _STEPS)]))
 def _(s, d):
-    out = None
-    for name, p in (("persistence=2", (2, 3)), ("persistence=4", (4, 3)), ("release=2", (3, 2)), ("release=4", (3, 4))):
-        one = monitor.state_counts(_states(s, d, *p), "user_id").select(F.lit(name).alias("variant"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return monitor.sensitivity(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P, _STEPS)
 
 
 _ALERT = "(SELECT *, value > 60 AS alert FROM events)"

@@ -105,7 +105,7 @@ def _(s, d):
 
 @_add("group_zscore", f"SELECT {_EV}, {_Z} FROM events WINDOW {_G}")
 def _(s, d):
-    return events(s, d).select("*", *(c.alias(n) for n, c in temporal.zscore("value", KEYS).items()))
+    return temporal.zscored(events(s, d), "value", KEYS)
 
 
 @_add("cross_view_aggregates", f"SELECT {_EV}, {_CROSS} FROM events WINDOW {_X}")
@@ -138,7 +138,7 @@ def _(s, d):
     return labels.split_at(events(s, d), "ts", "2024-01-15")
 
 
-@_add("split_global_pct", f"SELECT {_EV}, CASE WHEN ts < (SELECT ts FROM events ORDER BY ts OFFSET (SELECT (0.8 * count(*))::INT FROM events) LIMIT 1) THEN 'train' ELSE 'test' END AS split FROM events")
+@_add("split_global_pct", f"SELECT {_EV}, CASE WHEN ts < (SELECT ts FROM events ORDER BY ts OFFSET (SELECT floor(0.8 * count(*))::BIGINT FROM events) LIMIT 1) THEN 'train' ELSE 'test' END AS split FROM events")
 def _(s, d):
     return labels.split_global(events(s, d), ORDER, 0.8)
 
@@ -167,6 +167,32 @@ def _folds(s, d):
     return labels.purged_folds(events(s, d), "user_id", "ts", 5, 3)
 
 
+@_add("lobo_rows", "SELECT e.event_id, e.user_id, f.user_id AS fold, CASE WHEN e.user_id = f.user_id THEN 'test' ELSE 'train' END AS role FROM events e, (SELECT DISTINCT user_id FROM events WHERE user_id % 50 = 0) f")
+def _(s, d):
+    # the rows of every fold are as many as rows times users; a fold is a filter
+    return labels.leave_one_out_rows(events(s, d), "user_id").where("fold % 50 = 0").select("event_id", "user_id", "fold", "role")
+
+
+def _labelled(s, d):
+    """Features and labels with repeated and missing keys."""
+    e = events(s, d)
+    known = e.where("event_id % 13 <> 0").select("event_id", (F.col("value") > 20).alias("failed"))
+    return labels.validated_labels(e.select("event_id", "value").unionByName(e.where("event_id % 101 = 0").select("event_id", "value")), known.unionByName(known.where("event_id % 97 = 0")), ["event_id"], ["failed"], "failed")
+
+
+_LABELLED = "f AS (SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events WHERE event_id % 101 = 0), k AS (SELECT event_id, value > 20 AS failed FROM events WHERE event_id % 13 <> 0), l AS (SELECT * FROM k UNION ALL SELECT * FROM k WHERE event_id % 97 = 0)"
+
+
+@_add("validated_labels", f"WITH {_LABELLED} SELECT event_id, round(value, 6) AS value, failed FROM f LEFT JOIN l USING (event_id)")
+def _(s, d):
+    return _labelled(s, d)[0]
+
+
+@_add("label_violations", f"WITH {_LABELLED} SELECT event_id, 'repeated features' AS problem, count(*) AS n FROM f GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT event_id, 'repeated labels', count(*) FROM l GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT event_id, 'missing label', count(*) FROM f LEFT JOIN l USING (event_id) WHERE failed IS NULL GROUP BY 1")
+def _(s, d):
+    return _labelled(s, d)[1]
+
+
 @_add("purged_folds", f"WITH {_FOLD} SELECT {_EV}, fold, role FROM fol")
 def _(s, d):
     return _folds(s, d)
@@ -182,9 +208,14 @@ def _(s, d):
     return labels.nearest_train_gap(_folds(s, d), "user_id", "ts")
 
 
-@_add("fold_zscore", f"WITH {_FOLD}, tr AS (SELECT * FROM fol WHERE role = 'train'), g AS (SELECT fold, user_id, event_type, avg(value) AS m, stddev_samp(value) AS sd FROM tr GROUP BY ALL), w AS (SELECT fold, avg(value) AS gm, stddev_samp(value) AS gs FROM tr GROUP BY ALL) SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, fold, role, round((value - CASE WHEN sd > 0 THEN m ELSE gm END) / CASE WHEN sd > 0 THEN sd WHEN gs > 0 THEN gs ELSE 1e-8 END, 6) AS value_z FROM fol LEFT JOIN g USING (fold, user_id, event_type) LEFT JOIN w USING (fold) WHERE role = 'test'")
+#: Train values of every third user are all alike, so that their groups have no spread.
+_FLAT = "fol2 AS (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 AND role = 'train' THEN 10.0 ELSE value END AS value) FROM fol WHERE role <> 'purged')"
+
+
+@_add("fold_zscore", f"WITH {_FOLD}, {_FLAT}, tr AS (SELECT * FROM fol2 WHERE role = 'train'), g AS (SELECT fold, user_id, event_type, avg(value) AS m, stddev_samp(value) AS sd FROM tr GROUP BY ALL), w AS (SELECT fold, avg(value) AS gm, stddev_samp(value) AS gs FROM tr GROUP BY ALL) SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, fold, role, round((value - coalesce(m, gm)) / (coalesce(nullif(sd, 0), nullif(gs, 0), 1e-8) + 1e-8), 6) AS value_z FROM fol2 LEFT JOIN g USING (fold, user_id, event_type) LEFT JOIN w USING (fold)")
 def _(s, d):
-    return labels.fitted_zscore(_folds(s, d), "value", KEYS)
+    folds = _folds(s, d).withColumn("value", F.when((F.col("user_id") % 3 == 0) & (F.col("role") == "train"), 10.0).otherwise(F.col("value")))
+    return labels.fitted_zscore(folds, "value", KEYS)
 
 
 _REG = "count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - avg((yhat - y) * (yhat - y)) / var_pop(y) END, 6) AS r2, round(median(abs(yhat - y)), 6) AS median_ae, round(avg(yhat - y), 6) AS bias, count_if(y <= 50) AS critical_n, round(avg(CASE WHEN y <= 50 THEN abs(yhat - y) END), 6) AS critical_mae"
@@ -205,12 +236,13 @@ def _(s, d):
     return metrics.bin_counts(predictions(s, d))
 
 
-@_add("rul_range_errors", f"SELECT bin, count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(100 * abs(yhat - y) / nullif(y, 0)), 6) AS mape_defined FROM (SELECT *, {_LBIN} AS bin FROM ({_P})) WHERE bin IS NOT NULL GROUP BY bin")
+@_add("rul_range_errors", f"SELECT bin, count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(100 * avg(abs(yhat - y) / (y + 1e-10)), 6) AS mape, round(avg(100 * abs(yhat - y) / nullif(y, 0)), 6) AS mape_defined FROM (SELECT *, {_LBIN} AS bin FROM (SELECT y + 0.5 AS y, yhat FROM ({_P}))) WHERE bin IS NOT NULL GROUP BY bin")
 def _(s, d):
-    return metrics.range_errors(predictions(s, d)).drop("mape")
+    # half an hour to the end at least, for the plain mape has no meaning at 0
+    return metrics.range_errors(predictions(s, d).withColumn("y", F.col("y") + 0.5))
 
 
-@_add("residual_bins", f"SELECT bin, count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(median(abs(yhat - y)), 6) AS median_ae, round(avg(yhat - y), 6) AS bias, round(min(yhat - y), 6) AS least, round(max(yhat - y), 6) AS most FROM (SELECT *, {_BIN} AS bin FROM ({_P})) WHERE bin IS NOT NULL GROUP BY bin")
+@_add("residual_bins", "SELECT b AS bin, count(y) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(median(abs(yhat - y)), 6) AS median_ae, round(avg(yhat - y), 6) AS bias, round(min(yhat - y), 6) AS least, round(max(yhat - y), 6) AS most FROM (VALUES " + ", ".join(f"('{a}-{b}')" for a, b in zip(labels.RUL_BINS, labels.RUL_BINS[1:], strict=False)) + f") v(b) LEFT JOIN (SELECT *, {_BIN} AS bin FROM ({_P})) q ON b = bin GROUP BY b")
 def _(s, d):
     return metrics.residual_bins(predictions(s, d))
 
@@ -279,9 +311,10 @@ def _(s, d):
     return quality.cadence(events(s, d), ["user_id"], "ts")
 
 
-@_add("artifact_checks", "WITH k AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, coalesce(sum(CASE WHEN n > 1 THEN n END), 0)::BIGINT AS dup_rows, 0::BIGINT AS missing, 0::BIGINT AS infinite FROM k")
+@_add("artifact_checks", "WITH k AS (SELECT user_id, event_type, count(*) AS n, count_if(event_id % 7 = 0) AS missing, count_if(event_id % 11 = 0 AND event_id % 7 <> 0) AS infinite FROM events GROUP BY ALL) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, coalesce(sum(CASE WHEN n > 1 THEN n END), 0)::BIGINT AS dup_rows, sum(missing)::BIGINT AS missing, sum(infinite)::BIGINT AS infinite FROM k")
 def _(s, d):
-    return quality.artifact_checks(events(s, d), KEYS, "value")
+    holes = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.when(F.col("event_id") % 2 == 0, float("inf")).otherwise(float("-inf"))).otherwise(F.col("value"))
+    return quality.artifact_checks(events(s, d).withColumn("value", holes), KEYS, "value")
 
 
 @_add("group_summary", f"SELECT user_id, event_type, count(*) AS n, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::BIGINT AS days, round(arg_min(value, ts), 6) AS first, round(arg_max(value, ts), 6) AS last, round(100.0 * (arg_max(value, ts) - arg_min(value, ts)) / nullif(arg_min(value, ts), 0), 6) AS change_pct, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
