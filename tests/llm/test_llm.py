@@ -66,6 +66,23 @@ def test_exact_dedup(docs, empty):
     assert all(least[h] == min((i for i in ids if i is not None), default=None) for h, ids in by.items())
 
 
+def test_runs_are_merged_in_order(spark, docs):
+    """Every round sorts and merges: what the planner runs has a sort below each pass."""
+    digests = exact_dedup.digests(docs.repartition(40))
+    plan = exact_dedup.merged_runs(digests, fan_in=8)._jdf.queryExecution().executedPlan().toString()
+    rounds = 2 if plan.count("MapInArrow") == 3 else None
+    assert rounds and plan.count("Sort [") == 3 and "Aggregate" not in plan
+    sizes = collections.Counter(r["group_size"] for r in exact_dedup.merged_runs(digests, fan_in=2).collect())
+    assert sizes == collections.Counter(collections.Counter(lower(r[1]) for r in rows()).values())
+    # a run of many batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        again = exact_dedup.exact_duplicates(docs.coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, again)) == sorted(map(repr, exact_dedup.exact_duplicates(docs).collect()))
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
@@ -158,7 +175,6 @@ def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.packed_documents(docs, path, capacity=64, group_size=8, with_ids=True).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = collections.Counter()
     for d, text, *_ in rows():
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -204,15 +220,36 @@ def test_passages(docs, empty):
 
 def test_fm_index_finds_every_window():
     rng = np.random.default_rng(1)
-    seqs = [rng.integers(0, 4, n).astype(np.uint64) for n in (30, 13, 50, 14)]
-    docs = np.array([7, 3, 9, 1])
+    seqs = [rng.integers(1, 5, n) for n in (30, 13, 50, 14, 13)]
+    seqs.append(seqs[1])
+    docs, lengths = np.array([7, 3, 9, 1, 4, 2]), np.array([len(s) for s in seqs])
     for width in (3, 13):
-        least = substring_dedup.first_documents(seqs, docs, width)
-        for s, got in zip(seqs, least, strict=True):
+        least = substring_dedup.first_documents(np.concatenate(seqs), lengths, docs, width, step=7)
+        for s, got in zip(seqs, np.split(least, np.cumsum(lengths - width + 1)[:-1]), strict=True):
             for i, g in enumerate(got):
                 assert g == min(d for x, d in zip(seqs, docs, strict=True) for j in range(len(x) - width + 1) if (x[j : j + width] == s[i : i + width]).all())
 
 
+def test_matching_statistics():
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(1, 4, n) for n in (20, 1, 33, 7)]
+    lengths = np.array([len(s) for s in seqs])
+    index = substring_dedup.FMIndex(np.concatenate(seqs), lengths, 4, sample=3)
+    occurs = lambda x: sum((s[j : j + len(x)] == x).all() for s in seqs for j in range(len(s) - len(x) + 1))
+    streamed = [rng.integers(1, 5, 25), seqs[2]]
+    place = np.concatenate([np.arange(len(s)) for s in streamed])
+    for times in (1, 2):
+        length, low, high = index.matching_statistics(np.concatenate(streamed), place, 9, times)
+        want = [next(k for k in range(min(9, e + 1), -1, -1) if not k or occurs(s[e + 1 - k : e + 1]) >= times) for s in streamed for e in range(len(s))]
+        assert length.tolist() == want
+        every = np.concatenate(streamed)
+        for e in range(len(every)):
+            if length[e]:
+                x = every[e + 1 - length[e] : e + 1]
+                held = sorted(k for k, s in enumerate(seqs) for j in range(len(s) - len(x) + 1) if (s[j : j + len(x)] == x).all())
+                assert sorted(index.sequences_at(np.arange(low[e], high[e])).tolist()) == held
+
+
 def test_sharding(docs, empty):
     got = sharding.extendible_shards(docs, 4000, step=3).collect()
     assert len(got) == len(rows()) and sum(r["n_bytes"] for r in got) == sum(len((r[1] or "").encode()) for r in rows())
@@ -270,7 +307,6 @@ def test_token_files(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = repair.read_shards(repair.write_shards(docs, path, shard_tokens=500)).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = [np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in sorted(rows(), key=lambda r: -1 if r[0] is None else r[0])]
     starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
     assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((a, len(x), zlib.crc32(x.tobytes())) for a, x in zip(starts, ids, strict=True))
@@ -285,6 +321,10 @@ def test_grammar_round_trip_and_random_access():
         for a in range(0, len(ids), 97):
             assert (s.ids(a, a + 61) == ids[a : a + 61]).all()
     assert len(s.rules)
+    # no pair is left that stands anywhere often enough
+    left, rules = repair.grammar(ids, 100, least=8)
+    pairs = collections.Counter(zip(left.tolist(), left[1:].tolist(), strict=False))
+    assert len(rules) and max(n for (a, b), n in pairs.items() if a != b) < 8
 
 
 def test_classifier(spark, docs, empty):
