@@ -30,10 +30,22 @@ base AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transf
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN rem USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 50 OR n_words - removed_words < 0.5 * n_words)) AS kept FROM f""",
+    # addresses that stand in one another's canonical or refresh tags reach each other; targets are
+    # absolute, without scheme, or from the root
     "op8_url_filter": r"""
-WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-  CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
-r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)""",
+WITH RECURSIVE r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+tag AS (SELECT url AS base, unnest(regexp_extract_all(coalesce(html, ''), '<(?:link|meta)\b[^>]*>', 0, 'is')) AS t FROM pages WHERE contains(url, '://')),
+att AS (SELECT base, lower(t[2:5]) AS kind, list_transform(['rel', 'href', 'http-equiv', 'content'], lambda a: trim(regexp_extract(t, '[\s"'']' || a || '\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1, 'is'), '"''')) AS a FROM tag),
+lnk AS (SELECT base, trim(replace(CASE WHEN kind = 'link' AND regexp_matches(lower(a[1]), '(^|\s)canonical(\s|$)') THEN a[2] WHEN kind = 'meta' AND lower(a[3]) = 'refresh' THEN regexp_extract(a[4], 'url\s*=\s*[''"]?([^''"]+)', 1, 'is') ELSE '' END, '&amp;', '&')) AS x FROM att),
+adr AS (SELECT base, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(base, '^(.*?)://', 1, 's') || ':' || x WHEN starts_with(x, '/') THEN regexp_extract(base, '^(.*?://[^/?#]*)', 1, 's') || x END AS x FROM lnk),
+pair AS (SELECT base AS a, x AS b FROM adr WHERE x IS NOT NULL),
+ends AS (SELECT url AS x FROM pages WHERE contains(url, '://') UNION SELECT b FROM pair),
+node AS (SELECT x, translate(regexp_extract(x, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, lower(regexp_extract(x, '^(.*?)://', 1, 's')) || '://' || regexp_extract(x, '^.*?://[^/?#]*([^#]*)', 1, 's') AS n FROM ends),
+named AS (SELECT x, host, path, host || ' ' || n AS n FROM node),
+best AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM named JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n),
+link AS (SELECT u.n AS a, v.n AS b FROM pair JOIN named u ON u.x = pair.a JOIN named v ON v.x = pair.b),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+alias AS (SELECT a AS n, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS v FROM reach JOIN best ON reach.b = best.n GROUP BY a)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(best.verdict, alias.v, 'allow') AS verdict FROM pages LEFT JOIN named ON url = x LEFT JOIN best USING (n) LEFT JOIN alias USING (n)""",
 }

@@ -2,11 +2,14 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm import line_rules, packing, repair, substring_dedup
+from cadenza.llm import line_rules, oracle, packing, repair, substring_dedup, url_filter
 
 
 def test_copies_count_as_documents_if_asked(spark):
@@ -64,3 +67,41 @@ def test_added_tokens_are_encoded_as_loaded(spark):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(k, a, len(x), zlib.crc32(x.tobytes())) for k, (a, x) in enumerate(zip(starts, want, strict=True))]
     got = packing.packed_documents(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == [(k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids_of("byte_bpe_50k.json"))]
+
+
+def _pages_with_aliases(spark):
+    """The test pages, every third with a canonical or refresh tag to another page or to an address that
+    no page has."""
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect())
+    urls = [r["url"] for r in rows]
+    out = []
+    for k, r in enumerate(rows):
+        to = urls[(7 * k + 3) % len(urls)] if k % 2 else "http://www.Example.org/es/1"
+        tag = [f'<link rel="canonical" href="{to}">', f"<META content='0; url={to}' http-equiv=refresh>", f"<link rel=alternate href={to}>", '<link href="/en/7?a=1&amp;b=2" rel="x canonical">'][k // 3 % 4]
+        out.append((r["page_id"], r["url"], (r["html"] or "") + (tag if k % 3 == 0 else "")))
+    return [*out, (10_000, None, out[0][2]), (10_001, "no address", out[3][2]), (10_002, urls[0], None)]
+
+
+def test_url_aliases_match_sql(spark):
+    rows = _pages_with_aliases(spark)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    want = con.sql(oracle.ORACLE["op8_url_filter"]).fetchall()
+    got = url_filter.url_verdicts(df)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plain = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(df.withColumn("html", F.lit(""))).collect()}
+    assert sum(plain[r[0]] != r[4] for r in want) > 5  # aliases decide some
+
+
+def test_link_targets_are_resolved(spark):
+    base = "http://a.org/x/y/z.html?q=1"
+    want = {"../b": "http://a.org/x/b", "./b#f": "http://a.org/x/y/b", "../../../b/": "http://a.org/b/", "/p/./q/../r": "http://a.org/p/r", "..": "http://a.org/x/", "?s=&#38;&#x41;": "http://a.org/x/y/z.html?s=&A", "/c?a=1&amp;b=2": "http://a.org/c?a=1&b=2", "HTTP://B.org/./d": "http://b.org/d", "mailto:x@y": None, "#top": None, "b...c/..d": "http://a.org/x/y/b...c/..d", "&#0;": "http://a.org/x/y/\ufffd"}
+    df = spark.createDataFrame([(base, f'<link rel=canonical href="{t}">') for t in want], "url string, html string")
+    assert sorted(r["dst"] for r in url_filter.markup_edges(df).collect()) == sorted(x for x in want.values() if x)
+
+
+def test_very_long_addresses(spark):
+    rows = [(0, "http://" + "a." * 200_000 + "com/en/1", ""), (1, "http://example.com/en/" + "../" * 3000 + "7", '<link rel=canonical href="' + "x/../" * 3000 + '">'), (2, "http://b.net/" + "d" * 1_000_000, None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow"}
