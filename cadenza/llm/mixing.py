@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import md5_int, n_words, stage, words
+from cadenza.llm.common import free_name, md5_int, n_words, stage, words
 
 
 def capped_targets(sources: DataFrame, most_times: int = 3) -> DataFrame:
@@ -78,12 +78,12 @@ def mix(
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("text_key")))
     no = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_no", no).withColumn("weight", weight)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")).withColumn("source_no", no).withColumn("weight", weight)
     total = F.sum("source_size").over(Window.partitionBy())
     targets = capped_targets(totals, most_times).withColumns({"_total": total, "block": F.greatest(F.lit(1), F.least(F.lit(block), F.floor(total / least_blocks))).cast("long")})
     seated = sainte_lague(targets, [], "source_no", F.col("target"), F.round(F.col("_total") / F.col("block")))
     sources = stage(
-        seated.select("source", "source_no", "source_size", "target", "block", F.col("quota").alias("_source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_size)).alias("_n_shards"))
+        seated.select("source", "source_no", "source_size", "target", "block", F.col("quota").alias("_source_quota"), F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("source_rows")) / shard_size)).alias("_n_shards"))
     )
 
     known = sources.select(F.col("source").alias("_source"), "source_no", "_n_shards")
@@ -116,14 +116,22 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows that mix() takes, with the columns of docs: a document once for each whole pass, and
     once more with the words of its spans where a pass takes a part. n_chars, where docs has it, is the
-    new text's length. Rows that repeat both id and text are one document here."""
-    plan = mix(docs, with_spans=True, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"])
-    met = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key")))
-    copies = F.concat(F.array_repeat(F.lit(False), F.col("_passes").cast("int")), F.when(F.size("_spans") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    each = met.select("*", words(F.col(text_col)).alias("_words"), F.explode(copies).alias("_cut"))
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    whole = F.size("_words") == F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    text = F.when(F.col("_cut") & ~whole, cut).otherwise(F.col(text_col))
-    each = each.withColumn("_new", text)
-    return each.select(*(F.col("_new").alias(c) if c == text_col else F.char_length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    new text's length. Of rows that repeat id, source and text, the first in order of all their columns
+    takes the first plan, and so on."""
+    name = {n: free_name(docs, n) for n in ("doc", "source", "key", "passes", "spans", "plans", "rows", "words", "cut", "new", "n", "place")}
+    plan = mix(docs, with_spans=True, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    each = F.struct("passes", "spans")
+    plan = plan.groupBy(F.col("doc_id").alias(name["doc"]), F.col("source").alias(name["source"]), F.col("text_key").alias(name["key"])).agg(F.sort_array(F.collect_list(each)).alias(name["plans"]), F.max("taken").alias(name["n"])).where(F.col(name["n"]) > 0).drop(name["n"])
+    same = F.col(id_col).eqNullSafe(F.col(name["doc"])) & F.col(source_col).eqNullSafe(F.col(name["source"])) & (F.xxhash64(F.col(text_col)) == F.col(name["key"]))
+    met = docs.join(plan, same)
+    single = met.where(F.size(name["plans"]) == 1).withColumn(name["place"], F.lit(1))
+    again = met.where(F.size(name["plans"]) > 1).withColumn(name["place"], F.row_number().over(Window.partitionBy(name["doc"], name["source"], name["key"]).orderBy(*(F.to_json(F.struct(F.col(c))) for c in docs.columns if c != text_col), F.lit(0))))
+    own = F.element_at(name["plans"], F.col(name["place"]))
+    met = single.unionByName(again).withColumns({name["passes"]: own["passes"], name["spans"]: own["spans"]})
+    spans, word = F.col(name["spans"]), F.col(name["words"])
+    copies = F.concat(F.array_repeat(F.lit(False), F.col(name["passes"]).cast("int")), F.when(F.size(spans) > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    each = met.select("*", words(F.col(text_col)).alias(name["words"]), F.explode(copies).alias(name["cut"]))
+    cut = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(word, (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    whole = F.size(word) == F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    each = each.withColumn(name["new"], F.when(F.col(name["cut"]) & ~whole, cut).otherwise(F.col(text_col)))
+    return each.select(*(F.col(name["new"]).alias(c) if c == text_col else F.char_length(name["new"]).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -3,11 +3,14 @@
 Texts with the same n-gram set are one class; only classes are compared. A class's signature is cut
 into bands, whose number and rows are chosen for the target recall at the threshold; classes that
 share a band hash are candidates. Instead of listing all pairs of a band, each member is tied to the
-band's least member; connected components of these ties hold every candidate pair. A component is
-dealt into chunks of `chunk` classes by a hash, and each pair of chunks is a block of its own, compared
-by products of 0-1 matrices over the shared n-grams: a large group of near copies is many blocks, never
-one task. A block reports, for each class, the documents linked to it and one tie to its linked
-neighbours, so a group of m near copies yields in the order of m rows a block, not m * m.
+band's least member; connected components of these ties hold every candidate pair. A component of up to
+`whole` classes is compared as it is, so that each set moves once; in a larger one, which chance may
+chain together, only classes that share a band hash are compared, each pair in the first band that it
+shares. A component or bucket is dealt into chunks of `chunk` classes by a hash, and each pair of
+chunks is a block of its own, compared by products of 0-1 matrices over the shared n-grams: a large
+group of near copies is many blocks, never one task. A block reports, for each class, the documents
+linked to it and one tie to its linked neighbours, so a group of m near copies yields in the order of m
+rows a block, not m * m.
 
 The n-grams are of `width` words, A-Z lower-cased; a text of fewer words has one n-gram of all of them.
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, hashed_words, mixed, stage, windows
+from cadenza.llm.common import batches_of, free_name, hashed_words, mixed, stage, windows
 from cadenza.llm.components import connected_components
 
 #: Stand-ins for null ids are above all ids.
@@ -121,14 +124,18 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def compared_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
-    """blocks: component, i, j, side, c, size, grams, in any order. Returns c, peer (a class it is
+    """blocks: component, band, i, j, side, c, size, grams, bands, in any order. With a band, which is the
+    place of a hash in bands, only pairs whose bands first agree there count. Returns c, peer (a class it is
     linked to directly or through others of the block, or itself), links (documents linked)."""
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        m = linked([np.frombuffer(g[6], np.uint64) for g in group], threshold)
-        side, size, c = np.array([g[3] for g in group]), np.array([g[5] for g in group]), np.array([g[4] for g in group])
-        if group[0][1] != group[0][2]:
+        m = linked([np.frombuffer(g[7], np.uint64) for g in group], threshold)
+        side, size, c = np.array([g[4] for g in group]), np.array([g[6] for g in group]), np.array([g[5] for g in group])
+        if group[0][2] != group[0][3]:
             m &= side[:, None] != side
+        for k in range(group[0][1] or 0):
+            hashes = np.array([g[8][k] for g in group])
+            m &= hashes[:, None] != hashes
         label = np.arange(len(group))
         while True:
             low = np.minimum(label, np.where(m, label, len(group)).min(1))
@@ -142,7 +149,7 @@ def compared_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
         out: list[tuple] = []
         for batch in batches_of(256, batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
+                if group and row[:4] != group[0][:4]:
                     out += compare(group)
                     group = []
                 group.append(row)
@@ -153,12 +160,12 @@ def compared_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
             out = list(compare(group))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["c", "peer", "links"])
 
-    key = ["component", "i", "j"]
-    return blocks.select(*key, "side", "c", "size", "grams").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "c long, peer long, links long")
+    key = ["component", "band", "i", "j"]
+    return blocks.select(*key, "side", "c", "size", "grams", "bands").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "c long, peer long, links long")
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, chunk: int = 256, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, chunk: int = 256, whole: int = 8192, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its group of linked documents),
     n_links (other documents at or above the threshold), kept (one document of each group is)."""
@@ -172,22 +179,28 @@ def near_duplicates(
     ties = banded.join(shared, ["band", "hash"]).where("c != least").select(F.col("c").alias("src"), F.col("least").alias("dst"))
     candidates = stage(connected_components(ties))
 
-    chunks = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("k"))
-    members = candidates.join(chunks, "component").join(classes.select(F.col("c").alias("node"), "row_id", "k1", "k2", "size"), "node")
-    members = members.withColumn("side", F.pmod(F.xxhash64("node"), F.col("k"))).select(F.col("node").alias("c"), "component", "k", "side", "row_id", "k1", "k2", "size")
-    found = with_row_id(docs, id_col, text_col).select(F.col("row_id"), "text").join(members, "row_id")
+    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    of = classes.select(F.col("c").alias("node"), "row_id", "k1", "k2", "size", "bands")
+    members = stage(candidates.join(sizes, "component").join(of, "node").select(F.col("node").alias("c"), "component", "n", "row_id", "k1", "k2", "size", F.when(F.col("n") > whole, F.col("bands")).alias("bands")))
+    found = with_row_id(docs, id_col, text_col).select(F.col("row_id"), "text").join(members.select("row_id", "k1", "k2", "c"), "row_id")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(256, batches):
             sets = ngram_sets(batch.column(0), width)
             same = [set_keys(s) == (a, b) for s, a, b in zip(sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            out = batch.select(["c", "component", "k", "side", "size"]).filter(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([s.tobytes() for s, y in zip(sets, same, strict=True) if y], pa.binary())], [*out.schema.names, "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(same, pa.bool_())), pa.array([s.tobytes() for s, y in zip(sets, same, strict=True) if y], pa.binary())], ["c", "grams"])
 
-    sets = found.select("text", "k1", "k2", "c", "component", F.col("k").cast("int"), F.col("side").cast("int"), "size").mapInArrow(to_sets, "c long, component long, k int, side int, size long, grams binary")
+    sets = found.select("text", "k1", "k2", "c").mapInArrow(to_sets, "c long, grams binary")
     # a repeated row gives its class's set again
-    each = sets.groupBy("c", "component", "k", "side", "size").agg(F.first("grams").alias("grams"))
-    blocks = each.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_o")).withColumns({"i": F.least("side", "_o"), "j": F.greatest("side", "_o")})
+    sets = sets.groupBy("c").agg(F.first("grams").alias("grams"))
+    # what is compared with each other: a component, or in a large one the classes of a band's hash
+    small = members.where(F.col("n") <= whole).select("c", "size", "bands", "component", F.lit(None).cast("int").alias("band"), "n")
+    large = members.where(F.col("n") > whole).select("c", "size", "bands", F.posexplode("bands").alias("band", "component"))
+    buckets = large.groupBy(F.col("band").alias("_b"), F.col("component").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    large = large.join(buckets, (F.col("band") == F.col("_b")) & (F.col("component") == F.col("_h"))).select(*small.columns)
+    k = F.ceil(F.col("n") / chunk).cast("int")
+    sided = small.unionByName(large).withColumn("k", k).withColumn("side", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+    blocks = sided.join(sets, "c").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_o")).withColumns({"i": F.least("side", "_o"), "j": F.greatest("side", "_o")})
     verified = stage(compared_blocks(blocks, threshold))
 
     links = verified.groupBy("c").agg(F.sum("links").alias("links"))
@@ -215,19 +228,22 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5
     # an id that both goes and stays is repeated: decide those rows by their text
     unsure = gone.join(stays, gone["_gone"].eqNullSafe(stays["_stays"]), "left_semi")
     plain = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    # repeated ids are rare: their rows are looked at again only if there are any
     if unsure.isEmpty():
         return plain
     mixed_rows = docs.join(unsure, docs[id_col].eqNullSafe(unsure["_gone"]), "left_semi")
     keep = judged.where("kept").join(unsure, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi").select(F.col("doc_id").alias("_keep"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
 
+    key1, key2, place_name = (free_name(docs, n) for n in ("key1", "key2", "nth"))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(256, batches):
             keys = [set_keys(s) for s in ngram_sets(batch.column(place), width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "_key1", "_key2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, key1, key2])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    keyed_rows = mixed_rows.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_key1", LongType()), StructField("_key2", LongType())]))
-    met = keyed_rows.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_key1") == F.col("_k1")) & (F.col("_key2") == F.col("_k2")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key1", "_key2", id_col).orderBy(text_col))
-    return plain.unionByName(met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
+    keyed_rows = mixed_rows.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(key1, LongType()), StructField(key2, LongType())]))
+    met = keyed_rows.join(keep, keyed_rows[id_col].eqNullSafe(keep["_keep"]) & (keyed_rows[key1] == keep["_k1"]) & (keyed_rows[key2] == keep["_k2"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key1, key2, id_col).orderBy(text_col))
+    return plain.unionByName(met.withColumn(place_name, nth).where(F.col(place_name) == 1).select(*docs.columns))

@@ -23,7 +23,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
 line AS (SELECT doc_id, source, t, regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)),
 host AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-often AS (SELECT source, x FROM (SELECT source, x, count(DISTINCT t) AS c FROM line GROUP BY ALL) JOIN host USING (source) WHERE c > 32 AND c > 0.05 * n),
+often AS (SELECT q.source, x FROM (SELECT source, x, count(DISTINCT t) AS c FROM line GROUP BY ALL) q JOIN host ON q.source IS NOT DISTINCT FROM host.source WHERE c > 32 AND c > 0.05 * n),
 rem AS (SELECT doc_id, sum(len(string_split(x, ' ')))::BIGINT AS removed_words FROM line SEMI JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.x = often.x GROUP BY doc_id),
 base AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words

@@ -145,13 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 4000,
     rows = own.join(drawn, "_id").groupBy("y", "nth", "_id").agg(F.min("_text").alias("_text"))
     ratios = docs.sparkSession.sparkContext.broadcast(r)
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(256, batches):
+            f = [x.tobytes() for x in features_of(batch.column(3), bits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(f, pa.binary())], ["y", "nth", "_id", "f"])
+
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["y", "nth", "_id"])
-        f = [x for k in range(0, len(g), 512) for x in features_of(pa.array(g["_text"][k : k + 512], pa.string()), bits)]
+        f = [np.frombuffer(x, np.uint32) for x in g["f"]]
         w, b, slope, level = _fitted(f, np.where(g["y"] == 1, 1.0, -1.0), ratios.value, n)
         return pd.DataFrame({"w": [w.astype(np.float64).tobytes()], "b": [b], "slope": [slope], "level": [level]})
 
-    # the sample is bounded, so one task fits it
+    # the sample is bounded, and a text of any length is 2 ** bits buckets at most, so one task fits it
+    rows = rows.select(F.col("y").cast("int"), "nth", F.col("_id").cast("long"), "_text").mapInArrow(featured, "y int, nth long, _id long, f binary")
     fitted = rows.groupBy().applyInPandas(learn, "w binary, b double, slope double, level double").first()
     return Model(bits, np.frombuffer(fitted["w"], np.float64) * r, r * r, fitted["b"], fitted["slope"], fitted["level"])
 
@@ -168,7 +174,9 @@ def _fitted(f: list[np.ndarray], y: np.ndarray, r: np.ndarray, n: dict[int, int]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with all columns, and the score."""
+    """docs with all columns, and the score under `name`, which must not be the name of one of them."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

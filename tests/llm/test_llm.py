@@ -200,6 +200,47 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert len(packing.bin_completion(np.array([6, 6, 4, 4, 3, 3, 2, 2]), 10)) == 3
 
 
+def least_bins(sizes, capacity):
+    """By subsets: the fewest bins, and the least fill of the last of them."""
+    best = [(0, capacity)] + [None] * ((1 << len(sizes)) - 1)
+    for mask in range(1, 1 << len(sizes)):
+        options = []
+        for k, s in enumerate(sizes):
+            if mask >> k & 1:
+                n, fill = best[mask ^ (1 << k)]
+                options.append((n, fill + s) if fill + s <= capacity else (n + 1, s))
+        best[mask] = min(options)
+    return best[-1][0]
+
+
+def test_bin_completion_is_optimal_without_a_budget():
+    rng = np.random.default_rng(9)
+    beaten = 0
+    for k in range(150):
+        capacity = int(rng.integers(10, 60))
+        s = rng.integers(1, capacity if k % 2 else capacity // 2 + 1, int(rng.integers(2, 11)))
+        bins = packing.bin_completion(s, capacity, None)
+        assert len(bins) == least_bins(s.tolist(), capacity) and sorted(x for b in bins for x in b) == sorted(s.tolist()) and all(sum(b) <= capacity for b in bins)
+        beaten += len(bins) < len(packing.best_fit(np.bincount(s, minlength=capacity + 1), capacity))
+    assert beaten
+
+
+def test_bin_completion_at_its_production_budget():
+    rng = np.random.default_rng(3)
+    better = 0
+    for _ in range(6):
+        s = rng.integers(150, 520, 400)
+        n, fit = len(packing.bin_completion(s, 1024)), len(packing.best_fit(np.bincount(s, minlength=1025), 1024))
+        assert n <= fit
+        better += n < fit
+    assert better >= 3
+
+
+def test_every_filling_is_undominated():
+    counts = np.bincount([2, 3, 3, 5, 7], minlength=11)
+    assert sorted(packing.every_filling(counts, 10)) == sorted([(7, 3), (5, 3, 2)])
+
+
 def test_passages(docs, empty):
     data = [r for r in rows() if r[0] is not None]
     seen = {}

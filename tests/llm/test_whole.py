@@ -1,15 +1,17 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm import line_rules, oracle, packing, repair, substring_dedup, url_filter
+from cadenza.llm import line_rules, mixing, near_dedup, oracle, packing, repair, sharding, substring_dedup, url_filter
 
 
 def test_copies_count_as_documents_if_asked(spark):
@@ -105,3 +107,86 @@ def test_very_long_addresses(spark):
     rows = [(0, "http://" + "a." * 200_000 + "com/en/1", ""), (1, "http://example.com/en/" + "../" * 3000 + "7", '<link rel=canonical href="' + "x/../" * 3000 + '">'), (2, "http://b.net/" + "d" * 1_000_000, None)]
     got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "block", 1: "block", 2: "allow"}
+
+
+def _links(texts):
+    """Linked others and group by brute force, on the n-gram sets themselves."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate({k: k + 32 for k in range(65, 91)}).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    of = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            of[g].append(k)
+    links = []
+    for k, s in enumerate(sets):
+        common = collections.Counter(j for g in s for j in of[g] if j != k)
+        links.append({j for j, n in common.items() if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9})
+    return links
+
+
+@pytest.mark.parametrize("whole", [8192, 3])
+def test_near_duplicates_of_a_whole_table(spark, whole):
+    """All links of the table, whether components are compared whole or by the bands' buckets."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = df.select("doc_id", "text").collect()
+    links = _links([r["text"] for r in data])
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(df, chunk=4, whole=whole).collect()}
+    found = sum(got[r["doc_id"]]["n_links"] for r in data)
+    assert all(got[r["doc_id"]]["n_links"] <= len(x) for r, x in zip(data, links, strict=True)) and found >= 0.99 * sum(map(len, links)) > 100
+    if found == sum(map(len, links)):
+        group = {}
+        for k in range(len(data)):
+            stack = [k]
+            while stack:
+                j = stack.pop()
+                if j not in group:
+                    group[j] = k
+                    stack += links[j]
+        least = {}
+        for k, r in enumerate(data):
+            least[group[k]] = min(least.get(group[k], r["doc_id"]), r["doc_id"])
+        assert all(got[r["doc_id"]]["class_id"] == least[group[k]] for k, r in enumerate(data))
+
+
+def test_mixed_rows_follow_the_plan(spark):
+    """Rows that repeat id and text, of one source and of two, each take a plan of their own."""
+    text = " ".join(f"w{k}" for k in range(7))
+    data = [(k // 3, text, ["s0", "s1", None][k % 2 if k < 20 else 2], k % 4, True) for k in range(30)] + [(50, " ".join(f"v{k}" for k in range(90)), "s1", 0, None), (51, "", "s0", 1, True), (52, None, "s1", 1, True)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long, _words boolean").repartition(3)
+    plan = mixing.mix(df, block=2, least_blocks=50).collect()
+    out = mixing.mixed_documents(df, block=2, least_blocks=50)
+    assert out.columns == df.columns
+    want, got = collections.Counter(), collections.Counter()
+    for r in plan:
+        want[r["doc_id"], r["source"]] += r["taken"]
+    for r in out.collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert +want == +got
+
+
+def test_sharding_of_equal_rows(spark):
+    """Rows that no bit tells apart are numbered into parts below depth 64."""
+    data = [(1, "x" * 700)] * 9 + [(2, "y" * 3000), (3, None), (4, "z" * 100)]
+    got = sharding.extendible_shards(spark.createDataFrame(data, "doc_id long, text string"), 2000).collect()
+    deep = collections.Counter(r["shard"] for r in got if r["doc_id"] == 1)
+    assert sorted(deep.values()) == [1, 2, 2, 2, 2] and {r["part"] for r in got if r["doc_id"] == 1} == set(range(5)) and all(r["depth"] == 64 and r["shard_bytes"] <= 2000 for r in got if r["doc_id"] == 1)
+    assert [r["oversized"] for r in got if r["doc_id"] == 2] == [True] and len(got) == len(data)
+
+
+def test_frequent_lines_match_sql(spark):
+    """The SQL of the query over hosts with repeated lines, so that its line part decides something."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()
+    line = "  All RIGHTS reserved by the \t owner of this page and of every other page here"
+    data = [(r["doc_id"], (r["text"] or "") + "\n" + line if k % 3 else "\n".join([line] * 9) + "\n" + " ".join((r["text"] or "").split()[:60]), "h" if k % 2 else None) for k, r in enumerate(rows)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in data], "text": [r[1] for r in data], "source": [r[2] for r in data]}))
+    want = con.sql(oracle.ORACLE["op3_quality_rules"])
+    got = line_rules.line_frequency_rules(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4))
+    a, b = sorted(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()), sorted(tuple(r[want.columns.index(c)] for c in sorted(want.columns)) for r in want.fetchall())
+    assert a == b
+    removed, kept = sorted(got.columns).index("removed_words"), sorted(got.columns).index("kept")
+    failed = sorted(got.columns).index("base_failed")
+    assert sum(r[removed] > 0 for r in a) > 300 and sum(not r[kept] and not r[failed] for r in a) > 20
