@@ -6,9 +6,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm import exact_dedup, mixing, near_dedup, packing, quality
-from cadenza.llm.common import stage
+from cadenza.llm.common import free_name, stage
 
 #: SQL can't express the classifier or the tokenizer.
 ORACLE_SQL = None
@@ -17,7 +18,8 @@ ORACLE_SQL = None
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.where(~quality.held_out()).select("doc_id", "text"), labels)
-    return quality.score(docs, model, name="_score").where("_score >= 0.7").drop("_score")
+    name = free_name(docs, "score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.7).drop(name)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -382,6 +383,66 @@ def test_classifier(spark, docs, empty):
     assert {round(r["score"], 6) for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_log_count_ratios_are_those_of_the_counts(spark):
+    """The fit's ratios, counted in plain Python over all labelled rows, repeated ones as often."""
+    rng = np.random.default_rng(7)
+    word = lambda y: "".join(rng.choice(list("abcd" if y else "cdef"), 3))
+    data = [(k, None if k == 5 else " ".join(word(k % 2) for _ in range(int(rng.integers(0, 20))))) for k in range(60)] + [(0, "twice")]
+    labels = [(k, k % 2) for k in range(50)] + [(3, 0), (51, None), (None, 1), (52, 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), bits=14)
+    count = np.ones((2, 1 << 14))
+    features = quality.features_of(pa.array([t for _, t in data]), 14)
+    for (d, _), f in zip(data, features, strict=True):
+        if d < 50 and d != 3:
+            count[d % 2, f] += 1
+    r = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    assert np.allclose(model.square, r * r)
+    scores = model.scores(pa.array([t for _, t in data]))
+    for f, p in zip(features, scores, strict=True):
+        margin = sum(model.weight[k] for k in f) / math.sqrt(sum(r[k] ** 2 for k in f)) + model.bias
+        assert abs(p - 1 / (1 + math.exp(-model.slope * margin - model.level))) < 1e-9
+
+
+def test_features_are_the_ngrams(spark):
+    """Texts with equal sets of byte n-grams and no repeated words have equal features, others not."""
+    f = quality.features_of(pa.array(["abcde", "abcde", "abcd", None, ""]), 18)
+    assert (f[0] == f[1]).all() and set(f[2]) != set(f[0]) and (f[3] == f[4]).all()
+    grams = {t[i : i + n] for t in ["\x02abcde\x03"] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    assert len(f[0]) == len(grams)
+
+
+def test_coordinate_descent_reaches_the_optimum():
+    """The dual solution has no gap to the primal objective."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(40, int(rng.integers(1, 9)), replace=False)).astype(np.uint32) for _ in range(80)]
+    y, r, cost = np.where(rng.random(80) < 0.5, 1.0, -1.0), rng.normal(size=40), 0.1
+    w, b = quality.dual_coordinate_descent(rows, y, r, cost, passes=3000)
+    x = np.zeros((80, 41))
+    for k, f in enumerate(rows):
+        x[k, f] = r[f] / np.linalg.norm(r[f])
+    x[:, 40] = 1
+    primal = lambda v: 0.5 * v @ v + cost * np.maximum(0, 1 - y * (x @ v)).sum()
+    ours, best = primal(np.append(w, b)), np.append(w, b)
+    for _ in range(4000):  # no small step in any direction is better
+        trial = best + rng.normal(size=41) * 10 ** rng.uniform(-4, -1)
+        assert primal(trial) >= ours - 1e-3 * ours
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(80)
+    for _ in range(5000):  # projected gradient on the dual
+        alpha = np.clip(alpha - 0.01 * (q @ alpha - 1), 0, cost)
+    assert abs(ours - (alpha.sum() - 0.5 * alpha @ q @ alpha)) < 2e-3 * ours
+
+
+def test_logistic_fit_is_the_weighted_optimum():
+    rng = np.random.default_rng(6)
+    m, weight = rng.normal(size=60), rng.uniform(0.5, 2, 60)
+    y = (m + rng.normal(size=60) > 0).astype(float)
+    slope, level = quality._logistic(m, y, weight)
+    loss = lambda a, b: (weight * np.logaddexp(0, -(2 * y - 1) * (a * m + b))).sum() + 0.5 * (1e-2 * a * a + 1e-4 * b * b)
+    assert all(loss(slope, level) <= loss(slope + da, level + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
@@ -395,12 +456,75 @@ def test_matches_sql(spark, name):
 
 
 def test_pipeline_stages(spark):
+    """Each stage on what the one before kept, against plain Python."""
+    from cadenza.llm.common import stage as staged
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stage(stage(spark, docs, SF))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        n.append(docs.count())
-    assert n[0] > n[1] >= n[2] > n[3]
-    assert docs.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= n[-1]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    (_, classifier), (_, exact), (_, near), (_, mixing_stage), (_, packing_stage) = corpus_pipeline.STAGES
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert docs.columns == columns
+    # classifier: those that the model scores 0.7 at least
+    model = quality.fit(docs.where(~quality.held_out()).select("doc_id", "text"), labels)
+    first = docs.collect()
+    scores = model.scores(pa.array([r["text"] for r in first], pa.string()))
+    good = staged(classifier(spark, docs, SF))
+    assert rows_of(good) == sorted((tuple(r) for r, p in zip(first, scores, strict=True) if p >= 0.7), key=repr) and good.count() < len(first)
+    # exact dedup: of equal texts the largest id
+    best = {}
+    for r in good.collect():
+        if lower(r["text"]) not in best or best[lower(r["text"])]["doc_id"] < r["doc_id"]:
+            best[lower(r["text"])] = r
+    once = staged(exact(spark, good, SF))
+    assert rows_of(once) == sorted(map(tuple, best.values()), key=repr)
+    # near duplicates: the least id of each group of linked texts
+    left = once.orderBy("doc_id").collect()
+    links = jaccard_links([(r["doc_id"], r["text"]) for r in left])
+    seen, kept = set(), []
+    for k, r in enumerate(left):
+        if k not in seen:
+            kept.append(r)
+            stack = [k]
+            while stack:
+                j = stack.pop()
+                if j not in seen:
+                    seen.add(j)
+                    stack += links[j]
+    apart = staged(near(spark, once, SF))
+    assert rows_of(apart) == sorted(map(tuple, kept), key=repr) and len(kept) < len(left)
+    # mixing: whole passes and parts, as planned; every row's words are its document's
+    plan = collections.Counter({r["doc_id"]: r["taken"] for r in mixing.mix(apart).collect()})
+    mixed = staged(mixing_stage(spark, apart, SF))
+    source = {r["doc_id"]: words(r["text"]) for r in kept}
+    got = collections.Counter()
+    for r in mixed.collect():
+        w = words(r["text"])
+        got[r["doc_id"]] += len(w)
+        assert r["n_chars"] == len(r["text"]) and not collections.Counter(w) - collections.Counter(source[r["doc_id"]])
+    assert +plan == +got and mixed.columns == columns
+    # packing: the pieces of all rows, in sequences of 1024 ids at most
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for r in mixed.collect():
+        ids = [*t.encode(r["text"], add_special_tokens=False).ids, 2]
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            want[r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    packed = packing_stage(spark, mixed, SF).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(b)] == list(np.cumsum([0, *(n for _, n in sorted(b))])[:-1]) and sum(n for _, n in b) <= 1024 for b in bins.values())
+
+
+def test_clashing_names(spark):
+    """Columns with the names of helpers change nothing."""
+    names = "_words _spans _cut _new _doc _key _nth _row_sha _keep _key1 _key2 _id _kept_key _n _passes _plans _score _KEY".split()[:-1]
+    data = [(k, f"a{k % 3} b c d e f g {'x ' * (k % 3)}", "s", *range(len(names))) for k in range(8)] + [(1, "a1 b c d e f g x ", "s", *range(len(names)))]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)
+    df, plain = spark.createDataFrame(data, schema), spark.createDataFrame([r[:3] for r in data], "doc_id long, text string, source string")
+    for operator in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates, mixing.mixed_documents):
+        got, want = operator(df), operator(plain)
+        assert got.columns == df.columns and sorted(map(repr, got.select(*plain.columns).collect())) == sorted(map(repr, want.collect())), operator

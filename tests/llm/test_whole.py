@@ -179,8 +179,8 @@ def test_sharding_of_equal_rows(spark):
 def test_frequent_lines_match_sql(spark):
     """The SQL of the query over hosts with repeated lines, so that its line part decides something."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()
-    line = "  All RIGHTS reserved by the \t owner of this page and of every other page here"
-    data = [(r["doc_id"], (r["text"] or "") + "\n" + line if k % 3 else "\n".join([line] * 9) + "\n" + " ".join((r["text"] or "").split()[:60]), "h" if k % 2 else None) for k, r in enumerate(rows)]
+    lines = [f"  All RIGHTS {i} reserved{i} by{i} \t the{i} owner{i} of{i} this{i} page{i}" for i in range(9)]
+    data = [(r["doc_id"], (r["text"] or "") + "\n" + lines[0] if k % 3 else "\n".join(lines) + "\n" + " ".join((r["text"] or "").split()[:60]), "h" if k % 2 else None) for k, r in enumerate(rows)]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": [r[0] for r in data], "text": [r[1] for r in data], "source": [r[2] for r in data]}))
     want = con.sql(oracle.ORACLE["op3_quality_rules"])
