@@ -90,7 +90,7 @@ def aggregated_windows(df: DataFrame, by: list[str], features: list[str]) -> Dat
 def quantised(x: Column) -> Column:
     """12 significant digits, no negative zero; null stays null, NaN and infinity are errors."""
     finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(x.isNull() | finite, F.format_string("%.11e", x).cast("double") + 0.0).otherwise(F.raise_error(F.lit("value is not finite")).cast("double"))
+    return F.when(x.isNull(), F.lit(None)).when(finite, F.format_string("%.11e", x).try_cast("double") + 0.0).otherwise(F.raise_error(F.lit("value is not finite")).cast("double"))
 
 
 def resampled(df: DataFrame, samples: str, source_fs: float, target_fs: float) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +33,27 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ts", file_time(F.col("name"))).withColumn("recording_index", F.row_number().over(Window.orderBy("ts", "name")) - 1)
 
 
-def matrices(spark: SparkSession, path: str, columns: int = 8) -> DataFrame:
-    """A row for each file: name, ts, samples (array of arrays of double), status: ok, empty, columns,
-    or numbers. Lines stay in file order because each file is read whole."""
+def matrices(spark: SparkSession, path: str, columns: int = 8, rows: int | None = None, separator: str = r"\t", fs: float = 20_000.0, listing: DataFrame | None = None) -> DataFrame:
+    """A row for each file: name, ts, samples (array of arrays of double), n_samples, duration_s, and
+    status: ok, empty, blank row, rows, columns, or numbers. Lines stay in file order because each file is
+    read whole. Cells stand between separators, a pattern: tabs, or any white space with r"\\s+". With
+    `rows` so many are expected, none of them blank; otherwise blank ones are left out. Spark doesn't list
+    files without a byte; a listing (name) of what should be there gives them a row, as empty."""
     text = spark.read.text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("name"), "value")
-    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: F.trim(x) != "")
-    cells = F.transform(lines, lambda x: F.split(F.btrim(x, F.lit(" \t\r")), r"[ \t]+"))
-    numbers = F.transform("_cells", lambda r: F.transform(r, lambda c: c.try_cast("double")))
-    rows = text.select("name", cells.alias("_cells")).withColumn("samples", numbers)
+    if listing is not None:
+        names = listing.select("name").distinct()
+        text = text.join(names.withColumnRenamed("name", "_listed"), F.col("name") == F.col("_listed"), "full").select(F.coalesce("name", "_listed").alias("name"), F.coalesce("value", F.lit("")).alias("value"))
+    whole = F.filter(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"), lambda x: F.lit(True))
+    lines = F.filter(whole, lambda x: F.trim(x) != "")
+    cells = F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^[ \r]+|[ \r]+$", ""), separator))
+    numbers = F.transform("_cells", lambda r: F.transform(r, lambda c: F.btrim(c).try_cast("double")))
+    read = text.select("name", cells.alias("_cells"), (F.size(whole) - F.size(lines)).alias("_blank")).withColumn("samples", numbers)
     bad = F.exists("samples", lambda r: F.exists(r, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    status = F.when(F.size("_cells") == 0, "empty").when(F.exists("_cells", lambda r: F.size(r) != columns), "columns").when(bad, "numbers").otherwise("ok")
-    return rows.select("name", file_time(F.col("name")).alias("ts"), "samples", status.alias("status"))
+    status = F.when(F.size("_cells") == 0, "empty")
+    if rows is not None:
+        status = status.when(F.col("_blank") > 0, "blank row").when(F.size("_cells") != rows, "rows")
+    status = status.when(F.exists("_cells", lambda r: F.size(r) != columns), "columns").when(bad, "numbers").otherwise("ok")
+    return read.select("name", file_time(F.col("name")).alias("ts"), "samples", F.size("samples").alias("n_samples"), (F.size("samples") / fs).alias("duration_s"), status.alias("status"))
 
 
 def channels(recordings: DataFrame) -> DataFrame:
@@ -84,13 +94,16 @@ def strict_json_lines(lines: DataFrame, schema: str, line: str = "value") -> Dat
             return "syntax"
         return "duplicate key" if repeated else None if isinstance(value, dict) else "not an object"
 
-
-
     @F.pandas_udf("string")
     def problems(s: pd.Series) -> pd.Series:
-        return s.map(problem)
+        return s.map(lambda text: None if text is None else problem(text))
 
-    return lines.withColumn("problem", problems(line)).withColumn("row", F.when(F.col("problem").isNull(), F.from_json(line, schema)))
+    # Spark's own parser takes no repeated key; only lines that it refuses go to Python
+    parsed = lines.withColumn("_v", F.try_parse_json(line))
+    doubtful = F.when(F.col("_v").isNull(), F.coalesce(line, F.lit("")))
+    own = F.when(F.col("_v").isNotNull() & ~F.schema_of_variant("_v").startswith("OBJECT"), "not an object")
+    checked = parsed.withColumn("_own", own).withColumn("problem", F.coalesce("_own", problems(doubtful))).drop("_v", "_own")
+    return checked.withColumn("row", F.when(F.col("problem").isNull(), F.from_json(line, schema)))
 
 
 def closed_keys(json_text: Column, expected: list[str]) -> tuple[Column, Column]:
@@ -99,22 +112,32 @@ def closed_keys(json_text: Column, expected: list[str]) -> tuple[Column, Column]
     return F.array_except(want, keys), F.array_except(keys, want)
 
 
-def publish(df: DataFrame, path: str, staging: str) -> bool:
-    """Write a table once. The same rows again change nothing (False); other rows are an error."""
+def publish(df: DataFrame, path: str) -> bool:
+    """Write a table once. The same rows again change nothing (False); other rows are an error. Spark
+    moves the files of a write into place when all of them are there; what a broken one leaves holds
+    other rows, and is an error too."""
     from cadenza.operators.identity import tables_differ
 
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        if tables_differ(spark.read.schema(df.schema).parquet(path), df).isEmpty():
-            return False
-        raise ValueError(f"{path} holds other rows")
-    df.write.mode("overwrite").parquet(staging)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), fs_path):
-        raise OSError(f"can't move {staging} to {path}")
-    return True
-
-
-def canonical_json(value: object) -> bytes:
-    return (json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True) + "\n").encode()
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        df.write.mode("error").parquet(path)
+        return True
+    if tables_differ(spark.read.schema(df.schema).parquet(path), df).isEmpty():
+        return False
+    raise ValueError(f"{path} holds other rows")
+
+
+def publish_all(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """Publish several tables as members of a folder, and no others: a member that isn't among them is an
+    error before anything is written. Returns the names that were written."""
+    spark = next(iter(tables.values())).sparkSession
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("member")).distinct()
+        others = sorted({r["member"] for r in files.collect()} - set(tables))
+    except AnalysisException:
+        others = []
+    if others:
+        raise ValueError(f"{folder} has other members: {others}")
+    return [name for name, df in tables.items() if publish(df, f"{folder}/{name}")]

@@ -1,44 +1,23 @@
-"""The monitor's state machine over a stream: scores of a trajectory are put in event-time order behind
-the watermark by append-mode windows upstream, and counters live in state between micro-batches."""
+"""Scores of streams as they arrive: repeated rows are dropped, and each window of a stream is judged once,
+when the watermark has passed it; rows that come later than that are left out, as the watermark says."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-
-from cadenza.operators.monitor import CONSISTENT, DEVIATION, INSUFFICIENT, SEVERE
-
-OUTPUT = "stream string, ts timestamp, score double, state string"
-
-
-def stream_states(scores: DataFrame, threshold: float, reset: float, persistence: int = 6, release: int = 6) -> DataFrame:
-    """scores: stream, ts, score, streaming. Within a micro-batch rows are ordered by time; a row older
-    than the last one seen of its stream is late and dropped, as a watermark would."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        severe, above, below, last = state.get if state.exists else (False, 0, 0, pd.Timestamp(0).value)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        rows = rows[rows["ts"].map(lambda t: t.value) > last]
-        out = []
-        for ts, score in zip(rows["ts"], rows["score"], strict=True):
-            if score != score or score is None:
-                severe, above, below, name = False, 0, 0, INSUFFICIENT
-            elif severe:
-                below = below + 1 if score <= reset else 0
-                name = SEVERE
-                if below >= release:
-                    severe, above, below, name = False, 0, 0, CONSISTENT
-            elif score > threshold:
-                above += 1
-                severe, below = above >= persistence, 0
-                name = SEVERE if severe else DEVIATION
-            else:
-                above, name = 0, CONSISTENT
-            out.append((key[0], ts, score, name))
-            last = ts.value
-        state.update((bool(severe), int(above), int(below), int(last)))
-        yield pd.DataFrame(out, columns=["stream", "ts", "score", "state"])
-
-    return scores.groupBy("stream").applyInPandasWithState(step, OUTPUT, "severe boolean, above long, below long, last long", "append", "NoTimeout")
+from pyspark.sql import functions as F
+
+
+def window_alerts(scores: DataFrame, thresholds: DataFrame | None = None, window: str = "1 hour", late: str = "10 minutes", keys: tuple[str, ...] = ("stream", "ts"), threshold: float | None = None) -> DataFrame:
+    """scores: stream, ts, score, streaming or not; keys tell rows apart. thresholds: stream, threshold (a
+    static table); without it one threshold for all. Returns stream, begin, end, n, mean, most, above
+    (scores over the threshold) and alert (the mean is over it; null without a threshold). Null scores
+    count in n alone; rows without a time have no window."""
+    timed = scores.where("ts IS NOT NULL").withWatermark("ts", late)
+    rows = timed.dropDuplicatesWithinWatermark(list(keys)) if scores.isStreaming else timed.dropDuplicates(list(keys))
+    if thresholds is not None:
+        rows = rows.join(thresholds.select(F.col("stream").alias("_stream"), "threshold"), F.col("stream") == F.col("_stream"), "left").drop("_stream")
+    else:
+        rows = rows.withColumn("threshold", F.lit(threshold).cast("double"))
+    judged = rows.groupBy("stream", "threshold", F.window("ts", window).alias("_w")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.max("score").alias("most"), F.count_if(F.col("score") > F.col("threshold")).alias("above"))
+    return judged.select("stream", F.col("_w.start").alias("begin"), F.col("_w.end").alias("end"), "n", "mean", "most", "above", (F.col("mean") > F.col("threshold")).alias("alert"))

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import registry, signal
-from cadenza.operators import evidence, identity, labels, metrics, models, monitor, selection, temporal
-from cadenza.sources import recordings
+from cadenza.operators import evidence, folds, identity, labels, metrics, models, monitor, selection, temporal
+from cadenza.sources import recordings, sinks
+from cadenza.streaming import monitor as stream_monitor
 
 
 def series(spark, values, bearing=3, axis="x"):
@@ -102,6 +103,14 @@ def test_recordings_and_archives(spark, tmp_path):
     each = recordings.channels(recordings.matrices(spark, f"file://{tmp_path}")).orderBy("channel").collect()
     assert len(each) == 8 and each[3]["asset"] == 2 and each[3]["view"] == "y" and each[3]["signal"] == [3, 4, 5, 6]
     assert recordings.manifest(spark, f"file://{tmp_path}").count() == 2  # an empty file has no row
+    listed = spark.createDataFrame([("2004.02.12.10.32.39",), ("2004.02.12.10.52.39",)], "name string")
+    rows = {r["name"]: r for r in recordings.matrices(spark, f"file://{tmp_path}", rows=4, listing=listed).collect()}
+    assert rows["2004.02.12.10.52.39"]["status"] == "empty" and rows["2004.02.12.10.32.39"]["status"] == "ok" and rows["2004.02.12.10.32.39"]["n_samples"] == 4
+    assert rows["2004.02.12.10.42.39"]["status"] == "rows"
+    (tmp_path / "2004.02.12.11.02.39").write_text("1\t2\n\n3\t4\n")
+    one = lambda **how: recordings.matrices(spark, f"file://{tmp_path}/2004.02.12.11.02.39", 2, **how).first()["status"]
+    assert (one(), one(rows=2), one(separator=" ")) == ("ok", "blank row", "columns")
+    (tmp_path / "2004.02.12.11.02.39").unlink()
     listing = spark.createDataFrame([(f"-rw-r--r-- 0 u g 5 Feb 1 2004 {p}",) for p in ("a/1", "A/1", "../x", "b", "b", "ok")], "value string")
     assert sorted(r["verdict"] for r in recordings.archive_members(listing).collect()) == ["case-collision", "case-collision", "duplicate", "duplicate", "ok", "unsafe"]
 
@@ -110,10 +119,14 @@ def test_strict_json_and_publish(spark, tmp_path):
     lines = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ("",), ("[1]",), ("{",)], "value string")
     assert [r["problem"] for r in recordings.strict_json_lines(lines, "a int").collect()] == [None, "duplicate key", "blank", "not an object", "syntax"]
     df = spark.range(5)
-    args = (f"file://{tmp_path}/t", f"file://{tmp_path}/s")
-    assert recordings.publish(df, *args) is True and recordings.publish(df, *args) is False
+    path = f"file://{tmp_path}/t"
+    assert recordings.publish(df, path) is True and recordings.publish(df, path) is False
     with pytest.raises(ValueError, match="other rows"):
-        recordings.publish(spark.range(6), *args)
+        recordings.publish(spark.range(6), path)
+    folder = f"file://{tmp_path}/all"
+    assert recordings.publish_all({"a": df, "b": df}, folder) == ["a", "b"] and recordings.publish_all({"a": df, "b": df}, folder) == []
+    with pytest.raises(ValueError, match="other members"):
+        recordings.publish_all({"a": df}, folder)
 
 
 def test_sample_and_digest_do_not_depend_on_order(spark):
@@ -138,3 +151,128 @@ def test_registry_features_of_plain_windows(spark):
 def test_fills_come_from_train_rows(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (0, None), (1, None), (1, float("inf")), (1, float("nan")), (1, 100.0)], "test int, v double")
     assert sorted(r["v"] for r in evidence.median_filled(df, F.col("test") == 0, ["v"]).collect()) == [1, 2, 2, 2, 2, 3, 100]
+
+
+def test_zscores_fall_back_as_a_group_needs(spark):
+    """Train g = 10, 10 has no spread, h = 20, 40 has, k = 5 is one row; fold values 10 10 20 40 5."""
+    rows = [(0, "train", "g", 10.0), (0, "train", "g", 10.0), (0, "train", "h", 20.0), (0, "train", "h", 40.0), (0, "train", "k", 5.0), (0, "test", "g", 12.0), (0, "test", "h", 30.0), (0, "test", "k", 6.0), (0, "test", "new", 7.0), (0, "purged", "g", 1e9)]
+    rows += [(1, "train", "g", 3.0), (1, "test", "g", 4.0)]
+    got = {(r["fold"], r["role"], r["k"], r["x"]): r["x_z"] for r in labels.fitted_zscore(spark.createDataFrame(rows, "fold int, role string, k string, x double"), "x", ["k"]).collect()}
+    whole = np.array([10, 10, 20, 40, 5.0])
+    m, s, h = whole.mean(), whole.std(ddof=1) + 1e-8, np.std([20, 40.0], ddof=1) + 1e-8
+    want = {(0, "test", "g", 12.0): 2 / s, (0, "test", "h", 30.0): 0.0, (0, "test", "k", 6.0): 1 / s, (0, "test", "new", 7.0): (7 - m) / s, (0, "train", "h", 20.0): -10 / h, (0, "train", "g", 10.0): 0.0, (1, "test", "g", 4.0): 1 / 2e-8}
+    assert all(abs(got[k] - v) < 1e-6 * max(1, abs(v)) for k, v in want.items()) and not any(r == "purged" for _, r, _, _ in got)
+
+
+def test_an_incomplete_baseline_gives_no_threshold(spark):
+    df = spark.createDataFrame([("a", k, s) for k, s in enumerate([1.0, None, 5.0, 2.0], 1)] + [("b", k, float(k)) for k in range(1, 5)], "s string, place int, score double")
+    got = {r["s"]: (r["threshold"], r["reset"]) for r in monitor.thresholds(df, "s", 3).collect()}
+    assert got == {"a": (None, None), "b": (2.98, 2.9)}
+    with pytest.raises(ValueError, match="reset"):
+        monitor.thresholds(df, "s", 3, 0.5, 0.9)
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, k, None if (s, k) == ("c", 9) else rng.normal(size=3).tolist()) for s in "abc" for k in range(40)] + [("d", k, [0.0] * 3) for k in range(4)]
+    df = spark.createDataFrame(rows, "s string, k int, scaled array<double>")
+    score = lambda block: {(r["s"], r["k"]): r["score"] for r in monitor.knn_scores(df, "s", ["k"], "k", 6, 2, block).collect()}
+    whole, cut = score(65_536), score(7)
+    assert whole == cut and len(whole) == len(rows)
+    base = np.array([v for s, k, v in rows if s == "a" and k < 6])
+    for s, k, v in rows[:40]:
+        d = np.sort([np.linalg.norm(np.array(v) - b) for i, b in enumerate(base) if i != k])[:2]
+        assert abs(whole[s, k] - np.median(d)) < 1e-12
+    assert whole["c", 9] is None and all(whole["d", k] is None for k in range(4))
+
+
+def test_exact_cut_of_a_global_split(spark):
+    rng = np.random.default_rng(3)
+    t = rng.integers(0, 10**9, 500).tolist() + [777] * 300
+    df = spark.createDataFrame([(x,) for x in t], "x long").select(F.timestamp_add("MICROSECOND", "x", F.lit("2004-01-01").cast("timestamp_ntz")).alias("ts"))
+    for share in (0.0, 0.3, 0.8, 0.999):
+        cut = sorted(t)[int(share * len(t))]
+        assert labels.split_global(df, ["ts"], share, parts=4, direct=10).where("split = 'train'").count() == sum(x < cut for x in t)
+    assert labels.split_global(df.limit(0), ["ts"], 0.8).count() == 0
+
+
+def test_feature_rows_of_recordings(spark, tmp_path):
+    """Two recordings of two channels: file to windows to values, counts and ids."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(2, 64, 2))
+    data[1, :, 1] = 3.0
+    for k in range(2):
+        (tmp_path / f"2004.02.12.10.{k}2.39").write_text("\n".join("\t".join(f"{v:.6f}" for v in r) for r in data[k]))
+    channels = recordings.channels(recordings.matrices(spark, f"file://{tmp_path}", 2, rows=64))
+    how = {"width": 16, "step": 8, "windows": 7, "fs": 64.0, "edges": (8.0, 20.0)}
+    rows = registry.feature_rows(channels, contract="v1", **how).orderBy("name", "channel").collect()
+    assert len(rows) == 4 and len({r["feature_row_id"] for r in rows}) == 4 and all(r["window_count"] == 7 and len(r["feature_values"]) == 34 for r in rows)
+    x = np.round(data[0, :, 0], 6)
+    f = registry.registry(np.stack([x[a : a + 16] for a in range(0, 49, 8)]), 64.0, (8.0, 20.0))
+    want = np.stack([f.mean(0), f.std(0)], 1).ravel()
+    assert np.allclose(rows[0]["feature_values"], want, rtol=1e-10, atol=1e-12) and rows[0]["valid_window_counts"] == [7] * 17
+    flat = rows[3]
+    assert flat["feature_values"][0] == 3 and flat["valid_window_counts"][9] == 0 and flat["feature_values"][18:20] == [None, None]
+    other = registry.feature_rows(channels, contract="v2", **how).orderBy("name", "channel").collect()
+    assert not {r["feature_row_id"] for r in rows} & {r["feature_row_id"] for r in other}
+    assert registry.feature_rows(channels, contract="v1", **(how | {"windows": 19})).first()["feature_values"] is None
+
+
+def test_resampling_keeps_tones(spark):
+    t = np.arange(100) / 100
+    df = spark.createDataFrame([(np.sin(2 * np.pi * 5 * t).tolist(),), (None,), ([],)], "x array<double>")
+    for rate in (50.0, 150.0, 100.0):
+        got = [r["x"] for r in signal.resampled(df, "x", 100.0, rate).collect()]
+        n = int(rate)
+        assert np.allclose(got[0], np.sin(2 * np.pi * 5 * np.arange(n) / n), atol=1e-9) and got[1] is None and got[2] == []
+
+
+def test_fold_ridge_equals_the_closed_form(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k % 2, "test" if k % 5 == 0 else "train", *map(float, x), float(50 + 3 * x[0] - x[1] + rng.normal())) for k, x in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, c double, y double")
+    got = {(r["fold"], r["a"]): r["yhat"] for r in folds.fold_ridge(df, ["a", "b", "c"], "y", 2.0).collect()}
+    for f in (0, 1):
+        train, test = (np.array([r[2:] for r in rows if r[0] == f and r[1] == role]) for role in ("train", "test"))
+        m, s = train.mean(0), train.std(0)
+        z = (train[:, :3] - m[:3]) / s[:3]
+        b = np.linalg.solve(z.T @ z + 2 * np.eye(3), z.T @ (train[:, 3] - m[3]))
+        for r in test:
+            assert abs(got[f, r[0]] - max(0, m[3] + ((r[:3] - m[:3]) / s[:3]) @ b)) < 1e-9
+
+
+def test_tables_to_files_and_back(spark, tmp_path):
+    path = lambda n: f"file://{tmp_path}/{n}"
+    df = spark.createDataFrame([(2, "b", 1.5, [1]), (1, None, None, [])], "file long, axis string, rms double, a array<int>")
+    assert sinks.numeric_columns(df) == ["rms"] and sinks.numeric_columns(df, ()) == ["file", "rms"]
+    assert spark.read.parquet(sinks.save(df, path("p"))).count() == 2
+    assert sorted(r["a"] for r in spark.read.option("header", True).csv(sinks.save(df, path("c"), "csv")).collect()) == ["[1]", "[]"]
+    sinks.save(spark.createDataFrame([(" f1 ",), ("",), ("f2",)], "feature string"), path("l"), "csv")
+    assert sorted(r["feature"] for r in sinks.read_list(spark, path("l")).collect()) == ["f1", "f2"]
+    with pytest.raises(ValueError, match="no column"):
+        sinks.read_list(spark, path("l"), "other")
+    for _ in range(2):
+        assert sinks.ingest(spark, path("p"), path("t"), ["file", "rms"], {"file": "file_name"}) == ["file_name", "axis", "rms", "a"]
+    assert spark.read.parquet(path("t")).count() == 4
+    with pytest.raises(ValueError, match="required"):
+        sinks.append_checked(df, path("t"), ["kurtosis"])
+    assert list(sinks.json_lines(df.drop("a"), ["file"])) == ['{"axis":null,"file":1,"rms":null}\n', '{"axis":"b","file":2,"rms":1.5}\n']
+    once = sinks.with_split_column(df)
+    assert once.columns[-1] == "split" and sinks.with_split_column(once).columns == once.columns
+    r = sinks.split_record(spark.createDataFrame([("train", 1), ("train", 2), ("test", 3)], "split string, ts int"), "by time").first()
+    assert tuple(r) == ("by time", 3, 2, 1, 2, 3)
+
+
+def test_windows_of_a_stream_are_judged_once(spark, tmp_path):
+    at = lambda minute: F.lit(f"2024-01-01 {minute // 60:02}:{minute % 60:02}:00").cast("timestamp")
+    batches = [[("a", 1, 1.0), ("a", 1, 1.0), ("b", 5, 9.0), ("a", 50, 3.0)], [("a", 70, 8.0), ("a", 40, None), ("b", 90, 1.0)], [("a", 3, 100.0), ("a", 300, 0.0)], [("a", 301, 0.0)]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "stream string, minute int, score double")
+        df.select("stream", F.timestamp_add("MINUTE", "minute", at(0)).alias("ts"), "score").coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    source = spark.readStream.schema("stream string, ts timestamp, score double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    limits = spark.createDataFrame([("a", 2.5)], "stream string, threshold double")
+    query = stream_monitor.window_alerts(source, limits).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r["stream"], r["begin"].hour, r["n"], r["mean"], r["above"], r["alert"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # the row of minute 3 came after its window was judged
+    assert got == [("a", 0, 3, 2.0, 1, False), ("a", 1, 1, 8.0, 1, True), ("b", 0, 1, 9.0, 0, None), ("b", 1, 1, 1.0, 0, None)]
