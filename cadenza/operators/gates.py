@@ -44,6 +44,12 @@ def row_violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, Column
     return df.select(*key, F.explode(broken).alias("rule"))
 
 
+def vector_rules(column: str, length: int) -> dict[str, Column]:
+    """Rules for row_violations: an array of so many values, each finite or null."""
+    finite = F.forall(column, lambda x: x.isNull() | (~F.isnan(x) & (F.abs(x) != float("inf"))))
+    return {f"{column} length": F.size(column) == length, f"{column} finite": finite}
+
+
 def stream_violations(df: DataFrame, stream: str, index: str, rows: int | None = None, streams: int | None = None) -> DataFrame:
     """stream, problem: streams with another number of rows, or whose indices aren't 0, 1, ... without
     gaps and repeats; and, with a null stream, another number of streams."""

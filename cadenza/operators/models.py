@@ -71,3 +71,18 @@ def learning_curve(train: DataFrame, test: DataFrame, features: Sequence[str], t
         mae = predicted(model, test, features).agg(F.avg(F.abs(F.col("yhat") - F.col(target)))).first()[0]
         out.append((f, mae))
     return train.sparkSession.createDataFrame(out, "fraction double, mae double")
+
+
+def search(train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, grid: Sequence[dict], kind=forest) -> DataFrame:
+    """trial, settings (JSON), weighted_mae on valid, and rank, for every setting of a grid: keyword
+    arguments of `kind`. Trials follow each other, each is a distributed fit."""
+    import json
+
+    from cadenza.operators.metrics import weighted_mae
+
+    out = []
+    for k, settings in enumerate(grid):
+        found = predicted(kind(train, features, target, **settings), valid, features).select(F.col(target).alias("y"), "yhat")
+        out.append((k, json.dumps(settings, sort_keys=True), weighted_mae(found).first()[0]))
+    table = train.sparkSession.createDataFrame(out, "trial int, settings string, weighted_mae double")
+    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.col("weighted_mae").asc_nulls_last(), "trial")))

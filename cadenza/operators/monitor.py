@@ -8,10 +8,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from cadenza.sources.shared import written
+
 #: The four states: fixed values.
 CONSISTENT, DEVIATION, SEVERE, INSUFFICIENT = "baseline-consistent", "deviation-observed", "persistent-severe-deviation", "insufficient-evidence"
 
@@ -200,25 +202,69 @@ def burden_order(df: DataFrame, stream: str, alert: str) -> DataFrame:
     return by.select("*", F.row_number().over(Window.orderBy(F.col("burden").desc(), stream)).alias("rank"))
 
 
-def monitored(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """The whole monitor: each (asset, channel) is a stream of feature arrays with its own scaler and
-    baseline; the scores of an asset's two channels at a time are averaged, thresholded on the asset's
-    first `p.baseline` times, and run through the state machine. Returns asset, ts, place, score,
-    threshold, reset, state, consecutive, released."""
-    streams = df.select(F.struct(asset, channel).alias("_stream"), F.col(asset).alias("asset"), F.col(channel).alias("channel"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(features).alias("v"))
-    streams = streams.withColumnRenamed("_stream", "stream")
-    scaled = scaled_vectors(streams, "stream", robust_scaler(streams, "stream", ["ts", "key"], "v", p.baseline), "v")
-    scores = knn_scores(scaled.select("stream", "asset", "channel", "ts", "key", "scaled"), "stream", ["ts", "key"], "key", p.baseline, p.neighbours)
-    both = two_view_score(scores, ["asset", "ts"], "channel").withColumn("place", F.row_number().over(Window.partitionBy("asset").orderBy("ts")))
-    levels = thresholds(both, "asset", p.baseline, p.entry, p.reset)
-    rows = both.join(levels, "asset").withColumn("in_baseline", F.col("place") <= p.baseline)
+def aggregate_scores(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, baseline: int, neighbours: int) -> DataFrame:
+    """asset, ts, score, place: each (asset, channel) is a stream of feature arrays with its own scaler
+    and baseline; the scores of an asset's two channels at a time are averaged."""
+    rows = df.select(F.struct(F.col(asset).alias("a"), F.col(channel).alias("c")).alias("stream"), F.col(asset).alias("asset"), F.col(channel).alias("channel"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(features).alias("v"))
+    scaled = scaled_vectors(rows, "stream", robust_scaler(rows, "stream", ["ts", "key"], "v", baseline), "v")
+    scores = knn_scores(scaled.select("stream", "asset", "channel", "ts", "key", "scaled"), "stream", ["ts", "key"], "key", baseline, neighbours)
+    return two_view_score(scores, ["asset", "ts"], "channel").withColumn("place", F.row_number().over(Window.partitionBy("asset").orderBy("ts")))
+
+
+def judged_scores(scores: DataFrame, p: Params) -> DataFrame:
+    """aggregate_scores with threshold, reset, state, consecutive, released: thresholds on an asset's first
+    `p.baseline` times, then the state machine."""
+    rows = scores.join(thresholds(scores, "asset", p.baseline, p.entry, p.reset), "asset").withColumn("in_baseline", F.col("place") <= p.baseline)
     return monitor_states(rows, "asset", ["place"], p.persistence, p.release).drop("in_baseline")
 
 
+def monitored(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """The whole monitor: scores and what they are judged."""
+    return judged_scores(aggregate_scores(df, asset, channel, ts, key, features, p.baseline, p.neighbours), p)
+
+
 def sensitivity(df: DataFrame, asset: str, channel: str, ts: str, key: str, features: str, p: Params = Params(), steps: dict[str, tuple] = STEPS) -> DataFrame:  # noqa: B008
-    """State counts by variant and asset: the parameters themselves and each one-at-a-time variant."""
+    """State counts by variant and asset: the parameters themselves and each one-at-a-time variant. Scores
+    are computed once for each baseline and number of neighbours, and written, for variants share them."""
+    variants = [("primary", p), *sensitivity_variants(p, steps)]
+    scores: dict[tuple, DataFrame] = {}
     out = None
-    for name, variant in [("primary", p), *sensitivity_variants(p, steps)]:
-        one = state_counts(monitored(df, asset, channel, ts, key, features, variant), "asset").select(F.lit(name).alias("variant"), "*")
+    for name, v in variants:
+        of = (v.baseline, v.neighbours)
+        if of not in scores:
+            scores[of] = written(aggregate_scores(df, asset, channel, ts, key, features, *of), "scores")
+        one = state_counts(judged_scores(scores[of], v), "asset").select(F.lit(name).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def order_stability(counts: DataFrame) -> DataFrame:
+    """counts: variant, asset and the state counts of sensitivity(). Assets in order of their share of
+    severe rows, falling, for each variant, and whether that is the primary's order. A variant has a row
+    an asset."""
+    share = F.col("severe") / (F.col("consistent") + F.col("deviation") + F.col("severe") + F.col("insufficient"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-share).alias("s"), "asset"))), lambda x: x["asset"])
+    orders = counts.groupBy("variant").agg(order.alias("order"))
+    primary = F.max(F.when(F.col("variant") == "primary", F.col("order"))).over(Window.partitionBy())  # a row a variant
+    return orders.select("variant", "order", (F.col("order") == primary).alias("as_primary"))
+
+
+#: Where the 14 values that the monitor compares begin among a channel's 34: fixed values.
+FIRST_VALUE, N_VALUES = 21, 14
+
+
+def compared_values(feature_values: Column) -> Column:
+    """Mean and deviation of the registry's 11th to 17th feature."""
+    return F.slice(feature_values, FIRST_VALUE, N_VALUES)
+
+
+def retrospective(states: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What the monitor had said of assets whose end is known. states: asset, ts, state; outcomes: asset,
+    end (a time or a number like ts), damaged. By asset of outcomes: first_severe, the distance from it to
+    the end, whether a damaged asset was missed, and the share of its rows without enough evidence. An
+    asset without rows has nulls and, if damaged, was missed."""
+    severe, unknown = F.col("state") == SEVERE, F.col("state") == INSUFFICIENT
+    by = states.groupBy(F.col("asset").alias("_asset")).agg(F.min(F.when(severe, F.col("ts"))).alias("first_severe"), F.avg(unknown.cast("double")).alias("abstained"))
+    met = outcomes.select("asset", "end", "damaged").join(by, F.col("asset") == F.col("_asset"), "left")
+    lead = F.timestamp_diff("MICROSECOND", F.col("first_severe"), F.col("end")) / 1e6 if dict(outcomes.dtypes)["end"].startswith("timestamp") else F.col("end") - F.col("first_severe")
+    return met.select("asset", "damaged", "first_severe", lead.alias("lead"), (F.col("damaged") & F.col("first_severe").isNull()).alias("missed"), "abstained")

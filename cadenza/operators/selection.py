@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.sources.shared import written
+
 
 def safe_corr(a: str, b: str) -> Column:
     """Pearson; null for fewer than two pairs or no variance."""
@@ -31,7 +31,7 @@ def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
     feature is as many tasks as it has ranges, and no task orders a whole feature."""
     distinct = values.groupBy("feature", column).agg(F.count(F.lit(1)).alias("_n"))
     # written, for ranges must stay as they are while they are read twice
-    dealt = _written(distinct.repartitionByRange("feature", column).withColumn("_part", F.spark_partition_id()))
+    dealt = written(distinct.repartitionByRange("feature", column).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy(F.col("feature").alias("_f"), F.col("_part").alias("_p")).agg(F.sum("_n").alias("_in"))
     parts = parts.withColumn("_before", F.sum("_in").over(Window.partitionBy("_f").orderBy("_p")) - F.col("_in"))
     inside = F.sum("_n").over(Window.partitionBy("feature", "_part").orderBy(column)) - F.col("_n")
@@ -41,8 +41,10 @@ def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def relevance(values: DataFrame, least: int = 10) -> DataFrame:
-    """values: feature, value, y. Pearson, Spearman, and the larger magnitude as score."""
-    rows = ranked(ranked(values.where("value IS NOT NULL AND y IS NOT NULL"), "value", "_rv"), "y", "_ry")
+    """values: feature, value, y. Pearson, Spearman, and the larger magnitude as score, from the rows in
+    which both are finite; null where one has no variance, no row for fewer than `least` rows."""
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.lit(False))
+    rows = ranked(ranked(values.where(finite("value") & finite("y")), "value", "_rv"), "y", "_ry")
     out = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), safe_corr("value", "y").alias("pearson"), safe_corr("_rv", "_ry").alias("spearman")).where(F.col("n") >= least)
     return out.select("*", F.greatest(F.abs("pearson"), F.abs("spearman")).alias("score"))
 
@@ -172,21 +174,6 @@ def _last(good, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return flip(low).view(np.float64)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, which driver and executors share, read again;
-    where it is unset, on one machine alone, in a temporary folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/selection-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFrame:
     """Nearest-neighbour estimate of the information between value and y, by feature, over all rows.
 
@@ -202,7 +189,7 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
     table = spark.createDataFrame([(f, r["feature"], r["n"], r["sx"] or 1.0, r["sy"] or 1.0) for f, r in enumerate(stats)], f"f int, feature {dict(rows.dtypes)['feature']}, n long, sx double, sy double")
     t = table.withColumnRenamed("feature", "_feature")
     scaled = rows.join(F.broadcast(t.where(F.col("n") > k)), F.col("feature").eqNullSafe(F.col("_feature"))).select("f", (F.col("value") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
-    points = _written(scaled.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    points = written(scaled.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("w")))
 
     strips = {f: max(1, round((r["n"] / tile) ** 0.5)) for f, r in enumerate(stats)}
     most = max([2, *strips.values()])
@@ -227,7 +214,7 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
             for (f, s), part in g.groupby(["f", "strip"]):
                 yield part.assign(tile=place(inner[f, s], part["y"].to_numpy()).astype(np.int32))
 
-    tiles = _written(stripped.mapInPandas(with_tile, "f int, x double, y double, w long, strip int, tile int"))
+    tiles = written(stripped.mapInPandas(with_tile, "f int, x double, y double, w long, strip int, tile int"))
     found = "f int, strip int, tile int, x double, y double, w long, d array<double>, c array<long>"
 
     def own(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +238,7 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
             out.append(pd.DataFrame({"f": f, "strip": s, "tile": to, "x": x[p], "y": y[p], "w": w[p], "d": [[]] * len(p), "c": [[]] * len(p)}))
         return pd.concat(out)
 
-    first = _written(tiles.groupBy("f", "strip", "tile").applyInPandas(own, found))
+    first = written(tiles.groupBy("f", "strip", "tile").applyInPandas(own, found))
 
     def visit(here: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(guests):
@@ -283,7 +270,7 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
                 yield part.assign(block=place(by[f][axis], part["v"].to_numpy()).astype(np.int32))
 
     line = points.select("f", F.lit(0).alias("axis"), F.col("x").alias("v"), "w").unionByName(points.select("f", F.lit(1).alias("axis"), F.col("y").alias("v"), "w"))
-    line = _written(line.groupBy("f", "axis", "v").agg(F.sum("w").alias("w")).mapInPandas(with_block, "f int, axis int, v double, w long, block int"))
+    line = written(line.groupBy("f", "axis", "v").agg(F.sum("w").alias("w")).mapInPandas(with_block, "f int, axis int, v double, w long, block int"))
     before: dict[tuple, int] = {}
     run: dict[tuple, int] = {}
     for r in sorted(line.groupBy("f", "axis", "block").agg(F.sum("w").alias("w")).collect()):

@@ -73,6 +73,15 @@ def temporal_features(df: DataFrame, features: Sequence[str], asset: str, view:
     return placed.select(*df.columns, *(c.alias(n) for n, c in columns.items()))
 
 
+def all_features(df: DataFrame, features: Sequence[str], asset: str, view: str, order: Sequence[str], widths=(3, 5, 10), slope_widths=(5, 10), alphas: Sequence[float] = (0.1, 0.3, 0.5)) -> DataFrame:
+    """temporal_features and the exponential averages of every base feature; the averages of all features
+    follow each other in streams dealt out once more."""
+    out = temporal_features(df, features, asset, view, order, widths, slope_widths)
+    for f in features:
+        out = ema(out, f, [asset, view], order, alphas)
+    return out
+
+
 def rolling_slopes(df: DataFrame, feature: str, keys: Sequence[str], order: Sequence[str], widths=(5, 10)) -> DataFrame:
     placed = df.withColumn("_place", F.row_number().over(_stream(keys, order)))
     return placed.select(*df.columns, *(c.alias(n) for n, c in slopes(feature, keys, order, widths).items()))

@@ -339,6 +339,13 @@ def _(s, d):
     return monitor.monitored(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P).select("asset", "ts", "place", "state", "consecutive", "released")
 
 
+@_add("retrospective", f"WITH RECURSIVE {_monitor_sql(_P)}, said AS (SELECT label, min(CASE WHEN state = 'persistent-severe-deviation' THEN vec_id END) AS first_severe, avg((state = 'insufficient-evidence')::INT) AS abstained FROM r GROUP BY 1), o AS (SELECT label, max(vec_id) + 10 AS e, label % 2 = 0 AS damaged FROM embeddings GROUP BY 1) SELECT label AS asset, damaged, first_severe, e - first_severe AS lead, damaged AND first_severe IS NULL AS missed, round(abstained, 6) AS abstained FROM o LEFT JOIN said USING (label)")
+def _(s, d):
+    states = monitor.monitored(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P)
+    outcomes = _signals(s, d).groupBy(F.col("label").alias("asset")).agg((F.max("vec_id") + 10).alias("end")).withColumn("damaged", F.col("asset") % 2 == 0)
+    return monitor.retrospective(states, outcomes)
+
+
 def _variant_sql(name: str, p: monitor.Params) -> str:
     return f"SELECT '{name}' AS variant, * FROM (WITH RECURSIVE {_monitor_sql(p)} SELECT label AS asset, count_if(state = 'baseline-consistent') AS consistent, count_if(state = 'deviation-observed') AS deviation, count_if(state = 'persistent-severe-deviation') AS severe, count_if(state = 'insufficient-evidence') AS insufficient FROM r GROUP BY 1)"
 
@@ -348,6 +355,14 @@ def _(s, d):
     return monitor.sensitivity(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P, _STEPS)
 
 
+_SENSITIVITY = " UNION ALL ".join(_variant_sql(n, p) for n, p in [("primary", _P), *monitor.sensitivity_variants(_P, _STEPS)])
+
+
+@_add("order_stability", f"WITH o AS (SELECT variant, list(asset ORDER BY severe / (consistent + deviation + severe + insufficient) DESC, asset) AS ord FROM ({_SENSITIVITY}) GROUP BY variant) SELECT variant, ord AS \"order\", ord = (SELECT ord FROM o WHERE variant = 'primary') AS as_primary FROM o")
+def _(s, d):
+    return monitor.order_stability(monitor.sensitivity(_two_channels(s, d), "label", "channel", "vec_id", "vec_id", "v", _P, _STEPS))
+
+
 _ALERT = "(SELECT *, value > 60 AS alert FROM events)"
 
 

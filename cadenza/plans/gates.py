@@ -60,6 +60,15 @@ def _(s, d):
     return gates.row_violations(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], rules)
 
 
+@_add("vector_violations", "SELECT vec_id, 'v length' AS rule FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT vec_id, 'v finite' FROM embeddings WHERE vec_id % 11 = 0 OR vec_id % 13 = 0 UNION ALL SELECT vec_id, unnest(['v length', 'v finite']) FROM embeddings WHERE vec_id % 17 = 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0")
+def _(s, d):
+    # a value too few, a value that isn't finite, a null among the values, or no vector at all
+    odd = F.when(F.col("vec_id") % 11 == 0, float("nan")).when(F.col("vec_id") % 13 == 0, float("-inf")).when(F.col("vec_id") % 3 != 0, 1.0)
+    vector = F.array_append(F.slice("x", 1, F.when(F.col("vec_id") % 7 == 0, 62).otherwise(63)), odd)
+    none = (F.col("vec_id") % 17 == 0) & (F.col("vec_id") % 7 != 0) & (F.col("vec_id") % 11 != 0) & (F.col("vec_id") % 13 != 0)
+    return gates.row_violations(assets._signals(s, d).withColumn("v", F.when(~none, vector)), ["vec_id"], gates.vector_rules("v", 64))
+
+
 @_add("stream_violations", """
 WITH l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 31 = 0 THEN l_linenumber ELSE l_linenumber - 1 END AS i FROM lineitem), b AS (SELECT l_orderkey, count(*) AS n, min(i) AS lo, max(i) AS hi, count(DISTINCT i) AS d FROM l GROUP BY 1)
 SELECT l_orderkey::VARCHAR AS stream, 'order' AS problem FROM b WHERE lo <> 0 OR hi <> n - 1 OR d <> n UNION ALL SELECT l_orderkey::VARCHAR, 'rows' FROM b WHERE n <> 4 UNION ALL SELECT NULL, 'streams' FROM b HAVING count(*) <> 5""")

@@ -118,6 +118,16 @@ def _(s, d):
     return temporal.temporal_features(events(s, d), ["value"], "user_id", "event_type", ORDER)
 
 
+_EMA = ", ".join(f"list_reduce(list(value) OVER ({_W}), lambda a, x: {1 - a} * a + {a} * x) AS value_ema_{round(a * 100)}" for a in (0.1, 0.3, 0.5))
+
+
+@_add("all_temporal_features", f"SELECT {_EV}, {_ROLL}, {_DELTA}, {_SLOPE}, {_Z}, {_CROSS}, {_EMA} FROM {_PLACED} WINDOW {_G}, {_X}", exact=True)
+def _(s, d):
+    # averages are compared as they are, see ema_features
+    out = temporal.all_features(events(s, d), ["value"], "user_id", "event_type", ORDER)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" and "_ema_" not in c else F.col(c) for c, t in out.dtypes))
+
+
 @_add("rul_labels", f"SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, failed, censored, round(rul_seconds, 6) AS rul_seconds, round(rul_seconds / 3600, 6) AS rul_hours FROM ({_RUL})")
 def _(s, d):
     return rul(s, d)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import registry, signal
-from cadenza.operators import evidence, folds, identity, labels, metrics, models, monitor, selection, temporal
+from cadenza.operators import evidence, folds, gates, identity, labels, metrics, models, monitor, selection, temporal
 from cadenza.sources import recordings, sinks
 from cadenza.streaming import monitor as stream_monitor
 
@@ -276,3 +276,23 @@ def test_windows_of_a_stream_are_judged_once(spark, tmp_path):
     got = sorted((r["stream"], r["begin"].hour, r["n"], r["mean"], r["above"], r["alert"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     # the row of minute 3 came after its window was judged
     assert got == [("a", 0, 3, 2.0, 1, False), ("a", 1, 1, 8.0, 1, True), ("b", 0, 1, 9.0, 0, None), ("b", 1, 1, 1.0, 0, None)]
+
+
+def test_search_ranks_its_trials(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(*map(float, x), float(30 + 20 * (x[0] > 0) + rng.normal())) for x in rng.normal(size=(200, 2))], "a double, b double, y double")
+    got = models.search(df, df, ["a", "b"], "y", [{"trees": 3, "depth": 1}, {"trees": 5, "depth": 6}]).orderBy("rank").collect()
+    assert [r["trial"] for r in got] == [1, 0] and got[0]["weighted_mae"] < got[1]["weighted_mae"] and got[0]["settings"] == '{"depth": 6, "trees": 5}'
+
+
+def test_retrospective_of_times(spark):
+    states = spark.createDataFrame([("a", 10, monitor.SEVERE), ("a", 5, monitor.INSUFFICIENT), ("b", 7, monitor.DEVIATION)], "asset string, s int, state string").select("asset", F.timestamp_seconds("s").alias("ts"), "state")
+    outcomes = spark.createDataFrame([("a", 70, True), ("b", 70, True), ("c", 70, False)], "asset string, s int, damaged boolean").select("asset", F.timestamp_seconds("s").alias("end"), "damaged")
+    got = {r["asset"]: (r["lead"], r["missed"], r["abstained"]) for r in monitor.retrospective(states, outcomes).collect()}
+    assert got == {"a": (60.0, False, 0.5), "b": (None, True, 0.0), "c": (None, False, None)}
+
+
+def test_keys_are_found_at_any_depth(spark):
+    text = r'{"a": "x\": ", "b\u005fc" : [1, {"Rul_x": {"deep_LABEL": null}}], "rul": "label_"}'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "{}")], "k int, j string")
+    assert sorted(r["found"] for r in gates.forbidden_keys(df, ["k"], "j", ["rul", "label", "c"]).collect()) == ["Rul_x", "b_c", "deep_LABEL", "rul"]
