@@ -182,7 +182,8 @@ def near_duplicates(
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     of = classes.select(F.col("c").alias("node"), "row_id", "k1", "k2", "size", "bands")
     members = stage(candidates.join(sizes, "component").join(of, "node").select(F.col("node").alias("c"), "component", "n", "row_id", "k1", "k2", "size", F.when(F.col("n") > whole, F.col("bands")).alias("bands")))
-    found = with_row_id(docs, id_col, text_col).select(F.col("row_id"), "text").join(members.select("row_id", "k1", "k2", "c"), "row_id")
+    # by a shuffle at every size: the members have no bound
+    found = with_row_id(docs, id_col, text_col).select(F.col("row_id"), "text").join(members.select("row_id", "k1", "k2", "c").hint("merge"), "row_id")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(256, batches):
