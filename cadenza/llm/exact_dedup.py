@@ -112,6 +112,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     judged = stage(_judged(docs, id_col, text_col, keep, fan_in).where("doc_id IS NOT DISTINCT FROM keep_id").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
     own_key, own_n = free_name(docs, "key"), free_name(docs, "n")
     kept = judged.select(F.col("doc_id").alias(free_name(docs, "id")), F.col("key").alias(free_name(docs, "kept_key")), F.col("n").alias(own_n))
+    # by a shuffle at every size: the kept rows have no bound
+    kept = kept.hint("merge")
     marked = docs.select("*", _key(text_col).alias(own_key))
     met = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(free_name(docs, "id"))) & (F.col(own_key) == F.col(free_name(docs, "kept_key"))))
     if judged.where("n > 1").isEmpty():

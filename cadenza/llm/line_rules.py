@@ -6,8 +6,11 @@ a much-copied page doesn't condemn its own lines (`count_copies` counts each of
 max(limit_docs, limit_share * distinct documents of the host) documents is removed, and a document
 that keeps under least_share of its words or under least_words words after that is rejected.
 
-All counting is by grouping with partial sums; a host with a third of all rows is no hot key, for the
-line hash is part of each key. Only narrow rows are shuffled, never texts.
+All counting is by grouping with partial sums; a host with a third of all rows is no hot key there, for
+the line hash or the text's digest is part of each key. Two joins can meet a hot one: a line that a third
+of all texts hold, on the side of the texts' lines, and a text that a third of all rows hold, on the side
+of the rows; the other side has one row for it, so adaptive execution can split them. Only narrow rows are
+shuffled, never texts.
 
 Edge cases: null and blank texts have no words and fail the base rules; a null host is a host of its
 own; repeated rows are each judged; an empty table gives an empty table; other columns are ignored.

@@ -7,7 +7,9 @@ that is cut into blocks; a quota of more than one pass takes whole passes first,
 seeded order until the quota is filled.
 
 Everything after the words are counted is narrow: (document, source, size). A source that holds a
-third of all rows is split into shards of bounded size; only per-source and per-shard totals meet.
+third of all rows is split into shards of bounded size; only per-source and per-shard totals meet: one
+task ranks the sources, and one the shards of a source, of which there is one for about a million words
+and rows.
 
 Edge cases: null texts have size 0 and take 0; a null source is a source of its own, last in order;
 repeated rows are separate documents; no document is taken more than `most_times` times its size; an
@@ -123,7 +125,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = F.struct("passes", "spans")
     plan = plan.groupBy(F.col("doc_id").alias(name["doc"]), F.col("source").alias(name["source"]), F.col("text_key").alias(name["key"])).agg(F.sort_array(F.collect_list(each)).alias(name["plans"]), F.max("taken").alias(name["n"])).where(F.col(name["n"]) > 0).drop(name["n"])
     same = F.col(id_col).eqNullSafe(F.col(name["doc"])) & F.col(source_col).eqNullSafe(F.col(name["source"])) & (F.xxhash64(F.col(text_col)) == F.col(name["key"]))
-    met = docs.join(plan, same)
+    # by a shuffle at every size: the plan has no bound
+    met = docs.join(plan.hint("merge"), same)
     single = met.where(F.size(name["plans"]) == 1).withColumn(name["place"], F.lit(1))
     again = met.where(F.size(name["plans"]) > 1).withColumn(name["place"], F.row_number().over(Window.partitionBy(name["doc"], name["source"], name["key"]).orderBy(*(F.to_json(F.struct(F.col(c))) for c in docs.columns if c != text_col), F.lit(0))))
     own = F.element_at(name["plans"], F.col(name["place"]))

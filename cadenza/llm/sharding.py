@@ -13,15 +13,15 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import stage
 
 
-def _prefix(bits) -> F.Column:
+def _prefix(bits: int) -> Column:
     """The leading `bits` bits of the hash, as a number below 2 ** bits."""
-    return F.when(bits == 0, F.lit(0)).otherwise(F.expr(f"shiftrightunsigned(_hash, 64 - ({bits._jc.toString()}))")) if not isinstance(bits, int) else (F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned("_hash", 64 - bits))
+    return F.shiftrightunsigned("_hash", 64 - bits) if bits else F.lit(0).cast("long")
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int = 4 << 20, step: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
