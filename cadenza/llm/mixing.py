@@ -115,6 +115,13 @@ def mix(
     return summed.select(*out, *(["text_key", F.col("_passes").alias("passes"), "spans"] if with_spans else []))
 
 
+def _numbered(met: DataFrame, single: DataFrame, name: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """single, with the rows that repeat id, source and text numbered in order of the other columns."""
+    nth = F.row_number().over(Window.partitionBy(name["doc"], name["source"], name["key"]).orderBy(*(F.to_json(F.struct(F.col(c))) for c in order), F.lit(0)))
+    repeated = F.size(name["plans"]) > 1
+    return single.where(~repeated).unionByName(met.where(repeated).withColumn(name["place"], nth))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows that mix() takes, with the columns of docs: a document once for each whole pass, and
     once more with the words of its spans where a pass takes a part. n_chars, where docs has it, is the
@@ -124,13 +131,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix(docs, with_spans=True, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     each = F.struct("passes", "spans")
     plan = plan.groupBy(F.col("doc_id").alias(name["doc"]), F.col("source").alias(name["source"]), F.col("text_key").alias(name["key"])).agg(F.sort_array(F.collect_list(each)).alias(name["plans"]), F.max("taken").alias(name["n"])).where(F.col(name["n"]) > 0).drop(name["n"])
+    plan = stage(plan)
     same = F.col(id_col).eqNullSafe(F.col(name["doc"])) & F.col(source_col).eqNullSafe(F.col(name["source"])) & (F.xxhash64(F.col(text_col)) == F.col(name["key"]))
     # by a shuffle at every size: the plan has no bound
     met = docs.join(plan.hint("merge"), same)
-    single = met.where(F.size(name["plans"]) == 1).withColumn(name["place"], F.lit(1))
-    again = met.where(F.size(name["plans"]) > 1).withColumn(name["place"], F.row_number().over(Window.partitionBy(name["doc"], name["source"], name["key"]).orderBy(*(F.to_json(F.struct(F.col(c))) for c in docs.columns if c != text_col), F.lit(0))))
+    single = met.withColumn(name["place"], F.lit(1))
+    if not plan.where(F.size(name["plans"]) > 1).isEmpty():
+        single = _numbered(met, single, name, [c for c in docs.columns if c != text_col])
     own = F.element_at(name["plans"], F.col(name["place"]))
-    met = single.unionByName(again).withColumns({name["passes"]: own["passes"], name["spans"]: own["spans"]})
+    met = single.withColumns({name["passes"]: own["passes"], name["spans"]: own["spans"]})
     spans, word = F.col(name["spans"]), F.col(name["words"])
     copies = F.concat(F.array_repeat(F.lit(False), F.col(name["passes"]).cast("int")), F.when(F.size(spans) > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     each = met.select("*", words(F.col(text_col)).alias(name["words"]), F.explode(copies).alias(name["cut"]))
