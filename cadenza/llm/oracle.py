@@ -3,6 +3,24 @@
 #: The words of a text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _centroids(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """The rounds of exact k-means, one after the other."""
+    sql = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = {width} AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+x AS MATERIALIZED (SELECT r, vec_id, unnest(range({width})) AS j, floor(256 * unnest(e))::BIGINT AS v FROM v),
+c0 AS MATERIALIZED (SELECT c, j, v FROM x JOIN (SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), e) - 1 AS c FROM v) USING (r) WHERE c < {k}),"""
+    for i in range(rounds + 1):
+        sql += f"""
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((x.v - k.v) * (x.v - k.v))::BIGINT AS d FROM x JOIN c{i} k USING (j) GROUP BY r, c) GROUP BY r),"""
+        if i < rounds:
+            sql += f"""
+m{i} AS (SELECT c, j, sum(v) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c, j, coalesce((s - ((s % n) + n) % n) // n, v)::BIGINT AS v FROM c{i} LEFT JOIN m{i} USING (c, j)),"""
+    return sql + f"""
+h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN h USING (c)"""
+
+
 ORACLE = {
     "op10_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
@@ -48,4 +66,25 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
 alias AS (SELECT a AS n, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS v FROM reach JOIN best ON reach.b = best.n GROUP BY a)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(best.verdict, alias.v, 'allow') AS verdict FROM pages LEFT JOIN named ON url = x LEFT JOIN best USING (n) LEFT JOIN alias USING (n)""",
+    # on pages whose article is marked up so and holds no other part, its text
+    "op11_main_text": r"""
+SELECT page_id, url, x AS text, length(x)::BIGINT AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+  '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS x FROM pages)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM v GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.n + l.v) AS p, 1 + (1000000000::HUGEINT * (v.n + 1)) // (l.n + l.v) AS q
+  FROM gn JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair z ON z.lang = x.lang AND z.source = x.source AND z.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op13_centroids": _centroids(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, line_rules, mixing, near_dedup, packing, quality, repair, sharding, substring_dedup, url_filter
+from cadenza.llm import centroids, divergence, exact_dedup, line_rules, main_text, mixing, near_dedup, packing, quality, repair, sharding, substring_dedup, url_filter
 from cadenza.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -56,4 +56,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_quality_rules, op4_ngram_jaccard, op5_packing, op6_substring_dedup, op7_sharding, op8_url_filter, op9_token_output, op10_exact_dedup)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_quality_rules, op4_ngram_jaccard, op5_packing, op6_substring_dedup, op7_sharding, op8_url_filter, op9_token_output, op10_exact_dedup, op11_main_text, op12_source_divergence, op13_centroids)}
