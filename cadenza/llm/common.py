@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -23,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     cluster that is an error, for executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(found)
@@ -139,12 +141,21 @@ def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+#: Words of more bytes are hashed by BLAKE2: a polynomial modulo 2 ** 64 takes long words that are built for
+#: it (of about 1,024 bytes) for equal.
+LONG_WORD = 32
+
+
 def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     table = _BYTE[_LOWERED] if lower else _BYTE
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * _power("up", _STEP, len(data)), out=run[1:])
     value = (run[end] - run[begin]) * _power("down", _STEP_INVERSE, len(data))[begin]
-    return mixed(value + (end - begin).astype(np.uint64))
+    out = mixed(value + (end - begin).astype(np.uint64))
+    for k in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        word = data[begin[k] : end[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
+    return out
 
 
 def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +168,16 @@ def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.
     return _word_hashes(data, begin, end, lower), np.searchsorted(begin, at)
 
 
-def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[begin:end] for every pair of places."""
-    run = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power("up", _STEP, len(values)), out=run[1:])
-    value = (run[end] - run[begin]) * _power("down", _STEP_INVERSE, len(values) + 1)[begin]
-    return mixed(value + (end - begin).astype(np.uint64))
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of values[begin:end] for every pair of places, end > begin: sums of all values, each
+    scattered together with its place in the run."""
+    n = end - begin
+    if not len(n):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    first = np.cumsum(n) - n
+    place = (np.arange(int(n.sum())) - np.repeat(first, n) + 1).astype(np.uint64)
+    value = values[stretches(begin, n)]
+    return tuple(mixed(np.add.reduceat(mixed((value ^ np.uint64(salt)) + place * np.uint64(step)), first) + n.astype(np.uint64)) for salt, step in ((0, _STEP), (0x5851F42D4C957F2D, 0xD1342543DE82EF95)))
 
 
 def stretches(begin: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -76,7 +76,8 @@ def mix(
     or fewer in a corpus of under least_blocks such blocks. with_spans adds text_key (xxhash64 of the
     text), passes (how often the whole text is taken) and spans: (first word, words) of what one more
     pass takes."""
-    key = F.xxhash64(F.col(text_col)) if with_spans else F.lit(0).cast("long")
+    # rows without an id are told apart by their texts
+    key = F.xxhash64(F.col(text_col)) if with_spans else F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(0)
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("text_key")))
     no = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
@@ -89,7 +90,7 @@ def mix(
     )
 
     known = sources.select(F.col("source").alias("_source"), "source_no", "_n_shards")
-    placed = sized.join(known, sized["source"].eqNullSafe(known["_source"])).select("doc_id", "source", "size", "text_key", "source_no", md5_int(F.lit(seed), F.col("doc_id")).alias("_order"), "_n_shards")
+    placed = sized.join(known, sized["source"].eqNullSafe(known["_source"])).select("doc_id", "source", "size", "text_key", "source_no", md5_int(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_key").cast("string")))).alias("_order"), "_n_shards")
     placed = placed.withColumn("shard", F.col("_order") % F.col("_n_shards")).drop("_n_shards")
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
     quotas = sainte_lague(shards.join(sources.drop("source"), "source_no"), ["source_no"], "shard", F.col("shard_size"), F.col("_source_quota"))

@@ -3,10 +3,10 @@
 Texts with the same n-gram set are one class; only classes are compared. A class's signature is cut
 into bands, whose number and rows are chosen for the target recall at the threshold; classes that
 share a band hash are candidates. Instead of listing all pairs of a band, each member is tied to the
-band's least member; connected components of these ties hold every candidate pair. A component of up to
-`whole` classes is compared as it is, so that each set moves once; in a larger one, which chance may
-chain together, only classes that share a band hash are compared, each pair in the first band that it
-shares. A component or bucket is dealt into chunks of `chunk` classes by a hash, and each pair of
+band's least member; connected components of these ties hold every candidate pair. Pairs that share a band
+are compared, and no others: a component of up to `whole` classes as it is, so that each set moves once, a
+larger one, which chance may chain together, by the buckets of its bands, each pair in the first band
+that it shares. Either way gives the same links. A component or bucket is dealt into chunks of `chunk` classes by a hash, and each pair of
 chunks is a block of its own, compared by products of 0-1 matrices over the shared n-grams: a large
 group of near copies is many blocks, never one task. A block reports, for each class, the documents
 linked to it and one tie to its linked neighbours, so a group of m near copies yields in the order of m
@@ -125,7 +125,8 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def compared_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
     """blocks: component, band, i, j, side, c, size, grams, bands, in any order. With a band, which is the
-    place of a hash in bands, only pairs whose bands first agree there count. Returns c, peer (a class it is
+    place of a hash in bands, only pairs whose bands first agree there count, without one all pairs that agree
+    in any. Returns c, peer (a class it is
     linked to directly or through others of the block, or itself), links (documents linked)."""
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -133,9 +134,11 @@ def compared_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
         side, size, c = np.array([g[4] for g in group]), np.array([g[6] for g in group]), np.array([g[5] for g in group])
         if group[0][2] != group[0][3]:
             m &= side[:, None] != side
-        for k in range(group[0][1] or 0):
-            hashes = np.array([g[8][k] for g in group])
-            m &= hashes[:, None] != hashes
+        hashes = np.array([g[8] for g in group])
+        if group[0][1] is None:
+            m &= np.any([h[:, None] == h for h in hashes.T], axis=0)
+        for h in hashes.T[: group[0][1] or 0]:
+            m &= h[:, None] != h
         label = np.arange(len(group))
         while True:
             low = np.minimum(label, np.where(m, label, len(group)).min(1))
@@ -181,7 +184,7 @@ def near_duplicates(
 
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     of = classes.select(F.col("c").alias("node"), "row_id", "k1", "k2", "size", "bands")
-    members = stage(candidates.join(sizes, "component").join(of, "node").select(F.col("node").alias("c"), "component", "n", "row_id", "k1", "k2", "size", F.when(F.col("n") > whole, F.col("bands")).alias("bands")))
+    members = stage(candidates.join(sizes, "component").join(of, "node").select(F.col("node").alias("c"), "component", "n", "row_id", "k1", "k2", "size", "bands"))
     # by a shuffle at every size: the members have no bound
     found = with_row_id(docs, id_col, text_col).select(F.col("row_id"), "text").join(members.select("row_id", "k1", "k2", "c").hint("merge"), "row_id")
 

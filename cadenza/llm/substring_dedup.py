@@ -20,8 +20,8 @@ its windows are compared one by one, by 128-bit keys, in groupings with partial
 more than that many segments, however many documents share a line.
 
 In the index words are compared as such, equal segments by 128-bit digests of their words. That all
-segments under one minimizer are the same is read from 64-bit hashes of them: two that differ are
-taken for one with a probability of 2 ** -64.
+segments under one minimizer are the same is read from two 64-bit hashes of their words and places (words of
+more than 32 bytes by BLAKE2).
 
 Edge cases: null texts have no words; rows with a null id are neither judged nor count as earlier
 documents; rows that repeat an id are one document to each other, so they never remove each other's
@@ -249,14 +249,14 @@ def _shared_segments(rows: DataFrame, width: int, gram: int) -> DataFrame:
             words, at = hashed_words(batch.column(1))
             m, t, start, n = _segments(words, at, width, gram)
             begin = at[t] + start
-            key = run_hashes(words, begin, begin + n + width - 1) if len(m) else m.view(np.uint64)
+            keys = run_hashes(words, begin, begin + n + width - 1)
             row = pa.array(t)
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), batch.column(0).take(row), batch.column(2).take(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))], ["minimizer", "doc_id", "text_key", "start", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), batch.column(0).take(row), batch.column(2).take(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(key.view(np.int64)) for key in keys)], ["minimizer", "doc_id", "text_key", "start", "n", "a", "b"])
 
-    segments = rows.mapInArrow(cut, "minimizer long, doc_id long, text_key long, start int, n int, key long")
-    per_minimizer = segments.groupBy("minimizer").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.min("key").alias("_a"), F.max("key").alias("_b"))
-    shared = per_minimizer.where("first < _last").select("minimizer", "first", (F.col("_a") == F.col("_b")).alias("alike"))
-    return segments.drop("key").join(shared, "minimizer").where("NOT alike OR doc_id > first").select("doc_id", "text_key", "start", "n", "alike")
+    segments = rows.mapInArrow(cut, "minimizer long, doc_id long, text_key long, start int, n int, a long, b long")
+    per_minimizer = segments.groupBy("minimizer").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), *(f(c).alias(f"_{c}{f.__name__}") for c in ("a", "b") for f in (F.min, F.max)))
+    shared = per_minimizer.where("first < _last").select("minimizer", "first", F.expr("_amin = _amax AND _bmin = _bmax").alias("alike"))
+    return segments.drop("a", "b").join(shared, "minimizer").where("NOT alike OR doc_id > first").select("doc_id", "text_key", "start", "n", "alike")
 
 
 def removed_words(docs: DataFrame, width: int = 13, gram: int = 4, shard_segments: int = 80_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,3 +169,80 @@ def test_screening_saves_distances():
     found, far, needed = centroids.nearest(x, centroids.block_norms(x, 8), c, 8)
     every = ((x[:, None] - c[None]) ** 2).sum(2)
     assert (found == every.argmin(1)).all() and (far == every.min(1)).all() and needed < 0.3 * every.size
+
+
+# ---- words that are built to collide ----
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [8, 32, 64, 512, 1024, 2048, 4096])
+def test_words_built_to_collide(spark, n):
+    import pyarrow as pa
+
+    from cadenza.llm import common, near_dedup, substring_dedup
+
+    a, b = thue_morse(n)
+    assert common.hashed_words(pa.array([a, b]))[0].tolist()[0] != common.hashed_words(pa.array([a, b]))[0].tolist()[1]
+    rest = [f"w{k}" for k in range(24)]
+    docs = spark.createDataFrame([(1, " ".join([*rest[:12], a, *rest[12:]])), (2, " ".join([*rest[:12], b, *rest[12:]]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.without_repeats(docs).collect()] == [0, 0]
+    if n in (64, 1024):
+        assert [r["n_links"] for r in near_dedup.near_duplicates(docs).collect()] == [0, 0]
+
+
+def test_runs_of_words_built_to_collide():
+    from cadenza.llm import common
+
+    x = np.array([[3, 5][c == "b"] for c in thue_morse(64)[0]], np.uint64)
+    values = np.concatenate([x, 8 - x, x])
+    for key in common.run_hashes(values, np.array([0, 64, 128]), np.array([64, 128, 192])):
+        assert key[0] == key[2] != key[1]
+
+
+def test_components_and_buckets_give_the_same_links(spark):
+    from cadenza.llm import near_dedup
+
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 10**6, 60).tolist() for _ in range(6)]
+    rows = []
+    for k in range(240):
+        words = list(base[k % 6])
+        for at in rng.integers(0, 60, k % 4):
+            words[at] = int(rng.integers(0, 10**6))
+        rows.append((k, " ".join(map(str, words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for recall in (0.5, 0.999):
+        found = [sorted(map(tuple, near_dedup.near_duplicates(docs, recall=recall, chunk=16, whole=whole).select("doc_id", "class_id", "n_links").collect())) for whole in (10_000, 1)]
+        assert found[0] == found[1]
+
+
+def test_references_are_decoded_once(spark):
+    from cadenza.llm import url_filter
+    from pyspark.sql import functions as F
+
+    texts = {"a&#38;lt;b": "a&lt;b", "&amp;quot;": "&quot;", "&amp;#38;": "&#38;", "x&#x41;&lt;&gt;&bad;&#xD800;": "xA<>&bad;�", "plain": "plain", "&#38;&#38;amp;": "&&amp;"}
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    assert dict(map(tuple, df.select("t", url_filter._decoded(F.col("t"))).collect())) == texts
+
+
+def test_whole_search_is_reachable(spark):
+    from cadenza.llm import packing
+
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate([6, 5, 5, 4, 3, 3, 2, 2])], "row long, length long")
+    packed = packing.pack(pieces, 10, nodes_per_piece=None).groupBy("sequence_id").sum("length").collect()
+    assert sorted(r[1] for r in packed) == [10, 10, 10]
+
+
+def test_rows_without_an_id_meet_different_shards(spark):
+    from cadenza.llm import mixing
+
+    rows = [(None, f"text {k} " * 20, "s") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted(tuple(r) for r in mixing.mix(df.repartition(n), shard_size=256).select("size", "taken").collect()) for n in (2, 5))
+    assert first == again and abs(sum(r[1] for r in first) - 8000) <= 256
