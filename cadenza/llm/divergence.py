@@ -62,7 +62,7 @@ def terms_of(column: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to occurrences and documents of every (lang, source, term) of a slice."""
-    for batch in slices_of(2, batches, 16 << 20):
+    for batch in slices_of(2, batches, 2 << 20):
         groups: dict[tuple[str, str], int] = {}
         of_row = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
         terms, row = terms_of(batch.column(2))
