@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import selection
 from cadenza.operators.labels import seconds
+from cadenza.operators.quantiles import quantile_row
 
 
 def median_filled(df: DataFrame, train: Column, columns: Sequence[str]) -> DataFrame:
     """Null, NaN and infinite values take the median of the finite values of the train rows. The
     medians are one row."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c))
-    one = df.where(train).agg(*(F.median(finite(c)).alias(f"_m_{c}") for c in columns))
+    one = quantile_row(df.where(train), {c: finite(c) for c in columns}, [0.5], {(c, 0): f"_m_{c}" for c in columns})
     return df.crossJoin(F.broadcast(one)).select(*(F.coalesce(finite(c), f"_m_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
@@ -73,7 +74,7 @@ def metric_deltas(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
 
 
 def magnitude_percentiles(df: DataFrame, value: str, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    return df.agg(*(F.percentile(F.abs(value), F.lit(s)).alias(f"p{round(100 * s)}") for s in shares), F.max(F.abs(value)).alias("most"))
+    return quantile_row(df, {value: F.abs(value)}, [*shares, 1.0], {(value, k): f"p{round(100 * s)}" for k, s in enumerate(shares)} | {(value, len(shares)): "most"})
 
 
 def predictiveness(train: DataFrame, test: DataFrame) -> DataFrame:

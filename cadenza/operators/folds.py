@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import labels, metrics, temporal
+from cadenza.operators.quantiles import exact_quantiles
 
 
 def fold_features(folds: DataFrame, feature: str, asset: str, view: str, order: Sequence[str], widths: Sequence[int] = (3, 5, 10), alphas: Sequence[float] = (0.1, 0.3, 0.5)) -> DataFrame:
@@ -26,7 +27,7 @@ def fold_features(folds: DataFrame, feature: str, asset: str, view: str, order:
 
 def median_baseline(folds: DataFrame, target: str) -> DataFrame:
     """Test rows with yhat: the median of the target over the fold's train rows."""
-    guess = folds.where("role = 'train'").groupBy("fold").agg(F.median(target).alias("yhat"))
+    guess = exact_quantiles(folds.where("role = 'train'"), target, [0.5], ["fold"]).select("fold", F.col("quantiles")[0].alias("yhat"))
     return folds.where("role = 'test'").join(guess, "fold", "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.labels import RUL_BINS, left_closed_bin, right_closed_bin
+from cadenza.operators.quantiles import exact_quantiles
 
 
 def Y() -> Column:  # noqa: N802
@@ -25,10 +26,17 @@ def E() -> Column:  # noqa: N802
 def regression_metrics(df: DataFrame, by: Sequence[str] = (), critical: float = 50) -> DataFrame:
     """y, yhat: n, mae, rmse, r2 (null without variance), n and mae of critical rows, median error."""
     n, mean_sq = F.count(F.lit(1)), F.avg(E() * E())
-    return df.groupBy(*by).agg(
+    means = df.groupBy(*by).agg(
         n.alias("n"), F.avg(F.abs(E())).alias("mae"), F.sqrt(mean_sq).alias("rmse"), F.when((n >= 2) & (F.var_pop(Y()) > 0), 1 - mean_sq / F.var_pop(Y())).alias("r2"),
-        F.median(F.abs(E())).alias("median_ae"), F.avg(E()).alias("bias"), F.count_if(critical >= Y()).alias("critical_n"), F.avg(F.when(critical >= Y(), F.abs(E()))).alias("critical_mae"),
+        F.avg(E()).alias("bias"), F.count_if(critical >= Y()).alias("critical_n"), F.avg(F.when(critical >= Y(), F.abs(E()))).alias("critical_mae"),
     )
+    return with_median(df, means, F.abs(E()), by).select(*by, "n", "mae", "rmse", "r2", "median_ae", "bias", "critical_n", "critical_mae")
+
+
+def with_median(df: DataFrame, table: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    """table, a row for each group of df, and median_ae: the exact median of a value, null without one."""
+    mids = exact_quantiles(df, value, [0.5], by).select(F.struct(F.lit(0), *by).alias("_of"), F.col("quantiles")[0].alias("median_ae"))
+    return table.withColumn("_of", F.struct(F.lit(0), *by)).join(mids, "_of", "left").drop("_of")
 
 
 def threshold_metrics(df: DataFrame, thresholds: Sequence[float] = (50, 100), by: Sequence[str] = ()) -> DataFrame:
@@ -57,15 +65,17 @@ def range_errors(df: DataFrame) -> DataFrame:
 
 def residual_bins(df: DataFrame) -> DataFrame:
     """Errors by right-closed bin of y; empty bins have 0 rows and null errors."""
-    by = df.withColumn("bin", right_closed_bin(Y())).where("bin IS NOT NULL").groupBy("bin").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.abs(E())).alias("mae"), F.median(F.abs(E())).alias("median_ae"), F.avg(E()).alias("bias"), F.min(E()).alias("least"), F.max(E()).alias("most"))
+    rows = df.withColumn("bin", right_closed_bin(Y())).where("bin IS NOT NULL")
+    by = rows.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(F.abs(E())).alias("mae"), F.avg(E()).alias("bias"), F.min(E()).alias("least"), F.max(E()).alias("most"))
+    by = with_median(rows, by, F.abs(E()), ["bin"])
     return _all_bins(df).join(by, "bin", "left").select("bin", F.coalesce("_n", F.lit(0)).alias("n"), "mae", "median_ae", "bias", "least", "most")
 
 
 def calibration(df: DataFrame, parts: int = 10) -> DataFrame:
     """By quantile bin of the prediction (right-closed, equal edges merged): means, mae, bias. The
     edges are one row."""
-    edges = df.agg(F.array_distinct(F.percentile(P(), F.array(*(F.lit(k / parts) for k in range(parts + 1))))).alias("_edges"))
+    edges = exact_quantiles(df, P(), [k / parts for k in range(parts + 1)]).select(F.array_distinct("quantiles").alias("_edges"))
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < P()))))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(P()).alias("mean_pred"), F.avg(Y()).alias("mean_true"), F.avg(F.abs(E())).alias("mae"), F.avg(E()).alias("bias"))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.quantiles import quantile_row
 from cadenza.sources.shared import written
 
 
@@ -299,7 +300,7 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
 
 def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median-filled and scaled by the population deviation."""
-    one = df.agg(*(F.median(c).alias(f"_m_{c}") for c in columns))
+    one = quantile_row(df, {c: F.col(c) for c in columns}, [0.5], {(c, 0): f"_m_{c}" for c in columns})
     filled = df.crossJoin(F.broadcast(one)).select(*(c for c in df.columns if c not in columns), *(F.coalesce(c, f"_m_{c}").alias(c) for c in columns))  # one row
     stats = filled.agg(*(F.avg(c).alias(f"_a_{c}") for c in columns), *(F.stddev_pop(c).alias(f"_s_{c}") for c in columns))
     return filled.crossJoin(F.broadcast(stats)).select(*(c for c in df.columns if c not in columns), *(F.coalesce(F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_s_{c}")), F.lit(0.0)).alias(c) for c in columns))
