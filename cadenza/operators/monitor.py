@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from cadenza.operators import blocks
 from cadenza.sources.shared import written
 
 #: The four states: fixed values.
@@ -145,39 +146,113 @@ def view_violations(df: DataFrame, keys: Sequence[str], channel: str, expected:
     return by.where(F.coalesce(bad, F.lit(True))).select(*keys, "channels")
 
 
-def monitor_states(df: DataFrame, stream: str, order: Sequence[str], persistence: int = 6, release: int = 6) -> DataFrame:
+class Hysteresis:
+    """The state machine as maps on its states, 0 to persistence - 1: so many scores in a row above the
+    threshold, not severe; then release more: severe, with so many scores in a row at or below the reset level.
+    A row is one of five symbols, a stretch of rows the map that its symbols' maps make one after the other."""
+
+    def __init__(self, persistence: int, release: int):
+        self.persistence, self.release = persistence, release
+        n = persistence + release
+        calm, severe = np.arange(n) < persistence, np.arange(n) >= persistence
+        at = np.arange(n)
+        low = np.where(severe, np.where(at + 1 < n, at + 1, 0), 0)
+        neither = np.where(severe, persistence, 0)
+        above = np.where(calm, at + 1, persistence)
+        above_low = np.where(calm, at + 1, low)
+        #: symbols: no evidence; at or below the reset level; above the threshold; neither; both
+        self.maps = np.array([np.zeros(n, int), low, above, neither, above_low])
+
+    def symbols(self, score: np.ndarray, threshold: np.ndarray, reset: np.ndarray, early: np.ndarray) -> np.ndarray:
+        """Nulls are NaN."""
+        with np.errstate(invalid="ignore"):
+            low, high = score <= reset, score > threshold
+        return np.where(early | np.isnan(score) | np.isnan(threshold), 0, np.select([low & high, high, low], [4, 2, 1], 3))
+
+    def composed(self, symbols: np.ndarray) -> np.ndarray:
+        """The map of a stretch, by a tree of pairs."""
+        maps = self.maps[symbols]
+        while len(maps) > 1:
+            even = len(maps) // 2 * 2
+            pairs = np.take_along_axis(maps[1:even:2], maps[0:even:2], axis=1)
+            maps = np.concatenate([pairs, maps[even:]])
+        return maps[0] if len(maps) else np.arange(self.maps.shape[1])
+
+    def states(self, symbols: np.ndarray, start: int, step: int = 64) -> np.ndarray:
+        """The state behind every row: stretches of `step` rows side by side, then one behind the other."""
+        n = len(symbols)
+        rows = -(-n // step)
+        padded = np.concatenate([symbols, np.full(rows * step - n, 3)]).reshape(rows, step)
+        reached = np.empty((step, rows, self.maps.shape[1]), np.int64)
+        now = np.broadcast_to(np.arange(self.maps.shape[1]), (rows, self.maps.shape[1]))
+        for k in range(step):
+            now = reached[k] = np.take_along_axis(self.maps[padded[:, k]], now, axis=1)
+        starts = np.empty(rows, np.int64)
+        for r in range(rows):
+            starts[r] = start
+            start = now[r, start]
+        return reached[:, np.arange(rows), starts].T.ravel()[:n]
+
+    def named(self, symbols: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Name, consecutive and released of every row."""
+        severe = states >= self.persistence
+        over = np.isin(symbols, (2, 4)) & (states > 0)
+        name = np.select([symbols == 0, severe, over], [INSUFFICIENT, SEVERE, DEVIATION], CONSISTENT)
+        return name, np.where(severe, self.persistence, states), np.where(severe, states - self.persistence, 0)
+
+
+def monitor_states(df: DataFrame, stream: str, order: Sequence[str], persistence: int = 6, release: int = 6, rows: int = blocks.ROWS) -> DataFrame:
     """df: score, threshold, reset, place, baseline rows marked by in_baseline. Adds state, consecutive
-    and released. One ordered scan that carries two counters and a flag from row to row:
+    and released, from two counters and a flag that go from row to row:
     no evidence resets all; while severe, `release` scores in a row at or below the reset level end it;
-    otherwise `persistence` scores in a row above the threshold begin it."""
-    rows = df.repartition(stream).sortWithinPartitions(stream, *order)
+    otherwise `persistence` scores in a row above the threshold begin it. Both are 1 at least. A stream of
+    more than `rows` rows is several parts, each summed up as a map of states."""
+    if min(persistence, release) < 1:
+        raise ValueError("persistence and release are 1 at least")
+    machine = Hysteresis(persistence, release)
+    calm, long = blocks.split(df, [stream], rows)
+    out = _stated(calm, machine, [stream], order)
+    if long is None:
+        return out
+    parts = blocks.dealt(long, [stream], order, rows)
+    by = [f"_o{i}" for i in range(len(order))]
+    narrow = parts.select(stream, "_part", *(F.col(c).alias(f"_{c}") for c in EVIDENCE), *(F.col(c).alias(o) for c, o in zip(order, by, strict=True)))
+    at = [narrow.columns.index(f"_{c}") for c in EVIDENCE]
+    carried = blocks.carries(narrow, [stream], by, lambda: None, lambda m, batch: _followed(m, machine.composed(_symbols(machine, batch, at))), lambda s, m: int(m[s]), 0, LongType())
+    return out.unionByName(_stated(blocks.with_carry(parts, [stream], carried), machine, [stream, "_part"], order, "_carry").drop("_part", "_carry"))
+
+
+EVIDENCE = ("score", "threshold", "reset", "in_baseline")
+
+
+def _followed(first: np.ndarray | None, then: np.ndarray) -> np.ndarray:
+    return then if first is None else then[first]
+
+
+def _symbols(machine: Hysteresis, batch: pa.RecordBatch, at: Sequence[int]) -> np.ndarray:
+    number = lambda k: batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    early = batch.column(at[3]).fill_null(False).to_numpy(zero_copy_only=False)
+    return machine.symbols(number(at[0]), number(at[1]), number(at[2]), early)
+
+
+def _stated(df: DataFrame, machine: Hysteresis, keys: Sequence[str], order: Sequence[str], carry: str | None = None) -> DataFrame:
+    """The states of each key's rows by one ordered scan; carry: a column with the state before them."""
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     names = rows.columns
-    at = [names.index(c) for c in (stream, "score", "threshold", "reset", "in_baseline")]
+    at, places, first = [names.index(c) for c in EVIDENCE], [names.index(k) for k in keys], names.index(carry) if carry else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, severe, above, below = object(), False, 0, 0
+        now, last = object(), 0
         for batch in batches:
-            states, ups, downs = [], [], []
-            for key, score, high, low, early in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+            symbols = _symbols(machine, batch, at)
+            states = np.zeros(batch.num_rows, np.int64)
+            for a, b, key in blocks.runs(batch, places):
                 if key != now:
-                    now, severe, above, below = key, False, 0, 0
-                if early or score is None or high is None:
-                    severe, above, below, state = False, 0, 0, INSUFFICIENT
-                elif severe:
-                    below = below + 1 if score <= low else 0
-                    state = SEVERE
-                    if below >= release:
-                        severe, above, below, state = False, 0, 0, CONSISTENT
-                elif score > high:
-                    above += 1
-                    severe = above >= persistence
-                    below, state = 0, SEVERE if severe else DEVIATION
-                else:
-                    above, state = 0, CONSISTENT
-                states.append(state)
-                ups.append(above)
-                downs.append(below)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string()), pa.array(ups, pa.int64()), pa.array(downs, pa.int64())], [*names, "state", "consecutive", "released"])
+                    now, last = key, batch.column(first)[a].as_py() if first is not None else 0
+                states[a:b] = machine.states(symbols[a:b], last)
+                last = int(states[b - 1])
+            name, up, down = machine.named(symbols, states)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name.tolist(), pa.string()), pa.array(up), pa.array(down)], [*names, "state", "consecutive", "released"])
 
     return rows.mapInArrow(scan, StructType([*rows.schema.fields, StructField("state", StringType()), StructField("consecutive", LongType()), StructField("released", LongType())]))
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from cadenza.operators import blocks, temporal
+from cadenza.operators import blocks, monitor, temporal
 
 
 def table(spark):
@@ -63,3 +63,50 @@ def test_parts_are_bounded(spark):
     df = spark.range(10_000).selectExpr("0 as s", "id as t")
     sizes = [r["count"] for r in blocks.dealt(df, ["s"], ["t"], 500).groupBy("_part").count().collect()]
     assert len(sizes) >= 15 and max(sizes) <= 1500
+
+
+def serial_states(rows, persistence, release):
+    """score, threshold, reset, early of a stream, row by row."""
+    severe, above, below, out = False, 0, 0, []
+    for score, high, low, early in rows:
+        if early or score is None or high is None:
+            severe, above, below, state = False, 0, 0, monitor.INSUFFICIENT
+        elif severe:
+            below, state = (below + 1 if low is not None and score <= low else 0), monitor.SEVERE
+            if below >= release:
+                severe, above, below, state = False, 0, 0, monitor.CONSISTENT
+        elif score > high:
+            above += 1
+            severe = above >= persistence
+            below, state = 0, monitor.SEVERE if severe else monitor.DEVIATION
+        else:
+            above, state = 0, monitor.CONSISTENT
+        out.append((state, above, below))
+    return out
+
+
+@pytest.mark.parametrize(("persistence", "release"), [(1, 1), (3, 2), (2, 5), (6, 6)])
+def test_maps_give_the_serial_states(persistence, release):
+    rng = np.random.default_rng(persistence * 10 + release)
+    machine = monitor.Hysteresis(persistence, release)
+    for n in (1, 5, 63, 64, 65, 700):
+        level = np.repeat(rng.random(n // 5 + 1), 5)[:n]
+        score = np.where(rng.random(n) < 0.03, np.nan, level + rng.normal(0, 0.1, n))
+        high, low, early = np.full(n, 0.6), np.where(rng.random(n) < 0.3, 0.7, 0.4), np.arange(n) < 3
+        symbols = machine.symbols(score, high, low, early)
+        states = machine.states(symbols, 0)
+        got = list(zip(*(x.tolist() for x in machine.named(symbols, states)), strict=True))
+        rows = [(None if np.isnan(s) else s, h, w, e) for s, h, w, e in zip(score, high, low, early, strict=True)]
+        assert got == serial_states(rows, persistence, release)
+        cut = n // 3
+        assert machine.composed(symbols[cut:])[machine.composed(symbols[:cut])[0]] == states[-1]
+
+
+@pytest.mark.parametrize("rows", [11, 10_000])
+def test_states_of_parts(spark, rows):
+    rng = np.random.default_rng(6)
+    streams = {"hot": 400, "b": 90, None: 60}
+    given = {s: [(None if rng.random() < 0.04 else float(v), None if s == "b" and k > 70 else 0.6, 0.4, k < 5) for k, v in enumerate(np.repeat(rng.random(n), 4)[:n])] for s, n in streams.items()}
+    df = spark.createDataFrame([(s, k, *r) for s, x in given.items() for k, r in enumerate(x)], "stream string, place int, score double, threshold double, reset double, in_baseline boolean").repartition(6)
+    got = {(r["stream"], r["place"]): (r["state"], r["consecutive"], r["released"]) for r in monitor.monitor_states(df, "stream", ["place"], 3, 2, rows).collect()}
+    assert got == {(s, k): v for s, x in given.items() for k, v in enumerate(serial_states(x, 3, 2))}
