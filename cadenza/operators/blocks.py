@@ -15,6 +15,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
@@ -115,3 +116,19 @@ def carries(parts: DataFrame, keys: Sequence[str], order: Sequence[str], start:
 def with_carry(parts: DataFrame, keys: Sequence[str], carried: DataFrame) -> DataFrame:
     """parts with the _carry of their part."""
     return parts.withColumn("_s", F.struct(F.lit(0), *keys)).join(carried, ["_s", "_part"]).select(*parts.columns, "_carry")
+
+
+def reached(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, rows: int = ROWS) -> DataFrame:
+    """df with the greatest value of all rows of its stream before each row, null before the first: what a
+    sweep over ranges compares a range's begin with. Streams of more than `rows` rows are swept in parts."""
+    before = lambda by: F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    calm, long = split(df, keys, rows)
+    out = calm.withColumn(name, before(keys))
+    if long is None:
+        return out
+    parts = dealt(long, keys, order, rows)
+    at = parts.columns.index(value)
+    greatest = lambda a, b: b if a is None else a if b is None else max(a, b)
+    carried = carries(parts, keys, order, lambda: None, lambda m, batch: greatest(m, pc.max(batch.column(at)).as_py()), greatest, None, parts.schema[value].dataType)
+    met = with_carry(parts, keys, carried).withColumn(name, F.greatest(before([*keys, "_part"]), "_carry"))
+    return out.unionByName(met.drop("_part", "_carry"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators import blocks
 from cadenza.operators.identity import members_digest
 
 
@@ -82,34 +83,94 @@ def forbidden_keys(df: DataFrame, key: Sequence[str], text: str, forbidden: Sequ
     return df.select(*key, F.explode(found).alias("found"))
 
 
+def rows_digest(hashes: Column) -> Column:
+    """Digest of an array of (index, hash) in order."""
+    return F.sha2(F.concat_ws("\n", F.transform(F.sort_array(hashes), lambda s: s["_h"])), 256)
+
+
 def chunk_receipts(df: DataFrame, index: str, row: Sequence[str], size: int = 128) -> DataFrame:
     """What a build of each chunk states: chunk, first, last, n, digest of its rows in order of index.
     A chunk holds `size` indices, which bounds what a digest gathers while indices are unique."""
+    return _chunks(df, index, row, size).drop("_distinct")
+
+
+def _chunks(df: DataFrame, index: str, row: Sequence[str], size: int) -> DataFrame:
     line = F.to_json(F.struct(*row), {"ignoreNullFields": "false"})
     rows = df.select(F.col(index).alias("_i"), F.floor(F.col(index) / size).alias("chunk"), F.sha2(line, 256).alias("_h"))
-    by = rows.groupBy("chunk").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_h"))).alias("_l"))
-    return by.select("chunk", "first", "last", "n", F.sha2(F.concat_ws("\n", F.transform("_l", lambda s: s["_h"])), 256).alias("digest"))
+    by = rows.groupBy("chunk").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("_i", "_h")).alias("_l"))
+    return by.select("chunk", "first", "last", "n", rows_digest(F.col("_l")).alias("digest"), F.size(F.array_distinct(F.col("_l._i"))).alias("_distinct"))
 
 
 def receipt_violations(rows: DataFrame, receipts: DataFrame, index: str, row: Sequence[str], size: int = 128) -> DataFrame:
     """chunk, problem of an assembly: chunks without a receipt, or with several; receipts of no chunk;
-    another range, count or digest than the rows give; a gap or an overlap to the chunk before; a chunk
-    that isn't full before the last."""
-    have = chunk_receipts(rows, index, row, size)
+    another range, count or digest than the rows give; indices that are there more than once (which is what
+    packages that overlap leave); a gap to the chunk before; a chunk that isn't full before the last."""
+    have = _chunks(rows, index, row, size)
     stated = receipts.groupBy("chunk").agg(F.count(F.lit(1)).alias("_times"), *(F.min(c).alias(f"_{c}") for c in ("first", "last", "n", "digest")))
-    order = Window.orderBy("chunk")  # a row a chunk
-    before, after = F.lag("last").over(order), F.lead("chunk").over(order)
-    placed = have.withColumns({"_gap": F.col("first") > before + 1, "_overlap": F.col("first") <= before, "_short": after.isNotNull() & (F.col("n") < size)})
+    ends = have.agg(F.min("chunk").alias("_least"), F.max("chunk").alias("_most"))  # one row
+    before = have.select((F.col("chunk") + 1).alias("chunk"), F.col("last").alias("_before"))
+    # a chunk that isn't there leaves a gap to the one behind it
+    gap = (F.col("chunk") > F.col("_least")) & F.coalesce(F.col("first") > F.col("_before") + 1, F.lit(True))
+    placed = have.crossJoin(F.broadcast(ends)).join(before, "chunk", "left").withColumns({"_gap": gap, "_short": (F.col("chunk") < F.col("_most")) & (F.col("n") < size)})
     both = placed.join(stated, "chunk", "full")
     rules = {
         "no receipt": F.col("_times").isNotNull(), "no rows": F.col("n").isNotNull(), "repeated receipt": F.coalesce(F.col("_times") == 1, F.lit(True)),
         "range": F.coalesce((F.col("first") == F.col("_first")) & (F.col("last") == F.col("_last")), F.lit(True)), "count": F.coalesce(F.col("n") == F.col("_n"), F.lit(True)),
-        "digest": F.coalesce(F.col("digest") == F.col("_digest"), F.lit(True)), "gap": F.coalesce(~F.col("_gap"), F.lit(True)), "overlap": F.coalesce(~F.col("_overlap"), F.lit(True)),
+        "digest": F.coalesce(F.col("digest") == F.col("_digest"), F.lit(True)), "gap": F.coalesce(~F.col("_gap"), F.lit(True)), "repeated index": F.coalesce(F.col("_distinct") == F.col("n"), F.lit(True)),
         "short": F.coalesce(~F.col("_short"), F.lit(True)),
     }
     return row_violations(both, ["chunk"], rules).withColumnRenamed("rule", "problem")
 
 
+def assembly_violations(rows: DataFrame, packages: DataFrame, plan: DataFrame, index: str, row: Sequence[str], range_rows: int = blocks.ROWS) -> DataFrame:
+    """dataset, package, problem of an assembly of packages that were published one by one.
+
+    rows: package, dataset, an index and what a row says. packages: dataset, package, first, last, n, digest,
+    as each states them. plan: dataset, package, first, last, as they should be; between the least first and the
+    greatest last of a dataset's plan every index is wanted once. Problems of a package: missing, foreign,
+    repeated, another range than the plan's, no rows, rows of another dataset, indices that are repeated, not
+    there (holes), or outside its range, another count or digest than its rows give; rows of a package that is
+    not stated. Problems between packages, from a sweep over the stated ranges: overlap with and gap to what
+    lies before. A digest gathers a package's rows, which the plan bounds."""
+    line = F.to_json(F.struct(*row), {"ignoreNullFields": "false"})
+    each = rows.select(F.col("package").alias("_p"), F.col("dataset").alias("_d"), F.col(index).cast("long").alias("_i"), F.sha2(line, 256).alias("_h"))
+    have = each.groupBy(F.col("_p").alias("package")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low"), F.max("_i").alias("_high"), F.size(F.collect_set("_i")).alias("_distinct"), F.min("_d").alias("_least"), F.max("_d").alias("_most"),
+        rows_digest(F.collect_list(F.struct("_i", "_h"))).alias("_digest"), F.count_if(F.col("_d").isNull()).alias("_unnamed"),
+    )
+    stated = packages.groupBy("package").agg(F.count(F.lit(1)).alias("_times"), *(F.min(c).alias(c) for c in ("dataset", "first", "last", "n", "digest")))
+    wanted = plan.select("package", F.col("dataset").alias("_dataset"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    all_of = stated.join(wanted, "package", "full").join(have, "package", "full")
+    holds = lambda ok: F.coalesce(ok, F.lit(True))
+    known, there = F.col("_times").isNotNull(), F.col("_n").isNotNull()
+    rules = {
+        "missing": known | F.col("_dataset").isNull(), "foreign": ~known | F.col("_dataset").isNotNull(), "not stated": known | ~there, "repeated": holds(F.col("_times") == 1),
+        "plan": holds((F.col("dataset") == F.col("_dataset")) & (F.col("first") == F.col("_first")) & (F.col("last") == F.col("_last"))), "no rows": ~known | there,
+        "dataset": holds((F.col("_least") == F.col("dataset")) & (F.col("_most") == F.col("dataset")) & (F.col("_unnamed") == 0)), "repeated index": holds(F.col("_distinct") == F.col("_n")),
+        "holes": holds(F.col("_high") - F.col("_low") + 1 == F.col("_distinct")), "range": holds((F.col("_low") == F.col("first")) & (F.col("_high") == F.col("last"))),
+        "count": holds(F.col("n") == F.col("_n")), "digest": holds(F.col("digest") == F.col("_digest")),
+    }
+    out = row_violations(all_of.withColumn("_of", F.coalesce("dataset", "_dataset", "_least")), ["_of", "package"], rules).select(F.col("_of").alias("dataset"), "package", F.col("rule").alias("problem"))
+    swept = blocks.reached(packages.select("dataset", "package", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")), ["dataset"], ["first", "last", "package"], "last", "_reached", range_rows)
+    ends = plan.groupBy(F.col("dataset").alias("_d")).agg(F.min("first").alias("_begin"), F.max("last").alias("_end"))
+    met = swept.join(ends, F.col("dataset") == F.col("_d"), "left")
+    gap = F.col("first") > F.coalesce(F.col("_reached"), F.col("_begin") - 1) + 1
+    between = row_violations(met, ["dataset", "package"], {"overlap": holds(F.col("first") > F.col("_reached")), "gap": holds(~gap)})
+    tail = packages.groupBy(F.col("dataset").alias("_of")).agg(F.max("last").alias("_last"))
+    open_end = ends.join(tail, F.col("_d") == F.col("_of"), "left").where(F.coalesce(F.col("_last") < F.col("_end"), F.lit(True)))
+    return out.unionByName(between.withColumnRenamed("rule", "problem")).unionByName(open_end.select(F.col("_d").alias("dataset"), F.lit(None).cast("string").alias("package"), F.lit("gap").alias("problem")))
+
+
+def assembled(rows: DataFrame, packages: DataFrame, plan: DataFrame, index: str, row: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of all packages and the ledger (a row a package, in the plan's terms), or an error that
+    names the first problems."""
+    found = assembly_violations(rows, packages, plan, index, row).limit(5).collect()
+    if found:
+        raise ValueError("assembly refused: " + "; ".join(f"{r['dataset']}/{r['package']}: {r['problem']}" for r in found))
+    ledger = packages.select("dataset", "package", "first", "last", "n", "digest", F.sha2(F.to_json(F.struct("dataset", "package", "first", "last", "n", "digest")), 256).alias("receipt_sha256"))
+    return rows, ledger
+
+
 def hypotheses(tables: Mapping[str, tuple[DataFrame, Column, float]]) -> DataFrame:
     """Evidence by hypothesis: hypothesis, measure, threshold, supported (the measure reaches the
     threshold; null without a measure). Each gives a table, an aggregate over it, and its threshold."""

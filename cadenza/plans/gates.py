@@ -114,6 +114,46 @@ def _(s, d):
     return gates.receipt_violations(events(s, d).where("event_id NOT BETWEEN 200 AND 210"), _receipts(s, d), "event_id", ["event_id", "event_type"])
 
 
+def _packages(s, d):
+    """Packages of 64 orders by row number as index, each with what it states, and a plan; with faults: a package
+    that takes rows of the next, one with a repeated index, with a hole, with rows of another data set, one that
+    isn't stated, one that is stated twice, one that no plan has, one that is planned but not there."""
+    ordered = table(s, d, "customer").select((F.col("c_custkey") - F.lit(1)).alias("i"), "c_name")
+    ordered = ordered.where("i < 960").withColumns({"k": F.floor(F.col("i") / 64), "dataset": F.when(F.col("i") < 640, "a").otherwise("b")})
+    rows = ordered.withColumn("package", F.concat(F.lit("p"), "k"))
+    rows = rows.where("k <> 9 AND i <> 300")
+    taken = ordered.where("i BETWEEN 128 AND 140").withColumn("package", F.lit("p1"))
+    twice = ordered.where("i = 200").withColumn("package", F.lit("p3"))
+    other = rows.withColumn("dataset", F.when(F.col("i") == 700, "a").otherwise(F.col("dataset")))
+    rows = other.unionByName(taken).unionByName(twice).select("dataset", "package", "i", "c_name")
+    line = F.to_json(F.struct("i", "c_name"))
+    stated = rows.groupBy("package").agg(F.max("dataset").alias("dataset"), F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n"), gates.rows_digest(F.collect_list(F.struct(F.col("i").alias("_i"), F.sha2(line, 256).alias("_h")))).alias("digest"))
+    stated = stated.where("package <> 'p6'").withColumns({"n": F.when(F.col("package") == "p7", 63).otherwise(F.col("n")), "digest": F.when(F.col("package") == "p8", "other").otherwise(F.col("digest"))})
+    stated = stated.unionByName(stated.where("package = 'p5'")).unionByName(stated.where("package = 'p12'").withColumns({"package": F.lit("x"), "first": F.lit(5000).cast("long"), "last": F.lit(5063).cast("long")}))
+    plan = ordered.groupBy("k", "dataset").agg(F.min("i").alias("first"), F.max("i").alias("last")).select("dataset", F.concat(F.lit("p"), "k").alias("package"), "first", "last")
+    return rows, stated, plan
+
+
+@_add("assembly_violations", """
+WITH o AS (SELECT c_custkey - 1 AS i, c_name, (c_custkey - 1) // 64 AS k, CASE WHEN c_custkey - 1 < 640 THEN 'a' ELSE 'b' END AS dataset FROM customer WHERE c_custkey - 1 < 960),
+r AS (SELECT CASE WHEN i = 700 THEN 'a' ELSE dataset END AS dataset, 'p' || k AS package, i, c_name FROM o WHERE k <> 9 AND i <> 300 UNION ALL SELECT dataset, 'p1', i, c_name FROM o WHERE i BETWEEN 128 AND 140 UNION ALL SELECT dataset, 'p3', i, c_name FROM o WHERE i = 200),
+h AS (SELECT package, count(*) AS n, min(i) AS lo, max(i) AS hi, count(DISTINCT i) AS dn, min(dataset) AS d0, max(dataset) AS d1 FROM r GROUP BY 1),
+t AS (SELECT package, d1 AS dataset, lo AS first, hi AS last, CASE package WHEN 'p7' THEN 63 ELSE n END AS n, package <> 'p8' AS digest_ok FROM h WHERE package <> 'p6'),
+st AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE package = 'p5' UNION ALL SELECT 'x', dataset, 5000, 5063, n, digest_ok FROM t WHERE package = 'p12'),
+pl AS (SELECT dataset, 'p' || k AS package, min(i) AS first, max(i) AS last FROM o GROUP BY dataset, k),
+one AS (SELECT DISTINCT * FROM st), e AS (SELECT dataset, min(first) AS b, max(last) AS z FROM pl GROUP BY 1),
+sw AS (SELECT dataset, package, first, last, max(last) OVER (PARTITION BY dataset ORDER BY first, last, package ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM st)
+SELECT dataset, package, 'missing' AS problem FROM pl ANTI JOIN st USING (package) UNION ALL SELECT dataset, package, 'foreign' FROM one ANTI JOIN pl USING (package) UNION ALL SELECT pl.dataset, package, 'not stated' FROM h JOIN pl USING (package) ANTI JOIN st USING (package)
+UNION ALL SELECT any_value(dataset), package, 'repeated' FROM st GROUP BY package HAVING count(*) > 1 UNION ALL SELECT one.dataset, package, 'plan' FROM one JOIN pl USING (package) WHERE one.dataset <> pl.dataset OR one.first <> pl.first OR one.last <> pl.last
+UNION ALL SELECT dataset, package, 'no rows' FROM one ANTI JOIN h USING (package) UNION ALL SELECT dataset, package, 'dataset' FROM one JOIN h USING (package) WHERE d0 <> dataset OR d1 <> dataset
+UNION ALL SELECT coalesce(one.dataset, pl.dataset), package, 'repeated index' FROM h LEFT JOIN one USING (package) LEFT JOIN pl USING (package) WHERE dn <> h.n UNION ALL SELECT coalesce(one.dataset, pl.dataset), package, 'holes' FROM h LEFT JOIN one USING (package) LEFT JOIN pl USING (package) WHERE hi - lo + 1 <> dn
+UNION ALL SELECT dataset, package, 'range' FROM one JOIN h USING (package) WHERE lo <> first OR hi <> last UNION ALL SELECT dataset, package, 'count' FROM one JOIN h USING (package) WHERE h.n <> one.n UNION ALL SELECT dataset, package, 'digest' FROM one JOIN h USING (package) WHERE NOT digest_ok
+UNION ALL SELECT dataset, package, 'overlap' FROM sw WHERE first <= reach UNION ALL SELECT dataset, package, 'gap' FROM sw JOIN e USING (dataset) WHERE first > coalesce(reach, b - 1) + 1
+UNION ALL SELECT dataset, NULL, 'gap' FROM e LEFT JOIN (SELECT dataset, max(last) AS m FROM st GROUP BY 1) USING (dataset) WHERE coalesce(m < z, true)""")
+def _(s, d):
+    return gates.assembly_violations(*_packages(s, d), "i", ["i", "c_name"])
+
+
 _KS = f"(SELECT feature, max(gap) AS ks FROM (SELECT feature, abs(sum(a) OVER r / sum(a) OVER f - sum(b) OVER r / sum(b) OVER f) AS gap FROM (SELECT feature, value, count_if(vec_id % 2 = 0) AS a, count_if(vec_id % 2 = 1) AS b FROM ({assets._LONG}) GROUP BY ALL) WINDOW r AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)) GROUP BY feature)"
 _HYPOTHESES = f"""(SELECT 'shift' AS hypothesis, avg((ks >= 0.1)::INT) AS measure, 0.5::DOUBLE AS threshold FROM {_KS} UNION ALL SELECT 'weak relation', avg((score < 0.5)::INT), 0.9 FROM {assets._REL}
 UNION ALL SELECT 'late failures', avg((rul_seconds > 864000)::INT), 0.01 FROM ({streams._RUL}) UNION ALL SELECT 'no rows', NULL, 1 )"""

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cadenza.operators import blocks, monitor, temporal
+from cadenza.operators import blocks, gates, monitor, temporal
 
 
 def table(spark):
@@ -110,3 +111,29 @@ def test_states_of_parts(spark, rows):
     df = spark.createDataFrame([(s, k, *r) for s, x in given.items() for k, r in enumerate(x)], "stream string, place int, score double, threshold double, reset double, in_baseline boolean").repartition(6)
     got = {(r["stream"], r["place"]): (r["state"], r["consecutive"], r["released"]) for r in monitor.monitor_states(df, "stream", ["place"], 3, 2, rows).collect()}
     assert got == {(s, k): v for s, x in given.items() for k, v in enumerate(serial_states(x, 3, 2))}
+
+
+def test_reached_of_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", None][int(rng.integers(0, 3))], k, int(rng.integers(0, 10**6)) if rng.random() < 0.9 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "s string, first long, last long").repartition(4)
+    got = {r["first"]: r["m"] for r in blocks.reached(df, ["s"], ["first"], "last", "m", 20).collect()}
+    for s, k, _ in rows:
+        before = [v for t, j, v in rows if t == s and j < k and v is not None]
+        assert got[k] == (max(before) if before else None)
+
+
+def test_overlapping_packages_are_found(spark):
+    """Indices 0 to 129 and 100 to 139 in two packages, receipts made from the same rows."""
+    rows = spark.createDataFrame([("d", "p", k) for k in range(130)] + [("d", "q", k) for k in range(100, 140)], "dataset string, package string, i long")
+    receipts = gates.chunk_receipts(rows, "i", ["i"])
+    assert [(r["chunk"], r["problem"]) for r in gates.receipt_violations(rows, receipts, "i", ["i"]).collect()] == [(0, "repeated index"), (1, "repeated index")]
+    digest = gates.rows_digest(F.collect_list(F.struct(F.col("i").alias("_i"), F.sha2(F.to_json(F.struct("i")), 256).alias("_h"))))
+    packages = rows.groupBy("dataset", "package").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"), digest.alias("digest"))
+    plan = packages.select("dataset", "package", "first", "last")
+    assert [tuple(r) for r in gates.assembly_violations(rows, packages, plan, "i", ["i"]).collect()] == [("d", "q", "overlap")]
+    with pytest.raises(ValueError, match="d/q: overlap"):
+        gates.assembled(rows, packages, plan, "i", ["i"])
+    fine = rows.where("package = 'p'")
+    _, ledger = gates.assembled(fine, packages.where("package = 'p'"), plan.where("package = 'p'"), "i", ["i"])
+    assert [r["package"] for r in ledger.collect()] == ["p"]
