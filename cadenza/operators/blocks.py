@@ -118,6 +118,17 @@ def with_carry(parts: DataFrame, keys: Sequence[str], carried: DataFrame) -> Dat
     return parts.withColumn("_s", F.struct(F.lit(0), *keys)).join(carried, ["_s", "_part"]).select(*parts.columns, "_carry")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, rows: int = ROWS) -> DataFrame:
+    """df with the place of each row in the order of the whole table, from 0: ranges number their own rows, and
+    what stands before a range is a sum over a row a range."""
+    parts = dealt(df, [], order, rows)
+    sizes = parts.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_begin"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    met = parts.withColumn("_in", inside).join(sizes, F.col("_part") == F.col("_p"))
+    return met.select(*df.columns, (F.col("_begin") + F.col("_in")).alias(name))
+
+
 def reached(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, rows: int = ROWS) -> DataFrame:
     """df with the greatest value of all rows of its stream before each row, null before the first: what a
     sweep over ranges compares a range's begin with. Streams of more than `rows` rows are swept in parts."""

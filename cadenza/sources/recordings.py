@@ -6,10 +6,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import blocks
+
 #: Channel c belongs to asset 1 + c div 2, view x for even c and y for odd: fixed rule.
 TIME_FORMAT = "yyyy.MM.dd.HH.mm.ss"
 
@@ -25,12 +26,11 @@ def file_time(name: Column) -> Column:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, ts, bytes, sha256, recording_index of all files that are not empty, in order of time."""
+    """path, name, ts, bytes, sha256, recording_index of all files that are not empty, in order of time. The
+    data source `files` reports those without a byte too, where pyarrow can list the store."""
     files = spark.read.format("binaryFile").load(path)
-    rows = files.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    from pyspark.sql import Window
-
-    return rows.withColumn("ts", file_time(F.col("name"))).withColumn("recording_index", F.row_number().over(Window.orderBy("ts", "name")) - 1)
+    rows = files.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).withColumn("ts", file_time(F.col("name")))
+    return blocks.numbered(rows, ["ts", "name", "path"], "recording_index")
 
 
 def matrices(spark: SparkSession, path: str, columns: int = 8, rows: int | None = None, separator: str = r"\t", fs: float = 20_000.0, listing: DataFrame | None = None) -> DataFrame:
@@ -110,34 +110,3 @@ def closed_keys(json_text: Column, expected: list[str]) -> tuple[Column, Column]
     """Missing and unknown top-level keys of a JSON object."""
     keys, want = F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>")), F.array(*map(F.lit, expected))
     return F.array_except(want, keys), F.array_except(keys, want)
-
-
-def publish(df: DataFrame, path: str) -> bool:
-    """Write a table once. The same rows again change nothing (False); other rows are an error. Spark
-    moves the files of a write into place when all of them are there; what a broken one leaves holds
-    other rows, and is an error too."""
-    from cadenza.operators.identity import tables_differ
-
-    spark = df.sparkSession
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        df.write.mode("error").parquet(path)
-        return True
-    if tables_differ(spark.read.schema(df.schema).parquet(path), df).isEmpty():
-        return False
-    raise ValueError(f"{path} holds other rows")
-
-
-def publish_all(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Publish several tables as members of a folder, and no others: a member that isn't among them is an
-    error before anything is written. Returns the names that were written."""
-    spark = next(iter(tables.values())).sparkSession
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("member")).distinct()
-        others = sorted({r["member"] for r in files.collect()} - set(tables))
-    except AnalysisException:
-        others = []
-    if others:
-        raise ValueError(f"{folder} has other members: {others}")
-    return [name for name, df in tables.items() if publish(df, f"{folder}/{name}")]

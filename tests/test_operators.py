@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import registry, signal
 from cadenza.operators import evidence, folds, gates, identity, labels, metrics, models, monitor, selection, temporal
-from cadenza.sources import recordings, sinks
+from cadenza.sources import recordings, sinks, tables
 from cadenza.streaming import monitor as stream_monitor
 
 
@@ -120,13 +120,13 @@ def test_strict_json_and_publish(spark, tmp_path):
     assert [r["problem"] for r in recordings.strict_json_lines(lines, "a int").collect()] == [None, "duplicate key", "blank", "not an object", "syntax"]
     df = spark.range(5)
     path = f"file://{tmp_path}/t"
-    assert recordings.publish(df, path) is True and recordings.publish(df, path) is False
+    assert tables.publish(df, path) is True and tables.publish(df, path) is False
     with pytest.raises(ValueError, match="other rows"):
-        recordings.publish(spark.range(6), path)
+        tables.publish(spark.range(6), path)
     folder = f"file://{tmp_path}/all"
-    assert recordings.publish_all({"a": df, "b": df}, folder) == ["a", "b"] and recordings.publish_all({"a": df, "b": df}, folder) == []
+    assert tables.publish_all({"a": df, "b": df}, folder) == ["a", "b"] and tables.publish_all({"a": df, "b": df}, folder) == []
     with pytest.raises(ValueError, match="other members"):
-        recordings.publish_all({"a": df}, folder)
+        tables.publish_all({"a": df}, folder)
 
 
 def test_sample_and_digest_do_not_depend_on_order(spark):
