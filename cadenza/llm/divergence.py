@@ -93,7 +93,7 @@ def _words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("lang", "source").distinct(), counts
 
 
-def top_terms(scored: DataFrame, k: int = 200, direct: int = 4096) -> DataFrame:
+def top_terms(scored: DataFrame, k: int = 200, direct: int = 64) -> DataFrame:
     """The k first rows of every (lang, source) by value, descending, then term in the order of UTF-8
     bytes, with their rank. scored: (lang, source, term, value), a row for each term, 0 <= value < 2^60."""
     group = ["lang", "source"]
@@ -162,7 +162,7 @@ def _pairs(groups: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (blank, left, right, both)).groupBy("lang", F.col("a").alias("source"), F.col("b").alias("item")).agg(F.sum("v").alias("value"))
 
 
-def source_divergence(docs: DataFrame, least: int = 3, k: int = 200, direct: int = 4096) -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = 3, k: int = 200, direct: int = 64) -> DataFrame:
     """lang, source, part, item, value, rank."""
     group = ["lang", "source"]
     named, counts = _words(docs)
