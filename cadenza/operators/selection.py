@@ -121,10 +121,37 @@ def ks_p_value(ks: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(root < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def two_sample_drift(values: DataFrame, side: Column) -> DataFrame:
+def exact_ks_p(ks: float, n: int, m: int) -> float:
+    """The chance of a distance of at least ks between two samples of n and m from one distribution: the share
+    of all lattice paths from (0, 0) to (n, m) that come so far from the diagonal. a[i] is that share among the
+    paths to (i, k - i), for one k after the other; a step to a place comes from either side in proportion."""
+    least = round(ks * n * m)
+    i = np.arange(n + 1)
+    a = np.full(n + 1, float(least <= 0))
+    for k in range(1, n + m + 1):
+        before = np.concatenate([[0.0], a[:-1]])
+        j = k - i
+        a = np.where((j >= 0) & (j <= m), np.where(np.abs(i * m - j * n) >= least, 1.0, (i * before + j * a) / k), 0.0)
+    return float(a[n])
+
+
+def _exact_p(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(d) or not a or not b else exact_ks_p(d, int(a), int(b)) for d, a, b in zip(ks, n, m, strict=True)], dtype="float64")
+
+
+def with_exact_p(drift: DataFrame, most: int = 10_000) -> DataFrame:
+    """two_sample_drift's rows with n, m and ks_p exact where neither sample has more than `most` values; the
+    limit law's above, where the two agree. A row a feature; the largest takes some 2 * most steps over most
+    numbers."""
+    small, exact = F.greatest("n", "m") <= most, F.pandas_udf(_exact_p, "double")
+    kept = [F.when(small, exact("ks", F.when(small, F.col("n")), F.when(small, F.col("m")))).otherwise(F.col("ks_p")).alias("ks_p") if c == "ks_p" else F.col(c) for c in drift.columns]
+    return drift.select(*kept)
+
+
+def two_sample_drift(values: DataFrame, side: Column, sizes: bool = False) -> DataFrame:
     """values: feature, value; side true for the first sample. Means, the difference of the second's to
     the first's in standard deviations of both together, largest distance of the distributions (KS) with
-    its p-value, and area between them (Wasserstein-1), from distinct values with running counts."""
+    its p-value by the limit law (with_exact_p has the exact one; it needs sizes), and area between them (Wasserstein-1), from distinct values with running counts."""
     by = Window.partitionBy("feature")
     each = values.where("value IS NOT NULL").withColumn("_a", side).groupBy("feature", "value").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
     run = by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -137,7 +164,7 @@ def two_sample_drift(values: DataFrame, side: Column) -> DataFrame:
         mean_a.alias("mean_a"), mean_b.alias("mean_b"), F.try_divide(mean_b - mean_a, spread).alias("smd"), F.max("_gap").alias("ks"), F.sum("a").alias("_n"), F.sum("b").alias("_m"),
         F.sum(F.col("_gap") * F.col("_width")).alias("wasserstein"),
     )
-    return out.select("feature", "mean_a", "mean_b", "smd", "ks", ks_p_value(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_p"), "wasserstein")
+    return out.select("feature", "mean_a", "mean_b", "smd", "ks", ks_p_value(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_p"), "wasserstein", *([F.col("_n").alias("n"), F.col("_m").alias("m")] if sizes else []))
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:

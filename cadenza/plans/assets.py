@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import signal
-from cadenza.operators import identity, models, monitor, selection
+from cadenza.operators import boosting, identity, models, monitor, selection
 from cadenza.plans.streams import events, rounded, table
 from cadenza.sources import recordings
 
@@ -390,6 +390,24 @@ def _parts(s, d) -> tuple[DataFrame, DataFrame, list[str]]:
     return df.where("label < 7"), df.where("label >= 7"), names
 
 
+@_add("ks_exact", f"""
+WITH RECURSIVE v AS (SELECT feature, value, count_if(vec_id % 2 = 0) AS a, count_if(vec_id % 2 = 1) AS b FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY ALL),
+c AS (SELECT feature, abs(sum(a) OVER r / sum(a) OVER f - sum(b) OVER r / sum(b) OVER f) AS gap, sum(a) OVER f AS n, sum(b) OVER f AS m FROM v WINDOW r AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)),
+d AS (SELECT feature, max(gap) AS ks, max(n)::BIGINT AS n, max(m)::BIGINT AS m, round(max(gap) * max(n) * max(m))::BIGINT AS least FROM c GROUP BY 1),
+p AS (SELECT feature, n, m, least, 0 AS k, list_transform(range(0, n + 1), lambda i: (least <= 0)::INT::DOUBLE) AS a FROM d
+  UNION ALL SELECT feature, n, m, least, k + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN k + 1 - i < 0 OR k + 1 - i > m THEN 0 WHEN abs(i * m - (k + 1 - i) * n) >= least THEN 1 ELSE (i * coalesce(a[i], 0) + (k + 1 - i) * a[i + 1]) / (k + 1) END::DOUBLE) FROM p WHERE k < n + m)
+SELECT feature, round(ks, 6) AS ks, round(a[p.n + 1], 6) AS ks_p, d.n, d.m FROM p JOIN d USING (feature) WHERE k = p.n + p.m""")
+def _(s, d):
+    return selection.with_exact_p(selection.two_sample_drift(_long(s, d), F.col("vec_id") % 2 == 0, sizes=True)).select("feature", "ks", "ks_p", "n", "m")
+
+
+@_add("leafwise_boosting")
+def _(s, d):
+    train, test, names = _parts(s, d)
+    model = boosting.leafwise(train, names, "y", boosting.Params(trees=8, leaves=31, depth=6, rate=0.3))
+    return boosting.predicted(model, test).select("vec_id", "label", "y", "yhat")
+
+
 @_add("ridge")
 def _(s, d):
     train, test, names = _parts(s, d)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import boosting
+from cadenza.operators import boosting, selection, tuning
 
 
 def plain(model, x, y, chosen_by_tree, p):
@@ -68,3 +68,36 @@ def test_rows_without_a_split(spark):
     model = boosting.leafwise(df, ["a"], "y", boosting.Params(trees=2))
     assert model.trees == [] and [r["yhat"] for r in boosting.predicted(model, df).collect()] == [3.0, 3.0]
     assert boosting.predicted(boosting.leafwise(df.limit(0), ["a"], "y"), df.where(F.lit(False))).collect() == []
+
+
+def test_exact_p_values():
+    """By counting all paths; D * n * m of the published tables for equal and unequal sizes."""
+    from itertools import combinations
+    from math import comb
+
+    for n, m in ((1, 1), (3, 3), (4, 6), (5, 7), (6, 6)):
+        ends = np.array([np.isin(np.arange(n + m), c) for c in combinations(range(n + m), n)])
+        far = np.abs(np.cumsum(ends, 1) * m - np.cumsum(~ends, 1) * n).max(1)
+        for h in range(n * m + 1):
+            assert abs(selection.exact_ks_p(h / (n * m), n, m) - (far >= h).sum() / comb(n + m, n)) < 1e-12
+    # equal sizes have a closed form for the one-sided tails: 2 * sum of (-1)^(j-1) C(2n, n - jh) / C(2n, n)
+    for n in (10, 25, 50):
+        for h in (3, 5, n // 2):
+            want = 2 * sum((-1) ** (j - 1) * comb(2 * n, n - j * h) / comb(2 * n, n) for j in range(1, n // h + 1))
+            assert abs(selection.exact_ks_p(h / n, n, n) - want) < 1e-10
+
+
+def test_search_repeats_and_beats_the_grid():
+    space = {"a": tuning.Range(-5, 5), "b": tuning.Range(1e-3, 1e3, log=True), "c": tuning.Range(1, 9, whole=True)}
+    surface = lambda s: (s["a"] - 0.3) ** 2 + (np.log10(s["b"]) + 2.1) ** 2 + 0.3 * abs(s["c"] - 4)
+    first, again = (tuning.search(surface, space, 64, seed, 4) for seed in (3, 3))
+    assert first == again and all(isinstance(s["c"], int) and 1 <= s["c"] <= 9 for s, _ in first)
+    grid = min(surface({"a": space["a"].at(a), "b": space["b"].at(b), "c": space["c"].at(c)}) for a in (0, 1 / 3, 2 / 3, 1) for b in (0, 1 / 3, 2 / 3, 1) for c in (0, 1 / 3, 2 / 3, 1))
+    assert np.mean([min(v for _, v in tuning.search(surface, space, 64, seed, 4)) for seed in range(5)]) < 0.5 * grid
+
+
+def test_search_of_boosted_trees(spark):
+    df = table(spark, 120).where("y IS NOT NULL").cache()
+    space = {"leaves": tuning.Range(2, 6, whole=True), "rate": tuning.Range(0.1, 0.9, log=True), "trees": tuning.Range(1, 2, whole=True), "depth": tuning.Range(1, 2, whole=True)}
+    rows = tuning.boosting_search(df.where("id % 3 <> 0"), df.where("id % 3 = 0"), ["a", "b"], "y", space, trials=3, together=3).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3] and rows[0]["weighted_mae"] <= rows[2]["weighted_mae"] and "leaves" in rows[0]["settings"]
