@@ -88,6 +88,29 @@ def predictiveness(train: DataFrame, test: DataFrame) -> DataFrame:
 DERIVED = r"^(.+?)(?:_(mean|std|slope|ema)_([0-9]+)|_(diff|pct|z|max|min|avg|range))?$"
 
 
+#: What a transform risks across folds, and what is safe: fixed values.
+RISKS = {
+    "base": ("none from fold preprocessing", "use base feature as stored"),
+    "time": ("precomputed train rows can carry held-out raw history across folds", "recompute separately inside train/test split in timestamp order"),
+    "asset": ("precomputed same-timestamp cross-axis aggregate can cross split membership", "recompute separately inside train/test split"),
+    "whole": ("full bearing-axis mean/std uses validation/test distribution", "fit mean/std on training rows only; fallback to global train stats for unseen groups"),
+}
+#: Which of them a transform of parsed_names is.
+KINDS = {"raw": "base", "mean": "time", "std": "time", "slope": "time", "ema": "time", "diff": "time", "pct": "time", "max": "asset", "min": "asset", "avg": "asset", "range": "asset", "z": "whole"}
+
+
+def feature_audit(df: DataFrame, name: str) -> DataFrame:
+    """parsed_names with leakage_risk and leakage_safe_method."""
+    kind = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("transform")]
+    text = lambda k: F.create_map(*(F.lit(x) for n, texts in RISKS.items() for x in (n, texts[k])))[kind]
+    return parsed_names(df, name).select("*", text(0).alias("leakage_risk"), text(1).alias("leakage_safe_method"))
+
+
+def audit_histogram(audit: DataFrame) -> DataFrame:
+    """Features and distinct bases by transform and risk."""
+    return audit.groupBy("transform", "leakage_risk").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("bases"))
+
+
 def parsed_names(df: DataFrame, name: str) -> DataFrame:
     """Adds base, transform, parameter and whether the transform looks at rows of other times, so that
     it must be fitted on train rows alone."""

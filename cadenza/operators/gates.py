@@ -83,6 +83,21 @@ def forbidden_keys(df: DataFrame, key: Sequence[str], text: str, forbidden: Sequ
     return df.select(*key, F.explode(found).alias("found"))
 
 
+def true_keys(text: Column) -> Column:
+    """All keys of a JSON text, at any depth, whose value is true. Strings are read one after the other, as
+    json_keys does."""
+    strings = F.regexp_extract_all(text, F.lit(_STRING + r"(?:(?<=:)\s*true\b)?"), F.lit(0))
+    keys = F.filter(strings, lambda s: s.rlike(r":\s*true$"))
+    return F.transform(keys, lambda k: F.get(F.from_json(F.concat(F.lit("["), F.regexp_replace(k, r"\s*:\s*true$", ""), F.lit("]")), "array<string>"), F.lit(0)))
+
+
+def affirmative_claims(df: DataFrame, key: Sequence[str], text: str, claims: Sequence[str]) -> DataFrame:
+    """key, found: the JSON keys, at any depth and whatever the case, that are among the claims and true."""
+    names = [c.lower() for c in claims]
+    found = F.array_distinct(F.filter(true_keys(F.col(text)), lambda k: F.lower(k).isin(names)))
+    return df.select(*key, F.explode(found).alias("found"))
+
+
 def rows_digest(hashes: Column) -> Column:
     """Digest of an array of (index, hash) in order."""
     return F.sha2(F.concat_ws("\n", F.transform(F.sort_array(hashes), lambda s: s["_h"])), 256)

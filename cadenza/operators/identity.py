@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,51 @@ def sorted_id(tag: str, **parts: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in named)), {"ignoreNullFields": "false"}), 256))
 
 
+def _plain(value, kind: pa.DataType):
+    """An Arrow value for JSON: a map is an object, whatever it is in."""
+    if value is None or not pa.types.is_nested(kind):
+        return value
+    if pa.types.is_map(kind):
+        return {k: _plain(v, kind.item_type) for k, v in value}
+    if pa.types.is_struct(kind):
+        return {f.name: _plain(value[f.name], f.type) for f in kind}
+    return [_plain(v, kind.value_type) for v in value]
+
+
+def canonical_json(*parts: Column) -> Column:
+    """A JSON object of the named parts as the publisher's tool writes it: keys in order at any depth, no
+    spaces, ASCII with escapes, numbers as Python writes them. Arrow brings rows as they are (whole numbers stay
+    whole, nulls are null); Spark's own to_json has other number texts and escapes."""
+
+    def written(rows: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else json.dumps(_plain(v, rows.type), sort_keys=True, separators=(",", ":"), ensure_ascii=True) for v in rows.to_pylist()], pa.string())
+
+    return F.arrow_udf(written, "string")(F.struct(*parts))
+
+
+#: What an id says about its own form: a fixed value.
+ID_SCHEMA = "canonical_sha256_id_v1"
+
+
+def tagged_id(tag: str, *parts: Column) -> Column:
+    """'sha256:' and the hash of the canonical JSON line of the form, the payload of parts and the tag."""
+    text = F.concat(F.lit(f'{{"id_schema_version":"{ID_SCHEMA}","payload":'), canonical_json(*parts), F.lit(f',"tag":{json.dumps(tag)}}}\n'))
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
+def names_sha256(df: DataFrame, name: str) -> str:
+    """The digest of all names in order, a line each. Such a digest is made of one text from begin to end, so
+    sorted partitions go through it one at a time; members_digest is the one that tasks share."""
+    digest = hashlib.sha256()
+    n = 0
+    for row in df.select(F.col(name).cast("string")).orderBy(name).toLocalIterator():
+        digest.update(f"{row[0]}\n".encode())
+        n += 1
+    if not n:
+        digest.update(b"\n")
+    return digest.hexdigest()
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("_k")).distinct(), F.col(child_key) == F.col("_k"), "left_anti")
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.quantiles import quantile_row
+from cadenza.sources.shared import written
 
 
 def train_medians(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row of exact medians; infinities count as missing."""
-    return quantile_row(train, {f: F.when(F.abs(F.col(f)) != float("inf"), F.col(f)) for f in features}, [0.5], {(f, 0): f"_m_{f}" for f in features})
+    return written(quantile_row(train, {f: F.when(F.abs(F.col(f)) != float("inf"), F.col(f)) for f in features}, [0.5], {(f, 0): f"_m_{f}" for f in features}), "medians")
 
 
 def filled(df: DataFrame, medians: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def ridge(train: DataFrame, test: DataFrame, features: Sequence[str], target: st
     medians = train_medians(train, features)
     a, b = filled(train, medians, features), filled(test, medians, features)
     quartiles = quantile_row(a, {f: F.col(f) for f in features}, [0.25, 0.5, 0.75], {(f, k): f"_q{k}_{f}" for f in features for k in range(3)})
-    spread = quartiles.select(*(F.col(f"_q1_{f}").alias(f"_c_{f}") for f in features), *(F.nullif(F.col(f"_q2_{f}") - F.col(f"_q0_{f}"), F.lit(0.0)).alias(f"_s_{f}") for f in features))
+    spread = written(quartiles.select(*(F.col(f"_q1_{f}").alias(f"_c_{f}") for f in features), *(F.nullif(F.col(f"_q2_{f}") - F.col(f"_q0_{f}"), F.lit(0.0)).alias(f"_s_{f}") for f in features)), "spread")
     scale = lambda d: assembled(d.crossJoin(F.broadcast(spread)).select(*(c for c in d.columns if c not in features), *(((F.col(f) - F.col(f"_c_{f}")) / F.coalesce(f"_s_{f}", F.lit(1.0))).alias(f) for f in features)), features)
     weighted = balanced_weights(scale(a), group)
     s = weighted.agg(F.sum("_w").alias("w"), (F.sum(F.col("_w") * F.col(target)) / F.sum("_w")).alias("m"), (F.sum(F.col("_w") * F.col(target) * F.col(target)) / F.sum("_w")).alias("q")).first()

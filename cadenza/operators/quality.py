@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import blocks
+from cadenza.operators.quantiles import quantile_row
+
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """A row for each value: keep, feature, value."""
@@ -59,6 +62,39 @@ def artifact_checks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return by.agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("dup_rows"), F.sum("_null").alias("missing"), F.sum("_inf").alias("infinite"))
 
 
+def basic_stats(df: DataFrame, ts: str, target: str, known: str) -> DataFrame:
+    """One row: rows, columns, first and last time with whole days between, rows by side of a flag with their
+    shares, and least, greatest, mean and exact median of the target where it is there."""
+    days = F.floor(F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 86_400_000_000)
+    share = lambda c: 100.0 * F.try_divide(F.count_if(c), F.count(F.lit(1)))
+    one = df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), days.alias("days"),
+        F.count_if(known).alias("known"), share(F.col(known)).alias("known_pct"), F.count_if(~F.col(known)).alias("censored"), share(~F.col(known)).alias("censored_pct"),
+        F.min(target).alias("least"), F.max(target).alias("most"), F.avg(target).alias("mean"),
+    )
+    return one.crossJoin(F.broadcast(quantile_row(df, {target: F.col(target)}, [0.5], {(target, 0): "median"})))  # one row each
+
+
+def diagnostics(df: DataFrame, order: Sequence[str], size: str, digest: str) -> DataFrame:
+    """One row about a table of recordings in order of time (order begins with it): least, most and distinct
+    seconds between neighbours, least, most and distinct sizes, groups of repeated content and their rows.
+    Neighbours meet by their place, which ranges number, so no task orders all rows."""
+    ts = order[0]
+    placed = blocks.numbered(df.select(*order, F.col(size).alias("_size"), F.col(digest).alias("_digest")), order, "_at")
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.col(ts).alias("_was"))
+    step = F.timestamp_diff("MICROSECOND", F.col("_was"), F.col(ts)) / F.lit(1e6)
+    steps = placed.join(before, "_at").agg(F.min(step).alias("least_step"), F.max(step).alias("most_step"), F.count_distinct(step).alias("distinct_steps"))
+    sizes = placed.agg(F.min("_size").alias("least_size"), F.max("_size").alias("most_size"), F.count_distinct("_size").alias("distinct_sizes"))
+    groups = placed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("repeated_groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("repeated_rows"))
+    return steps.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(groups))  # one row each
+
+
+def channel_diagnostics(df: DataFrame, channel: str, signal: str) -> DataFrame:
+    """By channel: least and greatest sample of all recordings, and in how many it is constant."""
+    low, high = F.array_min(signal), F.array_max(signal)
+    return df.groupBy(channel).agg(F.min(low).alias("least"), F.max(high).alias("most"), F.count_if(low == high).alias("constant"))
+
+
 def group_summary(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     first, last = F.min_by(value, ts), F.max_by(value, ts)
     return df.groupBy(*keys).agg(

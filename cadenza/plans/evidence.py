@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import registry, signal
-from cadenza.operators import evidence, labels, metrics, temporal
+from cadenza.operators import evidence, identity, labels, metrics, quality, temporal
 from cadenza.plans import assets, streams
 from cadenza.plans.streams import KEYS, ORDER, events, predictions, rounded, table
 
@@ -49,6 +49,40 @@ def _(s, d):
     return signal.aggregated_windows(_registry(s, d), ["vec_id"], list(_N))
 
 
+# ---- ids, statistics, diagnostics, audits ----
+
+
+@_add("tagged_ids", """SELECT p_partkey, 'sha256:' || sha256('{"id_schema_version":"canonical_sha256_id_v1","payload":{"brand":"' || p_brand || '","key":' || p_partkey || ',"none":null,"size":' || p_size || '},"tag":"part"}' || chr(10)) AS id FROM part""")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", identity.tagged_id("part", F.col("p_size").alias("size"), F.col("p_partkey").alias("key"), F.lit(None).cast("string").alias("none"), F.col("p_brand").alias("brand")).alias("id"))
+
+
+@_add("basic_stats", "SELECT count(*) AS n_rows, 7 AS n_columns, min(ts) AS first_ts, max(ts) AS last_ts, floor(epoch(max(ts) - min(ts)) / 86400)::BIGINT AS days, count_if(value > 50) AS known, round(100.0 * count_if(value > 50) / count(*), 6) AS known_pct, count_if(value <= 50) AS censored, round(100.0 * count_if(value <= 50) / count(*), 6) AS censored_pct, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events")
+def _(s, d):
+    rows = events(s, d).select("event_id", "ts", "user_id", "event_type", "value")
+    return quality.basic_stats(rows.withColumns({"known": F.col("value") > 50, "one": F.lit(1)}), "ts", "value", "known")
+
+
+@_add("diagnostics", "WITH o AS (SELECT ts, event_id, event_type, user_id, epoch(ts - lag(ts) OVER (ORDER BY ts, event_id)) AS step FROM events), g AS (SELECT count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1) SELECT round(min(step), 6) AS least_step, round(max(step), 6) AS most_step, count(DISTINCT step) AS distinct_steps, min(user_id) AS least_size, max(user_id) AS most_size, count(DISTINCT user_id) AS distinct_sizes, (SELECT count(*) FROM g) AS repeated_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM g) AS repeated_rows FROM o")
+def _(s, d):
+    return quality.diagnostics(events(s, d).withColumn("content", F.concat_ws("/", "user_id", "event_type")), ["ts", "event_id"], "user_id", "content")
+
+
+@_add("channel_diagnostics", "SELECT label, round(min(list_min(e)), 6) AS least, round(max(list_max(e)), 6) AS most, count_if(list_min(e) = list_max(e)) AS constant FROM (SELECT label, CASE WHEN vec_id % 5 = 0 THEN [embedding[1]::DOUBLE] ELSE embedding::DOUBLE[] END AS e FROM embeddings) GROUP BY label")
+def _(s, d):
+    return quality.channel_diagnostics(assets._signals(s, d).withColumn("x", F.when(F.col("vec_id") % 5 == 0, F.slice("x", 1, 1)).otherwise(F.col("x"))), "label", "x")
+
+
+_NAMED = "SELECT p_partkey, 'f' || p_size || CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN '_mean_5' WHEN 2 THEN '_ema_30' WHEN 3 THEN '_range' WHEN 4 THEN '_z' WHEN 5 THEN '_diff' ELSE '_max' END AS name, ['raw', 'mean', 'ema', 'range', 'z', 'diff', 'max'][p_partkey % 7 + 1] AS transform FROM part"
+
+
+@_add("audit_histogram", f"SELECT transform, CASE transform WHEN 'raw' THEN 'none from fold preprocessing' WHEN 'range' THEN 'precomputed same-timestamp cross-axis aggregate can cross split membership' WHEN 'max' THEN 'precomputed same-timestamp cross-axis aggregate can cross split membership' WHEN 'z' THEN 'full bearing-axis mean/std uses validation/test distribution' ELSE 'precomputed train rows can carry held-out raw history across folds' END AS leakage_risk, count(*) AS n, count(DISTINCT regexp_extract(name, '^f[0-9]+')) AS bases FROM ({_NAMED}) GROUP BY ALL")
+def _(s, d):
+    ending = F.element_at(F.array(*map(F.lit, ("", "_mean_5", "_ema_30", "_range", "_z", "_diff", "_max"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    names = table(s, d, "part").select(F.concat(F.lit("f"), "p_size", ending).alias("name"))
+    return evidence.audit_histogram(evidence.feature_audit(names, "name"))
+
+
 # ---- folds and fills ----
 
 _FW = "OVER (PARTITION BY fold, role, user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"

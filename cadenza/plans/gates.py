@@ -87,6 +87,13 @@ def _(s, d):
     return gates.forbidden_keys(events(s, d).select("event_id", text.alias("j")), ["event_id"], "j", ["rul", "view"])
 
 
+@_add("affirmative_claims", "SELECT event_id, 'Untouched' AS found FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'qualified_holdout' FROM events WHERE event_type = 'view'")
+def _(s, d):
+    # a value that says so, and a key that isn't true, are no claims
+    text = F.format_string('{"note": "\\"untouched\\": true", "outcome_blind": "true", "in": [{"Untouched" : %s, "x": {"qualified_holdout":%s, "other": true}}]}', (F.col("event_id") % 3 == 0).cast("string"), (F.col("event_type") == "view").cast("string"))
+    return gates.affirmative_claims(events(s, d).select("event_id", text.alias("j")), ["event_id"], "j", ["outcome_blind", "untouched", "qualified_holdout", "external_holdout"])
+
+
 _ROW = "sha256('{{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}}')"
 _CHUNKS = f"SELECT event_id // 128 AS chunk, min(event_id) AS first, max(event_id) AS last, count(*) AS n, sha256(string_agg({_ROW}, chr(10) ORDER BY event_id)) AS digest FROM {{0}} GROUP BY 1"
 _KEPT = "(SELECT * FROM events WHERE event_id NOT BETWEEN 200 AND 210)"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from cadenza.operators.identity import canonical_json
+
 #: Columns that say which row it is, not what it measured: fixed values.
 METADATA = ("feature_id", "file", "file_name", "timestamp", "channel", "bearing", "bearing_id", "axis", "n_windows", "split", "failed", "censored", "rul_hours", "rul_seconds")
 
@@ -66,6 +68,30 @@ def json_lines(df: DataFrame, order: Sequence[str]) -> Iterator[str]:
         yield row["line"] + "\n"
 
 
+def canonical_lines(df: DataFrame, order: Sequence[str]) -> Iterator[str]:
+    """Rows as canonical JSON lines (identity.canonical_json) in order, one partition in the driver at a time."""
+    for row in df.orderBy(*order).select(canonical_json(*(F.col(c) for c in df.columns)).alias("line")).toLocalIterator():
+        yield row["line"] + "\n"
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table at a path; where it isn't there, or with force, it is built and written first. Spark marks a
+    write that ended; what a broken one leaves is built again."""
+    try:
+        done = not force and spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).count() >= 0 and bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        done = False
+    if not done:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_stats(df: DataFrame, path: str, keys: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
+    """Replace the table of statistics: keys, time and the chosen columns in order, in ranges; the table."""
+    df.select(*keys, ts, *columns).repartitionByRange(*keys, ts).sortWithinPartitions(*keys, ts).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_split_column(df: DataFrame, name: str = "split") -> DataFrame:
     """df with a null text column of that name, as it is where it has one."""
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast("string"))

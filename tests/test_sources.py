@@ -91,3 +91,37 @@ def test_updates_touch_their_buckets_alone(spark, tmp_path):
     got = {r["id"]: (r["x"], r["note"]) for r in tables.read_bucketed(spark, path).collect()}
     assert len(got) == 2001 and got[3] == (-2, "n") and got[5] == (10, "n") and got[9000] == (1, None) and got[4] == (8, "n")
     assert tables.update_bucketed(staging.where("false"), path, ["id"], ["x"], 16) == 0
+
+
+def test_canonical_json_is_python_s(spark):
+    import hashlib
+    import json
+
+    from cadenza.operators import identity
+    from cadenza.sources import sinks
+
+    rows = [(1, 0.1, "é \x7f\"/\\\n😀", [1.0, None, 1e22], {"b": 1, "a": None}, True), (2**53 + 1, 1e-7, None, [], {}, None), (-3, float(10**16), "", None, None, False), (None, 123456789012345.6, "x", [2.5e-5], {"z": 2}, True)]
+    df = spark.createDataFrame(rows, "n long, x double, s string, a array<double>, m map<string,long>, b boolean")
+    want = [dict(zip("nxsamb", r, strict=True)) for r in rows]
+    text = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    got = df.select("x", identity.canonical_json(*(F.col(c) for c in df.columns)).alias("j"), identity.tagged_id("t", F.col("n"), F.col("s")).alias("id")).collect()
+    assert [r["j"] for r in got] == [text(v) for v in want]
+    of = lambda v: "sha256:" + hashlib.sha256((text({"id_schema_version": "canonical_sha256_id_v1", "payload": {"n": v["n"], "s": v["s"]}, "tag": "t"}) + "\n").encode()).hexdigest()
+    assert [r["id"] for r in got] == [of(v) for v in want]
+    names = ["b", "a", "é", "Z"]
+    assert identity.names_sha256(spark.createDataFrame([(n,) for n in names], "name string"), "name") == hashlib.sha256(("\n".join(sorted(names)) + "\n").encode()).hexdigest()
+    assert list(sinks.canonical_lines(df.select("n", "x").where("n > 0"), ["n"])) == ['{"n":1,"x":0.1}\n', '{"n":9007199254740993,"x":1e-07}\n']
+
+
+def test_what_is_there_is_not_built_again(spark, tmp_path):
+    from cadenza.sources import sinks
+
+    path, built = f"{tmp_path}/t", []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    assert [sinks.cached(spark, path, build, force).count() for force in (False, False, True, False)] == [1, 1, 2, 2] and len(built) == 2
+    df = spark.createDataFrame([(2, 1, 0.5), (1, 2, 1.5), (1, 1, 2.5)], "k int, t int, v double")
+    assert [tuple(r) for r in sinks.write_stats(df, f"{tmp_path}/s", ["k"], "t", ["v"]).orderBy("k", "t").collect()] == [(1, 1, 2.5), (1, 2, 1.5), (2, 1, 0.5)]
