@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,15 @@ def _over(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
     return np.divide(top, bottom, out=np.full(len(top), np.nan), where=bottom != 0)
 
 
+@lru_cache(8)
+def _window(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The periodic Hann window of n samples, and what each bin of a one-sided spectrum is multiplied by."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    scale = np.full(n // 2 + 1, 1 / ((hann**2).sum() * n))
+    scale[1 : (n + 1) // 2] *= 2
+    return hann, scale
+
+
 def registry(x: np.ndarray, fs: float = 20_000.0, edges: tuple[float, float] = EDGES) -> np.ndarray:
     """The 17 features of rows of equally many samples, NaN for undefined ones. The spectrum is the
     one-sided periodogram of the centred samples under a periodic Hann window; its bins, times their
@@ -36,19 +46,22 @@ def registry(x: np.ndarray, fs: float = 20_000.0, edges: tuple[float, float] = E
     flat = (x == x[:, :1]).all(1)
     mean = np.where(flat, x[:, 0], x.mean(1))
     c = np.where(flat[:, None], 0.0, x - mean[:, None])
-    m2, m3, m4 = ((c**k).mean(1) for k in (2, 3, 4))
-    rms, peak = np.sqrt((x * x).mean(1)), np.abs(x).max(1)
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    power = np.abs(np.fft.rfft(c * hann)) ** 2 / ((hann**2).sum() * n)
-    power[:, 1 : (n + 1) // 2] *= 2
+    square = c * c
+    m2, m3, m4 = square.mean(1), np.einsum("ij,ij->i", square, c) / n, np.einsum("ij,ij->i", square, square) / n
+    high, low = x.max(1), x.min(1)
+    rms, peak = np.sqrt(np.einsum("ij,ij->i", x, x) / n), np.maximum(np.abs(high), np.abs(low))
+    hann, scale = _window(n)
+    spectrum = np.fft.rfft(c * hann)
+    power = (spectrum.real**2 + spectrum.imag**2) * scale
     f = np.fft.rfftfreq(n, 1 / fs)
     total = power.sum(1)
-    bands = [power[:, m].sum(1) for m in (f < edges[0], (f >= edges[0]) & (f < edges[1]), f >= edges[1])]
+    first, second = np.searchsorted(f, edges)
+    bands = [power[:, a:b].sum(1) for a, b in ((0, first), (first, second), (second, len(f)))]
     p = np.divide(power, total[:, None], out=np.zeros_like(power), where=total[:, None] > 0)
-    entropy = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1) / np.log(len(f))
+    entropy = -np.einsum("ij,ij->i", p, np.log(np.maximum(p, 1e-300))) / np.log(len(f))
     crest = np.where(flat & (rms > 0), 1.0, _over(peak, rms))
     return np.stack([
-        mean, rms, np.sqrt(m2), peak, x.max(1) - x.min(1), total, *bands, _over(m3, m2**1.5), _over(m4, m2**2) - 3, crest,
+        mean, rms, np.sqrt(m2), peak, high - low, total, *bands, _over(m3, m2**1.5), _over(m4, m2**2) - 3, crest,
         *(_over(b, total) for b in bands), _over(power @ f, total) / (fs / 2), np.where(total > 0, entropy, np.nan),
     ], 1)
 

@@ -85,16 +85,17 @@ def knn_scores(df: DataFrame, stream: str, order: Sequence[str], key: str, basel
                     continue
                 if of[a][:2] != now:
                     now, ids, vectors, whole = of[a][:2], [], [], None
-                some, own = batch.column(at["scaled"]).slice(a, b - a), batch.column(at[key]).slice(a, b - a).to_pylist()
+                some, own = _matrix(batch.column(at["scaled"]).slice(a, b - a)), batch.column(at[key]).slice(a, b - a).to_pylist()
                 if of[a][2]:
                     ids += own
-                    vectors += some.to_pylist()
+                    vectors.append(some)
                     continue
                 if whole is None:
-                    whole = np.array(vectors, float) if len(vectors) == baseline and None not in vectors else np.zeros((0, 0))
+                    whole = np.concatenate(vectors) if len({v.shape[1] for v in vectors}) == 1 else np.zeros((0, 0))
+                    whole = whole if len(whole) == baseline and not np.isnan(whole).any() else np.zeros((0, 0))
                     number = {x: i for i, x in enumerate(ids)}
                 if len(whole):
-                    score[a:b] = _nearest(whole, some.to_pylist(), [number.get(x) for x in own], k)
+                    score[a:b] = _nearest(whole, some, np.array([number.get(x, -1) for x in own]), k)
             rows_kept = np.array([not o[2] for o in of])
             out = batch.select(keep).append_column("score", pa.array(score, pa.float64(), mask=np.isnan(score)))
             yield out.filter(pa.array(rows_kept))
@@ -103,20 +104,28 @@ def knn_scores(df: DataFrame, stream: str, order: Sequence[str], key: str, basel
     return rows.mapInArrow(scan, StructType([*fields, StructField("score", DoubleType())]))
 
 
-def _nearest(base: np.ndarray, vectors: list, own: list, k: int, step: int = 64) -> np.ndarray:
-    """The median of the k least distances from each vector to the base, without the base row `own`."""
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows, from Arrow's flat values; a null vector is a row of NaN."""
+    valid = np.asarray(vectors.is_valid())
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    out = np.full((len(valid), len(flat) // max(1, int(valid.sum()))), np.nan)
+    out[valid] = flat.reshape(int(valid.sum()), -1)
+    return out
+
+
+def _nearest(base: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, step: int = 64) -> np.ndarray:
+    """The median of the k least distances from each vector to the base, without the base row `own` (-1: none)."""
     out = np.full(len(vectors), np.nan)
-    known = [i for i, v in enumerate(vectors) if v is not None]
+    known = np.flatnonzero(~np.isnan(vectors).any(1)) if vectors.shape[1] == base.shape[1] else np.zeros(0, int)
     for a in range(0, len(known), step):
         some = known[a : a + step]
-        d = np.sqrt(((np.array([vectors[i] for i in some], float)[:, None] - base[None]) ** 2).sum(2))
-        for row, i in enumerate(some):
-            if own[i] is not None:
-                d[row, own[i]] = np.inf
+        d = np.sqrt(((vectors[some][:, None] - base[None]) ** 2).sum(2))
+        mine = np.flatnonzero(own[some] >= 0)
+        d[mine, own[some][mine]] = np.inf
         if k <= d.shape[1]:
             near = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
             good = np.isfinite(near[:, -1])
-            out[np.array(some)[good]] = np.median(near[good], axis=1)
+            out[some[good]] = np.median(near[good], axis=1)
     return out
 
 
