@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import blocks
@@ -200,3 +200,57 @@ def decision(evidence: DataFrame, flag: str = "supported") -> DataFrame:
     """All of the flags, with a null counting as false: n, passed, failed, verdict."""
     ok = F.coalesce(F.col(flag), F.lit(False))
     return evidence.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("verdict"))
+
+
+def order_violations(df: DataFrame, stream: str, index: str, value: str, rows: int = blocks.ROWS) -> DataFrame:
+    """stream, index, problem: rows whose value is `repeated` from the row before, in order of the index, or
+    `unordered`, below it or null. A stream of more than `rows` rows is looked at in parts."""
+
+    def judged(d: DataFrame, by: Sequence[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(index)
+        first = F.row_number().over(order) == 1
+        before = F.lag(value).over(order)
+        problem = F.when(F.col(value).isNull(), "unordered").when(first | before.isNull() | (F.col(value) > before), F.lit(None)).when(F.col(value) == before, "repeated").otherwise("unordered")
+        return d.withColumn("problem", problem)
+
+    calm, long = blocks.split(df.select(stream, index, value), [stream], rows)
+    out = judged(calm, [stream])
+    if long is not None:
+        parts = blocks.with_halo(blocks.dealt(long, [stream], [index], rows), [stream], [index], 2)
+        out = out.unionByName(judged(parts, [stream, "_part"]).where("NOT _halo").drop("_part", "_halo"))
+    return out.where("problem IS NOT NULL").select(stream, index, "problem")
+
+
+def composed(found: Mapping[str, DataFrame]) -> DataFrame:
+    """gate, subject, problem of several gates: subject is the JSON of what a gate names a violation by, problem
+    its last column (problem, rule or found)."""
+    out = None
+    for name, rows in found.items():
+        *keys, problem = rows.columns
+        subject = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
+        one = rows.select(F.lit(name).alias("gate"), subject.alias("subject"), F.col(problem).cast("string").alias("problem"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def acceptance(found: Mapping[str, DataFrame]) -> DataFrame:
+    """gate, n, accepted: a row for each gate and one, gate null, for the package, which is accepted where no
+    gate found anything."""
+    rows = composed(found)
+    names = rows.sparkSession.createDataFrame([(n,) for n in found], "gate string")
+    by = names.join(rows.groupBy("gate").agg(F.count(F.lit(1)).alias("_n")), "gate", "left").select("gate", F.coalesce("_n", F.lit(0)).alias("n"))
+    whole = by.agg(F.lit(None).cast("string").alias("gate"), F.sum("n").alias("n"))
+    return by.unionByName(whole).select("gate", "n", (F.col("n") == 0).alias("accepted"))
+
+
+def registration(packages: DataFrame, members: DataFrame) -> DataFrame:
+    """packages: dataset, bytes, sha256, expected_bytes, expected_sha256. members: dataset, member_index, path,
+    bytes. By dataset of either: members and their bytes, first and last path, and the problems: drift of size or
+    hash, no members, a package that isn't registered, members whose paths don't rise in order of their index."""
+    by = members.groupBy(F.col("dataset").alias("_d")).agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("bytes")).alias("member_bytes"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    odd = order_violations(members, "dataset", "member_index", "path").groupBy(F.col("dataset").alias("_o")).agg(F.count(F.lit(1)).alias("_odd"))
+    both = packages.join(by, F.col("dataset") == F.col("_d"), "full").withColumn("dataset", F.coalesce("dataset", "_d")).join(odd, F.col("dataset") == F.col("_o"), "left")
+    drift = ~(F.col("bytes").eqNullSafe(F.col("expected_bytes")) & F.col("sha256").eqNullSafe(F.col("expected_sha256")))
+    known = F.col("expected_sha256").isNotNull()
+    problems = F.array_compact(F.array(F.when(known & drift, "drift"), F.when(F.col("members").isNull(), "no members"), F.when(~known, "not registered"), F.when(F.col("_odd") > 0, "order")))
+    return both.select("dataset", F.coalesce("members", F.lit(0)).alias("members"), "member_bytes", "first_path", "last_path", problems.alias("problems"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.metrics import risk_level
 from cadenza.operators.quantiles import quantile_row
 from cadenza.sources.shared import written
 
@@ -90,3 +91,25 @@ def search(train: DataFrame, valid: DataFrame, features: Sequence[str], target:
         out.append((k, json.dumps(settings, sort_keys=True), weighted_mae(found).first()[0]))
     table = train.sparkSession.createDataFrame(out, "trial int, settings string, weighted_mae double")
     return table.withColumn("rank", F.row_number().over(Window.orderBy(F.col("weighted_mae").asc_nulls_last(), "trial")))
+
+
+#: What is recommended at each level of risk: fixed values.
+ACTIONS = {"critical": "Schedule emergency maintenance within 24 hours", "warning": "Schedule maintenance within 3-5 days", "normal": "Continue normal monitoring"}
+
+
+def answered(requests: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], body: str = "body") -> DataFrame:
+    """requests with predicted_rul_hours (two digits), risk_level, recommended_action and problem, a batch of
+    what a point service answers. A body is a JSON object whose `features` give every feature a number; one that
+    doesn't has the problem `body` or `features` and no prediction. predict takes the features in order as columns
+    and adds yhat."""
+    parsed = requests.withColumn("_f", F.from_json(F.get_json_object(body, "$.features"), "map<string,double>"))
+    given = F.map_keys("_f")
+    missing = F.size(F.array_except(F.array(*map(F.lit, features)), given)) > 0
+    null = F.exists(F.array(*(F.try_element_at("_f", F.lit(f)) for f in features)), lambda v: v.isNull() | F.isnan(v))
+    problem = F.when(F.col("_f").isNull(), "body").when(missing | null, "features")
+    rows = parsed.withColumn("problem", problem).select(*requests.columns, "problem", *(F.try_element_at("_f", F.lit(f)).alias(f) for f in features))
+    good = predict(rows.where("problem IS NULL")).withColumn("predicted_rul_hours", F.round("yhat", 2)).withColumn("risk_level", risk_level(F.col("yhat")))
+    action = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))[F.col("risk_level")]
+    bad = rows.where("problem IS NOT NULL").withColumns({"predicted_rul_hours": F.lit(None).cast("double"), "risk_level": F.lit(None).cast("string"), "recommended_action": F.lit(None).cast("string")})
+    out = [*requests.columns, "predicted_rul_hours", "risk_level", "recommended_action", "problem"]
+    return good.withColumn("recommended_action", action).select(*out).unionByName(bad.select(*out))

@@ -401,6 +401,18 @@ def _(s, d):
     return selection.with_exact_p(selection.two_sample_drift(_long(s, d), F.col("vec_id") % 2 == 0, sizes=True)).select("feature", "ks", "ks_p", "n", "m")
 
 
+@_add("answered", """
+WITH b AS (SELECT vec_id, embedding[1]::DOUBLE * 100 + 60 AS a, embedding[2]::DOUBLE AS b FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 5 < 3 THEN round(2 * a + 3 * b, 2) END AS predicted_rul_hours, CASE WHEN vec_id % 5 < 3 THEN CASE WHEN 2 * a + 3 * b < 50 THEN 'critical' WHEN 2 * a + 3 * b < 150 THEN 'warning' ELSE 'normal' END END AS risk_level,
+  CASE WHEN vec_id % 5 < 3 THEN CASE WHEN 2 * a + 3 * b < 50 THEN 'Schedule emergency maintenance within 24 hours' WHEN 2 * a + 3 * b < 150 THEN 'Schedule maintenance within 3-5 days' ELSE 'Continue normal monitoring' END END AS recommended_action,
+  CASE vec_id % 5 WHEN 3 THEN 'features' WHEN 4 THEN 'body' END AS problem FROM b""")
+def _(s, d):
+    a, b = (F.col("x")[0] * 100 + 60).alias("a"), F.col("x")[1].alias("b")
+    body = F.when(F.col("vec_id") % 5 == 4, "not json").when(F.col("vec_id") % 5 == 3, F.to_json(F.struct(F.struct(a).alias("features")))).otherwise(F.to_json(F.struct(F.struct(b, a, F.lit(1).alias("more")).alias("features"))))
+    requests = _signals(s, d).select("vec_id", body.alias("body"))
+    return models.answered(requests, ["a", "b"], lambda rows: rows.withColumn("yhat", 2 * F.col("a") + 3 * F.col("b"))).drop("body")
+
+
 @_add("leafwise_boosting")
 def _(s, d):
     train, test, names = _parts(s, d)

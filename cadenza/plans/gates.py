@@ -183,3 +183,44 @@ def _(s, d):
 @_add("decision", f"SELECT count(*) AS n, count_if(coalesce(measure >= threshold, false)) AS passed, count_if(NOT coalesce(measure >= threshold, false)) AS failed, bool_and(coalesce(measure >= threshold, false)) AS verdict FROM {_HYPOTHESES}")
 def _(s, d):
     return gates.decision(_evidence(s, d))
+
+
+@_add("order_violations", "WITH o AS (SELECT user_id, event_id, floor(value)::BIGINT AS v, lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id, event_id, CASE WHEN v = b THEN 'repeated' ELSE 'unordered' END AS problem FROM o WHERE v <= b OR v IS NULL")
+def _(s, d):
+    return gates.order_violations(events(s, d).withColumn("v", F.floor("value")), "user_id", "event_id", "v")
+
+
+def _gates(s, d) -> dict:
+    return {
+        "pins": Q["pin_violations"](s, d), "rows": Q["row_violations"](s, d), "streams": Q["stream_violations"](s, d), "keys": Q["forbidden_keys"](s, d), "claims": Q["affirmative_claims"](s, d),
+        "assembly": Q["assembly_violations"](s, d), "order": Q["order_violations"](s, d), "vectors": Q["vector_violations"](s, d).where("vec_id < 0"),
+    }
+
+
+_OF = {"pins": "pin_violations", "rows": "row_violations", "streams": "stream_violations", "keys": "forbidden_keys", "claims": "affirmative_claims", "assembly": "assembly_violations", "order": "order_violations"}
+_COUNTS = " UNION ALL ".join([*(f"SELECT '{g}' AS gate, (SELECT count(*) FROM ({S[q]})) AS n" for g, q in _OF.items()), "SELECT 'vectors', 0"])
+
+
+@_add("package_acceptance", f"WITH g AS ({_COUNTS}) SELECT gate, n, n = 0 AS accepted FROM g UNION ALL SELECT NULL, sum(n)::BIGINT, sum(n) = 0 FROM g")
+def _(s, d):
+    return gates.acceptance(_gates(s, d))
+
+
+@_add("registration", """
+WITH p AS (SELECT n_name AS dataset, n_nationkey * 10 AS bytes, sha256(n_name) AS h, CASE n_nationkey WHEN 3 THEN 31 ELSE n_nationkey * 10 END AS eb, CASE n_nationkey WHEN 4 THEN 'x' ELSE sha256(n_name) END AS eh, n_nationkey AS k FROM nation),
+m AS (SELECT s_nationkey AS k, s_suppkey AS i, CASE WHEN s_suppkey % 50 = 0 THEN 'a' ELSE s_name END AS path, s_suppkey AS b FROM supplier WHERE s_nationkey <> 5),
+o AS (SELECT k, path <= lag(path) OVER (PARTITION BY k ORDER BY i) AS bad FROM m), x AS (SELECT k, bool_or(coalesce(bad, false)) AS bad FROM o GROUP BY 1),
+c AS (SELECT k, count(*) AS members, sum(b)::BIGINT AS member_bytes, min(path) AS first_path, max(path) AS last_path FROM m GROUP BY 1)
+SELECT CASE WHEN p.k = 7 THEN 'NATION 7' ELSE dataset END AS dataset, coalesce(members, 0) AS members, member_bytes, first_path, last_path,
+  list_filter([CASE WHEN p.k <> 7 AND (bytes <> eb OR h <> eh) THEN 'drift' END, CASE WHEN members IS NULL THEN 'no members' END, CASE WHEN p.k = 7 THEN 'not registered' END, CASE WHEN bad THEN 'order' END], lambda t: t IS NOT NULL) AS problems
+FROM p LEFT JOIN c USING (k) LEFT JOIN x USING (k) WHERE p.k <> 7 OR members IS NOT NULL""")
+def _(s, d):
+    nation, key = table(s, d, "nation"), F.col("n_nationkey")
+    wanted = nation.where("n_nationkey <> 7").select(
+        F.col("n_name").alias("dataset"), (key * 10).cast("long").alias("bytes"), F.sha2("n_name", 256).alias("sha256"), F.when(key == 3, 31).otherwise(key * 10).cast("long").alias("expected_bytes"),
+        F.when(key == 4, "x").otherwise(F.sha2("n_name", 256)).alias("expected_sha256"),
+    )
+    named = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.when(key == 7, "NATION 7").otherwise(F.col("n_name")).alias("dataset"))
+    members = table(s, d, "supplier").where("s_nationkey <> 5").join(named, "s_nationkey")
+    members = members.select("dataset", F.col("s_suppkey").alias("member_index"), F.when(F.col("s_suppkey") % 50 == 0, "a").otherwise(F.col("s_name")).alias("path"), F.col("s_suppkey").alias("bytes"))
+    return gates.registration(wanted, members)

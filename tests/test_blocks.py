@@ -137,3 +137,11 @@ def test_overlapping_packages_are_found(spark):
     fine = rows.where("package = 'p'")
     _, ledger = gates.assembled(fine, packages.where("package = 'p'"), plan.where("package = 'p'"), "i", ["i"])
     assert [r["package"] for r in ledger.collect()] == ["p"]
+
+
+def test_order_of_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a" if k % 4 else "b", k, None if rng.random() < 0.05 else int(rng.integers(0, 40)) + k // 4) for k in range(400)]
+    df = spark.createDataFrame(rows, "s string, i long, v long").repartition(4)
+    whole, parts = (sorted(map(tuple, gates.order_violations(df, "s", "i", "v", n).collect())) for n in (10_000, 25))
+    assert whole == parts and {p for _, _, p in whole} == {"repeated", "unordered"}
