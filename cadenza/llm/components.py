@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import stage
 
 
+#: How many tasks at least share the edges of one node.
+SALTS = 8
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: u > v. Large: link every larger neighbour of a node to the node's least neighbour;
     small: link a node and its smaller neighbours to the least of them."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    # written, so that the join deals out both sides itself and a hub's partition can be split
-    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    linked = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # a hub's edges are dealt by their other end as well, and its one row is there for each of those
+    dealt = least.select("u", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("s"))
+    linked = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(dealt, ["u", "s"])
     out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 

@@ -446,7 +446,7 @@ def test_logistic_fit_is_the_weighted_optimum():
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), con.sql(oracle.ORACLE[name])
     columns = sorted(df.columns)
