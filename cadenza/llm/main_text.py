@@ -38,6 +38,8 @@ from cadenza.llm.common import slices_of
 # HTML's element groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp iframe noembed noframes noscript template svg math object canvas audio video select".split())
+#: Of these, the ones that a slash doesn't close.
+ENDLESS = set("script style title textarea xmp".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = set("main article section div td th".split())
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -56,7 +58,7 @@ NAMES = set(
 #: A name with one of these speaks about another part of the page.
 ABOUT = set("has with no not without is open opened closed enabled show hide layout".split())
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|</?([A-Za-z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|</?([A-Za-z][^\s/>]*+)((?:[^>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…¿¡·،؛؟।。、，；：！？]")
@@ -140,17 +142,21 @@ def nodes(page: str | None, paths: dict[tuple[int, str], int]) -> list[tuple]:
     (number of the parent's path, tag) and is shared by pages."""
     page = page or ""
     out, at = _Page(paths), 0
+    last = page.rfind(">") + 1  # no tag ends behind it
     hidden, depth = "", 0  # an inline element that names another part, and how many of its tag are open
-    while found := _TAG.search(page, at):
+    while found := _TAG.search(page, at, last):
         if not depth:
             out.add(page[at : found.start()])
         at = found.end()
         tag, attributes, end = (found[1] or "").lower(), found[2] or "", page[found.start() + 1] == "/"
-        if tag in RAW and not end:
+        if page.startswith("<!--", found.start()) and page[at - 3 : at] not in ("-->", "-!>"):
+            at = len(page)  # a comment that isn't closed
+        elif tag in RAW and not end:
             if tag not in INLINE:
                 out.flush()
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else at if attributes.endswith("/") else len(page)
+            if not attributes.endswith("/") or tag in ENDLESS:
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at, last)
+                at = close.end() if close else len(page)
         elif tag in INLINE:
             if depth:
                 depth += (tag == hidden) * (-1 if end else 1)

@@ -40,6 +40,9 @@ PAGES = {
     "links": ("<article><ul><li><a href=1>one</a><li><a href=2>two</a></ul></article>", "one two"),
     "spaces": ("<article><h1> A \n\t B </h1><pre>c\n  d</pre>e<br>f</article>", "A B c d e f"),
     "text": ("just text, no tags at all.", "just text, no tags at all."),
+    "open comment": (f"<article><p>{LONG}</p><!-- <p>no</p> and no end", LONG),
+    "no end": ("<article>" + "<a x " * 40_000, ""),
+    "slashes": (f"<article><p>{LONG}</p>" + "<svg/>" * 40_000 + "<p>end</p><iframe src=x />tail</article>", f"{LONG} end tail"),
     "angle": ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
 }
 
