@@ -47,12 +47,14 @@ def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float
     finer = [k / 32 for k in range(33)]
     whole = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
     largest = whole.agg(F.max("n")).first()[0] or 0
+    if largest <= direct:  # what percentile() holds of a group is bounded then
+        few = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*map(F.lit, shares))).alias("quantiles"))
+        return few.select(*(F.col("_g")[c].alias(c) for c in by), "n", "quantiles")
     place = lambda s: F.lit(float(s)) * (F.col("n") - 1)
     places = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(s)), F.ceil(place(s))) for s in shares))))
     targets = whole.select("_g", F.lit("").alias("_cell"), F.explode(places).alias("_r")).withColumn("_in", F.col("_r"))
-    found = [] if largest > direct else [_order_statistics(data, targets)]
-    parts = _sketched(data, near, sketch) if largest > direct else None
-    while parts is not None:
+    found, parts = [], _sketched(data, near, sketch)
+    while True:
         met = targets.join(parts, _PART)
         found.append(met.where("_lo = _hi").select("_g", "_r", F.col("_lo").alias("_x")))
         small = met.where((F.col("_lo") != F.col("_hi")) & (F.col("_n") <= direct)).select(*_PART, "_r", "_in")
