@@ -53,7 +53,8 @@ def relevance(values: DataFrame, least: int = 10) -> DataFrame:
 def pairwise_correlation(values: DataFrame, key: str) -> DataFrame:
     """feature_i < feature_j: their correlation over the keys that have both. A key's values are one row;
     a task adds up products of whole batches and gives one row a pair. So what moves is the rows once,
-    and pairs by tasks, never pairs by rows. The number of features is a driver's list."""
+    and pairs by tasks, never pairs by rows. The number of features is a driver's list. Of values that repeat a
+    key and a feature the largest counts."""
     centre = values.where("value IS NOT NULL").groupBy("feature").agg(F.avg("value").alias("m"))
     names = sorted((r["feature"], r["m"]) for r in centre.collect())
     number, mean = {n: k for k, (n, _) in enumerate(names)}, np.array([m for _, m in names], float)
@@ -69,7 +70,10 @@ def pairwise_correlation(values: DataFrame, key: str) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             column = np.fromiter(map(number.__getitem__, lists.flatten().to_pylist()), np.int64, len(row))
             x, m = np.zeros((batch.num_rows, f)), np.zeros((batch.num_rows, f))
-            x[row, column], m[row, column] = batch.column(1).flatten().to_numpy() - mean[column], 1
+            value = batch.column(1).flatten().to_numpy()
+            order = np.argsort(value, kind="stable")
+            row, column = row[order], column[order]
+            x[row, column], m[row, column] = value[order] - mean[column], 1
             total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
         i, j = np.triu_indices(f, 1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(v) for v in (total[0][i, j], total[1][i, j], total[1][j, i], total[2][i, j], total[2][j, i], total[3][i, j]))], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
@@ -202,15 +206,52 @@ def _last(good, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return flip(low).view(np.float64)
 
 
+def _tiles(points: DataFrame, strips: int, tile: int) -> DataFrame:
+    """points with strip and tile. A strip is a range of (f, x, y), so that one value with many partners is as
+    many strips as it needs; its points, ordered by y, are cut into tiles of half to one and a half of `tile`."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, number = None, 0
+        for g in batches:
+            for f, part in g.groupby("f"):
+                if held is not None and f != held["f"].iloc[0]:
+                    yield held.assign(tile=np.int32(number))
+                    held, number = None, 0
+                held = part if held is None else pd.concat([held, part])
+                while len(held) >= 3 * tile // 2:
+                    yield held[:tile].assign(tile=np.int32(number))
+                    held, number = held[tile:], number + 1
+        if held is not None:
+            yield held.assign(tile=np.int32(number))
+
+    dealt = points.repartitionByRange(strips, "f", "x", "y").sortWithinPartitions("f", "y", "x")
+    return dealt.select("f", F.spark_partition_id().alias("strip"), "x", "y", "w").mapInPandas(cut, "f int, strip int, x double, y double, w long, tile int")
+
+
+def _values_up_to(weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (f, axis, v, ...) with n: the sum of the weights (f, axis, v, w) at values of at most v. Both are dealt
+    into ranges of values, and equal ones by what else a row has, so that no value is one task's."""
+    extra = [c for c in asked.columns if c not in ("f", "axis", "v")]
+    both = weights.select("f", "axis", "v", F.lit(0).alias("_asked"), *(F.lit(None).cast(t).alias(c) for c, t in asked.dtypes if c in extra), F.col("w").alias("_w")).unionByName(asked.withColumns({"_asked": F.lit(1), "_w": F.lit(0).cast("long")}))
+    # written, for ranges must stay as they are while they are read twice
+    dealt = written(both.repartitionByRange("f", "axis", "v", "_asked", *extra).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("f", "axis", "_part").agg(F.sum("_w").alias("_in"))
+    parts = parts.select("f", "axis", "_part", (F.sum("_in").over(Window.partitionBy("f", "axis").orderBy("_part")) - F.col("_in")).alias("_before"))
+    inside = F.sum("_w").over(Window.partitionBy("f", "axis", "_part").orderBy("v", "_asked").rowsBetween(Window.unboundedPreceding, 0))
+    met = dealt.withColumn("_inside", inside).where("_asked = 1").join(parts, ["f", "axis", "_part"])
+    return met.select(*asked.columns, (F.col("_before") + F.col("_inside")).alias("n"))
+
+
 def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFrame:
     """Nearest-neighbour estimate of the information between value and y, by feature, over all rows.
 
     Each feature's plane is cut into strips by value and those into tiles of about `tile` points by y.
     A point's k-th distance in its own tile bounds the search; it visits the other tiles that its square
     meets, and the least of all their distances are its neighbours. How many values are closer than
-    that on each axis is a difference of two ranks, taken from sorted blocks and the sums before them.
+    that on each axis is a difference of two running counts over ranges of values.
     Equal pairs are one point with a weight. Nulls and NaN are left out; a feature of at most k rows
-    has 0."""
+    has 0. The driver holds a box for each strip, as many as the root of rows / tile; the boxes of tiles
+    stay a table, and a strip's, as many again, are what one task holds."""
     spark = values.sparkSession
     rows = values.where("value IS NOT NULL AND y IS NOT NULL AND NOT isnan(value) AND NOT isnan(y)").select("feature", F.col("value").cast("double").alias("value"), F.col("y").cast("double").alias("y"))
     stats = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("sx"), F.stddev_pop("y").alias("sy")).collect()  # a row a feature
@@ -218,108 +259,78 @@ def mutual_information(values: DataFrame, k: int = 5, tile: int = 512) -> DataFr
     t = table.withColumnRenamed("feature", "_feature")
     scaled = rows.join(F.broadcast(t.where(F.col("n") > k)), F.col("feature").eqNullSafe(F.col("_feature"))).select("f", (F.col("value") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
     points = written(scaled.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-
-    strips = {f: max(1, round((r["n"] / tile) ** 0.5)) for f, r in enumerate(stats)}
-    most = max([2, *strips.values()])
-    share = [float(q) for q in np.arange(1, most) / most]
-
-    def chosen(f: int, cuts: list[float]) -> np.ndarray:
-        return np.array(cuts)[np.round(np.arange(1, strips[f]) * most / strips[f]).astype(int) - 1]
-
-    by = {r["f"]: (chosen(r["f"], r["x"]), chosen(r["f"], r["y"])) for r in points.groupBy("f").agg(F.percentile_approx("x", share).alias("x"), F.percentile_approx("y", share).alias("y")).collect()}
-    place = lambda cuts, v: np.searchsorted(cuts, v, side="right")
-
-    def with_strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for f, part in g.groupby("f"):
-                yield part.assign(strip=place(by[f][0], part["x"].to_numpy()).astype(np.int32))
-
-    stripped = points.mapInPandas(with_strip, "f int, x double, y double, w long, strip int")
-    inner = {(r["f"], r["strip"]): chosen(r["f"], r["y"]) for r in stripped.groupBy("f", "strip").agg(F.percentile_approx("y", share).alias("y")).collect()}
-
-    def with_tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for (f, s), part in g.groupby(["f", "strip"]):
-                yield part.assign(tile=place(inner[f, s], part["y"].to_numpy()).astype(np.int32))
-
-    tiles = written(stripped.mapInPandas(with_tile, "f int, x double, y double, w long, strip int, tile int"))
+    tiles = written(_tiles(points, max(1, sum(max(1, round((r["n"] / tile) ** 0.5)) for r in stats)), tile))
+    box = [("min", "x"), ("max", "x"), ("min", "y"), ("max", "y")]
+    boxes = written(tiles.groupBy("f", "strip", "tile").agg(*(getattr(F, a)(c).alias(a + c) for a, c in box)))
+    strips = boxes.groupBy("f", "strip").agg(*(getattr(F, a)(a + c).alias(a + c) for a, c in box)).toPandas()
+    strips = {int(f): g.drop(columns="f").to_numpy(float).T for f, g in strips.groupby("f")}
     found = "f int, strip int, tile int, x double, y double, w long, d array<double>, c array<long>"
+    # the square is widened by what rounding may lose
+    reach = lambda x, y, r: r * (1 + 1e-9) + 1e-12 * (np.abs(x) + np.abs(y))
 
     def own(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        """A row a point with its neighbours here (strip -1), and one for each tile it visits."""
-        f, strip, home = key
+        """A row a point with its neighbours here (own), and one for each strip that its square meets."""
+        f = key[0]
         x, y, w = (g[c].to_numpy() for c in ("x", "y", "w"))
         d, c = _nearest(x, y, w, x, y, k)
         enough = np.cumsum(c, 1) >= k
-        r = np.where(enough.any(1), d[np.arange(len(d)), enough.argmax(1)], np.inf)
-        out = [pd.DataFrame({"f": f, "strip": -1, "tile": -1, "x": x, "y": y, "w": w, "d": list(d), "c": list(c)})]
-        r = r * (1 + 1e-9) + 1e-12 * (np.abs(x) + np.abs(y))
-        low, high = place(by[f][0], x - r), place(by[f][0], x + r)
-        for s in range(int(low.min()), int(high.max()) + 1):
-            if (f, s) not in inner:
-                continue
-            p = np.flatnonzero((low <= s) & (s <= high))
-            a, b = place(inner[f, s], y[p] - r[p]), place(inner[f, s], y[p] + r[p])
-            p, n, a = np.repeat(p, b - a + 1), b - a + 1, np.repeat(a, b - a + 1)
-            to = a + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-            p, to = (p[to != home], to[to != home]) if s == strip else (p, to)
-            out.append(pd.DataFrame({"f": f, "strip": s, "tile": to, "x": x[p], "y": y[p], "w": w[p], "d": [[]] * len(p), "c": [[]] * len(p)}))
-        return pd.concat(out)
-
-    first = written(tiles.groupBy("f", "strip", "tile").applyInPandas(own, found))
+        r = reach(x, y, np.where(enough.any(1), d[np.arange(len(d)), enough.argmax(1)], np.inf))
+        number, x0, x1, y0, y1 = strips[int(f)]
+        near = np.flatnonzero((x0 <= (x + r).max()) & (x1 >= (x - r).min()) & (y0 <= (y + r).max()) & (y1 >= (y - r).min()))
+        p, s = np.nonzero((x0[near] <= (x + r)[:, None]) & (x1[near] >= (x - r)[:, None]) & (y0[near] <= (y + r)[:, None]) & (y1[near] >= (y - r)[:, None]))
+        here = pd.DataFrame({"f": f, "strip": key[1], "tile": key[2], "home": key[1], "x": x, "y": y, "w": w, "r": r, "own": True, "d": list(d), "c": list(c)})
+        met = pd.DataFrame({"f": f, "strip": number[near][s].astype(np.int32), "tile": key[2], "home": key[1], "x": x[p], "y": y[p], "w": w[p], "r": r[p], "own": False, "d": [[]] * len(p), "c": [[]] * len(p)})
+        return pd.concat([here, met])
+
+    first = written(tiles.groupBy("f", "strip", "tile").applyInPandas(own, "f int, strip int, tile int, home int, x double, y double, w long, r double, own boolean, d array<double>, c array<long>"))
+
+    def route(here: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        """A row for each tile of the strip that a guest's square meets, but its own."""
+        here = here.sort_values("tile")
+        x0, x1, y0, y1 = (here[a + c].to_numpy() for a, c in box)
+        x, y, r = (guests[c].to_numpy() for c in ("x", "y", "r"))
+        a, n = np.searchsorted(y1, y - r, side="left"), np.searchsorted(y0, y + r, side="right")
+        n = np.maximum(n - a, 0)
+        p = np.repeat(np.arange(len(n)), n)
+        to = np.repeat(a, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        number, came, home, strip = here["tile"].to_numpy()[to], guests["tile"].to_numpy()[p], guests["home"].to_numpy()[p], guests["strip"].to_numpy()[p]
+        good = (x0[to] <= x[p] + r[p]) & (x1[to] >= x[p] - r[p]) & ((strip != home) | (number != came))
+        out = guests[["f", "strip", "x", "y", "w"]].iloc[p[good]]
+        return out.assign(tile=number[good])
+
+    # guests of a strip are dealt by their place, for many squares can meet one strip
+    shares = 16
+    guests = first.where("NOT own").withColumn("_share", F.pmod(F.xxhash64("x", "y"), F.lit(shares)))
+    dealt = boxes.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    routed = dealt.groupBy("f", "strip", "_share").cogroup(guests.groupBy("f", "strip", "_share")).applyInPandas(route, "f int, strip int, tile int, x double, y double, w long")
 
     def visit(here: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         if not len(here) or not len(guests):
-            return guests[:0]
+            return guests[:0].assign(d=pd.Series(dtype=object), c=pd.Series(dtype=object))
         d, c = _nearest(*(here[c].to_numpy() for c in ("x", "y", "w")), guests["x"].to_numpy(), guests["y"].to_numpy(), k)
         return guests.assign(d=list(d), c=list(c))
 
     keys = ["f", "strip", "tile"]
-    visited = tiles.groupBy(*keys).cogroup(first.where("strip >= 0").groupBy(*keys)).applyInPandas(visit, found)
-    near = first.where("strip < 0").unionByName(visited).groupBy("f", "x", "y").agg(F.max("w").alias("w"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "c")))).alias("near"))
+    visited = tiles.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(visit, found)
+    near = first.where("own").select(*visited.columns).unionByName(visited).groupBy("f", "x", "y").agg(F.max("w").alias("w"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "c")))).alias("near"))
     # the first distance at which the weights reach k
     radius = F.aggregate("near", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("r")), lambda a, e: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + e["c"]).alias("n"), e["d"].alias("r"))), lambda a: a["r"])
-    marks = "f int, axis int, block int, v double, w long, sign int, x double, y double"
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
-            for f, part in g.groupby("f"):
-                x, y, w, r = (part[c].to_numpy() for c in ("x", "y", "w", "r"))
-                for axis, z in enumerate((x, y)):
-                    up = _last(lambda c: c - z < r, z, np.nextafter(z + 2 * r, np.inf))  # noqa: B023
-                    down = _last(lambda c: z - c >= r, np.nextafter(z - 2 * r, -np.inf), z)  # noqa: B023
-                    for sign, v in ((1, up), (-1, down)):
-                        # nothing is closer than 0
-                        yield pd.DataFrame({"f": f, "axis": axis, "block": place(by[f][axis], v), "v": v, "w": w, "sign": np.where(r > 0, sign, 0), "x": x, "y": y})
-
-    def with_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for (f, axis), part in g.groupby(["f", "axis"]):
-                yield part.assign(block=place(by[f][axis], part["v"].to_numpy()).astype(np.int32))
-
-    line = points.select("f", F.lit(0).alias("axis"), F.col("x").alias("v"), "w").unionByName(points.select("f", F.lit(1).alias("axis"), F.col("y").alias("v"), "w"))
-    line = written(line.groupBy("f", "axis", "v").agg(F.sum("w").alias("w")).mapInPandas(with_block, "f int, axis int, v double, w long, block int"))
-    before: dict[tuple, int] = {}
-    run: dict[tuple, int] = {}
-    for r in sorted(line.groupBy("f", "axis", "block").agg(F.sum("w").alias("w")).collect()):
-        before[r["f"], r["axis"], r["block"]] = run.get((r["f"], r["axis"]), 0)
-        run[r["f"], r["axis"]] = run.get((r["f"], r["axis"]), 0) + r["w"]
-    ends = {(f, axis): sorted((b, n) for (g, a, b), n in before.items() if (g, a) == (f, axis)) for f, axis in run}
-
-    def ranked(key: tuple, here: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        f, axis, block = key
-        # blocks without values have those before the next block that has any
-        start = next((n for b, n in ends[f, axis] if b >= block), run[f, axis])
-        here = here.sort_values("v")
-        sums = np.append(0, np.cumsum(here["w"].to_numpy()))
-        n = queries["sign"].to_numpy() * (start + sums[np.searchsorted(here["v"].to_numpy(), queries["v"].to_numpy(), side="right")])
-        return pd.DataFrame({"f": queries["f"], "x": queries["x"], "y": queries["y"], "w": queries["w"], "nx": n * (axis == 0), "ny": n * (axis == 1)})
-
-    queries = near.select("f", "x", "y", "w", radius.alias("r")).mapInPandas(asked, marks)
-    blocks = ["f", "axis", "block"]
-    ranks = line.groupBy(*blocks).cogroup(queries.groupBy(*blocks)).applyInPandas(ranked, "f int, x double, y double, w long, nx long, ny long")
+            r = g["r"].to_numpy()
+            for axis, z in enumerate((g["x"].to_numpy(), g["y"].to_numpy())):
+                up = _last(lambda c: c - z < r, z, np.nextafter(z + 2 * r, np.inf))  # noqa: B023
+                down = _last(lambda c: z - c >= r, np.nextafter(z - 2 * r, -np.inf), z)  # noqa: B023
+                for sign, v in ((1, up), (-1, down)):
+                    # nothing is closer than 0
+                    yield g[["f", "x", "y", "w"]].assign(axis=axis, v=v, sign=np.where(r > 0, sign, 0))
+
+    line = points.select("f", F.lit(0).alias("axis"), F.col("x").alias("v"), "w").unionByName(points.select("f", F.lit(1).alias("axis"), F.col("y").alias("v"), "w")).groupBy("f", "axis", "v").agg(F.sum("w").alias("w"))
+    ends = near.select("f", "x", "y", "w", radius.alias("r")).mapInPandas(asked, "f int, axis int, v double, sign int, x double, y double, w long")
+    on = lambda axis: F.sum(F.when(F.col("axis") == axis, F.col("sign") * F.col("n")).otherwise(0))
     digamma = F.pandas_udf(lambda v: pd.Series(_digamma(np.maximum(v.to_numpy(), 1))), "double")
-    each = ranks.groupBy("f", "x", "y").agg(F.max("w").alias("w"), F.sum("nx").alias("nx"), F.sum("ny").alias("ny")).select("f", "w", digamma("nx").alias("dx"), digamma("ny").alias("dy"))
+    each = _values_up_to(line, ends).groupBy("f", "x", "y").agg(F.max("w").alias("w"), on(0).alias("nx"), on(1).alias("ny")).select("f", "w", digamma("nx").alias("dx"), digamma("ny").alias("dy"))
     sums = each.groupBy("f").agg(F.sum(F.col("w") * (F.col("dx") + F.col("dy"))).alias("s"), F.sum("w").alias("m"))
     mi = digamma("n") + float(_digamma(np.array([k]))[0]) - F.col("s") / F.col("m")
     return table.join(sums, "f", "left").select("feature", F.when(F.col("n") > k, F.greatest(F.lit(0.0), mi)).otherwise(0.0).alias("mi"))
