@@ -96,6 +96,16 @@ def test_url_aliases_match_sql(spark):
     assert sum(plain[r[0]] != r[4] for r in want) > 5  # aliases decide some
 
 
+def test_url_rules_give_the_contracts_verdicts(spark):
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://a.example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"),
+    }
+    df = spark.createDataFrame([(k, u, "") for k, u in enumerate(want)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(df).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_link_targets_are_resolved(spark):
     base = "http://a.org/x/y/z.html?q=1"
     want = {"../b": "http://a.org/x/b", "./b#f": "http://a.org/x/y/b", "../../../b/": "http://a.org/b/", "/p/./q/../r": "http://a.org/p/r", "..": "http://a.org/x/", "?s=&#38;&#x41;": "http://a.org/x/y/z.html?s=&A", "/c?a=1&amp;b=2": "http://a.org/c?a=1&b=2", "HTTP://B.org/./d": "http://b.org/d", "mailto:x@y": None, "#top": None, "b...c/..d": "http://a.org/x/y/b...c/..d", "&#0;": "http://a.org/x/y/\ufffd"}
