@@ -3,6 +3,7 @@ aggregation, thresholds, and a hysteresis state machine."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -129,12 +130,33 @@ def _nearest(base: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, ste
     return out
 
 
+def fused(a: Column, b: Column | float, c: Column) -> Column:
+    """a * b + c rounded once, from the exact parts of the product and the sum."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
+    high = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    p = a * b
+    low = (a - high(a)) * (b - high(b)) - (((p - high(a) * high(b)) - (a - high(a)) * high(b)) - high(a) * (b - high(b)))
+    total = p + c
+    part = total - p
+    out = total + (((p - (total - part)) + (c - part)) + low)
+    # the parts of very large values aren't finite
+    return F.when(F.abs(out) < float("inf"), out).otherwise(total)
+
+
 def thresholds(df: DataFrame, stream: str, baseline: int, entry: float = 0.99, reset: float = 0.95) -> DataFrame:
-    """Linear quantiles of the baseline's scores; null unless all `baseline` of them are there."""
+    """Linear quantiles of the baseline's scores; null unless all `baseline` of them are there. They are
+    rounded as DuckDB's quantile_cont rounds them, for scores that equal a threshold decide by its last bit."""
     if reset > entry:
         raise ValueError("the reset level would lie above the threshold")
-    quantile = lambda q: F.when(F.count("score") == baseline, F.percentile("score", F.lit(q)))
-    return df.where(F.col("place") <= baseline).groupBy(stream).agg(quantile(entry).alias("threshold"), quantile(reset).alias("reset"))
+
+    def quantile(q: float) -> Column:
+        at = (baseline - 1) * q
+        low, high = math.floor(at), math.ceil(at)
+        value = lambda k: F.get("_sorted", F.lit(k))
+        return F.when(F.size("_sorted") == baseline, value(low) if low == high else fused(value(low), 1 - (at - low), value(high) * (at - low)))
+
+    early = df.where(F.col("place") <= baseline).groupBy(stream).agg(F.sort_array(F.collect_list(F.col("score").cast("double"))).alias("_sorted"))
+    return early.select(stream, quantile(entry).alias("threshold"), quantile(reset).alias("reset"))
 
 
 def two_view_score(df: DataFrame, keys: Sequence[str], channel: str, views: int = 2) -> DataFrame:

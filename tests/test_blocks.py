@@ -145,3 +145,21 @@ def test_order_of_parts(spark):
     df = spark.createDataFrame(rows, "s string, i long, v long").repartition(4)
     whole, parts = (sorted(map(tuple, gates.order_violations(df, "s", "i", "v", n).collect())) for n in (10_000, 25))
     assert whole == parts and {p for _, _, p in whole} == {"repeated", "unordered"}
+
+
+def test_thresholds_have_the_last_bit_of_duckdbs_quantiles(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.gamma(1.5, 40, (2000, 10)), 2)
+    scores[1000:, 5] = scores[1000:, 4]
+    rows = pa.table({"user": np.repeat(np.arange(2000), 10), "place": np.tile(np.arange(1, 11), 2000), "score": scores.ravel()})
+    con = duckdb.connect()
+    con.register("e", rows)
+    want = con.sql("SELECT user, quantile_cont(score, 0.6), quantile_cont(score, 0.5) FROM e GROUP BY 1").fetchall()
+    df = spark.createDataFrame(rows.to_pandas())
+    assert sorted(map(tuple, monitor.thresholds(df, "user", 10, 0.6, 0.5).collect())) == sorted(want)
+    # parts of such values aren't finite
+    large = spark.createDataFrame([(1, k, v) for k, v in enumerate([1e305, 1e306, float("inf")], 1)], "user int, place int, score double")
+    assert monitor.thresholds(large, "user", 3, 0.9, 0.25).first()[1:] == (float("inf"), pytest.approx(5.5e305))
