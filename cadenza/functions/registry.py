@@ -86,9 +86,9 @@ def registry_features(df: DataFrame, samples: str, fs: float = 20_000.0, edges:
     return added.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in NAMES})
 
 
-def registry_summary(df: DataFrame, signal: str, width: int = 2048, step: int = 1024, windows: int | None = 19, fs: float = 20_000.0, edges: tuple[float, float] = EDGES) -> DataFrame:
+def registry_summary(df: DataFrame, signal: str, width: int = 2048, step: int = 1024, windows: int | None = 19, fs: float = 20_000.0, edges: tuple[float, float] = EDGES, quantise: bool = True) -> DataFrame:
     """Adds what all windows of a signal give together: feature_values (mean and population deviation of
-    each feature over the windows that define it, quantised, null where none does),
+    each feature over the windows that define it, quantised unless told otherwise, null where none does),
     valid_window_counts (how many do) and window_count. A signal that is null, has a value that isn't
     finite, or doesn't give `windows` windows, has nulls. A signal's windows never leave its row."""
 
@@ -119,7 +119,7 @@ def registry_summary(df: DataFrame, signal: str, width: int = 2048, step: int =
 
     place = df.columns.index(signal)
     added = df.mapInArrow(run, StructType([*df.schema.fields, StructField("feature_values", ArrayType(DoubleType())), StructField("valid_window_counts", ArrayType(IntegerType())), StructField("window_count", IntegerType())]))
-    return added.withColumn("feature_values", F.transform("feature_values", quantised))
+    return added.withColumn("feature_values", F.transform("feature_values", quantised)) if quantise else added
 
 
 def feature_rows(channels: DataFrame, key: str = "name", channel: str = "channel", signal: str = "signal", contract: str = "", **options) -> DataFrame:

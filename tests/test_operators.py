@@ -216,6 +216,9 @@ def test_feature_rows_of_recordings(spark, tmp_path):
     other = registry.feature_rows(channels, contract="v2", **how).orderBy("name", "channel").collect()
     assert not {r["feature_row_id"] for r in rows} & {r["feature_row_id"] for r in other}
     assert registry.feature_rows(channels, contract="v1", **(how | {"windows": 19})).first()["feature_values"] is None
+    # as measured, without the 12 digits, which would round a second time
+    exact = registry.feature_rows(channels, contract="v1", quantise=False, **how).orderBy("name", "channel").first()["feature_values"]
+    assert np.allclose(exact, want, rtol=1e-14, atol=0) and exact != rows[0]["feature_values"]
 
 
 def test_resampling_keeps_tones(spark):
