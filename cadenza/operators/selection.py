@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,31 +126,56 @@ def ks_p_value(ks: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(root < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def exact_ks_p(ks: float, n: int, m: int) -> float:
+def exact_ks_p(ks: float, n: int, m: int, negligible: float = 1e-18) -> float:
     """The chance of a distance of at least ks between two samples of n and m from one distribution: the share
     of all lattice paths from (0, 0) to (n, m) that come so far from the diagonal. a[i] is that share among the
-    paths to (i, k - i), for one k after the other; a step to a place comes from either side in proportion."""
-    least = round(ks * n * m)
-    i = np.arange(n + 1)
-    a = np.full(n + 1, float(least <= 0))
-    for k in range(1, n + m + 1):
-        before = np.concatenate([[0.0], a[:-1]])
-        j = k - i
-        a = np.where((j >= 0) & (j <= m), np.where(np.abs(i * m - j * n) >= least, 1.0, (i * before + j * a) / k), 0.0)
-    return float(a[n])
+    paths to (i, k - i), for one k after the other; a step to a place comes from either side in proportion.
+
+    Only places nearer to the diagonal are held, for all others have share 1: n + m steps over at most
+    2 * ks * n * m / (n + m) + 1 numbers. A chance that is below `negligible` by Massart's inequality for both
+    samples is 0, so a step has no more than some 10 * sqrt(min(n, m)) numbers, and memory stays as small."""
+    least, total = round(ks * n * m), n + m
+    if least <= 0:
+        return 1.0
+    # the distance is at most the sum of both samples' distances from their distribution
+    share = math.sqrt(m) / (math.sqrt(n) + math.sqrt(m))
+    if 2 * math.exp(-2 * n * (ks * share) ** 2) + 2 * math.exp(-2 * m * (ks * (1 - share)) ** 2) < negligible:
+        return 0.0
+    width = 2 * least // total + 3
+    size = 2 * width + 4096
+    base, before = -1, 0  # a[x] is the place i[x] = base + x
+    a, i, step = np.ones(size), np.arange(base, base + size, dtype=float), np.empty(size)
+    a[-base] = 0.0
+    for k in range(1, total + 1):
+        # |i * m - (k - i) * n| < least, and on the lattice
+        low, high = max((k * n - least) // total + 1, 0, k - m), min(-((-k * n - least) // total) - 1, n, k)
+        if high - base >= size:
+            held = a[before - base - 1 : before - base + width + 1].copy()
+            i += before - 1 - base
+            base = before - 1
+            a.fill(1.0)
+            a[: len(held)] = held
+        x, y = low - base, high - base + 1
+        d = step[: y - x]
+        np.subtract(a[x - 1 : y - 1], a[x:y], out=d)
+        d *= i[x:y] * (1.0 / k)
+        a[x:y] += d
+        if low > before:  # the places that were left
+            a[before - base : low - base] = 1.0
+            before = low
+    return float(a[n - base])
 
 
 def _exact_p(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(d) or not a or not b else exact_ks_p(d, int(a), int(b)) for d, a, b in zip(ks, n, m, strict=True)], dtype="float64")
+    return pd.Series([None if pd.isna(d) or pd.isna(a) or pd.isna(b) or not a or not b else exact_ks_p(d, int(a), int(b)) for d, a, b in zip(ks, n, m, strict=True)], dtype="float64")
 
 
-def with_exact_p(drift: DataFrame, most: int = 10_000) -> DataFrame:
-    """two_sample_drift's rows with n, m and ks_p exact where neither sample has more than `most` values; the
-    limit law's above, where the two agree. A row a feature; the largest takes some 2 * most steps over most
-    numbers."""
-    small, exact = F.greatest("n", "m") <= most, F.pandas_udf(_exact_p, "double")
-    kept = [F.when(small, exact("ks", F.when(small, F.col("n")), F.when(small, F.col("m")))).otherwise(F.col("ks_p")).alias("ks_p") if c == "ks_p" else F.col(c) for c in drift.columns]
-    return drift.select(*kept)
+def with_exact_p(drift: DataFrame) -> DataFrame:
+    """two_sample_drift's rows with n, m and ks_p exact, at any n and m. A row a feature; its task takes n + m
+    steps and holds the places near the diagonal alone. Features are dealt to tasks of their own."""
+    exact = F.pandas_udf(_exact_p, "double")
+    dealt = drift.repartition(drift.sparkSession.sparkContext.defaultParallelism, "feature")
+    return dealt.select(*(exact("ks", "n", "m").alias("ks_p") if c == "ks_p" else F.col(c) for c in drift.columns))
 
 
 def two_sample_drift(values: DataFrame, side: Column, sizes: bool = False) -> DataFrame:

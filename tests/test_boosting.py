@@ -101,3 +101,18 @@ def test_search_of_boosted_trees(spark):
     space = {"leaves": tuning.Range(2, 6, whole=True), "rate": tuning.Range(0.1, 0.9, log=True), "trees": tuning.Range(1, 2, whole=True), "depth": tuning.Range(1, 2, whole=True)}
     rows = tuning.boosting_search(df.where("id % 3 <> 0"), df.where("id % 3 = 0"), ["a", "b"], "y", space, trials=3, together=3).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2, 3] and rows[0]["weighted_mae"] <= rows[2]["weighted_mae"] and "leaves" in rows[0]["settings"]
+
+
+def test_exact_p_of_large_samples(spark):
+    rows = [("a", 0.02, 12_000, 11_000), ("b", 0.5, 20_000, 20_000), ("c", None, 3, 0), ("d", 0.5, 2, 2)]
+    df = spark.createDataFrame([(f, ks, 0.0, n, m) for f, ks, n, m in rows], "feature string, ks double, ks_p double, n long, m long")
+    got = {r["feature"]: r["ks_p"] for r in selection.with_exact_p(df).collect()}
+    limit = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * 0.02**2 * 12_000 * 11_000 / 23_000) for k in range(1, 20))
+    assert abs(got["a"] - limit) < 2e-3 and got["b"] == 0.0 and got["c"] is None and abs(got["d"] - 1.0) < 1e-12
+    # the places are held near the diagonal alone, also where the buffer moves on
+    n, m, least = 5200, 5000, round(0.02 * 5200 * 5000)
+    i, a = np.arange(n + 1), np.zeros(n + 1)
+    for k in range(1, n + m + 1):
+        j = k - i
+        a = np.where((j >= 0) & (j <= m), np.where(np.abs(i * m - j * n) >= least, 1.0, (i * np.concatenate([[0.0], a[:-1]]) + j * a) / k), 0.0)
+    assert abs(selection.exact_ks_p(0.02, n, m) - a[n]) < 1e-10
