@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import labels, metrics, temporal
 from cadenza.operators.quantiles import exact_quantiles
+from cadenza.sources.shared import written
 
 
 def fold_features(folds: DataFrame, feature: str, asset: str, view: str, order: Sequence[str], widths: Sequence[int] = (3, 5, 10), alphas: Sequence[float] = (0.1, 0.3, 0.5)) -> DataFrame:
     """folds: rows with fold and role. Rolling, exponential and cross-view features from the rows of the
     same fold and role alone, z-scores fitted on the fold's train rows; purged rows have none and go."""
-    used = folds.where("role != 'purged'")
+    used = written(folds.where("role != 'purged'"), "folds")
     keys = ["fold", "role", asset, view]
     averaged = temporal.ema(used, feature, keys, order, alphas)
     columns = temporal.rolling(feature, keys, order, widths) | temporal.cross_views(feature, ["fold", "role", asset, order[0]])
     local = averaged.select("*", *(c.alias(n) for n, c in columns.items()))
-    return labels.fitted_zscore(local, feature, [asset, view])
+    return labels.fitted_zscore(local, feature, [asset, view], used)
 
 
 def median_baseline(folds: DataFrame, target: str) -> DataFrame:

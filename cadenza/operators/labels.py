@@ -145,15 +145,16 @@ def nearest_train_gap(folds: DataFrame, asset: str, ts: str) -> DataFrame:
 
 def fold_overlap(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """By fold: distinct keys that are both in train and in test."""
-    return folds.where("role != 'purged'").groupBy("fold", *keys).agg(F.count_distinct("role").alias("_r")).groupBy("fold").agg(F.count_if(F.col("_r") > 1).alias("overlap"))
+    has = lambda role: F.bool_or(F.col("role") == role)
+    return folds.where("role != 'purged'").groupBy("fold", *keys).agg((has("train") & has("test")).alias("_both")).groupBy("fold").agg(F.count_if("_both").alias("overlap"))
 
 
-def fitted_zscore(folds: DataFrame, feature: str, keys: Sequence[str]) -> DataFrame:
+def fitted_zscore(folds: DataFrame, feature: str, keys: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """z-scores of the train and test rows of a fold, fitted on its train rows. The mean is that of the
     row's group, of the whole fold for a group without train values; the deviation likewise, and also
     the fold's for a group of one value or without spread; 1e-8 is added to it, and stands in for a
-    fold without spread."""
-    train = folds.where("role = 'train'")
+    fold without spread. fitted_on: the same rows with fewer columns, where folds are costly to make."""
+    train = (folds if fitted_on is None else fitted_on).where("role = 'train'")
     stats = lambda *by: train.groupBy(*by).agg(F.avg(feature).alias("_m"), F.stddev_samp(feature).alias("_s"))
     whole = stats("fold").withColumnsRenamed({"_m": "_gm", "_s": "_gs"})
     rows = folds.where("role != 'purged'").join(stats("fold", *keys), ["fold", *keys], "left").join(whole, "fold", "left")

@@ -42,7 +42,9 @@ def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float
     as percentile() gives them: nulls don't count, NaN is above all numbers."""
     value = F.col(value) if isinstance(value, str) else value
     group = F.struct(F.lit(0).alias("_0"), *by)
-    data = rows.select(group.alias("_g"), F.lit("").alias("_cell"), (value.cast("double") + 0.0).alias("_v")).where("_v IS NOT NULL")
+    # several passes read the values, but what they are made from is worked out once
+    kept = written(rows.select(group.alias("_g"), (value.cast("double") + 0.0).alias("_v")).where("_v IS NOT NULL"), "values")
+    data = kept.select("_g", F.lit("").alias("_cell"), "_v")
     near = sorted({min(1.0, max(0.0, s + m)) for s in shares for m in (-margin, 0.0, margin)} | {0.0, 1.0})
     finer = [k / 32 for k in range(33)]
     whole = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))

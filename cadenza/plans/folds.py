@@ -8,6 +8,7 @@ from cadenza.functions import registry, signal
 from cadenza.operators import folds, labels, metrics
 from cadenza.plans import assets, evidence, streams
 from cadenza.plans.streams import ORDER, events, rounded
+from cadenza.sources.shared import written
 
 Q, S = {}, {}
 
@@ -26,9 +27,9 @@ def _folds(s, d):
 
 
 def _targets(s, d):
-    """Folds with hours to the user's last event as target."""
+    """Folds with hours to the user's last event as target, written once for all that reads them."""
     end = events(s, d).groupBy(F.col("user_id").alias("_u")).agg(F.max("ts").alias("_end"))
-    return _folds(s, d).join(end, F.col("user_id") == F.col("_u")).withColumn("y", labels.seconds(F.col("_end"), F.col("ts")) / 3600).drop("_u", "_end")
+    return written(_folds(s, d).join(end, F.col("user_id") == F.col("_u")).withColumn("y", labels.seconds(F.col("_end"), F.col("ts")) / 3600).drop("_u", "_end"), "targets")
 
 
 _LOCAL = "PARTITION BY fold, role, user_id, event_type ORDER BY ts, event_id"
@@ -65,7 +66,7 @@ def _(s, d):
 def _predicted(s, d):
     t = _targets(s, d)
     one = lambda df, name: df.select(F.lit(name).alias("strategy"), "fold", "user_id", "y", "yhat")
-    return one(folds.median_baseline(t, "y"), "median").unionByName(one(folds.fold_ridge(t, ["value"], "y"), "ridge"))
+    return written(one(folds.median_baseline(t, "y"), "median").unionByName(one(folds.fold_ridge(t, ["value"], "y"), "ridge")), "predictions")
 
 
 _BOTH = f"{_Y}, {_MEDIAN}, {_RIDGE}, p AS (SELECT 'median' AS strategy, fold, user_id, y, yhat FROM md UNION ALL SELECT 'ridge', fold, user_id, y, yhat FROM rg)"

@@ -299,3 +299,15 @@ def test_keys_are_found_at_any_depth(spark):
     text = r'{"a": "x\": ", "b\u005fc" : [1, {"Rul_x": {"deep_LABEL": null}}], "rul": "label_"}'
     df = spark.createDataFrame([(1, text), (2, None), (3, "{}")], "k int, j string")
     assert sorted(r["found"] for r in gates.forbidden_keys(df, ["k"], "j", ["rul", "label", "c"]).collect()) == ["Rul_x", "b_c", "deep_LABEL", "rul"]
+
+
+def test_tables_of_folds_make_their_folds_once(spark):
+    """The blocks of folds (ntile) are in no plan that reads the folds again."""
+    rows = spark.range(200).selectExpr("id AS event_id", "id % 4 AS user_id", "'a' AS event_type", "timestamp_ntz '2024-01-01' + make_dt_interval(0, id) AS ts", "id * 0.5D AS value")
+    made = labels.purged_folds(rows, "user_id", "ts", 5, 3)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ntile" in plan(made) and "ntile" not in plan(folds.fold_features(made, "value", "user_id", "event_type", ["ts", "event_id"], (3,), (0.3,)))
+    overlap = labels.fold_overlap(made, ["user_id", "ts"])
+    assert "count(distinct" not in plan(overlap) and {r["fold"]: r["overlap"] for r in overlap.collect()} == dict.fromkeys(range(1, 6), 0)
+    both = spark.createDataFrame([(1, "x", "train"), (1, "x", "test"), (1, "y", "train"), (1, "y", "purged"), (2, None, "test"), (2, None, "train")], "fold int, k string, role string")
+    assert {r["fold"]: r["overlap"] for r in labels.fold_overlap(both, ["k"]).collect()} == {1: 1, 2: 1}

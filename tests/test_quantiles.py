@@ -51,3 +51,17 @@ def test_no_task_holds_the_values(spark):
     df = spark.range(200_000).select(F.rand(1).alias("x"))
     plan = quantiles.exact_quantiles(df, "x", [0.5], direct=1000)._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_what_values_are_made_from_is_worked_out_once(spark):
+    for direct in (1 << 16, 64):
+        made = spark.sparkContext.accumulator(0)
+
+        def counted(batches, made=made):
+            for b in batches:
+                made.add(len(b))
+                yield b
+
+        rows = spark.range(1000, numPartitions=2).selectExpr("id % 2 as g", "cast(id * 7919 % 1000 as double) as v").mapInPandas(counted, "g long, v double")
+        assert {r["g"]: (r["n"], r["quantiles"][0]) for r in quantiles.exact_quantiles(rows, "v", [0.5], ["g"], direct=direct).collect()} == {0: (500, 499.0), 1: (500, 500.0)}
+        assert made.value == 1000
