@@ -311,3 +311,9 @@ def test_tables_of_folds_make_their_folds_once(spark):
     assert "count(distinct" not in plan(overlap) and {r["fold"]: r["overlap"] for r in overlap.collect()} == dict.fromkeys(range(1, 6), 0)
     both = spark.createDataFrame([(1, "x", "train"), (1, "x", "test"), (1, "y", "train"), (1, "y", "purged"), (2, None, "test"), (2, None, "train")], "fold int, k string, role string")
     assert {r["fold"]: r["overlap"] for r in labels.fold_overlap(both, ["k"]).collect()} == {1: 1, 2: 1}
+
+
+def test_leave_one_out_rows_are_many_tasks(spark):
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "id % 4 AS asset")
+    got = labels.leave_one_out_rows(rows, "asset").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 160 and sum(r["role"] == "test" for r in got) == 40 and len({r["task"] for r in got}) > 8
