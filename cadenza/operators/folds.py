@@ -26,10 +26,25 @@ def fold_features(folds: DataFrame, feature: str, asset: str, view: str, order:
     return labels.fitted_zscore(local, feature, [asset, view], used)
 
 
+def train_rows(folds: DataFrame) -> DataFrame:
+    """A row for each fold that trains on a row; folds as of purged_folds (role) or purged_blocks (trains)."""
+    return folds.withColumn("fold", F.explode("trains")).drop("trains") if "trains" in folds.columns else folds.where("role = 'train'")
+
+
+def test_rows(folds: DataFrame) -> DataFrame:
+    return folds.drop("trains") if "trains" in folds.columns else folds.where("role = 'test'")
+
+
+def fold_medians(folds: DataFrame, target: str) -> DataFrame:
+    """fold, yhat: the median of the target over the fold's train rows. Rows of purged_blocks are read in
+    several passes, so they should be written."""
+    mids = exact_quantiles(train_rows(folds), target, [0.5], ["fold"], kept="trains" in folds.columns)
+    return written(mids.select("fold", F.col("quantiles")[0].alias("yhat")), "medians")
+
+
 def median_baseline(folds: DataFrame, target: str) -> DataFrame:
     """Test rows with yhat: the median of the target over the fold's train rows."""
-    guess = exact_quantiles(folds.where("role = 'train'"), target, [0.5], ["fold"]).select("fold", F.col("quantiles")[0].alias("yhat"))
-    return folds.where("role = 'test'").join(guess, "fold", "left")
+    return test_rows(folds).join(F.broadcast(fold_medians(folds, target)), "fold", "left")  # a row a fold
 
 
 def fold_ridge(folds: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> DataFrame:
@@ -39,11 +54,11 @@ def fold_ridge(folds: DataFrame, features: Sequence[str], target: str, alpha: fl
 
     Fitting takes one grouping for means and one for the sums of products; (features + 1) ** 2 numbers a
     fold are all that a solver sees."""
-    train = folds.where("role = 'train'").where(F.col(target).isNotNull())
-    scale = train.groupBy("fold").agg(*(F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)), *(F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)), F.avg(target).alias("_my"))
+    train = train_rows(folds).where(F.col(target).isNotNull())
+    scale = written(train.groupBy("fold").agg(*(F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)), *(F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)), F.avg(target).alias("_my")), "scale")
     z = [F.coalesce((F.col(f) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0), F.lit(0.0)) for i, f in enumerate(features)]
     p = len(features)
-    scaled = train.join(scale, "fold").select("fold", *(c.alias(f"_z{i}") for i, c in enumerate(z)), (F.col(target) - F.col("_my")).alias("_y"))
+    scaled = train.join(F.broadcast(scale), "fold").select("fold", *(c.alias(f"_z{i}") for i, c in enumerate(z)), (F.col(target) - F.col("_my")).alias("_y"))
     sums = scaled.groupBy("fold").agg(*(F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_{i}_{j}") for i in range(p) for j in range(i, p)), *(F.sum(F.col(f"_z{i}") * F.col("_y")).alias(f"_{i}_y") for i in range(p)))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,12 +70,13 @@ def fold_ridge(folds: DataFrame, features: Sequence[str], target: str, alpha: fl
             yield pd.DataFrame({"fold": b["fold"], "_b": out})
 
     fold_type = folds.schema["fold"].dataType.simpleString()
-    fitted = sums.mapInPandas(solve, f"fold {fold_type}, _b array<double>").join(scale, "fold")
-    test = folds.where("role = 'test'").join(fitted, "fold", "left")
+    fitted = written(sums.mapInPandas(solve, f"fold {fold_type}, _b array<double>").join(F.broadcast(scale), "fold"), "ridge")
+    rows = test_rows(folds)
+    test = rows.join(F.broadcast(fitted), "fold", "left")  # a row a fold
     yhat = F.col("_my")
     for i, c in enumerate(z):
         yhat = yhat + F.get("_b", F.lit(i)) * c
-    return test.select(*folds.columns, F.greatest(F.lit(0.0), yhat).alias("yhat"))
+    return test.select(*rows.columns, F.greatest(F.lit(0.0), yhat).alias("yhat"))
 
 
 def fold_table(folds: DataFrame, asset: str, ts: str, target: str) -> DataFrame:
@@ -77,9 +93,9 @@ def fold_table(folds: DataFrame, asset: str, ts: str, target: str) -> DataFrame:
     return by.join(gap, "fold", "left").join(labels.fold_overlap(folds, [asset, ts]), "fold", "left")
 
 
-def fold_metrics(predictions: DataFrame, by: Sequence[str] = ("strategy", "fold")) -> DataFrame:
-    """predictions: y, yhat and the columns of by. Regression metrics for each."""
-    return metrics.regression_metrics(predictions, list(by))
+def fold_metrics(predictions: DataFrame, by: Sequence[str] = ("strategy", "fold"), kept: bool = False) -> DataFrame:
+    """predictions: y, yhat and the columns of by. Regression metrics for each. kept: as in exact_quantiles."""
+    return metrics.regression_metrics(predictions, list(by), kept=kept)
 
 
 def fold_thresholds(predictions: DataFrame, by: Sequence[str] = ("strategy", "fold"), thresholds: Sequence[float] = (50, 100)) -> DataFrame:

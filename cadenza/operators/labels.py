@@ -133,6 +133,23 @@ def purged_folds(df: DataFrame, asset: str, ts: str, folds: int = 5, gap: int =
     return df.join(placed.drop("_block"), [asset, ts]).join(blocks, asset).select(*df.columns, "fold", role.alias("role"))
 
 
+def purged_blocks(df: DataFrame, asset: str, ts: str, folds: int = 5, gap: int = 30) -> DataFrame:
+    """The folds of purged_folds with a row for each row instead of one for each row and fold: fold, the one
+    that tests the row, and trains, the folds that train on it. Rows go once by asset, and not by fold."""
+    times, whole = Window.partitionBy(asset).orderBy(ts), Window.partitionBy(asset)
+    placed = df.withColumn("_at", F.dense_rank().over(times)).withColumn("_times", F.max("_at").over(whole)).where(F.col(asset).isNotNull() & F.col(ts).isNotNull())
+    at, n = F.col("_at"), F.col("_times")
+    least, more = F.floor(n / folds), n % folds  # the first `more` blocks have a place more, as in ntile
+
+    def inside(k: int, wider: int) -> Column:
+        begin, end = (k - 1) * least + F.least(F.lit(k - 1), more) + 1, k * least + F.least(F.lit(k), more)
+        return at.between(begin - wider, end + wider)
+
+    fold = F.coalesce(*(F.when(inside(k, 0), k) for k in range(1, folds + 1)))
+    trains = F.array_compact(F.array(*(F.when((n >= k) & ~inside(k, gap), k) for k in range(1, folds + 1))))
+    return placed.select(*df.columns, fold.alias("fold"), trains.alias("trains"))
+
+
 def nearest_train_gap(folds: DataFrame, asset: str, ts: str) -> DataFrame:
     """By fold and asset: the least distance in positions from a test time to a train time."""
     order = Window.partitionBy("fold", asset).orderBy(ts)

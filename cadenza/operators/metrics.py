@@ -23,19 +23,20 @@ def E() -> Column:  # noqa: N802
     return P() - Y()
 
 
-def regression_metrics(df: DataFrame, by: Sequence[str] = (), critical: float = 50) -> DataFrame:
-    """y, yhat: n, mae, rmse, r2 (null without variance), n and mae of critical rows, median error."""
+def regression_metrics(df: DataFrame, by: Sequence[str] = (), critical: float = 50, kept: bool = False) -> DataFrame:
+    """y, yhat: n, mae, rmse, r2 (null without variance), n and mae of critical rows, median error. kept: as in
+    exact_quantiles."""
     n, mean_sq = F.count(F.lit(1)), F.avg(E() * E())
     means = df.groupBy(*by).agg(
         n.alias("n"), F.avg(F.abs(E())).alias("mae"), F.sqrt(mean_sq).alias("rmse"), F.when((n >= 2) & (F.var_pop(Y()) > 0), 1 - mean_sq / F.var_pop(Y())).alias("r2"),
         F.avg(E()).alias("bias"), F.count_if(critical >= Y()).alias("critical_n"), F.avg(F.when(critical >= Y(), F.abs(E()))).alias("critical_mae"),
     )
-    return with_median(df, means, F.abs(E()), by).select(*by, "n", "mae", "rmse", "r2", "median_ae", "bias", "critical_n", "critical_mae")
+    return with_median(df, means, F.abs(E()), by, kept).select(*by, "n", "mae", "rmse", "r2", "median_ae", "bias", "critical_n", "critical_mae")
 
 
-def with_median(df: DataFrame, table: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+def with_median(df: DataFrame, table: DataFrame, value: Column, by: Sequence[str] = (), kept: bool = False) -> DataFrame:
     """table, a row for each group of df, and median_ae: the exact median of a value, null without one."""
-    mids = exact_quantiles(df, value, [0.5], by).select(F.struct(F.lit(0), *by).alias("_of"), F.col("quantiles")[0].alias("median_ae"))
+    mids = exact_quantiles(df, value, [0.5], by, kept=kept).select(F.struct(F.lit(0), *by).alias("_of"), F.col("quantiles")[0].alias("median_ae"))
     return table.withColumn("_of", F.struct(F.lit(0), *by)).join(mids, "_of", "left").drop("_of")
 
 

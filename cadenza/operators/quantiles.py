@@ -28,6 +28,16 @@ def _sketched(rows: DataFrame, ranks: Sequence[float], size: int) -> DataFrame:
     return written(by.select(*_PART, "_n", "_lo", "_hi", F.array_sort(F.array_distinct(F.array_append(F.coalesce(edges, F.array().cast("array<double>")), F.col("_lo")))).alias("_edges")), "parts")
 
 
+def _placed(rows: DataFrame, most: int) -> DataFrame:
+    """rows with _at: how many of _edges, at most so many in order, lie below _v. Found by halving, each step a
+    column of its own that the next one reads twice."""
+    rows = rows.withColumn("_at", F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        below = F.get("_edges", F.col("_at") + ((1 << k) - 1)) < F.col("_v")
+        rows = rows.withColumn("_at", F.col("_at") + F.when(below, 1 << k).otherwise(0))
+    return rows
+
+
 def _order_statistics(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """_g, _r, _x of the wanted places, in parts that one task can order."""
     counted = rows.groupBy(*_PART, "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -37,17 +47,18 @@ def _order_statistics(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("_g", "_r", F.col("_v").alias("_x"))
 
 
-def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float], by: Sequence[str] = (), direct: int = DIRECT, sketch: int = 800, margin: float = 0.01) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float], by: Sequence[str] = (), direct: int = DIRECT, sketch: int = 800, margin: float = 0.01, kept: bool = False) -> DataFrame:
     """by..., n, quantiles: for every group with a value, the exact linear quantiles in the order of shares,
-    as percentile() gives them: nulls don't count, NaN is above all numbers."""
+    as percentile() gives them: nulls don't count, NaN is above all numbers. kept: rows are a written table, or
+    follow from one row by row, so that their values needn't be written for the passes."""
     value = F.col(value) if isinstance(value, str) else value
     group = F.struct(F.lit(0).alias("_0"), *by)
     # several passes read the values, but what they are made from is worked out once
-    kept = written(rows.select(group.alias("_g"), (value.cast("double") + 0.0).alias("_v")).where("_v IS NOT NULL"), "values")
-    data = kept.select("_g", F.lit("").alias("_cell"), "_v")
+    values = rows.select(group.alias("_g"), (value.cast("double") + 0.0).alias("_v")).where("_v IS NOT NULL")
+    data = (values if kept else written(values, "values")).select("_g", F.lit("").alias("_cell"), "_v")
     near = sorted({min(1.0, max(0.0, s + m)) for s in shares for m in (-margin, 0.0, margin)} | {0.0, 1.0})
     finer = [k / 32 for k in range(33)]
-    whole = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    whole = written(data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")), "sizes")
     largest = whole.agg(F.max("n")).first()[0] or 0
     if largest <= direct:  # what percentile() holds of a group is bounded then
         few = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*map(F.lit, shares))).alias("quantiles"))
@@ -60,19 +71,21 @@ def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float
         met = targets.join(parts, _PART)
         found.append(met.where("_lo = _hi").select("_g", "_r", F.col("_lo").alias("_x")))
         small = met.where((F.col("_lo") != F.col("_hi")) & (F.col("_n") <= direct)).select(*_PART, "_r", "_in")
-        found.append(_order_statistics(data.join(small.select(*_PART).distinct(), _PART, "left_semi"), small))
+        if not small.isEmpty():  # or else the join would deal all rows to find none
+            found.append(_order_statistics(data.join(small.select(*_PART).distinct(), _PART, "left_semi"), small))
         large = met.where((F.col("_lo") != F.col("_hi")) & (F.col("_n") > direct))
         if large.isEmpty():
             break
         edges = large.select(*_PART, "_edges").dropDuplicates(_PART)
-        at = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-        dealt = data.join(edges, _PART).withColumn("_at", at)
+        # parts are at most rows / direct, and cells that are hit two a share and part: no shuffle deals the rows
+        # by a few groups
+        dealt = _placed(data.join(F.broadcast(edges), _PART), max(len(near), len(finer)) + 1)
         counts = dealt.groupBy(*_PART, "_at").agg(F.count(F.lit(1)).alias("_c"))
         end = F.sum("_c").over(Window.partitionBy(*_PART).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
         cells = counts.select(*_PART, "_at", end.alias("_end"), (end - F.col("_c")).alias("_begin"))
         inner = F.concat_ws(".", F.nullif(F.col("_cell"), F.lit("")), "_at")
         hit = written(large.join(cells, _PART).where((F.col("_in") >= F.col("_begin")) & (F.col("_in") < F.col("_end"))).select(*_PART, "_at", "_r", (F.col("_in") - F.col("_begin")).alias("_in")), "targets")
-        data = written(dealt.join(hit.select(*_PART, "_at").distinct(), [*_PART, "_at"], "left_semi").select("_g", inner.alias("_cell"), "_v"), "cells")
+        data = written(dealt.join(F.broadcast(hit.select(*_PART, "_at").distinct()), [*_PART, "_at"], "left_semi").select("_g", inner.alias("_cell"), "_v"), "cells")
         targets = hit.select("_g", inner.alias("_cell"), "_r", "_in")
         parts = _sketched(data, finer, sketch)
     values = reduce(DataFrame.unionByName, found).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import registry, signal
@@ -32,6 +33,13 @@ def _targets(s, d):
     return written(_folds(s, d).join(end, F.col("user_id") == F.col("_u")).withColumn("y", labels.seconds(F.col("_end"), F.col("ts")) / 3600).drop("_u", "_end"), "targets")
 
 
+def _blocks(s, d):
+    """The same with a row an event: its target, the fold that tests it and those that train on it."""
+    made = labels.purged_blocks(events(s, d), "user_id", "ts", 5, 3)
+    y = labels.seconds(F.max("ts").over(Window.partitionBy("user_id")), F.col("ts")) / 3600
+    return written(made.select("event_id", "user_id", "value", "fold", "trains", y.alias("y")), "blocks")
+
+
 _LOCAL = "PARTITION BY fold, role, user_id, event_type ORDER BY ts, event_id"
 _USED = "u AS (SELECT * FROM fol WHERE role <> 'purged')"
 _FITTED = "tr AS (SELECT * FROM u WHERE role = 'train'), g AS (SELECT fold, user_id, event_type, avg(value) AS m, stddev_samp(value) AS sd FROM tr GROUP BY ALL), w AS (SELECT fold, avg(value) AS gm, stddev_samp(value) AS gs FROM tr GROUP BY ALL)"
@@ -60,13 +68,14 @@ def _(s, d):
 
 @_add("fold_ridge", f"WITH {_Y}, {_RIDGE} SELECT event_id, fold, round(y, 6) AS y, round(yhat, 6) AS yhat FROM rg")
 def _(s, d):
-    return folds.fold_ridge(_targets(s, d), ["value"], "y").select("event_id", "fold", "y", "yhat")
+    return folds.fold_ridge(_blocks(s, d), ["value"], "y").select("event_id", "fold", "y", "yhat")
 
 
 def _predicted(s, d):
-    t = _targets(s, d)
-    one = lambda df, name: df.select(F.lit(name).alias("strategy"), "fold", "user_id", "y", "yhat")
-    return written(one(folds.median_baseline(t, "y"), "median").unionByName(one(folds.fold_ridge(t, ["value"], "y"), "ridge")), "predictions")
+    """A row a strategy and event, made from the blocks and a row a fold."""
+    t = _blocks(s, d)
+    both = folds.fold_ridge(t, ["value"], "y").withColumnRenamed("yhat", "ridge").join(F.broadcast(folds.fold_medians(t, "y")).withColumnRenamed("yhat", "median"), "fold", "left")  # a row a fold
+    return both.select("fold", "user_id", "y", F.inline(F.array(*(F.struct(F.lit(name).alias("strategy"), F.col(name).alias("yhat")) for name in ("median", "ridge")))))
 
 
 _BOTH = f"{_Y}, {_MEDIAN}, {_RIDGE}, p AS (SELECT 'median' AS strategy, fold, user_id, y, yhat FROM md UNION ALL SELECT 'ridge', fold, user_id, y, yhat FROM rg)"
@@ -84,7 +93,7 @@ def _(s, d):
 
 @_add("fold_metrics", f"WITH {_BOTH} SELECT strategy, fold, {streams._REG} FROM p GROUP BY strategy, fold")
 def _(s, d):
-    return folds.fold_metrics(_predicted(s, d))
+    return folds.fold_metrics(_predicted(s, d), kept=True)
 
 
 @_add("fold_asset_metrics", f"WITH {_BOTH} SELECT strategy, fold, user_id, {streams._REG} FROM p GROUP BY ALL")
@@ -104,7 +113,7 @@ def _(s, d):
 
 @_add("fold_summary", f"WITH {_BOTH}, f AS (SELECT strategy, fold, count(*) AS n, avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse, CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - avg((yhat - y) * (yhat - y)) / var_pop(y) END AS r2, count_if(y <= 50) AS cn, avg(CASE WHEN y <= 50 THEN abs(yhat - y) END) AS cm FROM p GROUP BY ALL) SELECT strategy, count(*) AS folds, round(avg(mae), 6) AS mean_mae, round(avg(rmse), 6) AS mean_rmse, round(avg(r2), 6) AS mean_r2, round(sum(mae * n) / sum(n), 6) AS weighted_mae, round(sum(rmse * n) / sum(n), 6) AS weighted_rmse, round(sum(cm * cn) / sum(CASE WHEN cm IS NOT NULL THEN cn END), 6) AS weighted_critical_mae FROM f GROUP BY strategy")
 def _(s, d):
-    return metrics.strategy_summary(folds.fold_metrics(_predicted(s, d)))
+    return metrics.strategy_summary(folds.fold_metrics(_predicted(s, d), kept=True))
 
 
 @_add("fold_stability", "WITH v AS (SELECT user_id % 4 AS fold, event_type AS feature, avg(value) AS importance FROM events GROUP BY ALL) SELECT a.fold AS fold_i, b.fold AS fold_j, count(*) AS n, round(corr(a.importance, b.importance), 6) AS corr FROM v a JOIN v b ON a.feature = b.feature AND a.fold < b.fold GROUP BY ALL")
