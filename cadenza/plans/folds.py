@@ -98,7 +98,7 @@ def _(s, d):
 
 @_add("fold_asset_metrics", f"WITH {_BOTH} SELECT strategy, fold, user_id, {streams._REG} FROM p GROUP BY ALL")
 def _(s, d):
-    return folds.fold_metrics(_predicted(s, d), ["strategy", "fold", "user_id"])
+    return folds.fold_metrics(_predicted(s, d), ["strategy", "fold", "user_id"], kept=True)
 
 
 @_add("fold_thresholds", f"WITH {_BOTH} SELECT strategy, fold, threshold, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(fn + tp, 0), 6) AS miss_rate FROM (SELECT strategy, fold, t AS threshold, count_if(y <= t AND yhat <= t) AS tp, count_if(y > t AND yhat <= t) AS fp, count_if(y <= t AND yhat > t) AS fn, count_if(y > t AND yhat > t) AS tn FROM p, (VALUES (50.0::DOUBLE), (100.0)) v(t) GROUP BY ALL)")
