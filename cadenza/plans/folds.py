@@ -63,7 +63,7 @@ _RIDGE = "st AS (SELECT fold, avg(value) AS m, stddev_pop(value) AS sd, avg(y) A
 
 @_add("median_baseline", f"WITH {_Y}, {_MEDIAN} SELECT event_id, fold, round(y, 6) AS y, round(yhat, 6) AS yhat FROM md")
 def _(s, d):
-    return folds.median_baseline(_targets(s, d), "y").select("event_id", "fold", "y", "yhat")
+    return folds.median_baseline(_blocks(s, d), "y").select("event_id", "fold", "y", "yhat")
 
 
 @_add("fold_ridge", f"WITH {_Y}, {_RIDGE} SELECT event_id, fold, round(y, 6) AS y, round(yhat, 6) AS yhat FROM rg")

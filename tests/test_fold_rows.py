@@ -32,7 +32,7 @@ def test_fits_of_blocks_are_those_of_folds(spark):
         assert a.keys() == b.keys() and len(a) == 300 and all(math.isclose(a[k], b[k], rel_tol=1e-12) for k in a)
 
 
-@pytest.mark.parametrize("query", ["fold_summary", "fold_asset_metrics", "fold_thresholds"])
+@pytest.mark.parametrize("query", ["fold_summary", "fold_asset_metrics", "fold_thresholds", "median_baseline"])
 def test_a_row_an_event_is_written(spark, monkeypatch, query):
     counts, write = [], plans.written
     monkeypatch.setattr(plans, "written", lambda df, name="table": counts.append((t := write(df, name)).count()) or t)
