@@ -127,7 +127,8 @@ def _best_splits(rows: DataFrame, model: Model, recent: list[Tree], tree: Tree,
         at = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[at[0]]), pa.array(np.array(chosen)[at[1]]), pa.array(at[2]), pa.array(g[at]), pa.array(n[at])], ["node", "feature", "bin", "g", "n"])
 
-    cells = rows.mapInArrow(sums, "node long, feature long, bin long, g double, n long").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    # tasks have added up their cells already, so they go straight to where a node's feature is summed and scanned
+    cells = rows.mapInArrow(sums, "node long, feature long, bin long, g double, n long").repartition("node", "feature").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     whole = Window.partitionBy("node", "feature")
     run = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sides = cells.select("node", "feature", "bin", F.sum("g").over(run).alias("gl"), F.sum("n").over(run).alias("nl"), F.sum("g").over(whole).alias("ga"), F.sum("n").over(whole).alias("na"))

@@ -63,8 +63,10 @@ def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float
     if largest <= direct:  # what percentile() holds of a group is bounded then
         few = data.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*map(F.lit, shares))).alias("quantiles"))
         return few.select(*(F.col("_g")[c].alias(c) for c in by), "n", "quantiles")
-    place = lambda s: F.lit(float(s)) * (F.col("n") - 1)
-    places = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(s)), F.ceil(place(s))) for s in shares))))
+    # shares are the elements of one array: an expression for each takes longer to compile than the passes
+    all_shares = F.array(*(F.lit(float(s)) for s in shares))
+    place = lambda s: s * (F.col("n") - 1)
+    places = F.array_distinct(F.flatten(F.transform(all_shares, lambda s: F.array(F.floor(place(s)), F.ceil(place(s))))))
     targets = whole.select("_g", F.lit("").alias("_cell"), F.explode(places).alias("_r")).withColumn("_in", F.col("_r"))
     found, parts = [], _sketched(data, near, sketch)
     while True:
@@ -90,13 +92,13 @@ def exact_quantiles(rows: DataFrame, value: str | Column, shares: Sequence[float
         parts = _sketched(data, finer, sketch)
     values = reduce(DataFrame.unionByName, found).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
 
-    def quantile(s: float) -> Column:
+    def quantile(s: Column) -> Column:
         at = place(s)
         low, high = F.floor(at), F.ceil(at)
         a, b = F.element_at("_m", low), F.element_at("_m", high)
         return F.when((low == high) | (a == b), a).otherwise((high - at) * a + (at - low) * b)
 
-    return whole.join(values, "_g").select(*(F.col("_g")[c].alias(c) for c in by), "n", F.array(*map(quantile, shares)).alias("quantiles"))
+    return whole.join(values, "_g").select(*(F.col("_g")[c].alias(c) for c in by), "n", F.transform(all_shares, quantile).alias("quantiles"))
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], shares: Sequence[float], **options) -> DataFrame:

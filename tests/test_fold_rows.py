@@ -66,4 +66,14 @@ def test_rows_of_few_groups_are_not_dealt_by_group(spark, monkeypatch):
         assert {r["g"]: r["quantiles"][0] for r in got.collect()} == {r["g"]: r["q"] for r in want.collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "lambda" not in plan["cells"] and "BroadcastHashJoin" in plan["cells"]
+    assert "filter(_edges" not in plan["cells"] and "BroadcastHashJoin" in plan["cells"]
+
+
+def test_many_shares_are_one_expression(spark):
+    """254 shares, as bins of boosting ask for, and no expression for each of them."""
+    shares = [k / 255 for k in range(1, 255)]
+    df = spark.range(6000).selectExpr("id % 3 AS g", "cast(id * 7919 % 1511 AS double) / 8 AS v")
+    got = quantiles.exact_quantiles(df, "v", shares, ["g"], direct=500)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("element_at") < 8
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    assert {r["g"]: r["quantiles"] for r in got.collect()} == want
