@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import labels, metrics, temporal
-from cadenza.operators.quantiles import exact_quantiles
+from cadenza.operators.quantiles import exact_quantiles, member_quantiles
 from cadenza.sources.shared import written
 
 
@@ -38,7 +38,7 @@ def test_rows(folds: DataFrame) -> DataFrame:
 def fold_medians(folds: DataFrame, target: str) -> DataFrame:
     """fold, yhat: the median of the target over the fold's train rows. Rows of purged_blocks are read in
     several passes, so they should be written."""
-    mids = exact_quantiles(train_rows(folds), target, [0.5], ["fold"], kept="trains" in folds.columns)
+    mids = member_quantiles(folds, target, [0.5], "trains", "fold", kept=True) if "trains" in folds.columns else exact_quantiles(train_rows(folds), target, [0.5], ["fold"])
     return written(mids.select("fold", F.col("quantiles")[0].alias("yhat")), "medians")
 
 

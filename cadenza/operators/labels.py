@@ -146,7 +146,8 @@ def purged_blocks(df: DataFrame, asset: str, ts: str, folds: int = 5, gap: int =
         return at.between(begin - wider, end + wider)
 
     fold = F.coalesce(*(F.when(inside(k, 0), k) for k in range(1, folds + 1)))
-    trains = F.array_compact(F.array(*(F.when((n >= k) & ~inside(k, gap), k) for k in range(1, folds + 1))))
+    # joined arrays, for a filter of one is interpreted row by row, with all that is in it
+    trains = F.concat(*(F.when((n >= k) & ~inside(k, gap), F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k in range(1, folds + 1)))
     return placed.select(*df.columns, fold.alias("fold"), trains.alias("trains"))
 
 

@@ -77,3 +77,39 @@ def test_many_shares_are_one_expression(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("element_at") < 8
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
     assert {r["g"]: r["quantiles"] for r in got.collect()} == want
+
+
+def test_rows_of_several_folds_are_placed_once(spark, monkeypatch):
+    plan, write = {}, quantiles.written
+
+    def noted(df, name="table"):
+        plan[name] = plan.get(name, "") + df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(quantiles, "written", noted)
+    df = spark.range(quantiles.DIRECT * 2).selectExpr("cast(id % 5 + 1 AS int) AS fold", "filter(sequence(1, 5), k -> k != id % 5 + 1) AS trains", "id * 7919 % 20011 / 8D AS y")
+    t = write(df, "blocks")
+    got = {r["fold"]: r["yhat"] for r in folds.fold_medians(t, "y").collect()}
+    assert got == {r["fold"]: r["q"] for r in folds.train_rows(t).groupBy("fold").agg(F.percentile("y", F.lit(0.5)).alias("q")).collect()}
+    over_all = [p for name, p in plan.items() if "Relation [fold#" in p and name != "cells"]
+    assert over_all and not any("explode(trains" in p for p in over_all)
+    assert "_at" in plan["cells"].split("Generate explode")[1]  # rows of wanted cells alone go on by fold
+
+
+@pytest.mark.parametrize("direct", [1 << 16, 300, 20])
+def test_quantiles_of_groups_that_share_rows(spark, direct):
+    rng = np.random.default_rng(8)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5]
+    sets = [None, [], [1], [2, 3], [1, 2, 3, 4], [4], [5]]
+    rows = [(sets[k % 7], odd[k // 7 % 7] if k % 3 == 0 else 2.0 if k % 7 == 6 else float(rng.normal(k % 7))) for k in range(4000)]
+    df, shares = spark.createDataFrame(rows, "s array<int>, v double"), [0.0, 0.3, 0.5, 1.0]
+    got = {r["g"]: (r["n"], r["quantiles"]) for r in quantiles.member_quantiles(df, "v", shares, "s", "g", direct=direct, cells=16).collect()}
+    want = quantiles.exact_quantiles(df.select(F.explode("s").alias("g"), "v"), "v", shares, ["g"])
+    assert str(sorted(got.items())) == str(sorted((r["g"], (r["n"], r["quantiles"])) for r in want.collect())) and len(got) == 5
+    assert quantiles.member_quantiles(df.limit(0), "v", shares, "s", "g", direct=direct).collect() == []
+
+
+def test_folds_of_rows_are_compiled(spark):
+    df = spark.range(10).selectExpr("id % 2 AS asset", "timestamp_seconds(id) AS ts")
+    plan = labels.purged_blocks(df, "asset", "ts", 5, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "lambda" not in plan
