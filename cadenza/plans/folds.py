@@ -131,7 +131,7 @@ _PAIRS = ", ".join(f"round(avg({n}), 6), round(stddev_pop({n}), 6)" for n in reg
 def _(s, d):
     # the id covers no measured value; it is tested by itself. Values are rounded once, as in the SQL
     rows = registry.feature_rows(assets._signals(s, d), "vec_id", "label", "x", width=16, step=8, windows=7, fs=64.0, edges=(8.0, 20.0), quantise=False)
-    return rows.drop("feature_row_id").withColumn("feature_values", F.transform("feature_values", lambda v: F.round(v, 6)))
+    return rows.drop("feature_row_id").withColumn("feature_values", F.transform("feature_values", lambda v: streams.rounded_as_sql(v)))
 
 
 @_add("resampled", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import labels, metrics, quality, temporal
@@ -23,6 +23,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def rounded_as_sql(x: Column, digits: int = 6) -> Column:
+    """x rounded as DuckDB rounds it, where the sign of a zero or a tie counts: the product's half goes away from
+    zero, and a small negative value is -0.0."""
+    return F.signum(x) * (F.round(F.abs(x) * 10.0**digits) / 10.0**digits)
+
+
 def rul(spark: SparkSession, d: str) -> DataFrame:
     return labels.rul_labels(events(spark, d), "user_id", "ts", F.col("user_id") % 2 == 0)
 
