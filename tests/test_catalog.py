@@ -68,3 +68,8 @@ def test_rounding_is_that_of_sql(spark):
     con.register("t", pa.table({"k": range(len(values)), "v": pa.array(values, pa.float64())}))
     want = [r[0] for r in con.sql("SELECT round(v, 6) FROM t ORDER BY k").fetchall()]
     assert repr([r[0] for r in df.orderBy("k").select(streams.rounded_as_sql(F.col("v"))).collect()]) == repr(want)
+
+
+def test_lobo_rows_have_every_fold(spark):
+    got = catalog.QUERIES["lobo_rows"](spark, SF).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "test").alias("tests")).collect()
+    assert sorted(r["fold"] for r in got) == list(range(15)) and all(r["n"] == 1000 for r in got) and sum(r["tests"] for r in got) == 1000
