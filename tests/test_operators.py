@@ -317,3 +317,21 @@ def test_leave_one_out_rows_are_many_tasks(spark):
     rows = spark.range(40, numPartitions=1).selectExpr("id", "id % 4 AS asset")
     got = labels.leave_one_out_rows(rows, "asset").withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 160 and sum(r["role"] == "test" for r in got) == 40 and len({r["task"] for r in got}) > 8
+
+
+def test_leave_one_out_rows_take_a_tile_a_task(spark):
+    """A task has a share of the rows and of the folds, at most so many; a missing asset is a fold of its own."""
+    rows = spark.range(600, numPartitions=1).selectExpr("id", "nullif(id % 120, 7) AS asset")
+    out = labels.leave_one_out_rows(rows, "asset", folds=20, rows=100)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r["id"], r["fold"]) for r in got}) == len(got) == 600 * 120
+    assert all(r["role"] == ("test" if r["fold"] is not None and r["fold"] == r["asset"] else "train") for r in got)
+    held, ids = {}, {}
+    for r in got:
+        held.setdefault(r["task"], set()).add(r["fold"])
+        ids.setdefault(r["task"], set()).add(r["id"])
+    assert max(map(len, held.values())) <= 40 and max(map(len, ids.values())) <= 200
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    few = labels.leave_one_out_rows(rows, "asset", F.col("fold") < 3, folds=20, rows=100)
+    assert sorted(r["fold"] for r in few.groupBy("fold").count().where("count = 600").collect()) == [0, 1, 2] and few.count() == 1800
+    assert labels.leave_one_out_rows(rows.limit(0), "asset").count() == 0
